@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terraframe.llm import bpe, chat, exact, mixing, planes, quality
+from terraframe.llm import bpe, chat, exact, hilbert_ann, html_paths, mixing, neardup, pii, planes, quality
 from terraframe.llm._common import ascii_lower, new_path, table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -26,6 +26,11 @@ def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.windows(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.digests(pii.detect(docs, pii.fit(docs)).drop("text"))
+
+
 def op4_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     docs = docs.withColumn("text_sha256", F.sha2(ascii_lower(F.coalesce(F.col("text"), F.lit(""))), 256))
@@ -38,6 +43,18 @@ def op5_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planes.id_crc32(planes.read_ids(spark, path))
 
 
+def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_paths.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
+
+
+def op7_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hilbert_ann.search(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.per_document(mixing.plan(table(spark, sf_dir, "documents")))
 
@@ -51,14 +68,29 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": op1_quality,
         "op2_chat": op2_chat,
+        "op3_pii": op3_pii,
         "op4_exact": op4_exact,
         "op5_planes": op5_planes,
+        "op6_html": op6_html,
+        "op7_neardup": op7_neardup,
+        "op8_ann": op8_ann,
         "op9_mixing": op9_mixing,
         "op10_bpe": op10_bpe,
     }
 
 
 ORACLE_SQL: dict[str, str] = {
+    "op8_ann": """
+        WITH v AS (
+            SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+              AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0 AND len([x for x in embedding if x <> 0]) > 0),
+        s AS (
+            SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e) AS score
+            FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
+        r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+    """,
     "op4_exact": """
         WITH t AS (
             SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm FROM documents)
