@@ -1 +1,4 @@
+"""Every registered query of the library, by module."""
 
+from terraframe.plans import aggregates, neighbourhood, projection, rasters  # noqa: F401
+from terraframe.plans.registry import ORACLE, QUERIES  # noqa: F401
