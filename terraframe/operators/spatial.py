@@ -43,31 +43,33 @@ def radius_join(q: DataFrame, p: DataFrame, r: float, dims: int = 2, by=BY) -> D
 def knn_join(q: DataFrame, p: DataFrame, k: int, dims: int = 3, cell: float | None = None, qid: str = "pid", by=BY, exclude_self: bool = False) -> DataFrame:
     """The exact k nearest points of every query, in its cloud: q_<id>, by, rank (from 1), d2 and p's columns.
 
-    Queries look at the cells within one ring. Those whose k-th distance (or lack of it) leaves room for a
-    nearer point outside are asked again with the ring doubled, and only those. Ties go to the smaller pid.
-    A query that cannot find k points, because its cloud has fewer, gets all there are.
+    Queries look at their own cell and those around it. Those whose k-th distance (or lack of it) leaves room
+    for a nearer point outside are asked again, and only those, with cells three times as wide, so a query never
+    looks at more than 3**dims cells, however thin its surroundings. Ties go to the smaller pid. A query that cannot find k points,
+    because its cloud has fewer, gets all there are.
     """
     if cell is None:
         cell = _cell_for(p, k, dims, by)
-    sizes = p.groupBy(*by).agg(F.count("*").alias("_size"), *[F.min(a).alias(f"_lo{a}") for a in "xyz"[:dims]], *[F.max(a).alias(f"_hi{a}") for a in "xyz"[:dims]])
-    todo = written(q.select(F.col(qid), *by, *"xyz"[:dims]).join(sizes, list(by)), "knn-queries")
-    cells = written(_cells(p, cell, dims), "knn-points")
-    keys = [*by, *[f"_c{a}" for a in "xyz"[:dims]]]
+    axes = "xyz"[:dims]
+    sizes = p.groupBy(*by).agg(*[F.min(a).alias(f"_lo{a}") for a in axes], *[F.max(a).alias(f"_hi{a}") for a in axes])
+    todo = written(q.select(F.col(qid), *by, *axes).join(sizes, list(by)), "knn-queries")
+    keys = [*by, *[f"_c{a}" for a in axes]]
     need = k + 1 if exclude_self else k
-    found, ring = None, 1
+    found = None
     while True:
-        asked = _asking(todo, cell, ring, dims)
+        asked = _asking(todo, cell, 1, dims)
         for b in by:
             asked = asked.withColumnRenamed(f"q_{b}", b)
-        pairs = cells.hint("shuffle_merge").join(asked, keys).withColumn("d2", distance2(dims))
+        pairs = _cells(p, cell, dims).hint("shuffle_merge").join(asked, keys).withColumn("d2", distance2(dims))
         rank = F.row_number().over(Window.partitionBy(*by, f"q_{qid}").orderBy("d2", "pid"))
         top = pairs.withColumn("rank", rank).filter(F.col("rank") <= need)
         top = written(top.select(f"q_{qid}", "rank", "d2", *p.columns), "knn-hits")
         done = top.groupBy(*by, f"q_{qid}").agg(F.count("*").alias("_n"), F.max("d2").alias("_far"))
-        reach = F.least(*[F.least(F.col(a) - F.floor(F.col(a) / cell - ring) * cell, (F.floor(F.col(a) / cell) + ring + 1) * cell - F.col(a)) for a in "xyz"[:dims]])
+        at = {a: F.floor(F.col(a) / cell) for a in axes}
+        reach = F.least(*[F.least(F.col(a) - (at[a] - 1) * cell, (at[a] + 2) * cell - F.col(a)) for a in axes])
         covered = F.lit(True)
-        for a in "xyz"[:dims]:
-            covered &= (F.floor(F.col(a) / cell) - ring <= F.floor(F.col(f"_lo{a}") / cell)) & (F.floor(F.col(a) / cell) + ring >= F.floor(F.col(f"_hi{a}") / cell))
+        for a in axes:
+            covered &= (at[a] - 1 <= F.floor(F.col(f"_lo{a}") / cell)) & (at[a] + 1 >= F.floor(F.col(f"_hi{a}") / cell))
         state = todo.join(done.withColumnRenamed(f"q_{qid}", qid), [*by, qid], "left")
         good = covered | ((F.coalesce("_n", F.lit(0)) >= need) & (F.col("_far") <= reach * reach))
         left = written(state.filter(~good).drop("_n", "_far"), "knn-queries")
@@ -75,7 +77,7 @@ def knn_join(q: DataFrame, p: DataFrame, k: int, dims: int = 3, cell: float | No
         found = settled if found is None else found.unionByName(settled)
         if left.isEmpty():
             break
-        todo, ring = left, ring * 2
+        todo, cell = left, cell * 3
     if exclude_self:
         found = found.filter(F.col("pid") != F.col(f"q_{qid}"))
         found = found.withColumn("rank", F.row_number().over(Window.partitionBy(*by, f"q_{qid}").orderBy("d2", "pid"))).filter(F.col("rank") <= k)
