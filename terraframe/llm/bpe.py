@@ -11,7 +11,10 @@ from __future__ import annotations
 
 import json
 import re
+import unicodedata
+from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain, islice
 from operator import add
 
@@ -29,11 +32,11 @@ SPACE = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u20
 #: composition and lower-case one by one within the same range.
 NOT_PLAIN = re.compile("[^\\t-\\r\\x20-\\x7e\\xa0-\\u012f\\u0131-\\u0239]")
 #: A memo that reaches MEMO_WORDS starts afresh; longer words than MEMO_CHARS are not kept in it.
-MEMO_WORDS, MEMO_CHARS, SLICE_ROWS = 600_000, 64, 200
+MEMO_WORDS, MEMO_CHARS, SLICE_ROWS = 500_000, 64, 200
 
 
 class FragmentEncoder:
-    """Encodes and decodes with one tokenizer file; for use inside a worker."""
+    """Encodes with one tokenizer file; for use inside a worker."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -42,9 +45,7 @@ class FragmentEncoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         whole = Tokenizer.from_file(path)
-        whole.no_truncation()
-        whole.no_padding()
-        self.whole, self.normalizer, self.pre_tokenizer = whole, whole.normalizer, whole.pre_tokenizer
+        self.normalizer, self.pre_tokenizer = whole.normalizer, whole.pre_tokenizer
         model = spec["model"]
         vocab, merges = model["vocab"], [tuple(m) if not isinstance(m, str) else tuple(m.split(" ")) for m in model["merges"]]
         suffix = model.get("end_of_word_suffix") or ""
@@ -52,13 +53,9 @@ class FragmentEncoder:
         added = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.added = added
         self.added_re = re.compile("(" + "|".join(re.escape(t) for t in sorted(added, key=len, reverse=True)) + ")") if added else None
-        self.joined = spec.get("decoder") is None
-        self.tokens = [""] * (1 + max([*vocab.values(), *added.values()]))
-        for t, i in chain(vocab.items(), added.items()):
-            self.tokens[i] = t
         plain = (t[: len(t) - len(suffix)] if suffix and t.endswith(suffix) else t for t in vocab if t not in added)
         self.inside = {t[i : i + 2] for t in plain for i in range(len(t) - 1)}
-        self.memo: dict[str, tuple[int, ...]] = {}
+        self.memo: dict[str, bytes] = {}
         self.words_re = self._words_re(spec)
         self.byte_chars = {c: self._shown(chr(c)) for c in range(0xA0, 0x250)}
         self.last, self.inner = self._by_spaces(last), self._by_spaces(inner)
@@ -82,15 +79,19 @@ class FragmentEncoder:
 
     @staticmethod
     def _words_re(spec: dict):
-        """The word pattern, if normaliser and pre-tokenizer have the form that words() can follow; else None."""
-        import regex
+        """The word pattern for plain text, if normaliser and pre-tokenizer have the form that words() can follow; else None.
 
+        Its letter and number classes are written out for the range of plain text.
+        """
         steps = [n.get("type") for n in (spec.get("normalizer") or {}).get("normalizers", [])]
         pre = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
         if steps != ["NFC", "Replace", "Lowercase"] or [x.get("type") for x in pre] != ["Split", "ByteLevel"]:
             return None
         split = pre[0]
-        return regex.compile(split["pattern"]["Regex"]) if split["behavior"] == "Removed" and split["invert"] else None
+        if split["behavior"] != "Removed" or not split["invert"]:
+            return None
+        group = lambda kind: "".join(re.escape(c) for c in map(chr, range(0x250)) if unicodedata.category(c)[0] == kind)
+        return re.compile(split["pattern"]["Regex"].replace(r"\p{L}", group("L")).replace(r"\p{N}", group("N")))
 
     def fragments(self, word: str) -> list[str]:
         """The pieces of a word between certain cuts."""
@@ -114,12 +115,12 @@ class FragmentEncoder:
                 out += self.words(chunk)
         return out
 
-    def learn(self, words: set[str]) -> dict[str, tuple[int, ...]]:
-        """The ids of some words: all their inner fragments in one call, all their last ones in another."""
+    def learn(self, words: set[str]) -> dict[str, bytes]:
+        """The ids of some words, packed: all their inner fragments in one call, all their last ones in another."""
         parts = [(w, self.fragments(w)) for w in words]
         heads = self._ids(self.inner, [f for _, fs in parts for f in fs[:-1]])
         tails = self._ids(self.last, [fs[-1] for _, fs in parts])
-        return {w: (*chain.from_iterable(islice(heads, len(fs) - 1)), *next(tails)) for w, fs in parts}
+        return {w: array("i", [*chain.from_iterable(islice(heads, len(fs) - 1)), *next(tails)]).tobytes() for w, fs in parts}
 
     @staticmethod
     def _ids(line, fragments: list[str]) -> Iterator[list[int]]:
@@ -151,27 +152,44 @@ class FragmentEncoder:
             if any(len(w) > MEMO_CHARS for w in new):
                 memo = {w: memo.get(w) or learnt.get(w) for w in known}
         if not known.isdisjoint(self.added):
-            memo = {w: (self.added[w],) if w in self.added else memo[w] for w in known}
-        return [np.fromiter(chain.from_iterable(map(memo.__getitem__, row)), np.int32) for row in rows]
+            memo = {w: array("i", [self.added[w]]).tobytes() if w in self.added else memo[w] for w in known}
+        return [np.frombuffer(b"".join(map(memo.__getitem__, row)), np.int32) for row in rows]
 
     def encode(self, text: str | None) -> np.ndarray:
         return self.encode_all([text])[0]
 
-    def decode(self, ids) -> str:
-        """As the library's decode with special tokens kept: without a decoder, tokens joined by spaces."""
-        if self.joined:
-            return " ".join(map(self.tokens.__getitem__, ids.tolist()))
-        return self.whole.decode(ids.tolist(), skip_special_tokens=False)
 
+class Decoder:
+    """Decodes with one tokenizer file: as the library does with special tokens kept; without a decoder, tokens joined by spaces."""
+
+    def __init__(self, path: str) -> None:
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.whole = None
+        if spec.get("decoder") is not None:
+            from tokenizers import Tokenizer
+
+            self.whole = Tokenizer.from_file(path)
+        named = {**spec["model"]["vocab"], **{t["content"]: t["id"] for t in spec.get("added_tokens", [])}}
+        self.tokens = [""] * (1 + max(named.values()))
+        for t, i in named.items():
+            self.tokens[i] = t
 
-_ENCODERS: dict[str, FragmentEncoder] = {}
+    def decode(self, ids: np.ndarray) -> str:
+        if self.whole is None:
+            return " ".join(map(self.tokens.__getitem__, ids.tolist()))
+        return self.whole.decode(ids.tolist(), skip_special_tokens=False)
 
 
+@lru_cache(maxsize=2)
 def encoder(path: str) -> FragmentEncoder:
     """One encoder a worker process and file."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = FragmentEncoder(path)
-    return _ENCODERS[path]
+    return FragmentEncoder(path)
+
+
+@lru_cache(maxsize=2)
+def decoder(path: str) -> Decoder:
+    return Decoder(path)
 
 
 def id_lists(arrays: list[np.ndarray]) -> pa.ListArray:
@@ -209,13 +227,13 @@ def decode(rows: DataFrame, tokenizer_path: str, ids_col: str = "ids", out_col:
     schema = T.StructType([*kept.schema.fields, T.StructField(out_col, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer_path)
+        dec = decoder(tokenizer_path)
         for batch in batches:
             for lo in range(0, batch.num_rows, SLICE_ROWS):
                 part = batch.slice(lo, SLICE_ROWS)
                 lists = part.column(at)
                 flat, offs = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
-                texts = [enc.decode(flat[offs[i] : offs[i + 1]]) for i in range(len(lists))]
+                texts = [dec.decode(flat[offs[i] : offs[i + 1]]) for i in range(len(lists))]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*part.schema.names, out_col])
 
     return kept.mapInArrow(run, schema)
