@@ -42,18 +42,47 @@ def _surface(df: DataFrame, rows: Column, res: float, name: str, by) -> DataFram
     return df.filter(rows).groupBy(*by, F.floor(F.col("y") / res).alias("row"), F.floor(F.col("x") / res).alias("col")).agg(F.avg("z").alias(name))
 
 
-def dtm_errors(df: DataFrame, res: float = 1.0, pred: str = "pred", label: str = "label", by=BY) -> DataFrame:
-    """error of the predicted elevation cell against the true one, where both exist; clouds need three points of each."""
+def _tin(df: DataFrame, rows: Column, res: float, name: str, by, block: float, halo: float) -> DataFrame:
+    """Heights at cell centres of the triangulated surface, block by block with the points up to halo around it."""
+    import numpy as np
+    import pandas as pd
+
+    from terraframe.functions.tin import interpolate
+
+    reach = lambda c: F.sequence(F.floor((F.col(c) - halo) / block), F.floor((F.col(c) + halo) / block))
+    near = df.filter(rows).select(*by, "x", "y", "z").withColumn("bx", F.explode(reach("x"))).withColumn("by", F.explode(reach("y")))
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        x0, y0 = g["bx"].iloc[0] * block, g["by"].iloc[0] * block
+        cols, rows_ = np.arange(np.ceil(x0 / res - 1e-9), np.ceil((x0 + block) / res - 1e-9)), np.arange(np.ceil(y0 / res - 1e-9), np.ceil((y0 + block) / res - 1e-9))
+        c, r = (v.ravel() for v in np.meshgrid(cols, rows_))
+        z = interpolate(g[["x", "y"]].to_numpy(), g["z"].to_numpy(), np.c_[(c + 0.5) * res, (r + 0.5) * res])
+        ok = ~np.isnan(z)
+        return pd.DataFrame({**{b: np.full(ok.sum(), g[b].iloc[0]) for b in by}, "row": r[ok].astype("int64"), "col": c[ok].astype("int64"), name: z[ok]})
+
+    keys = ", ".join(f"{b} string" for b in by)
+    return near.groupBy(*by, "bx", "by").applyInPandas(run, f"{keys}, row long, col long, {name} double")
+
+
+def dtm_errors(df: DataFrame, res: float = 1.0, pred: str = "pred", label: str = "label", by=BY, surface: str = "cell", block: float = 32.0, halo: float = 8.0) -> DataFrame:
+    """error of the predicted elevation against the true one per cell, where both exist; clouds need three points of each.
+
+    surface cell takes the mean height of a cell's points, tin the triangulated surface at its centre. The
+    triangulation is made in blocks; where a triangle is wider than the halo it may differ from one over all.
+    """
     enough = df.groupBy(*by).agg(F.count_if(F.col(label) == 1).alias("_t"), F.count_if((F.col(pred) == 1) & F.col(label).isin(0, 1)).alias("_p")).filter("_t >= 3 AND _p >= 3").select(*by)
     rows = df.join(enough, list(by), "left_semi")
-    true = _surface(rows, F.col(label) == 1, res, "z_true", by)
-    made = _surface(rows, (F.col(pred) == 1) & F.col(label).isin(0, 1), res, "z_pred", by)
+    is_true, is_pred = F.col(label) == 1, (F.col(pred) == 1) & F.col(label).isin(0, 1)
+    if surface == "tin":
+        true, made = (_tin(rows, c, res, n, by, block, halo) for c, n in ((is_true, "z_true"), (is_pred, "z_pred")))
+    else:
+        true, made = (_surface(rows, c, res, n, by) for c, n in ((is_true, "z_true"), (is_pred, "z_pred")))
     return true.join(made, [*by, "row", "col"]).withColumn("error", F.col("z_pred") - F.col("z_true"))
 
 
-def dtm_rmse(df: DataFrame, res: float = 1.0, pred: str = "pred", label: str = "label", by=BY) -> DataFrame:
+def dtm_rmse(df: DataFrame, res: float = 1.0, pred: str = "pred", label: str = "label", by=BY, surface: str = "cell") -> DataFrame:
     """sse and n per cloud over elevation cells; total_rmse over all clouds; null without any."""
-    per = dtm_errors(df, res, pred, label, by).groupBy(*by).agg(F.sum(F.col("error") * F.col("error")).alias("sse"), F.count("*").alias("n"))
+    per = dtm_errors(df, res, pred, label, by, surface).groupBy(*by).agg(F.sum(F.col("error") * F.col("error")).alias("sse"), F.count("*").alias("n"))
     every = Window.partitionBy()
     return per.withColumn("total_rmse", F.sqrt(F.sum("sse").over(every) / F.sum("n").over(every)))
 

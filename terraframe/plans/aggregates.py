@@ -180,6 +180,11 @@ def m4(spark, sf):
     return m.dtm_rmse(scored(spark, sf), 2.0).select("cloud", *r(["sse"]), "n", *r(["total_rmse"]))
 
 
+@query("m4_dtm_rmse_tin")
+def m4b(spark, sf):
+    return m.dtm_rmse(scored(spark, sf), 2.0, surface="tin").select("cloud", *r(["sse"]), "n", *r(["total_rmse"]))
+
+
 @query("m5_aggregate_error", f"WITH {ERR} SELECT cloud, round(sqrt(avg(error * error)), 6) AS rmse, round(quantile_cont(abs(error), 0.95), 6) AS p95, round(quantile_cont(abs(error), 0.99), 6) AS p99, round(max(abs(error)), 6) AS max_error FROM e GROUP BY cloud")
 def m5(spark, sf):
     return m.aggregate_error(m.dtm_errors(scored(spark, sf), 2.0)).select("cloud", *r(["rmse", "p95", "p99", "max_error"]))

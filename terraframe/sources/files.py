@@ -110,7 +110,7 @@ def read_ascii_grid(spark: SparkSession, path: str) -> tuple[DataFrame, DataFram
     text = spark.read.text(path, wholetext=True).withColumn("raster_id", F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", ""))
     field = lambda k: F.regexp_extract("value", rf"(?im)^\s*{k}\s+(\S+)", 1)
     corner = lambda axis: F.when(field(f"{axis}llcorner") != "", field(f"{axis}llcorner").cast("double")).otherwise(field(f"{axis}llcenter").cast("double") - field("cellsize").cast("double") / 2)
-    head = text.select("raster_id", corner("x").alias("x_min"), corner("y").alias("y_min"), field("cellsize").cast("double").alias("res"), field("nrows").cast("long").alias("h"), field("ncols").cast("long").alias("w"), field("nodata_value").try_cast("double").alias("nodata"), F.trim(F.regexp_replace("value", r"(?im)^\s*[a-z_]+\s+\S+\s*$", "")).alias("body"))
+    head = text.select("raster_id", corner("x").alias("x_min"), corner("y").alias("y_min"), field("cellsize").cast("double").alias("res"), field("nrows").cast("long").alias("h"), field("ncols").cast("long").alias("w"), field("nodata_value").try_cast("double").alias("nodata"), F.regexp_replace(F.regexp_replace("value", r"(?im)^\s*[a-z_]+\s+\S+\s*$", ""), r"^\s+|\s+$", "").alias("body"))
     long = head.select("raster_id", "h", "w", "nodata", F.posexplode(F.split("body", r"\s+")).alias("i", "v"))
     value = F.col("v").cast("double")
     cells = long.select("raster_id", (F.col("h") - 1 - F.floor(F.col("i") / F.col("w"))).alias("row"), (F.col("i") % F.col("w")).alias("col"), F.when((F.col("nodata").isNull() | (value != F.col("nodata"))) & ~F.isnan(value), value).alias("value"))
