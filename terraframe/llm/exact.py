@@ -50,17 +50,18 @@ def refine(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
     groups = by_id.groupBy("_len", "_prefix", "full_hash").agg(F.max("doc_id").alias("keep_id"), F.sum("n").alias("group_size"), F.max(F.struct(F.col("doc_id"), F.col("n")))["n"].alias("_top"))
     several = groups.filter("group_size > 1")
     key = ["_len", "_prefix", "full_hash"]
-    # a key without a whole hash is alone; spread over its own values it cannot make one hot null group
-    joined = hashed.join(several, key, "left")
-    one = joined.withColumns({
-        "keep_id": F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")),
-        "group_size": F.coalesce("group_size", F.lit(1)),
-    }).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    # a key without a whole hash is alone, and has its own length and prefix to be dealt by
     cols = ["doc_id", *carry, "keep_id", "group_size", "kept", "full_hash"]
-    repeated = F.col("kept") & (F.coalesce("_top", F.lit(1)) > 1)
+    is_top = F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    joined = hashed.join(several, key, "left").withColumn("_alone", F.col("group_size").isNull())
+    once = joined.filter(F.col("_alone") | ~is_top | (F.col("_top") == 1)).withColumns({
+        "kept": F.col("_alone") | is_top,
+        "keep_id": F.when(F.col("_alone"), F.col("doc_id")).otherwise(F.col("keep_id")),
+        "group_size": F.coalesce("group_size", F.lit(1)),
+    })
     first = F.row_number().over(Window.partitionBy(*key, "doc_id").orderBy(F.lit(1)))
-    extra = one.filter(repeated).withColumn("kept", first == 1)
-    return one.filter(~repeated).select(cols).unionByName(extra.select(cols))
+    again = hashed.join(several.filter("_top > 1"), key).filter(is_top).withColumn("kept", first == 1)
+    return once.select(cols).unionByName(again.select(cols))
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
