@@ -98,6 +98,29 @@ ORACLE_SQL: dict[str, str] = {
                doc_id = max(doc_id) OVER g AS kept, sha256(norm) AS text_sha256
         FROM t WINDOW g AS (PARTITION BY norm)
     """,
+    "op9_mixing": r"""
+        WITH t AS (
+            SELECT doc_id, source, CAST(len([w for w in regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+') if w <> '']) AS BIGINT) AS size FROM documents),
+        s AS (SELECT source, row_number() OVER (ORDER BY source NULLS LAST) AS rk, CAST(sum(size) AS BIGINT) AS ss FROM t GROUP BY source),
+        c AS (SELECT *, CAST(CASE (rk - 1) % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS DOUBLE) AS w, CAST(2 AS DOUBLE) * ss AS cap FROM s),
+        l AS (
+            SELECT *, row_number() OVER o AS k, cap / w AS ratio, CAST(1.5 AS DOUBLE) * sum(ss) OVER () AS budget,
+                   (CAST(1.5 AS DOUBLE) * sum(ss) OVER () - coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+                     / sum(w) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level,
+                   coalesce(sum(ss) OVER (ORDER BY rk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS earlier
+            FROM c WINDOW o AS (ORDER BY cap / w, rk)),
+        f AS (SELECT min(k) AS k0, arg_min(level, k) AS lv FROM l WHERE level <= ratio),
+        g AS (SELECT l.*, CASE WHEN k < k0 THEN cap ELSE w * lv END AS target FROM l, f),
+        q AS (
+            SELECT t.doc_id, t.source, size, rk, ss, target, budget, md5(concat('0:', t.doc_id)) AS h,
+                   sum(size) OVER (ORDER BY rk, md5(concat('0:', t.doc_id)), t.doc_id ROWS UNBOUNDED PRECEDING) - earlier AS upto
+            FROM t JOIN g ON t.source IS NOT DISTINCT FROM g.source),
+        p AS (SELECT *, CASE WHEN target > 0 AND size > 0 THEN CAST(upto + n * ss AS DOUBLE) / target ELSE CAST('inf' AS DOUBLE) END AS finish FROM q, range(2) AS r(n)),
+        v AS (SELECT *, sum(size) OVER (ORDER BY finish, rk, h, doc_id ROWS UNBOUNDED PRECEDING) AS served FROM p)
+        SELECT doc_id, size, ss AS source_size, target, source, CAST(count(*) FILTER (finish < 'inf' AND served <= floor(budget)) AS BIGINT) AS copies,
+               CAST(size * count(*) FILTER (finish < 'inf' AND served <= floor(budget)) AS BIGINT) AS taken
+        FROM v GROUP BY doc_id, source, size, ss, target
+    """,
 }
 
 
