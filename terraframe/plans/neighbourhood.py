@@ -122,7 +122,10 @@ def a8(spark, sf):
 CENTRES = f"""b AS (SELECT cloud, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1 FROM {PO} GROUP BY cloud),
  n AS (SELECT cloud, row_number() OVER (PARTITION BY cloud ORDER BY i, j) AS node, x0 + i * 10 AS x, y0 + j * 10 AS y FROM b, range(10) AS a(i), range(10) AS c(j) WHERE i <= floor((x1 - x0) / 10) AND j <= floor((y1 - y0) / 10)),
  s AS (SELECT DISTINCT cloud, pid, x, y FROM (SELECT b.cloud, b.pid, b.x, b.y, row_number() OVER (PARTITION BY a.cloud, a.node ORDER BY {D2}, b.pid) AS k FROM n AS a JOIN (SELECT * FROM {PO}) AS b ON a.cloud = b.cloud) AS t WHERE k = 1),
- d AS (SELECT a.cloud, a.pid AS center_id, count(*) AS n FROM s AS a JOIN (SELECT * FROM {PO}) AS b ON a.cloud = b.cloud AND {D2} <= 16 GROUP BY ALL HAVING count(*) >= 20)"""
+ d0 AS (SELECT a.cloud, a.pid AS center_id, count(*) AS n FROM s AS a JOIN (SELECT * FROM {PO}) AS b ON a.cloud = b.cloud AND {D2} <= 16 GROUP BY ALL HAVING count(*) >= 20),
+ m AS (SELECT cloud, (min(x) + max(x)) / 2 AS cx, (min(y) + max(y)) / 2 AS cy, count(*) AS total FROM {PO} WHERE cloud NOT IN (SELECT cloud FROM d0) GROUP BY cloud),
+ o AS (SELECT * FROM (SELECT p.cloud, p.pid, p.x, p.y, total, row_number() OVER (PARTITION BY p.cloud ORDER BY (p.x - cx) * (p.x - cx) + (p.y - cy) * (p.y - cy), p.pid) AS k FROM (SELECT * FROM {PO}) AS p JOIN m ON m.cloud = p.cloud) AS t WHERE k = 1),
+ d AS (SELECT * FROM d0 UNION ALL SELECT a.cloud, a.pid, CASE WHEN any_value(total) <= 20 THEN any_value(total) ELSE count(*) END FROM o AS a JOIN (SELECT * FROM {PO}) AS b ON a.cloud = b.cloud AND {D2} <= 16 GROUP BY a.cloud, a.pid)"""
 
 
 @query("a15_candidate_centres", f"WITH {CENTRES} SELECT cloud, center_id, CAST(n AS INTEGER) AS n FROM d")
