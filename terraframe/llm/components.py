@@ -1,4 +1,4 @@
-"""Connected components by alternating large-star and small-star joins."""
+"""Connected components: links become a forest, and the forest's paths are halved to its roots."""
 
 from __future__ import annotations
 
@@ -8,31 +8,29 @@ from pyspark.sql import functions as F
 from terraframe.llm._common import written
 
 
-def _mark(edges: DataFrame) -> tuple:
-    r = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-    return tuple(r)
-
-
 def components(edges: DataFrame) -> DataFrame:
     """node, comp (the smallest node reachable) for every node of edges (u, v).
 
-    Each step points all neighbours of a node at the smallest of them; nodes and links stay in tables, the
-    driver sees a count and a checksum. Self-links and repeats are dropped; nulls must not occur.
+    Links point from the larger node to the smaller. While a node has several smaller neighbours, it keeps
+    the smallest and hands the others on to it, which leaves connections as they are; once every node has one, the
+    links are a forest, and each node takes its parent's parent until all point at roots. A round groups by
+    the larger end, so the many links of a hub meet nowhere. Nodes and links stay in tables; the driver sees
+    whether a round changed anything. Self-links and repeats are dropped; nulls must not occur.
     """
-    now = written(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
-    mark = _mark(now)
-    while mark[0]:
-        both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        large = written(large, "large-star")
-        small_least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(small_least, "u")
-        small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small_least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
-        now = written(small, "small-star")
-        new = _mark(now)
-        if new == mark:
+    links = edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    while True:
+        up = written(links.groupBy("u").agg(F.array_sort(F.collect_set("v")).alias("up")), "links")
+        if up.filter(F.size("up") > 1).isEmpty():
+            break
+        first = F.get("up", F.lit(0))
+        own = F.struct(F.col("u"), first.alias("v"))
+        handed = F.transform(F.slice("up", 2, 2**30), lambda p: F.struct(p.alias("u"), first.alias("v")))
+        links = up.select(F.explode(F.concat(F.array(own), handed)).alias("l")).select("l.u", "l.v")
+    tree = up.select(F.col("u").alias("node"), F.get("up", F.lit(0)).alias("comp"))
+    while True:
+        over = tree.select(F.col("node").alias("comp"), F.col("comp").alias("_next"))
+        moved = written(tree.join(over, "comp", "left").select("node", F.coalesce("_next", "comp").alias("comp"), F.col("_next").isNotNull().alias("moved")), "forest")
+        tree = moved.select("node", "comp")
+        if moved.filter("moved").isEmpty():
             break
-        mark = new
-    roots = now.select(F.col("v").alias("node")).distinct().join(now.select(F.col("u").alias("node")), "node", "left_anti")
-    return now.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(roots.select("node", F.col("node").alias("comp")))
+    return tree.unionByName(tree.select(F.col("comp").alias("node"), "comp").distinct())

@@ -106,10 +106,10 @@ def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) ->
 
 
 def may_link(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, percent: int = 75) -> np.ndarray:
-    """Pairs that may reach the similarity: sizes allow it, and the estimate is within five deviations of it."""
+    """Pairs that may reach the similarity: sizes allow it, and the estimate is within four deviations of it."""
     small, large = np.minimum(n_a, n_b), np.maximum(n_a, n_b)
     aim = percent / 100
-    slack = 5 * np.sqrt(aim * (1 - aim) / np.minimum(small, REGISTERS))
+    slack = 4 * np.sqrt(aim * (1 - aim) / np.minimum(small, REGISTERS))
     return (100 * small >= percent * large) & (estimate(a, b, n_a, n_b) >= aim - slack)
 
 

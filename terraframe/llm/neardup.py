@@ -1,12 +1,13 @@
 """Near-duplicate groups by HyperMinHash banding, estimates and exact confirmation.
 
 Documents with equal shingle sets are one class from the start, so copies never make pairs. Classes that
-share a band meet in a bucket. A bucket is first a star: each member is compared with its smallest one.
-Members that are then still in different components are compared all with all inside the bucket by their
-registers only, in blocks of bounded size, and each names its likeliest partners for confirmation; if it had
-more than it could name, the bucket comes up again with eight times as many, until none is left out. So work follows the
-links that are new, not the squares of groups, and no partner is dropped. Every link is confirmed on full
-shingle sets made from the texts.
+share a band meet in a bucket; buckets of the same members count once. A bucket is first a star: each member is
+compared with its smallest one. Members that are then still in different components are compared inside the bucket by
+their registers only, in blocks of bounded size, and of the pairs that may be links the likeliest go to confirmation: as
+many as would join the components `rounds` times over. If a pair was left out and its components are still
+apart, the bucket comes up again with 32 times as many, until none is left out. So work follows the links that
+are new, not the squares of groups, and no pair is dropped. Every link is confirmed on full shingle sets
+made from the texts.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from terraframe.llm import hyperminhash as hmh
 from terraframe.llm._common import without, written
 from terraframe.llm.components import components
 
-BLOCK, FIRST_PARTNERS = 1024, 8
+BLOCK, FIRST_ROUNDS, GROWTH = 1024, 1, 32
 SIGNATURE_SCHEMA = "doc_id long, n_shingles long, class long, regs binary, bands array<long>"
 
 
@@ -95,38 +96,66 @@ def _confirmed(likely: DataFrame, docs: DataFrame) -> DataFrame:
     return two.select("u", "v", "text_u", "text_v").mapInArrow(run, "u long, v long")
 
 
-def _inside(members: DataFrame, partners: int) -> DataFrame:
-    """Pairs of members of one bucket in different components that may be linked: u, v and cut.
+def _spanning(i: np.ndarray, j: np.ndarray, comp: np.ndarray, rounds: int) -> tuple[list[int], bool]:
+    """Of pairs in order of preference those that join components in one of `rounds` forests; and whether any is left out."""
+    forests: list[dict[int, int]] = [{} for _ in range(rounds)]
+    taken, cut = [], False
 
-    members: band, u, comp, n_shingles, regs, size of the bucket. Buckets are dealt in blocks, each pair of
-    blocks a group of at most two blocks' rows; a member names its `partners` likeliest, and cut tells that
-    it had more.
+    def root(parent: dict[int, int], x: int) -> int:
+        while (up := parent.get(x, x)) != x:
+            parent[x] = x = parent.get(up, up)
+        return x
+
+    for k, (a, b) in enumerate(zip(comp[i].tolist(), comp[j].tolist())):
+        for parent in forests:
+            ra, rb = root(parent, a), root(parent, b)
+            if ra != rb:
+                parent[ra] = rb
+                taken.append(k)
+                break
+        else:
+            cut = True
+    return taken, cut
+
+
+def _inside(members: DataFrame, rounds: int) -> DataFrame:
+    """Pairs of members of one bucket in different components that may be linked: band, u, doc, vs, docs and cut.
+
+    members: band, u, doc, comp, n_shingles, regs, size of the bucket. Buckets are dealt in blocks, each pair of
+    blocks a group of at most two blocks' rows. vs and docs list the smaller ends of u's pairs and their documents; cut tells
+    that a group of u's has more such pairs.
     """
     blocks = F.ceil(F.col("size") / BLOCK)
     own = F.pmod(F.xxhash64("u"), blocks)
     dealt = members.withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    grouped = dealt.select("band", F.least("_own", "_other").alias("b1"), F.greatest("_own", "_other").alias("b2"), "u", "comp", "n_shingles", "regs", "_own")
+    grouped = dealt.select("band", F.least("_own", "_other").alias("b1"), F.greatest("_own", "_other").alias("b2"), "u", "doc", "comp", "n_shingles", "regs", "_own")
     ordered = grouped.repartition("band", "b1", "b2").sortWithinPartitions("band", "b1", "b2", "u")
+    names = ["band", "u", "doc", "vs", "docs", "cut"]
 
-    def of_group(g: pd.DataFrame) -> list[tuple[int, int, bool]]:
-        u, comp, n = g["u"].to_numpy(), g["comp"].to_numpy(), g["n_shingles"].to_numpy().astype(float)
-        own, b1, b2 = g["_own"].to_numpy(), g["b1"].iloc[0], g["b2"].iloc[0]
+    def of_group(g: pd.DataFrame) -> list[tuple]:
+        u, doc, comp, n = g["u"].to_numpy(), g["doc"].to_numpy(), g["comp"].to_numpy(), g["n_shingles"].to_numpy().astype(float)
+        own, one = g["_own"].to_numpy(), g["b1"].iloc[0] == g["b2"].iloc[0]
         if len(u) < 2 or (comp == comp[0]).all():
             return []
         regs = np.frombuffer(b"".join(g["regs"]), np.uint16).reshape(-1, hmh.REGISTERS)
-        out = []
+        left, right, near = [], [], []
         for i in range(len(u) - 1):
-            rest = np.flatnonzero((comp[i + 1 :] != comp[i]) & ((own[i + 1 :] != own[i]) | (b1 == b2))) + i + 1
-            if len(rest):
-                rest = rest[np.minimum(n[rest], n[i]) * 100 >= 75 * np.maximum(n[rest], n[i])]
+            rest = np.flatnonzero((comp[i + 1 :] != comp[i]) & (100 * np.minimum(n[i + 1 :], n[i]) >= 75 * np.maximum(n[i + 1 :], n[i])) & (one | (own[i + 1 :] != own[i]))) + i + 1
             if len(rest):
                 rest = rest[hmh.may_link(regs[rest], regs[i], n[rest], np.full(len(rest), n[i]))]
-            if len(rest) > partners:
-                near = np.argsort(-(regs[rest] == regs[i]).mean(axis=1), kind="stable")[:partners]
-                out += [(u[i], u[j], True) for j in rest[near]]
-            else:
-                out += [(u[i], u[j], False) for j in rest]
-        return out
+                left.append(np.full(len(rest), i))
+                right.append(rest)
+                near.append((regs[rest] == regs[i]).mean(axis=1))
+        if not left:
+            return []
+        i, j, e = np.concatenate(left), np.concatenate(right), np.concatenate(near)
+        order = np.argsort(-e, kind="stable")
+        i, j = i[order], j[order]
+        taken, cut = _spanning(i, j, comp, rounds)
+        ends: dict[int, list[int]] = {}
+        for k in taken:  # rows are sorted by u, so the second of a pair is the larger
+            ends.setdefault(j[k], []).append(i[k])
+        return [(g["band"].iloc[0], u[k], doc[k], u[few], doc[few], cut) for k, few in ends.items()]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: pd.DataFrame | None = None
@@ -138,12 +167,18 @@ def _inside(members: DataFrame, partners: int) -> DataFrame:
             starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(axis=1)])
             rows = [x for a, b in zip(starts, starts[1:]) for x in of_group(frame.iloc[a:b])]
             held = frame.iloc[starts[-1] :]
-            yield pd.DataFrame(rows, columns=["u", "v", "cut"])
+            yield pd.DataFrame(rows, columns=names)
         if held is not None:
-            yield pd.DataFrame(of_group(held), columns=["u", "v", "cut"])
+            yield pd.DataFrame(of_group(held), columns=names)
+
+    return ordered.mapInPandas(run, "band long, u long, doc long, vs array<long>, docs array<long>, cut boolean")
+
 
-    pairs = ordered.mapInPandas(run, "u long, v long, cut boolean")
-    return pairs.groupBy(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).agg(F.max("cut").alias("cut"))
+def _once(lists: DataFrame) -> DataFrame:
+    """The pairs (u, v, doc_u, doc_v) that the buckets name, each once."""
+    zipped = lists.select("u", "doc", F.arrays_zip("vs", "docs").alias("others"))
+    by_end = zipped.groupBy("u").agg(F.first("doc").alias("doc_u"), F.array_distinct(F.flatten(F.collect_list("others"))).alias("others"))
+    return by_end.select("u", "doc_u", F.explode("others").alias("o")).select("u", F.col("o.vs").alias("v"), "doc_u", F.col("o.docs").alias("doc_v"))
 
 
 def groups(docs: DataFrame) -> DataFrame:
@@ -161,29 +196,31 @@ def groups(docs: DataFrame) -> DataFrame:
     classes = written(firsts.groupBy("class").agg(F.first("doc").alias("doc"), F.first("n_shingles").alias("n_shingles"), F.first("regs").alias("regs"), F.first("bands").alias("bands")), "classes")
 
     bands = classes.select(F.col("class").alias("u"), F.explode("bands").alias("band"))
-    buckets = written(bands.groupBy("band").agg(F.count("*").alias("size"), F.min("u").alias("center")).filter("size > 1"), "buckets")
+    met_by = bands.groupBy("band").agg(F.count("*").alias("size"), F.min("u").alias("center"), F.sum(F.xxhash64("u").cast("decimal(20,0)")).alias("sum")).filter("size > 1")
+    buckets = written(met_by.groupBy("size", "center", "sum").agg(F.min("band").alias("band")).drop("sum"), "buckets")
     met = written(bands.join(buckets, "band"), "bucket-members")
     star = met.filter("u <> center").select("u", F.col("center").alias("v")).distinct()
     known = classes.select("class", "doc", "n_shingles", "regs")
-    edges = written(_confirmed(_likely(star, known), docs), "confirmed")
-    labels = written(components(edges), "labels")
-    tested, partners = star, FIRST_PARTNERS
+    links = written(_confirmed(_likely(star, known), docs), "confirmed")
+    labels = components(links)
+    tested, rounds = star, FIRST_ROUNDS
     while True:
         member = met.filter("size > 2").join(labels, met["u"] == labels["node"], "left").withColumn("comp", F.coalesce("comp", "u")).select("band", "u", "comp", "size")
+        member = written(member, "members")
         split = member.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("band")
-        opened = written(member.join(split, "band", "left_semi"), "open-buckets")
-        found = written(_inside(opened.join(known.select(F.col("class").alias("u"), "n_shingles", "regs"), "u"), partners), "inside")
-        fresh = written(found.select("u", "v").join(tested.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), ["u", "v"], "left_anti"), "fresh")
+        opened = member.join(split, "band", "left_semi").join(known.select(F.col("class").alias("u"), "doc", "n_shingles", "regs"), "u")
+        found = written(_inside(opened, rounds), "inside")
+        fresh = written(_once(found).join(tested.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), ["u", "v"], "left_anti"), "fresh")
         if not fresh.isEmpty():
-            more = written(_confirmed(_likely(fresh, known), docs), "confirmed")
-            tested = written(tested.unionByName(fresh), "tested")
+            more = written(_confirmed(fresh, docs), "confirmed")
+            tested = tested.select("u", "v").unionByName(fresh.select("u", "v"))
             if not more.isEmpty():
-                edges = edges.unionByName(more)
-                links = labels.filter("node <> comp").select(F.col("node").alias("u"), F.col("comp").alias("v"))
-                labels = written(components(links.unionByName(more)), "labels")
-        if found.filter("cut").isEmpty():
+                labels = components(labels.filter("node <> comp").select(F.col("node").alias("u"), F.col("comp").alias("v")).unionByName(more))
+        again = written(found.filter("cut").select("band").distinct(), "cut-buckets")
+        if again.isEmpty():
             break
-        partners *= 8
+        # a bucket that left no pair out is done; the others come up again
+        met, rounds = met.join(again, "band", "left_semi"), rounds * GROWTH
 
     named = classes.select("class", "doc").join(labels, F.col("class") == F.col("node"), "left").select("class", "doc", F.coalesce("comp", "class").alias("comp"))
     lowest = named.groupBy("comp").agg(F.min("doc").alias("component_id"))

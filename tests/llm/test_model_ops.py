@@ -163,7 +163,7 @@ def test_near_duplicates_match_brute_force(spark):
 
 def test_near_duplicates_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(neardup, "BLOCK", 4)
-    monkeypatch.setattr(neardup, "FIRST_PARTNERS", 1)
+    monkeypatch.setattr(neardup, "GROWTH", 2)
     rng = random.Random(2)
     rows, base = [], [f"w{i}" for i in range(100)]
     for k in range(60):
