@@ -3,8 +3,9 @@
 A page is read once into text blocks, each under its root-to-leaf path of tags and classes. Per path the text
 length, the punctuation and the number of nodes are added up; text per node and punctuation per node are
 smoothed along the page and fused by their product, and paths well below the typical content path go. Paths
-through elements that are never main text (menus, footers, forms, ...) are out from the start, and where a page marks its
-article, paths outside it are. Headings belong to the content that follows them.
+through elements that are never main text (menus, footers, forms, ...) are out from the start. A marked article narrows the page to
+its paths only where they score like the rest of the page; inside it the ratios decide as everywhere. Headings belong
+to the content that follows them.
 """
 
 from __future__ import annotations
@@ -42,6 +43,8 @@ NOISE = frozenset(
 PUNCTUATION = re.compile(r"[.,;:!?…。，、！？；：()\"'«»„“”‘’-]")
 #: A path stays if its fused ratio is at least this share of the typical one.
 SHARE, SMOOTH = 0.02, (0.25, 0.5, 0.25)
+#: A marked article stands for the page if its typical fused ratio is at least this share of that of the rest.
+ARTICLE_SHARE = 0.25
 
 
 def noisy(tag: str, attributes: str, inside: bool) -> bool:
@@ -59,6 +62,13 @@ def noisy(tag: str, attributes: str, inside: bool) -> bool:
     return False
 
 
+def landmark(tag: str, attributes: str) -> bool:
+    """Whether an element marks the article of its page; one whose class, id or role names noise, as a comment's, does not."""
+    if not (tag in ("article", "main") or 'role="main"' in attributes or "articlebody" in attributes.lower()):
+        return False
+    return not any(name.lower() in ("class", "id", "role") and not NOISE.isdisjoint(re.split(r"[^a-z0-9]+", value.lower())) for name, value in ATTRIBUTE.findall(attributes))
+
+
 def blocks(html: str) -> list[tuple[tuple[str, ...], str, int, bool]]:
     """(path, text, characters in links, inside the marked article) of every text block, noise left out."""
     out: list[tuple[tuple[str, ...], str, int, bool]] = []
@@ -135,7 +145,7 @@ def blocks(html: str) -> list[tuple[tuple[str, ...], str, int, bool]]:
         if tag not in INLINE:
             close()
         outer_noise, inside = (stack[-1][2], stack[-1][3]) if stack else (False, False)
-        is_noise = outer_noise or noisy(tag, attributes, inside)
+        is_noise = outer_noise or noisy(tag, attributes, inside or any(s[0] in ("article", "main") for s in stack))
         if tag in RAW:
             # what a raw element holds is no markup; an unclosed one takes the rest
             stop = re.compile(rf"</{tag}\s*>", re.IGNORECASE).search(html, at)
@@ -143,40 +153,45 @@ def blocks(html: str) -> list[tuple[tuple[str, ...], str, int, bool]]:
             continue
         names = re.search(r"""\bclass\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", attributes, re.IGNORECASE) if attributes else None
         step = tag + ("." + names[1].strip("\"'").lower() if names else "")
-        stack.append((tag, step, is_noise, inside or tag in ("article", "main") or 'role="main"' in attributes or "articlebody" in attributes.lower()))
+        stack.append((tag, step, is_noise, inside or landmark(tag, attributes)))
     close()
     return out
 
 
-def main_text(html: str | None) -> str:
-    """The main text of a page: its content blocks in page order, one a line; empty if it has none."""
-    found = blocks(html or "")
-    if any(b[3] for b in found):
-        found = [b for b in found if b[3]]
-    if not found:
-        return ""
-    size, punct, count, linked = defaultdict(int), defaultdict(int), defaultdict(int), defaultdict(int)
-    for path, text, links, _ in found:
+def fused_ratios(found: list[tuple[tuple[str, ...], str, int, bool]]) -> tuple[np.ndarray, float]:
+    """The smoothed and fused ratio of every block's path, and its mean over the text of the blocks."""
+    size, punct, count = defaultdict(int), defaultdict(int), defaultdict(int)
+    for path, text, _, _ in found:
         size[path] += len(text)
         punct[path] += len(PUNCTUATION.findall(text))
         count[path] += 1
-        linked[path] += min(links, len(text))
     ratio = np.array([size[b[0]] / count[b[0]] for b in found])
     marks = np.array([(1 + punct[b[0]]) / count[b[0]] for b in found])
     smooth = lambda x: np.convolve(np.r_[x[:1], x, x[-1:]], SMOOTH, "valid")
     fused = smooth(ratio) * smooth(marks)
     weight = np.array([len(b[1]) for b in found], float)
-    typical = (fused * weight).sum() / weight.sum()
-    score = defaultdict(list)
-    for b, f in zip(found, fused):
-        score[b[0]].append(f)
+    return fused, float((fused * weight).sum() / weight.sum())
+
+
+def main_text(html: str | None) -> str:
+    """The main text of a page: its content blocks in page order, one a line; empty if it has none."""
+    found = blocks(html or "")
+    inner, outer = [b for b in found if b[3]], [b for b in found if not b[3]]
+    if inner and (not outer or fused_ratios(inner)[1] >= ARTICLE_SHARE * fused_ratios(outer)[1]):
+        found = inner
+    if not found:
+        return ""
+    size, linked, score = defaultdict(int), defaultdict(int), defaultdict(list)
+    fused, typical = fused_ratios(found)
+    for (path, text, links, _), f in zip(found, fused):
+        size[path] += len(text)
+        linked[path] += min(links, len(text))
+        score[path].append(f)
     content = {p for p, s in score.items() if np.mean(s) >= SHARE * typical and linked[p] <= 0.5 * size[p]}
     keep = [b[0] in content for b in found]
     for i in range(len(found) - 2, -1, -1):  # a heading stays with what follows it
         if found[i][0] and found[i][0][-1].split(".")[0] in HEADINGS and linked[found[i][0]] <= 0.5 * size[found[i][0]]:
             keep[i] = keep[i] or keep[i + 1]
-    if any(b[3] for b in found):  # inside a marked article only lists of links go
-        keep = [k or linked[b[0]] <= 0.5 * size[b[0]] for k, b in zip(keep, found)]
     return "\n".join(b[1] for b, k in zip(found, keep) if k)
 
 

@@ -112,6 +112,21 @@ def test_page_without_article():
     assert html_paths.main_text(page).split("\n") == ["Head & line", "First para, with a link. It is long enough, I hope; yes.", "One item, fine.", "Two items. ok", "Second para with break. Well, well."]
 
 
+def test_page_whose_article_is_not_its_text():
+    body = [f"Paragraph {i}, which tells the story at length; it goes on, and on, until the reader, tired, has enough of it. So it ends." for i in range(6)]
+    text = "".join(f"<p>{p}</p>" for p in body)
+    # the only article is a teaser, or a comment: the ratios bring the body outside it back
+    teaser = f'<html><body><article><b>More</b></article><div class="story">{text}</div></body></html>'
+    assert html_paths.main_text(teaser).split("\n")[-6:] == body
+    comment = f'<html><body><div class="story">{text}</div><article class="comment"><p>{body[0]}</p></article></body></html>'
+    assert html_paths.main_text(comment).split("\n")[:6] == body
+    # inside an article that stands, paths of low ratio go, here a run of labels without links
+    labels = "".join(f'<span><div class="label">t{i}</div></span>' for i in range(12))
+    assert html_paths.main_text(f"<html><body><article><header><h1>Head</h1></header>{text}{labels}</article></body></html>").split("\n") == ["Head", *body]
+    # an article that names noise besides its text keeps its headline
+    assert html_paths.main_text(f'<html><body><article class="post has-sidebar"><header><h1>Head</h1></header>{text}</article></body></html>').split("\n") == ["Head", *body]
+
+
 def sets_of(rows):
     out = []
     for doc_id, text in rows:
