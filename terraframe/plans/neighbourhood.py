@@ -33,6 +33,12 @@ def n2(spark, sf):
     return s.radius_join(rows.filter("pid % 7 = 0"), rows, 1.5).select("q_pid", "cloud", "pid", F.round("d2", 9).alias("d2"))
 
 
+@query("n2_radius_join_all", f"SELECT a.pid AS q_pid, a.cloud, b.pid, round({D2}, 9) AS d2 FROM (SELECT * FROM {PO}) AS a JOIN (SELECT * FROM {PO}) AS b ON a.cloud = b.cloud AND {D2} <= 1.5 * 1.5")
+def n2_all(spark, sf):
+    rows = points_o(spark, sf)
+    return s.radius_join(rows, rows, 1.5).select("q_pid", "cloud", "pid", F.round("d2", 9).alias("d2"))
+
+
 @query("n2_radius_or_nearest", f"""WITH k AS ({knn_sql(1000000, D2, 'pid % 50 = 0')}), c AS (SELECT *, count(*) FILTER (d2 <= 1) OVER (PARTITION BY cloud, q_pid) AS inside FROM k)
  SELECT q_pid, cloud, pid FROM c WHERE CASE WHEN inside >= 3 THEN d2 <= 1 ELSE rank <= 3 END""")
 def n2b(spark, sf):
@@ -40,6 +46,13 @@ def n2b(spark, sf):
     return s.radius_or_nearest(rows.filter("pid % 50 = 0"), rows, 1.0, 3).select("q_pid", "cloud", "pid")
 
 
+@query("n2_radius_or_nearest_all", f"""WITH k AS ({knn_sql(3, D2)}), disc AS (SELECT a.cloud, a.pid AS q_pid, b.pid FROM (SELECT * FROM {PO}) AS a JOIN (SELECT * FROM {PO}) AS b ON a.cloud = b.cloud AND {D2} <= 1), c AS (SELECT cloud, q_pid, count(*) AS inside FROM disc GROUP BY cloud, q_pid)
+ SELECT q_pid, cloud, disc.pid FROM disc JOIN c USING (cloud, q_pid) WHERE inside >= 3 UNION ALL SELECT q_pid, cloud, k.pid FROM k JOIN c USING (cloud, q_pid) WHERE inside < 3""")
+def n2b_all(spark, sf):
+    rows = points_o(spark, sf)
+    return s.radius_or_nearest(rows, rows, 1.0, 3).select("q_pid", "cloud", "pid")
+
+
 VOX = f"(SELECT cloud, vx, vy, vz, count(*) AS n_points FROM {vox(PO, 2)} GROUP BY ALL) AS voxels"
 WEIGHTS = [((i * 7) % 5 - 2) / 4 for i in range(27)]
 
@@ -51,11 +64,12 @@ def n3(spark, sf):
 
 
 NEAR = f"near AS ({knn_sql(16, q='pid % 5 = 0')})"
+NEAR_ALL = f"near AS ({knn_sql(16)})"
 
 
-def near16(spark, sf):
+def near16(spark, sf, asking="pid % 5 = 0"):
     rows = points_o(spark, sf)
-    return rows, s.knn_join(rows.filter("pid % 5 = 0"), rows, 16)
+    return rows, s.knn_join(rows.filter(asking), rows, 16)
 
 
 @query("n4_mean_elevation", f"WITH {NEAR}, m AS (SELECT cloud, min(z) AS z0, greatest(max(z) - min(z), 1e-6) AS dz FROM {PO} GROUP BY cloud) SELECT cloud, q_pid, round(sum(z * (z - z0) / dz) / greatest(sum((z - z0) / dz), 1e-6), 6) AS mean_elev FROM near JOIN m USING (cloud) GROUP BY cloud, q_pid")
@@ -64,17 +78,31 @@ def n4(spark, sf):
     return s.mean_elevation(rows, near).select("cloud", "q_pid", *r(["mean_elev"]))
 
 
-@query("n5_curvature", f"""WITH {NEAR}, c AS (SELECT cloud, q_pid, covar_pop(x, x) AS xx, covar_pop(y, y) AS yy, covar_pop(z, z) AS zz, covar_pop(x, y) AS xy, covar_pop(x, z) AS xz, covar_pop(y, z) AS yz, count(*) AS n_near FROM near GROUP BY cloud, q_pid),
+@query("n4_mean_elevation_all", f"WITH {NEAR_ALL}, m AS (SELECT cloud, min(z) AS z0, greatest(max(z) - min(z), 1e-6) AS dz FROM {PO} GROUP BY cloud) SELECT cloud, q_pid, round(sum(z * (z - z0) / dz) / greatest(sum((z - z0) / dz), 1e-6), 6) AS mean_elev FROM near JOIN m USING (cloud) GROUP BY cloud, q_pid")
+def n4_all(spark, sf):
+    rows, near = near16(spark, sf, "TRUE")
+    return s.mean_elevation(rows, near).select("cloud", "q_pid", *r(["mean_elev"]))
+
+
+CURVATURE = f"""c AS (SELECT cloud, q_pid, covar_pop(x, x) AS xx, covar_pop(y, y) AS yy, covar_pop(z, z) AS zz, covar_pop(x, y) AS xy, covar_pop(x, z) AS xz, covar_pop(y, z) AS yz, count(*) AS n_near FROM near GROUP BY cloud, q_pid),
  q AS (SELECT *, (xx + yy + zz) / 3 AS q FROM c), p AS (SELECT *, sqrt((pow(xx - q, 2) + pow(yy - q, 2) + pow(zz - q, 2) + 2 * (xy * xy + xz * xz + yz * yz)) / 6) AS p FROM q),
  d AS (SELECT *, ((xx - q) * ((yy - q) * (zz - q) - yz * yz) - xy * (xy * (zz - q) - yz * xz) + xz * (xy * yz - (yy - q) * xz)) / (2 * p * p * p) AS r FROM p)
- SELECT cloud, q_pid, round(greatest(q + 2 * p * cos(acos(least(greatest(r, -1), 1)) / 3 + 2 * 3.141592653589793 / 3), 0) / (xx + yy + zz), 6) AS curvature, n_near FROM d""")
+ SELECT cloud, q_pid, round(greatest(q + 2 * p * cos(acos(least(greatest(r, -1), 1)) / 3 + 2 * 3.141592653589793 / 3), 0) / (xx + yy + zz), 6) AS curvature, n_near FROM d"""
+
+
+@query("n5_curvature", f"WITH {NEAR}, {CURVATURE}")
 def n5(spark, sf):
     return s.curvature(near16(spark, sf)[1]).select("cloud", "q_pid", *r(["curvature"]), "n_near")
 
 
+@query("n5_curvature_all", f"WITH {NEAR_ALL}, {CURVATURE}")
+def n5_all(spark, sf):
+    return s.curvature(near16(spark, sf, "TRUE")[1]).select("cloud", "q_pid", *r(["curvature"]), "n_near")
+
+
 @query("n5_normals")
 def n5b(spark, sf):
-    return s.normals(near16(spark, sf)[1])
+    return s.normals(near16(spark, sf, "TRUE")[1])
 
 
 @query("n6_shallow_geom", f"WITH near AS ({knn_sql(8)}), m AS (SELECT cloud, min(z) AS z0, greatest(max(z) - min(z), 1e-6) AS dz FROM {PO} GROUP BY cloud) SELECT q_pid AS pid, round(sum(z * (z - z0) / dz) / greatest(sum((z - z0) / dz), 1e-6), 6) AS mean_elev FROM near JOIN m USING (cloud) GROUP BY cloud, q_pid")
