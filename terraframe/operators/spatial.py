@@ -247,13 +247,13 @@ def cliff_tiles(df: DataFrame, n: int, min_ground: int = 64, candidates: int = 9
     return rest.groupBy(*by).agg(F.percentile("_r", F.lit(0.95)).alias("p95")).orderBy(F.desc("p95"), *by).limit(n)
 
 
-def nominal_spacing(df: DataFrame, max_pts: int = 120_000, floor: float = 0.1, by=BY) -> DataFrame:
-    """spacing per cloud: the median horizontal distance over 1 mm to the nearest other point, of the points nearest the centroid.
+def nominal_spacing(df: DataFrame, max_pts: int | None = 120_000, floor: float = 0.1, by=BY) -> DataFrame:
+    """spacing per cloud: the median horizontal distance over 1 mm to the nearest other point, of the max_pts points nearest the centroid, or of all (None).
 
     Without any such distance, the root of the 1-99 % extent over the count. At least floor.
     """
     mid = df.groupBy(*by).agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"), F.count("*").alias("_n"), F.percentile("x", F.array(F.lit(0.01), F.lit(0.99))).alias("_px"), F.percentile("y", F.array(F.lit(0.01), F.lit(0.99))).alias("_py"))
-    core = nearest_crop(df, max_pts, mid.select(*by, "cx", "cy"), by)
+    core = df if max_pts is None else nearest_crop(df, max_pts, mid.select(*by, "cx", "cy"), by)
     near = knn_join(core, core, 1, 2, by=by, exclude_self=True).withColumn("_d", F.sqrt("d2")).filter("_d > 0.001")
     med = near.groupBy(*by).agg(F.percentile("_d", F.lit(0.5)).alias("_med"))
     wide = lambda c: F.get(c, F.lit(1)) - F.get(c, F.lit(0))

@@ -147,6 +147,11 @@ def a8(spark, sf):
     return s.nominal_spacing(points_o(spark, sf), 400).select("cloud", *r(["spacing"]))
 
 
+@query("a8_nominal_spacing_all", f"WITH d AS (SELECT a.cloud, a.pid, min(sqrt({D2})) AS d FROM (SELECT * FROM {PO}) AS a JOIN (SELECT * FROM {PO}) AS b ON a.cloud = b.cloud AND a.pid <> b.pid GROUP BY a.cloud, a.pid) SELECT cloud, round(greatest(quantile_cont(d, 0.5) FILTER (d > 0.001), 0.1), 6) AS spacing FROM d GROUP BY cloud")
+def a8_all(spark, sf):
+    return s.nominal_spacing(points_o(spark, sf), None).select("cloud", *r(["spacing"]))
+
+
 CENTRES = f"""b AS (SELECT cloud, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1 FROM {PO} GROUP BY cloud),
  n AS (SELECT cloud, row_number() OVER (PARTITION BY cloud ORDER BY i, j) AS node, x0 + i * 10 AS x, y0 + j * 10 AS y FROM b, range(10) AS a(i), range(10) AS c(j) WHERE i <= floor((x1 - x0) / 10) AND j <= floor((y1 - y0) / 10)),
  s AS (SELECT DISTINCT cloud, pid, x, y FROM (SELECT b.cloud, b.pid, b.x, b.y, row_number() OVER (PARTITION BY a.cloud, a.node ORDER BY {D2}, b.pid) AS k FROM n AS a JOIN (SELECT * FROM {PO}) AS b ON a.cloud = b.cloud) AS t WHERE k = 1),

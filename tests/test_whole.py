@@ -22,3 +22,20 @@ def test_normals_by_brute_force(spark, sf):
             near = np.lexsort((pid, ((xyz - xyz[i]) ** 2).sum(1)))[:16]
             values = np.linalg.eigvalsh(np.cov(xyz[near].T))
             assert abs(got.at[pid[i], "curvature"] - max(values[0], 0) / values.sum()) < 1e-6
+
+
+def test_statistics_take_all_rows(spark):
+    rows = points_o(spark, "/root/testdata/sf0.01")
+    assert QUERIES["a9_norm_stats_all"](spark, "/root/testdata/sf0.01").first()["n_points"] == rows.count() > 7000
+
+
+def test_spacing_takes_all_points(spark):
+    from terraframe.operators.spatial import nominal_spacing
+
+    # 401 points 1 m apart about the centroid, 600 pairs 0.2 m apart further out: most distances are 0.2
+    near = [("c", i, float(i - 200), 0.0) for i in range(401)]
+    far = [("c", 1000 + 2 * i + j, (i - 300) * 3.0 + 0.2 * j, y) for y in (-900.0, 900.0) for i in range(300) for j in (0, 1)]
+    far = [(c, p + (2000 if y > 0 else 0), x, y) for c, p, x, y in far]
+    df = spark.createDataFrame(near + far, "cloud string, pid long, x double, y double")
+    assert abs(nominal_spacing(df, 400).first()["spacing"] - 1.0) < 1e-6
+    assert abs(nominal_spacing(df, None).first()["spacing"] - 0.2) < 1e-6
