@@ -196,24 +196,23 @@ def nearest_crop(df: DataFrame, n: int, centre: DataFrame | None = None, by=BY)
 def farthest_point(df: DataFrame, n: int, by=BY) -> DataFrame:
     """pick order (from 0) of up to n points a cloud: the smallest pid first, then each time the one farthest from those taken.
 
-    For centres, of which a cloud has few; the greedy order needs them together.
+    A round a pick: every point left keeps its distance to the nearest pick in a written table, and one aggregate a cloud
+    finds the next, so no task holds a cloud. Ties go to the smaller pid.
     """
-    import numpy as np
-    import pandas as pd
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("pid", ignore_index=True)
-        xyz = g[["x", "y", "z"]].to_numpy()
-        d, order, at = np.full(len(g), np.inf), [], 0
-        for _ in range(min(n, len(g))):
-            order.append(at)
-            d = np.minimum(d, ((xyz - xyz[at]) ** 2).sum(1))
-            d[at] = -1
-            at = int(d.argmax())
-        return g.iloc[order].assign(pick=np.arange(len(order)))[[*by, "pid", "pick"]]
-
-    keys = ", ".join(f"{b} string" for b in by)
-    return df.select(*by, "pid", "x", "y", "z").groupBy(*by).applyInPandas(run, f"{keys}, pid long, pick long")
+    point = F.struct("pid", "x", "y", "z")
+    left = written(df.select(*by, "pid", "x", "y", "z").withColumn("_d", F.lit(float("inf")).cast("double")), "farthest")
+    picks = None
+    for k in range(n):
+        top = left.groupBy(*by).agg(F.max_by(point, F.struct("_d", -F.col("pid"))).alias("_p"))
+        top = written(top.select(*by, F.col("_p.pid").alias("_pid"), *[F.col(f"_p.{a}").alias(f"_{a}") for a in "xyz"]), "farthest-pick")
+        if top.isEmpty():
+            break
+        row = top.select(*by, F.col("_pid").alias("pid"), F.lit(k).cast("long").alias("pick"))
+        picks = row if picks is None else picks.unionByName(row)
+        if k + 1 < n:
+            near = sum((F.col(a) - F.col(f"_{a}")) * (F.col(a) - F.col(f"_{a}")) for a in "xyz")
+            left = written(left.join(top, list(by)).filter("pid <> _pid").select(*by, "pid", "x", "y", "z", F.least("_d", near).alias("_d")), "farthest")
+    return picks if picks is not None else left.select(*by, "pid", F.lit(0).cast("long").alias("pick")).limit(0)
 
 
 def diverse_gallery(df: DataFrame, n: int, by=BY) -> DataFrame:

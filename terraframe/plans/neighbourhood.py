@@ -122,14 +122,21 @@ def n8(spark, sf):
     return s.nearest_crop(points_o(spark, sf), 500).select("pid", "cloud")
 
 
+def centres(spark, sf):
+    """The points at the candidate centres of all clouds."""
+    rows = points_o(spark, sf)
+    at = s.candidate_centres(rows, 4.0, 10.0, 20).select("cloud", F.col("center_id").alias("pid"))
+    return rows.join(at, ["cloud", "pid"], "left_semi")
+
+
 @query("n9_farthest_point")
 def n9(spark, sf):
-    return s.farthest_point(points_o(spark, sf).filter("pid % 20 = 0"), 64)
+    return s.farthest_point(centres(spark, sf), 64)
 
 
 @query("n9_diverse_gallery")
 def n9b(spark, sf):
-    return s.diverse_gallery(points_o(spark, sf).filter("pid % 20 = 0"), 40)
+    return s.diverse_gallery(centres(spark, sf), 40)
 
 
 @query("n10_cliff_tiles", f"""WITH g AS (SELECT cloud, x, y, z + CAST(pid % 13 AS DOUBLE) / 7 AS z FROM {SC} WHERE label = 1), f AS (SELECT cloud, regr_slope(z, x) AS s, covar_pop(x, x) AS xx, covar_pop(y, y) AS yy, covar_pop(x, y) AS xy, covar_pop(x, z) AS xz, covar_pop(y, z) AS yz, avg(x) AS mx, avg(y) AS my, avg(z) AS mz FROM g GROUP BY cloud HAVING count(*) >= 64),
@@ -190,3 +197,10 @@ def a21(spark, sf):
     rows = points_o(spark, sf)
     cells = rows.filter("cls = 2").groupBy("cloud", F.floor(F.col("y") / 2).alias("row"), F.floor(F.col("x") / 2).alias("col")).agg(F.avg("z").alias("value"))
     return v.coverage_filter(rows.filter("pid % 9 = 0"), cells, 0.0, 0.0, 2.0, 0.5).select("pid", "cloud")
+
+
+@query("a21_coverage_filter_centres", f"WITH {CENTRES}, c AS (SELECT p.cloud, p.pid, p.x, p.y FROM (SELECT * FROM {PO}) AS p JOIN d ON d.cloud = p.cloud AND d.center_id = p.pid), k AS (SELECT DISTINCT cloud, CAST(floor(y / 2) AS BIGINT) AS row, CAST(floor(x / 2) AS BIGINT) AS col FROM {PO} WHERE cls = 2), g AS (SELECT c.cloud FROM c LEFT JOIN k ON k.cloud = c.cloud AND k.row = floor(c.y / 2) AND k.col = floor(c.x / 2) GROUP BY c.cloud HAVING avg(CASE WHEN k.row IS NULL THEN 0 ELSE 1 END) >= 0.5) SELECT pid, cloud FROM c WHERE cloud IN (SELECT cloud FROM g)")
+def a21_centres(spark, sf):
+    rows = points_o(spark, sf)
+    cells = rows.filter("cls = 2").groupBy("cloud", F.floor(F.col("y") / 2).alias("row"), F.floor(F.col("x") / 2).alias("col")).agg(F.avg("z").alias("value"))
+    return v.coverage_filter(centres(spark, sf), cells, 0.0, 0.0, 2.0, 0.5).select("pid", "cloud")

@@ -39,3 +39,30 @@ def test_spacing_takes_all_points(spark):
     df = spark.createDataFrame(near + far, "cloud string, pid long, x double, y double")
     assert abs(nominal_spacing(df, 400).first()["spacing"] - 1.0) < 1e-6
     assert abs(nominal_spacing(df, None).first()["spacing"] - 0.2) < 1e-6
+
+
+def test_farthest_points_of_the_centres_by_brute_force(spark, sf):
+    import numpy as np
+
+    from terraframe.operators.spatial import candidate_centres, farthest_point
+
+    rows = points_o(spark, sf)
+    ids = {(c, p) for c, p in candidate_centres(rows, 4.0, 10.0, 20).select("cloud", "center_id").collect()}
+    pts = [r for r in rows.select("cloud", "pid", "x", "y", "z").collect() if (r["cloud"], r["pid"]) in ids]
+    got = {(r["cloud"], r["pick"]): r["pid"] for r in QUERIES["n9_farthest_point"](spark, sf).collect()}
+    want = {}
+    for cloud in {p["cloud"] for p in pts}:
+        g = sorted((p for p in pts if p["cloud"] == cloud), key=lambda p: p["pid"])
+        xyz, d, at = np.array([p[2:] for p in g]), np.full(len(g), np.inf), 0
+        for k in range(min(64, len(g))):
+            want[cloud, k] = g[at]["pid"]
+            d = np.minimum(d, ((xyz - xyz[at]) ** 2).sum(1))
+            d[at] = -1
+            at = int(d.argmax())
+    assert got == want
+    # no group of a whole cloud in one task
+    df = spark.createDataFrame([("c", i, float(i), 0.0, 0.0) for i in range(9)], "cloud string, pid long, x double, y double, z double")
+    made = farthest_point(df, 3)
+    assert "InPandas" not in made._jdf.queryExecution().toString()
+    assert [r["pid"] for r in made.orderBy("pick").collect()] == [0, 8, 4]
+    assert farthest_point(df.limit(0), 3).count() == 0
