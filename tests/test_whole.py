@@ -66,3 +66,33 @@ def test_farthest_points_of_the_centres_by_brute_force(spark, sf):
     assert "InPandas" not in made._jdf.queryExecution().toString()
     assert [r["pid"] for r in made.orderBy("pick").collect()] == [0, 8, 4]
     assert farthest_point(df.limit(0), 3).count() == 0
+
+
+def test_tuner_runs_the_core(spark):
+    import numpy as np
+
+    from terraframe.operators import correct
+    from terraframe.plans.correction import TUNED
+
+    assert all(p.use_core for p in TUNED)
+    assert all(len({getattr(p, g) for p in TUNED}) > 1 for g in ("theta0", "alpha", "beta"))
+    rng = np.random.default_rng(5)
+    x, y = (a.ravel() for a in np.meshgrid(np.linspace(0, 20, 18), np.linspace(0, 20, 18)))
+    z, label = 0.3 * x + 0.3 * np.sin(y) + 0.05 * rng.normal(size=324), np.ones(324, int)
+    label[::29] = 0
+    z = z + np.where(label == 0, 4.0, 0.0)
+    df = spark.createDataFrame([("c", i, *map(float, p), int(k), 1) for i, (p, k) in enumerate(zip(np.c_[x, y, z], label))], "cloud string, pid long, x double, y double, z double, label int, pred int")
+    grid = [correct.Params(k=8), correct.Params(k=8, theta0=2.0, alpha=0.8)]
+    want = []
+    for p in grid:
+        kept = {r["pid"] for r in correct.correct_ground(df, p, block=12.0).filter("refined = 1").collect()}
+        cells = {}
+        for i in range(324):
+            cell = cells.setdefault((int(x[i] - x.min()) // 2, int(y[i] - y.min()) // 2), ([], []))
+            cell[0].extend([z[i]] if label[i] == 1 else [])
+            cell[1].extend([z[i]] if i in kept else [])
+        want.append(np.sqrt(np.mean([(np.mean(b) - np.mean(a)) ** 2 for a, b in cells.values() if a and b])))
+    assert want[0] != want[1]
+    got = correct.tune_corrector(df, grid, res=2.0, block=12.0).first()
+    assert got["candidate"] == int(np.argmin(want))
+    assert abs(got["error"] - min(want)) < 1e-6 and abs(got["default_error"] - want[0]) < 1e-6
