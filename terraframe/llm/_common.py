@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 #: Words are maximal runs of anything but space, tab, line feed, vertical tab, form feed, return.
 WORD_GAP = r"[\x20\x09-\x0D]+"
+BITMAP_ROWS = 256
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -38,6 +39,25 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _bit(key: tuple[str, ...]) -> tuple[Column, Column]:
+    spread = F.xxhash64(*key)
+    return F.pmod(spread, F.lit(BITMAP_ROWS)).cast("int"), F.pmod(F.shiftright(spread, 8), F.lit(32768)).cast("int")
+
+
+def bitmap(rows: DataFrame, *key: str) -> DataFrame:
+    """The keys of rows as a bitmap of fixed size (BITMAP_ROWS x 32,768 bits, 1 MB), written: small enough to broadcast at any size."""
+    row, bit = _bit(key)
+    return written(rows.groupBy(row.alias("_row")).agg(F.bitmap_construct_agg(bit.cast("long")).alias("_bits")), "bitmap")
+
+
+def marked(rows: DataFrame, bits: DataFrame, *key: str) -> DataFrame:
+    """rows with _marked: true for every key of the bitmap, and for a few others whose bit is set by chance."""
+    row, bit = _bit(key)
+    byte = F.conv(F.hex(F.substring(F.col("_bits"), F.shiftright(bit, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    tested = rows.withColumn("_row", row).join(F.broadcast(bits), "_row", "left")
+    return tested.withColumn("_marked", F.coalesce(F.getbit(byte, bit.bitwiseAND(7)), F.lit(0)) == 1).drop("_row", "_bits")
+
+
 def without(df: DataFrame, *names: str) -> DataFrame:
     """df less columns of these names: what an operator makes replaces input columns of the same name."""
     low = {n.lower() for n in names}

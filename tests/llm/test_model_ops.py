@@ -6,6 +6,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -178,7 +179,7 @@ def test_near_duplicates_match_brute_force(spark):
 
 def test_near_duplicates_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(neardup, "BLOCK", 4)
-    monkeypatch.setattr(neardup, "GROWTH", 2)
+    monkeypatch.setattr(neardup, "BLOCK_SHINGLES", 300)
     rng = random.Random(2)
     rows, base = [], [f"w{i}" for i in range(100)]
     for k in range(60):
@@ -205,11 +206,43 @@ def test_registers():
         for _ in range(20):
             pick = rng.permutation(pool)
             a, b = np.sort(pick[:n]), np.sort(np.r_[pick[:common], pick[n : 2 * n - common]])
-            errors.append(hmh.estimate(hmh.registers(a), hmh.registers(b), n, n) - common / (2 * n - common))
+            regs = hmh.registers(np.r_[a, b], np.array([0, n, 2 * n]))
+            errors.append(hmh.estimate((regs[0] == regs[1]).mean(), n, n) - common / (2 * n - common))
         assert abs(np.mean(errors)) < 0.08
     x = np.sort(rng.integers(0, 2**63, 50).astype(np.uint64))
-    assert (hmh.registers(x) == hmh.registers(x)).all()
-    assert len(set(hmh.band_keys(hmh.registers(x)))) == hmh.BANDS
+    regs = hmh.registers(np.r_[x, x[:1]], np.array([0, 50, 50, 51]))
+    assert (regs[1] == 0).all()
+    assert len(set(regs[2])) == 1
+    keys = hmh.band_keys(regs)
+    assert len(set(keys[0])) == hmh.BANDS
+    assert (keys[0] & hmh.BAND_BITS == np.arange(hmh.BANDS)).all()
+
+
+@pytest.mark.parametrize("piece", [7, 64, 1 << 19])
+def test_shingle_sets_match_words(monkeypatch, piece):
+    monkeypatch.setattr(hmh, "PIECE", piece)
+    monkeypatch.setattr(hmh, "_powers", [np.ones(1, np.uint64)] * 2)
+    rng = random.Random(1)
+    texts = [None, "", " ", "a B a b A b", "x" * 3000, *("".join(rng.choices(["a", "B", "b", " ", "\n", "é", "日", "\x0b", "\x1c", "."], k=rng.randint(0, 60))) for _ in range(1500))]
+    sets, bounds = hmh.shingle_sets(pa.array(["zz", *texts])[1:])
+    keys = {}
+    for i, (_, words) in enumerate(sets_of(enumerate(texts))):
+        got = sets[bounds[i] : bounds[i + 1]]
+        assert len(got) == len(words)
+        assert (got[1:] > got[:-1]).all()
+        keys.setdefault(frozenset(words), set()).add(hmh.class_key(got))
+    assert all(len(k) == 1 for k in keys.values())
+    assert len({min(k) for k in keys.values()}) == len(keys)
+
+
+def test_spanning_tree_takes_likeliest_pairs():
+    rng = np.random.default_rng(3)
+    regs = rng.integers(0, 60000, (3, hmh.REGISTERS)).astype(np.uint16).repeat(4, axis=0)  # three groups of four
+    for k in range(12):
+        regs[k, rng.integers(0, hmh.REGISTERS, 10)] = k
+    pairs = neardup.spanning_tree(regs, np.full(12, 300.0))
+    assert len(pairs) == 9
+    assert all(a // 4 == b // 4 for a, b in pairs)
 
 
 def test_components(spark):
