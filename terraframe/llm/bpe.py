@@ -3,8 +3,9 @@
 No merge can join two neighbouring bytes that stand side by side inside no token of the vocabulary, so
 such a pair is a certain cut: the pieces on either side encode independently, and their ids joined are
 the ids of the whole. White space is in no token either (the normaliser drops it), so a text falls
-at white space first, then into words by the tokenizer's own normaliser and word pattern, and words fall into fragments at the certain cuts, and fragments go through BPE one by one. The
-words of a corpus repeat, so each worker keeps a bounded memo of them.
+at white space first, then into words by the tokenizer's own normaliser and word pattern, words fall into fragments
+at the certain cuts, and fragments go through BPE one by one. The words of a corpus repeat: each worker numbers
+them in a bounded memo, new ones are encoded many at a time, and the ids of all words of a slice are gathered in one step.
 """
 
 from __future__ import annotations
@@ -12,14 +13,14 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain, islice
+from itertools import chain, islice, repeat
 from operator import add
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,8 +32,11 @@ SPACE = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u20
 #: Anything but printable Latin letters, signs and plain white space, all of which are their own canonical
 #: composition and lower-case one by one within the same range.
 NOT_PLAIN = re.compile("[^\\t-\\r\\x20-\\x7e\\xa0-\\u012f\\u0131-\\u0239]")
-#: A memo that reaches MEMO_WORDS starts afresh; longer words than MEMO_CHARS are not kept in it.
-MEMO_WORDS, MEMO_CHARS, SLICE_ROWS = 500_000, 64, 200
+#: A memo that reaches MEMO_WORDS or MEMO_IDS starts afresh with the words of the last slice, but for those over MEMO_CHARS.
+#: A slice ends at SLICE_BYTES of text; a longer text is a slice of its own.
+MEMO_WORDS, MEMO_IDS, MEMO_CHARS, SLICE_ROWS, SLICE_BYTES = 450_000, 1 << 22, 64, 500, 1 << 20
+#: The byte-level alphabet ends before; pairs of its characters stand in a table.
+ALPHABET = 512
 
 
 class FragmentEncoder:
@@ -54,8 +58,16 @@ class FragmentEncoder:
         self.added = added
         self.added_re = re.compile("(" + "|".join(re.escape(t) for t in sorted(added, key=len, reverse=True)) + ")") if added else None
         plain = (t[: len(t) - len(suffix)] if suffix and t.endswith(suffix) else t for t in vocab if t not in added)
+        self.closing = None
+        if suffix:
+            self.closing = np.zeros(1 + max(vocab.values()), bool)
+            self.closing[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
         self.inside = {t[i : i + 2] for t in plain for i in range(len(t) - 1)}
-        self.memo: dict[str, bytes] = {}
+        self.pairs = np.zeros((ALPHABET, ALPHABET), bool)
+        for a, b in ((ord(p[0]), ord(p[1])) for p in self.inside):
+            if a < ALPHABET and b < ALPHABET:
+                self.pairs[a, b] = True
+        self._start({})
         self.words_re = self._words_re(spec)
         self.byte_chars = {c: self._shown(chr(c)) for c in range(0xA0, 0x250)}
         self.last, self.inner = self._by_spaces(last), self._by_spaces(inner)
@@ -101,62 +113,93 @@ class FragmentEncoder:
         return [word[a:b] for a, b in zip([0, *cuts], [*cuts, len(word)])]
 
     def words(self, text: str) -> list[str]:
-        """The words of a text without special tokens, in the byte-level alphabet."""
-        if self.words_re is None:
-            return [w for w, _ in self.pre_tokenizer.pre_tokenize_str(self.normalizer.normalize_str(text))]
-        if not NOT_PLAIN.search(text):
-            found = self.words_re.findall(text.lower())
-            return found if text.isascii() else [w if w.isascii() else w.translate(self.byte_chars) for w in found]
+        """The words of a text without special tokens: those of plain text as they are, others in the byte-level alphabet behind a zero unless ASCII."""
+        if self.words_re is not None and not NOT_PLAIN.search(text):
+            return self.words_re.findall(text.lower())
         out: list[str] = []
-        for chunk in SPACE.split(text):
-            if NOT_PLAIN.search(chunk):
-                out += [w for w, _ in self.pre_tokenizer.pre_tokenize_str(self.normalizer.normalize_str(chunk))]
+        for chunk in [text] if self.words_re is None else SPACE.split(text):
+            if self.words_re is None or NOT_PLAIN.search(chunk):
+                out += [w if w.isascii() else "\0" + w for w, _ in self.pre_tokenizer.pre_tokenize_str(self.normalizer.normalize_str(chunk))]
             elif chunk:
-                out += self.words(chunk)
+                out += self.words_re.findall(chunk.lower())
         return out
 
-    def learn(self, words: set[str]) -> dict[str, bytes]:
-        """The ids of some words, packed: all their inner fragments in one call, all their last ones in another."""
-        parts = [(w, self.fragments(w)) for w in words]
-        heads = self._ids(self.inner, [f for _, fs in parts for f in fs[:-1]])
-        tails = self._ids(self.last, [fs[-1] for _, fs in parts])
-        return {w: array("i", [*chain.from_iterable(islice(heads, len(fs) - 1)), *next(tails)]).tobytes() for w, fs in parts}
-
-    @staticmethod
-    def _ids(line, fragments: list[str]) -> Iterator[list[int]]:
-        found = line.encode(" ".join(fragments), add_special_tokens=False)
-        ids, words = found.ids, found.word_ids
-        at = 0
-        for i in range(len(fragments)):
-            start = at
-            while at < len(ids) and words[at] == i:
-                at += 1
-            yield ids[start:at]
-
-    def encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
-        """The ids of each whole text; none for an empty or null one."""
+    def shown(self, word: str) -> str:
+        """A word in the byte-level alphabet."""
+        if word.isascii():
+            return word
+        return word[1:] if word[0] == "\0" else word.translate(self.byte_chars)
+
+    def learn(self, words: list[str]) -> list[np.ndarray]:
+        """The ids of some words: the words without certain cuts in one call, the fragments of the others in two."""
+        words = list(map(self.shown, words))
+        codes = np.frombuffer("\n".join(words).encode("utf-32-le"), np.uint32)
+        mark, known = codes == 10, codes < ALPHABET
+        low = np.where(known, codes, 0)
+        uncut = self.pairs[low[:-1], low[1:]] & known[:-1] & known[1:]
+        starts = np.r_[0, np.flatnonzero(mark) + 1]
+        doubtful = np.logical_or.reduceat(np.r_[~uncut & ~mark[:-1] & ~mark[1:], False], starts).tolist()
+        whole = [w for w, d in zip(words, doubtful) if not d]
+        parts = [self.fragments(w) for w, d in zip(words, doubtful) if d]
+        one, heads, tails = iter(self._ids(self.last, whole)), iter(self._ids(self.inner, [f for fs in parts for f in fs[:-1]])), iter(self._ids(self.last, [fs[-1] for fs in parts]))
+        size = iter([len(fs) - 1 for fs in parts])
+        return [np.concatenate([*islice(heads, next(size)), next(tails)]) if d else next(one) for d in doubtful]
+
+    def _ids(self, line, fragments: list[str]) -> list[np.ndarray]:
+        if not fragments:
+            return []
+        ends = None
+        if line is self.last and self.closing is not None:  # tokens that end a word tell where it ends, so nothing else need be tracked
+            ids = np.array(line.encode_batch_fast([" ".join(fragments)], add_special_tokens=False)[0].ids, np.int64)
+            ends = np.flatnonzero(self.closing[ids]) + 1
+        if ends is None or len(ends) != len(fragments):
+            found = line.encode(" ".join(fragments), add_special_tokens=False)
+            ids, ends = np.array(found.ids), np.cumsum(np.bincount(np.array(found.word_ids, np.int64), minlength=len(fragments)))
+        ids, ends = ids.astype(np.int32), ends.tolist()
+        return [ids[a:b] for a, b in zip([0, *ends], ends)]
+
+    def _start(self, kept: dict[str, np.ndarray]) -> None:
+        """A memo that knows the ids of kept: number of each word, and place and length of its ids in the table."""
+        self.memo, self.names = {}, []
+        self.table, self.at, self.size = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
+        self._add(list(kept), list(kept.values()))
+
+    def _add(self, words: list[str], ids: list[np.ndarray]) -> None:
+        self.memo.update(zip(words, range(len(self.names), len(self.names) + len(words))))
+        self.names += words
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        self.at = np.r_[self.at, len(self.table) + np.cumsum(size) - size]
+        self.size = np.r_[self.size, size]
+        self.table = np.concatenate([self.table, *ids])
+
+    def encode_column(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the whole texts of a column, end to end, and the bounds of each text's; none for a null text."""
         rows = []
-        for text in texts:
+        for text in column.to_pylist():
             if self.added_re is not None and text and any(t in text for t in self.added):
                 rows.append(list(chain.from_iterable([p] if p in self.added else self.words(p) for p in self.added_re.split(text))))
             else:
                 rows.append(self.words(text) if text else [])
-        known = set(chain.from_iterable(rows))
-        if len(self.memo) > MEMO_WORDS:
-            self.memo = {}
-        new = known.difference(self.memo, self.added)
-        memo = self.memo
-        if new:
-            learnt = self.learn(new)
-            memo.update((w, ids) for w, ids in learnt.items() if len(w) <= MEMO_CHARS)
-            if any(len(w) > MEMO_CHARS for w in new):
-                memo = {w: memo.get(w) or learnt.get(w) for w in known}
-        if not known.isdisjoint(self.added):
-            memo = {w: array("i", [self.added[w]]).tobytes() if w in self.added else memo[w] for w in known}
-        return [np.frombuffer(b"".join(map(memo.__getitem__, row)), np.int32) for row in rows]
+        flat = list(chain.from_iterable(rows))
+        number = np.fromiter(map(self.memo.get, flat, repeat(-1)), np.int64, len(flat))
+        missing = np.flatnonzero(number < 0).tolist()
+        if missing:
+            new = list(dict.fromkeys(map(flat.__getitem__, missing)))
+            plain = [w for w in new if w not in self.added]
+            if plain:
+                self._add(plain, self.learn(plain))
+            special = [w for w in new if w in self.added]
+            self._add(special, [np.array([self.added[w]], np.int32) for w in special])
+            number[missing] = [self.memo[flat[i]] for i in missing]
+        size = self.size[number]
+        stop = np.cumsum(size)
+        ids = self.table[np.repeat(self.at[number] - stop + size, size) + np.arange(stop[-1] if len(stop) else 0)]
+        if len(self.names) > MEMO_WORDS or len(self.table) > MEMO_IDS:
+            self._start({self.names[i]: self.table[self.at[i] : self.at[i] + self.size[i]] for i in np.unique(number).tolist() if len(self.names[i]) <= MEMO_CHARS})
+        return ids, np.r_[0, stop][np.r_[0, np.cumsum(np.fromiter(map(len, rows), np.int64, len(rows)))]]
 
     def encode(self, text: str | None) -> np.ndarray:
-        return self.encode_all([text])[0]
+        return self.encode_column(pa.array([text], pa.string()))[0]
 
 
 class Decoder:
@@ -171,14 +214,18 @@ class Decoder:
 
             self.whole = Tokenizer.from_file(path)
         named = {**spec["model"]["vocab"], **{t["content"]: t["id"] for t in spec.get("added_tokens", [])}}
-        self.tokens = [""] * (1 + max(named.values()))
+        tokens = [""] * (1 + max(named.values()))
         for t, i in named.items():
-            self.tokens[i] = t
+            tokens[i] = t
+        self.tokens = pa.array(tokens, pa.string())
 
-    def decode(self, ids: np.ndarray) -> str:
+    def decode_lists(self, lists: pa.ListArray) -> pa.Array:
+        """The text of each list of ids; an empty one for null."""
+        flat, ends = lists.flatten(), np.r_[0, np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy())]
         if self.whole is None:
-            return " ".join(map(self.tokens.__getitem__, ids.tolist()))
-        return self.whole.decode(ids.tolist(), skip_special_tokens=False)
+            return pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), self.tokens.take(flat)), " ")
+        ids = flat.to_pylist()
+        return pa.array([self.whole.decode(ids[a:b], skip_special_tokens=False) for a, b in zip(ends, ends[1:])], pa.string())
 
 
 @lru_cache(maxsize=2)
@@ -192,10 +239,29 @@ def decoder(path: str) -> Decoder:
     return Decoder(path)
 
 
-def id_lists(arrays: list[np.ndarray]) -> pa.ListArray:
-    offsets = np.zeros(len(arrays) + 1, np.int32)
-    np.cumsum([len(a) for a in arrays], out=offsets[1:])
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(arrays) if arrays else np.empty(0, np.int32), pa.int32()))
+def slices(column: pa.Array, size: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """Cuts a column of strings or lists in runs of few rows and bytes or items."""
+    lo, held = 0, 0
+    length = pc.list_value_length if pa.types.is_list(column.type) else pc.binary_length
+    for i, n in enumerate(pc.fill_null(length(column), 0).to_pylist()):
+        if i > lo and (i - lo >= SLICE_ROWS or held + n > size):
+            yield lo, i
+            lo, held = i, 0
+        held += n
+    if len(column):
+        yield lo, len(column)
+
+
+def ended(ids: np.ndarray, bounds: np.ndarray, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """ids and bounds with end_id after each text's ids, if given."""
+    if end_id is None:
+        return ids, bounds
+    after = bounds + np.arange(len(bounds))
+    out = np.full(after[-1], end_id, np.int32)
+    inner = np.ones(len(out), bool)
+    inner[after[1:] - 1] = False
+    out[inner] = ids
+    return out, after
 
 
 def encode(docs: DataFrame, tokenizer_path: str, text_col: str = "text", ids_col: str = "ids", end_id: int | None = None) -> DataFrame:
@@ -210,12 +276,12 @@ def encode(docs: DataFrame, tokenizer_path: str, text_col: str = "text", ids_col
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer_path)
-        end = [] if end_id is None else [np.array([end_id], np.int32)]
         for batch in batches:
-            for lo in range(0, batch.num_rows, SLICE_ROWS):
-                part = batch.slice(lo, SLICE_ROWS)
-                ids = [np.concatenate([a, *end]) for a in enc.encode_all(part.column(at).to_pylist())]
-                yield pa.RecordBatch.from_arrays([*part.columns, id_lists(ids)], names=[*part.schema.names, ids_col])
+            for lo, hi in slices(batch.column(at)):
+                part = batch.slice(lo, hi - lo)
+                ids, bounds = ended(*enc.encode_column(part.column(at)), end_id)
+                lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))
+                yield pa.RecordBatch.from_arrays([*part.columns, lists], names=[*part.schema.names, ids_col])
 
     return kept.mapInArrow(run, schema)
 
@@ -229,12 +295,9 @@ def decode(rows: DataFrame, tokenizer_path: str, ids_col: str = "ids", out_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dec = decoder(tokenizer_path)
         for batch in batches:
-            for lo in range(0, batch.num_rows, SLICE_ROWS):
-                part = batch.slice(lo, SLICE_ROWS)
-                lists = part.column(at)
-                flat, offs = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
-                texts = [dec.decode(flat[offs[i] : offs[i + 1]]) for i in range(len(lists))]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*part.schema.names, out_col])
+            for lo, hi in slices(batch.column(at)):
+                part = batch.slice(lo, hi - lo)
+                yield pa.RecordBatch.from_arrays([*part.columns, dec.decode_lists(part.column(at))], names=[*part.schema.names, out_col])
 
     return kept.mapInArrow(run, schema)
 

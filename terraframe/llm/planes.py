@@ -21,9 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from terraframe.llm.bpe import encoder, id_lists
+from terraframe.llm.bpe import encoder, ended, slices
 
-CHUNK_IDS, SLICE_ROWS = 1 << 16, 64
+CHUNK_IDS = 1 << 16
 CHUNK_SCHEMA = "shard int, chunk int, first long, n_ids int, kind string, sizes array<int>, payload binary, docs array<struct<seq:long,doc_id:long,start:long,n:long>>"
 PIECE_SCHEMA = "shard int, seq long, doc_id long, start long, n long, chunk int, ids array<int>"
 
@@ -93,13 +93,13 @@ def write_texts(docs: DataFrame, path: str, tokenizer_path: str, end_id: int | N
         from pyspark import TaskContext
 
         enc = encoder(tokenizer_path)
-        end = [] if end_id is None else [np.array([end_id], np.int32)]
         shard = _Shard(TaskContext.get().partitionId(), kind, chunk_ids)
         for batch in batches:
-            for lo in range(0, batch.num_rows, SLICE_ROWS):
-                part = batch.slice(lo, SLICE_ROWS)
-                for doc_id, ids in zip(part.column(0).to_pylist(), enc.encode_all(part.column(1).to_pylist())):
-                    for row in shard.add(doc_id, np.concatenate([ids, *end])):
+            for lo, hi in slices(batch.column(1)):
+                part = batch.slice(lo, hi - lo)
+                ids, bounds = ended(*enc.encode_column(part.column(1)), end_id)
+                for doc_id, a, b in zip(part.column(0).to_pylist(), bounds, bounds[1:]):
+                    for row in shard.add(doc_id, ids[a:b]):
                         yield pa.RecordBatch.from_pylist([row], schema=arrow_schema)
         if shard.docs or shard.ids:
             yield pa.RecordBatch.from_pylist([shard.flush()], schema=arrow_schema)
@@ -115,15 +115,21 @@ def _pieces(chunks: DataFrame, whole: bool) -> DataFrame:
 
         unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            for row in (r for i in range(batch.num_rows) for r in batch.slice(i, 1).to_pylist()):
+            for i in range(batch.num_rows):
+                row = {c: batch.column(c)[i].as_py() for c in ("shard", "chunk", "first", "n_ids", "kind", "sizes")}
+                docs = batch.column("docs")[i].values
+                start, n = docs.field("start").to_numpy(), docs.field("n").to_numpy()
                 lo, hi = row["first"], row["first"] + row["n_ids"]
-                docs = [d for d in row["docs"] if (d["start"] >= lo and d["start"] + d["n"] <= hi) == whole]
-                if not docs:
+                pick = ((start >= lo) & (start + n <= hi)) == whole
+                if not pick.any():
                     continue
+                payload = memoryview(batch.column("payload")[i].as_buffer())
                 ends = np.cumsum([0, *row["sizes"]])
-                ids = from_planes([unpack(row["payload"][a:b]) for a, b in zip(ends, ends[1:])], row["n_ids"], row["kind"]).astype(np.int32)
-                parts = [ids[max(d["start"], lo) - lo : min(d["start"] + d["n"], hi) - lo] for d in docs]
-                cols = [pa.array([row["shard"]] * len(docs), pa.int32()), *(pa.array([d[k] for d in docs], pa.int64()) for k in ("seq", "doc_id", "start", "n")), pa.array([row["chunk"]] * len(docs), pa.int32()), id_lists(parts)]
+                ids = from_planes([unpack(payload[a:b]) for a, b in zip(ends, ends[1:])], row["n_ids"], row["kind"]).astype(np.int32)
+                size = np.minimum(start + n, hi) - np.maximum(start, lo)  # documents follow each other without a gap
+                parts = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size[pick])], pa.int32()), pa.array(ids[np.repeat(pick, size)], pa.int32()))
+                chosen = docs.filter(pa.array(pick))
+                cols = [pa.array(np.full(len(chosen), row["shard"]), pa.int32()), *(chosen.field(k) for k in ("seq", "doc_id", "start", "n")), pa.array(np.full(len(chosen), row["chunk"]), pa.int32()), parts]
                 yield pa.RecordBatch.from_arrays(cols, names=["shard", "seq", "doc_id", "start", "n", "chunk", "ids"])
 
     return chunks.mapInArrow(run, PIECE_SCHEMA)
