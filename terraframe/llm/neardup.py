@@ -288,7 +288,8 @@ def groups(docs: DataFrame) -> DataFrame:
 
     touched = by_class.join(labels.withColumnRenamed("node", "class").hint("merge"), "class").select("class", "comp", "doc")
     lowest = touched.groupBy("comp").agg(F.min("doc").alias("lowest"))
-    final = written(by_class.join(touched.select("class", "comp").hint("merge"), "class", "left").join(lowest.hint("merge"), "comp", "left").select("class", F.coalesce("lowest", "doc").alias("component_id")), "class-components")
+    moved = touched.select("class", "comp").join(lowest.hint("merge"), "comp").select("class", "lowest")
+    final = written(by_class.join(moved.hint("merge"), "class", "left").select("class", F.coalesce("lowest", "doc").alias("component_id")), "class-components")
     whole = made.select("doc_id", "n_shingles", "class")
     linked = whole.filter("class IS NOT NULL").join(final.hint("merge"), "class").select("doc_id", "n_shingles", "component_id")
     alone = whole.filter("class IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
