@@ -1,32 +1,34 @@
 """Nearest neighbours by shifted space-filling curves.
 
 Vectors get one more component that makes all norms equal, so the largest inner product is the nearest
-point. Several random projections to few dimensions, each scaled to a shifted grid, are put in Hilbert order; each order is cut in
-blocks of keys, a group each. A query looks into the blocks around its own place on each curve, the windows
-merge, and the union is reranked by exact inner products in double precision.
+point. Several random projections to few dimensions, each scaled to a shifted grid, are put in Hilbert order. Spark
+range-sorts each order and counts rows, so every vector has its place on each curve, and places are cut in blocks of
+equal size. A query finds its own place the same way and looks into the blocks within a window around it; the windows of all
+curves merge, and the union is reranked by exact inner products in double precision.
 
 How many curves, and how wide the windows, is fitted: for a bounded sample of queries the exact neighbours
-are found by a scan, and the cheapest setting that finds AIM of them is taken. Where the vectors have no
-structure that a curve could follow, that is windows over whole curves, which is then an exact search in blocks.
+are found by a scan, and the cheapest setting that finds AIM of them is taken. Where the vectors have no structure that a
+curve could follow, no window is cheaper than the whole curve, which is then an exact search in blocks; exact=True asks for
+that outright.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terraframe.llm._common import written
+from terraframe.llm._common import prefix_sums, written
 
-K, CURVES, DIMS, BITS = 20, 4, 6, 10
-#: Vectors that fit projections, scales and block bounds; queries that fit the windows; recall they must reach.
-FIT_VECTORS, FIT_QUERIES, AIM = 8_192, 48, 0.97
-#: Rows a block aims at, and the most blocks a curve has, so that bounds stay small at any size.
-BLOCK_ROWS, MAX_BLOCKS, MAX_SCORES = 2_048, 4_096, 1 << 22
+K, CURVES, DIMS, BITS = 20, 8, 6, 10
+#: Vectors that fit projections and scales; queries that fit the windows; recall they must reach.
+FIT_VECTORS, FIT_QUERIES, AIM = 8_192, 64, 0.97
+#: Rows of a block: a sixteenth of all within these bounds. Queries that meet a block in one group at most, about.
+BLOCK_ROWS, QUERY_ROWS, MAX_SCORES = (64, 2_048), 8_192, 1 << 22
 
 
 def hilbert(grid: np.ndarray, bits: int) -> np.ndarray:
@@ -59,16 +61,18 @@ def hilbert(grid: np.ndarray, bits: int) -> np.ndarray:
 
 @dataclass
 class Index:
-    """What tasks need to place a vector: a few small arrays, bounded by FIT_VECTORS and MAX_BLOCKS."""
+    """What tasks need to place a vector: a few small arrays, bounded by CURVES; and the fitted windows, in rows of a curve."""
 
     dim: int
     norm: float
+    n: int
     axes: list[np.ndarray]
     low: list[np.ndarray]
     span: list[np.ndarray]
-    bounds: list[tuple[np.ndarray, np.ndarray]]
     curves: int = 1
     width: int = 0
+    #: (curves, width, share of true neighbours found, scores a query over all rows) of every setting tried
+    tried: list[tuple[int, int, float, float]] = field(default_factory=list)
 
     def keys(self, curve: int, vectors: np.ndarray, query: bool = False) -> np.ndarray:
         square = (vectors**2).sum(1)
@@ -81,20 +85,17 @@ class Index:
         shifted = 0.5 * np.clip(place, 0, 1) + 0.5 * curve / CURVES
         return hilbert(np.minimum((shifted * 2**BITS).astype(np.int64), 2**BITS - 1), BITS)
 
-    def block(self, curve: int, keys: np.ndarray, ids: np.ndarray | None) -> np.ndarray:
-        """The blocks of rows (key, id); of a query the first block its key reaches, so equal vectors are met smallest id first."""
-        bk, bi = self.bounds[curve]
-        low, high = np.searchsorted(bk, keys, "left"), np.searchsorted(bk, keys, "right")
-        if ids is None:
-            return low
-        out = low.copy()
-        for i in np.flatnonzero(high > low):
-            out[i] = low[i] + np.searchsorted(bi[low[i] : high[i]], ids[i], "right")
-        return out
+    @property
+    def block_rows(self) -> int:
+        return int(np.clip(self.n // 16, *BLOCK_ROWS))
 
     @property
     def blocks(self) -> int:
-        return len(self.bounds[0][0]) + 1
+        return max(1, -(-self.n // self.block_rows))
+
+    @property
+    def whole(self) -> bool:
+        return self.width >= self.n
 
 
 def valid(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -134,12 +135,37 @@ HITS = "id long, ids array<long>, scores array<double>"
 
 
 def merged(hits: DataFrame, k: int) -> DataFrame:
-    """id and its k best hits as (minus score, id), nearest first, each id once."""
+    """id and its k best hits as (minus score, id), nearest first, each id once. Lists are cut to k in two steps, so none grows with the blocks."""
     each = F.transform(F.arrays_zip("scores", "ids"), lambda h: F.struct((-h["scores"]).alias("minus"), h["ids"].alias("vec_id")))
-    return hits.select("id", each.alias("hits")).groupBy("id").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("hits")))), 1, k).alias("hits"))
+    best = lambda c: F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))), 1, k).alias("hits")
+    some = hits.select("id", F.pmod(F.hash("ids"), F.lit(64)).alias("_part"), each.alias("hits")).groupBy("id", "_part").agg(best("hits"))
+    return some.groupBy("id").agg(best("hits"))
+
+
+PLACED = "id long, v array<double>, curve int, key long, one long"
+
+
+def placed(rows: DataFrame, asked: DataFrame, index: Index, curves: int) -> DataFrame:
+    """rows (one = 1) and asked (one = 0) on each curve with _place, the number of rows before them there.
+
+    Equal keys go queries first and then by id, so equal vectors are met smallest id first.
+    """
+
+    def place(query: bool):
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                if len(frame):
+                    points = matrix(frame["v"])
+                    for c in range(curves):
+                        yield frame.assign(curve=c, key=index.keys(c, points, query), one=int(not query))
 
+        return run
 
-def fit(rows: DataFrame, is_query, k: int = K, seed: int = 3) -> Index | None:
+    both = rows.mapInPandas(place(False), PLACED).unionByName(asked.mapInPandas(place(True), PLACED))
+    return prefix_sums(both, ["curve", "key", "one", "id"], "one", "_before", "curve-order").withColumn("_place", F.col("_before") - F.col("curve") * F.lit(index.n)).drop("_before")
+
+
+def fit(rows: DataFrame, is_query, k: int = K, seed: int = 3, exact: bool = False) -> Index | None:
     """The index for rows (id, v), fitted on bounded samples by the smallest MD5 of the id; None without rows."""
     by = F.md5(F.col("id").cast("string"))
     sample = rows.orderBy(by, "id").limit(FIT_VECTORS).toPandas()
@@ -148,94 +174,78 @@ def fit(rows: DataFrame, is_query, k: int = K, seed: int = 3) -> Index | None:
     dim = int(sample["v"].map(len).mode().iloc[0])
     same = rows.filter(F.size("v") == dim)
     n, norm = same.agg(F.count("*"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))).first()
-    sample = sample[sample["v"].map(len) == dim]
+    points = matrix(sample.loc[sample["v"].map(len) == dim, "v"])
     rng = np.random.default_rng(seed)
-    points = matrix(sample["v"])
     axes = [np.linalg.qr(rng.normal(size=(dim + 1, min(DIMS, dim + 1))))[0] for _ in range(CURVES)]
     lifted = np.c_[points, np.sqrt(np.maximum(norm**2 - (points**2).sum(1), 0))]
     places = [lifted @ a for a in axes]
-    low = [p.min(0) for p in places]
-    span = [np.maximum(p.max(0) - p.min(0), 1e-12) for p in places]
-    index = Index(dim, float(norm), axes, low, span, [(np.empty(0, np.int64),) * 2] * CURVES)
-    n_blocks = int(min(MAX_BLOCKS, max(1, -(-n // BLOCK_ROWS)), len(points)))
-    ids = sample["id"].to_numpy()
-    for c in range(CURVES):
-        key = index.keys(c, points)
-        order = np.lexsort((ids, key))[(np.arange(1, n_blocks) * len(ids)) // n_blocks]
-        index.bounds[c] = (key[order], ids[order])
-    if n_blocks > 1:
-        _fit_windows(index, same, same.filter(is_query).orderBy(by, "id").limit(FIT_QUERIES).toPandas(), k)
+    index = Index(dim, float(norm), int(n), axes, [p.min(0) for p in places], [np.maximum(p.max(0) - p.min(0), 1e-12) for p in places], width=int(n))
+    if not exact and index.blocks > 1:
+        _fit_windows(index, same, same.filter(is_query).orderBy(by, "id").limit(FIT_QUERIES), k)
     return index
 
 
-def _fit_windows(index: Index, rows: DataFrame, asked: pd.DataFrame, k: int) -> None:
-    """Sets curves and width: the least blocks a query that find AIM of the true neighbours of the asked."""
-    if not len(asked):
+def _fit_windows(index: Index, rows: DataFrame, asked: DataFrame, k: int) -> None:
+    """Sets curves and width: the fewest scores a query that find AIM of the true neighbours of the asked."""
+    asked = written(asked, "fit-queries")
+    few = asked.toPandas()
+    if not len(few):
         return
 
     def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             if len(frame):
-                yield search_block(asked, frame, k)
-
-    truth = merged(rows.mapInPandas(scan, HITS), k).select("id", F.explode("hits.vec_id").alias("near"))
-    pairs = written(truth, "true-neighbours")
-    near = rows.join(F.broadcast(pairs.select(F.col("near").alias("_near")).distinct()), F.col("id") == F.col("_near")).select("id", "v")
-    vectors = near.dropDuplicates(["id"]).toPandas().set_index("id")["v"]
+                yield search_block(few, frame, k)
+
+    pairs = written(merged(rows.mapInPandas(scan, HITS), k).select("id", F.explode("hits.vec_id").alias("near")), "true-neighbours")
+    near = rows.join(F.broadcast(pairs.select(F.col("near").alias("_near")).distinct()), F.col("id") == F.col("_near"), "left_semi")
+    # only the bounded sample's neighbours and the sample itself come to the driver with their places
+    on_curves = placed(rows, asked, index, CURVES).select("id", "curve", "one", "_place")
+    wanted = near.select(F.col("id").alias("_id")).unionByName(asked.select(F.col("id").alias("_id"))).distinct()
+    at = on_curves.join(F.broadcast(wanted), F.col("id") == F.col("_id")).select("id", "curve", "one", "_place").toPandas()
+    where = {(one, c): dict(zip(g["id"], g["_place"])) for (one, c), g in at.groupby(["one", "curve"])}
     got = pairs.toPandas()
-    points = matrix(asked["v"])
-    gaps = []
-    for c in range(CURVES):
-        q_block = dict(zip(asked["id"], index.block(c, index.keys(c, points, query=True), None)))
-        n_block = dict(zip(vectors.index, index.block(c, index.keys(c, matrix(vectors)), vectors.index.to_numpy())))
-        gaps.append(np.array([abs(q_block[a] - n_block[b]) for a, b in zip(got["id"], got["near"])]))
-    best_cost = None
+    gaps = [np.array([abs(where[0, c][a] - where[1, c][b]) for a, b in zip(got["id"], got["near"])]) for c in range(CURVES)]
+    cheapest = float(index.n)
     for curves in range(1, CURVES + 1):
-        nearest = np.min(gaps[:curves], axis=0)
-        width = int(np.sort(nearest)[min(len(nearest) - 1, int(np.ceil(AIM * len(nearest))) - 1)])
-        cost = curves * min(2 * width + 1, index.blocks)
-        if best_cost is None or cost < best_cost:
-            best_cost, index.curves, index.width = cost, curves, width
-    if best_cost >= index.blocks:
-        index.curves, index.width = 1, index.blocks
+        nearest = np.sort(np.min(gaps[:curves], axis=0))
+        width = int(nearest[min(len(nearest) - 1, int(np.ceil(AIM * len(nearest))) - 1)])
+        cost = curves * min(2 * width + index.block_rows, index.n)
+        index.tried.append((curves, width, float((nearest <= width).mean()), cost / index.n))
+        if cost < cheapest:
+            cheapest, index.curves, index.width = cost, curves, width
 
 
-def search(vectors: DataFrame, is_query, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def search(vectors: DataFrame, is_query, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding", exact: bool = False) -> DataFrame:
     """query_id, rank (from 1), vec_id and score of the k nearest rows, by inner product, of every query row.
 
     is_query is a condition on id. Rows that valid() leaves out, and vectors of another length than most of
     the sample, take no part. Rows that repeat an id and vector count once; ties go to the smaller id; fewer
-    than k candidates are all returned; an empty table gives an empty result.
+    than k candidates are all returned; other columns are ignored; an empty table gives an empty result.
     """
     spark = vectors.sparkSession
     rows = valid(vectors, id_col, vector_col)
-    out = "query_id long, rank int, vec_id long, score double"
-    index = fit(rows, is_query, k)
+    index = fit(rows, is_query, k, exact=exact)
     if index is None:
-        return spark.createDataFrame([], out)
-    same = rows.filter(F.size("v") == index.dim)
-
-    def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            if len(frame):
-                points, ids = matrix(frame["v"]), frame["id"].to_numpy()
-                for c in range(index.curves):
-                    yield frame.assign(curve=c, block=index.block(c, index.keys(c, points), ids))
-
-    def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            if len(frame):
-                points = matrix(frame["v"])
-                for c in range(index.curves):
-                    at = index.block(c, index.keys(c, points, query=True), None)
-                    lo, hi = np.maximum(at - index.width, 0), np.minimum(at + index.width, index.blocks - 1)
-                    rep = np.repeat(np.arange(len(at)), hi - lo + 1)
-                    blocks = np.concatenate([np.arange(a, b + 1) for a, b in zip(lo, hi)])
-                    yield frame.iloc[rep].assign(curve=c, block=blocks)
-
-    placed = "id long, v array<double>, curve int, block long"
-    stored = same.mapInPandas(place, placed).groupBy("curve", "block")
-    asked = same.filter(is_query).mapInPandas(ask, placed).groupBy("curve", "block")
-    hits = asked.cogroup(stored).applyInPandas(lambda q, r: search_block(q, r, k), HITS)
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    return search_index(rows.filter(F.size("v") == index.dim), is_query, index, k)
+
+
+def search_index(rows: DataFrame, is_query, index: Index, k: int = K) -> DataFrame:
+    """search() with an index that is there already; rows has id and v, all of the index's length."""
+    on_curves = written(placed(rows, rows.filter(is_query), index, index.curves), "curve-places")
+    block, last = index.block_rows, index.blocks - 1
+    # a block meets its queries in parts of bounded size; a query is in one part of each block of its windows
+    share = min(1.0, (2 * index.width + block) / max(index.n, 1))
+    asking = on_curves.filter("one = 0")
+    parts = max(1, int(-(-(asking.count() // index.curves) * share // QUERY_ROWS)))
+    every = F.sequence(F.lit(0), F.lit(parts - 1))
+    at = lambda place: F.least(F.greatest(F.floor(place / block), F.lit(0).cast("long")), F.lit(last).cast("long"))
+    windows = F.sequence(at(F.col("_place") - index.width), at(F.col("_place") + index.width))
+    asked = asking.select("id", "v", "curve", F.explode(windows).alias("block"), F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part"))
+    fresh = [F.col(c).alias(c) for c in ("id", "v", "curve")]  # new columns: both sides of the cogroup come from one table
+    stored = on_curves.filter("one = 1").select(*fresh, at(F.col("_place")).alias("block"), F.explode(every).alias("part"))
+    key = ["curve", "block", "part"]
+    hits = asked.groupBy(*key).cogroup(stored.groupBy(*key)).applyInPandas(lambda q, r: search_block(q, r, k), HITS)
     ranked = merged(hits, k).select(F.col("id").alias("query_id"), F.posexplode("hits").alias("pos", "hit"))
     return ranked.select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("hit.vec_id").alias("vec_id"), (-F.col("hit.minus")).alias("score"))
