@@ -2,8 +2,8 @@
 
 A page is read once into text blocks, each under its root-to-leaf path of tags and classes. Per path the text
 length, the punctuation and the number of nodes are added up; text per node and punctuation per node are
-smoothed along the page and fused by their product, and paths well below the typical content path go. Paths
-through elements that are never main text (menus, footers, forms, ...) are out from the start. A marked article narrows the page to
+smoothed along the page and fused by their product, and paths well below the typical content path go; how far below, the
+widest gap between the page's own ratios tells. Paths through elements that are never main text (menus, footers, forms, ...) are out from the start. A marked article narrows the page to
 its paths only where they score like the rest of the page; inside it the ratios decide as everywhere. Headings belong
 to the content that follows them.
 """
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from terraframe.llm._common import without
+from terraframe.llm._common import in_small_batches, without
 
 TOKEN = re.compile(r"<!--(?:.*?-->|.*\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/?>|<(/?)([A-Za-z][A-Za-z0-9:-]*)([^>]*)>", re.DOTALL)
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|style|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.IGNORECASE)
@@ -41,8 +41,8 @@ NOISE = frozenset(
     "login signup search complementary contentinfo".split()
 )
 PUNCTUATION = re.compile(r"[.,;:!?…。，、！？；：()\"'«»„“”‘’-]")
-#: A path stays if its fused ratio is at least this share of the typical one.
-SHARE, SMOOTH = 0.02, (0.25, 0.5, 0.25)
+#: A path stays if its fused ratio is at least a share of the typical one; the page's own ratios set that share within these bounds.
+SHARES, SMOOTH = (0.02, 0.25), (0.25, 0.5, 0.25)
 #: A marked article stands for the page if its typical fused ratio is at least this share of that of the rest.
 ARTICLE_SHARE = 0.25
 
@@ -173,6 +173,16 @@ def fused_ratios(found: list[tuple[tuple[str, ...], str, int, bool]]) -> tuple[n
     return fused, float((fused * weight).sum() / weight.sum())
 
 
+def least_share(shares: np.ndarray) -> float:
+    """The share that parts content from the rest: the middle of the widest gap, on a log scale, between the page's own shares up to the first over the bounds."""
+    low, high = np.log(SHARES)
+    at = np.sort(np.log(np.maximum(shares, 1e-12)))
+    over = at[at >= high][:1]
+    edges = np.r_[low, at[(at > low) & (at < high)], over if len(over) else high]
+    widest = int(np.diff(edges).argmax())
+    return float(np.exp(min((edges[widest] + edges[widest + 1]) / 2, high)))
+
+
 def main_text(html: str | None) -> str:
     """The main text of a page: its content blocks in page order, one a line; empty if it has none."""
     found = blocks(html or "")
@@ -187,7 +197,9 @@ def main_text(html: str | None) -> str:
         size[path] += len(text)
         linked[path] += min(links, len(text))
         score[path].append(f)
-    content = {p for p, s in score.items() if np.mean(s) >= SHARE * typical and linked[p] <= 0.5 * size[p]}
+    shares = {p: float(np.mean(s)) / typical for p, s in score.items()}
+    least = least_share(np.array(list(shares.values())))
+    content = {p for p, share in shares.items() if share >= least and linked[p] <= 0.5 * size[p]}
     keep = [b[0] in content for b in found]
     for i in range(len(found) - 2, -1, -1):  # a heading stays with what follows it
         if found[i][0] and found[i][0][-1].split(".")[0] in HEADINGS and linked[found[i][0]] <= 0.5 * size[found[i][0]]:
@@ -210,6 +222,6 @@ def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
             for lo in range(0, batch.num_rows, 200):
                 part = batch.slice(lo, 200)
                 texts = [main_text(h) for h in part.column(at).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*part.schema.names, "text", "n_chars"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=schema.names)
 
-    return kept.mapInArrow(run, schema)
+    return in_small_batches(kept).mapInArrow(run, schema)

@@ -70,12 +70,18 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHA
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs as the mix takes them (each 0, 1, ... times) with docs' columns, range-sorted by virtual finish time."""
-    base = docs.withColumn("_size", word_count(F.col("text")))
-    chosen = written(plan(docs, **options).filter("copies > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_words"), "finish"), "mix")
-    same = base["doc_id"].eqNullSafe(chosen["_id"]) & base["source"].eqNullSafe(chosen["_source"]) & (base["_size"] == chosen["_words"])
-    found = base.join(chosen, same).withColumn("_finish", F.explode("finish"))
-    return found.repartitionByRange("_finish", "_id").sortWithinPartitions("_finish", "_id").select(docs.columns)
+    """The rows of docs as the mix takes them (each 0, 1, ... times) with docs' columns, range-sorted by virtual finish time.
+
+    docs has doc_id, source and text; its other columns pass, whatever their names. Null texts, texts without words and
+    sources without any words take no part; null sources are a source; rows that repeat doc_id, source and size are taken
+    together; ties go by doc_id; an empty table stays empty.
+    """
+    row = F.struct("*").alias("_row")  # the columns travel as one, so no name of theirs can meet one made here
+    base = docs.select(row, F.col("doc_id").alias("_doc"), F.col("source").alias("_from"), word_count(F.col("text")).alias("_size"))
+    chosen = written(plan(docs.select("doc_id", "source", "text"), **options).filter("copies > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_words"), F.col("finish").alias("_times")), "mix")
+    same = F.col("_doc").eqNullSafe(F.col("_id")) & F.col("_from").eqNullSafe(F.col("_source")) & (F.col("_size") == F.col("_words"))
+    found = base.join(chosen, same).withColumn("_finish", F.explode("_times"))
+    return found.repartitionByRange("_finish", "_id").sortWithinPartitions("_finish", "_id").select("_row.*")
 
 
 def per_document(planned: DataFrame) -> DataFrame:
