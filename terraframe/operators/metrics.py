@@ -139,8 +139,9 @@ def best_run(history: DataFrame, metric: str = "miou", epoch: str = "epoch") ->
 
 
 def ema_best(history: DataFrame, metric: str, epoch: str = "epoch", keep: float = 0.9) -> DataFrame:
-    """epoch and value of the smallest exponential moving average of a metric, in one fold over the epochs."""
-    listed = history.agg(F.array_sort(F.collect_list(F.struct(F.col(epoch).cast("long").alias("e"), F.col(metric).cast("double").alias("m")))).alias("h"))
+    """epoch and value of the smallest exponential moving average of a metric, in one fold over the epochs; those without a finite value are passed over."""
+    fine = F.col(metric).isNotNull() & ~F.isnan(metric) & (F.abs(metric) < float("inf"))
+    listed = history.filter(fine).agg(F.array_sort(F.collect_list(F.struct(F.col(epoch).cast("long").alias("e"), F.col(metric).cast("double").alias("m")))).alias("h"))
     none = F.lit(None)
     start = F.struct(none.cast("double").alias("ema"), none.cast("double").alias("best"), none.cast("long").alias("at"))
 
@@ -197,11 +198,11 @@ def surface_cells(df: DataFrame, cell: float, reduce: str = "max", by=BY) -> Dat
 
 
 def z_range(df: DataFrame, by=BY) -> DataFrame:
-    """z_lo, z_hi: the 2nd and 98th percentile; a unit around the middle where they meet."""
-    q = df.groupBy(*by).agg(F.percentile("z", F.array(F.lit(0.02), F.lit(0.98))).alias("q"))
-    lo, hi = F.get("q", F.lit(0)), F.get("q", F.lit(1))
-    flat = (hi - lo) < 1e-6
-    return q.select(*by, F.when(flat, lo - 0.5).otherwise(lo).alias("z_lo"), F.when(flat, hi + 0.5).otherwise(hi).alias("z_hi"))
+    """z_lo, z_hi: the 2nd and 98th percentile; where they meet the lowest and highest z, and where these do, one unit up from the lowest."""
+    q = df.groupBy(*by).agg(F.percentile("z", F.array(F.lit(0.02), F.lit(0.98))).alias("q"), F.min("z").alias("_lo"), F.max("z").alias("_hi"))
+    flat = F.get("q", F.lit(1)) - F.get("q", F.lit(0)) < 1e-6
+    lo, hi = F.when(flat, F.col("_lo")).otherwise(F.get("q", F.lit(0))), F.when(flat, F.col("_hi")).otherwise(F.get("q", F.lit(1)))
+    return q.select(*by, lo.alias("z_lo"), F.when(hi - lo < 1e-6, lo + 1).otherwise(hi).alias("z_hi"))
 
 
 def refine_report(df: DataFrame, res: float = 1.0, by=BY) -> DataFrame:

@@ -164,6 +164,40 @@ def hilbert_encode(x: Column, y: Column, z: Column, bits: int = 16) -> Column:
     return key[0]
 
 
+def hilbert_decode(code: Column, bits: int = 16) -> Column:
+    """The struct (x, y, z) whose position on the curve is code: hilbert_encode backwards.
+
+    The bits are dealt to the axes, the Gray code is made again, and the turns are undone from the lowest bit up.
+    """
+    one = F.lit(1).cast("long")
+    bit_of = lambda b: F.call_function("shiftleft", one, b.cast("int"))
+    every = F.sequence(F.lit(0), F.lit(bits - 1))
+
+    def gather(place: int) -> Column:
+        return F.aggregate(every, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(F.call_function("shiftleft", F.call_function("shiftright", code, (3 * b + place).cast("int")).bitwiseAND(one), b.cast("int"))))
+
+    dealt = F.transform(F.array(F.struct(gather(2).alias("x"), gather(1).alias("y"), gather(0).alias("z"))), lambda s: F.struct(
+        s["x"].bitwiseXOR(F.shiftright(s["z"], 1)).alias("x"), s["y"].bitwiseXOR(s["x"]).alias("y"), s["z"].bitwiseXOR(s["y"]).alias("z"),
+    ))
+
+    def turn(s: Column, axis: str, bit: Column) -> Column:
+        on, low = s[axis].bitwiseAND(bit) != 0, bit - 1
+        swap = s["x"].bitwiseXOR(s[axis]).bitwiseAND(low)
+        parts = {c: s[c] for c in "xyz"}
+        parts["x"] = F.when(on, s["x"].bitwiseXOR(low)).otherwise(s["x"].bitwiseXOR(swap))
+        if axis != "x":
+            parts[axis] = F.when(on, s[axis]).otherwise(s[axis].bitwiseXOR(swap))
+        return F.struct(*[v.alias(k) for k, v in parts.items()])
+
+    def step(s: Column, b: Column) -> Column:
+        z = F.transform(F.array(s), lambda t: turn(t, "z", bit_of(b)))
+        y = F.transform(z, lambda t: turn(t, "y", bit_of(b)))
+        return F.transform(y, lambda t: turn(t, "x", bit_of(b)))[0]
+
+    up = F.sequence(F.lit(1), F.lit(bits - 1)) if bits > 1 else F.array().cast("array<int>")
+    return F.transform(dealt, lambda s: F.aggregate(up, s, step))[0]
+
+
 ORDERS = {"z": "xyz", "z-trans": "yxz", "hilbert": "xyz", "hilbert-trans": "yxz", "hilbert-yzx": "yzx", "hilbert-zxy": "zxy"}
 
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from terraframe.functions.tables import written
 from terraframe.operators.project import BY
 from terraframe.operators.spatial import knn_join
 
@@ -98,9 +99,11 @@ def sample_bilinear(points: DataFrame, cells: DataFrame, frame: DataFrame, res:
     four = at.select(*by, "pid", F.explode(F.array(corner(0, 0), corner(0, 1), corner(1, 0), corner(1, 1))).alias("k")).select(*by, "pid", "k.row", "k.col", "k.weight")
     met = four.join(cells.select(*by, "row", "col", *cols).hint("shuffle_merge"), [*by, "row", "col"], "left")
     parts = met.groupBy(*by, "pid").agg(*[a for c in cols for a in (F.sum(F.when(F.col(c).isNotNull(), F.col("weight") * F.col(c))).alias(f"_s_{c}"), F.sum(F.when(F.col(c).isNull(), F.col("weight")).otherwise(0.0)).alias(f"_gap_{c}"), F.sum(c).alias(f"_t_{c}"), F.count(c).alias(f"_n_{c}"))])
-    cloud = Window.partitionBy(*by)
+    if rest == "mean":  # a row a cloud, added up before it moves
+        parts = written(parts, "bilinear")
+        parts = parts.join(parts.groupBy(*by).agg(*[(F.sum(f"_t_{c}") / F.sum(f"_n_{c}")).alias(f"_mean_{c}") for c in cols]), list(by))
     for c in cols:
-        mean = F.coalesce(F.sum(f"_t_{c}").over(cloud) / F.sum(f"_n_{c}").over(cloud), F.lit(0.0))
+        mean = F.coalesce(f"_mean_{c}", F.lit(0.0)) if rest == "mean" else None
         parts = parts.withColumn(f"{out}{c}", F.coalesce(F.col(f"_s_{c}"), F.lit(0.0)) + F.col(f"_gap_{c}") * mean if rest == "mean" else F.when(F.col(f"_gap_{c}") == 0, F.col(f"_s_{c}")))
     got = parts.select(*by, "pid", *[f"{out}{c}" for c in cols])
     if rest == "median":
@@ -131,19 +134,25 @@ def height_above(points: DataFrame, cells: DataFrame, frame: DataFrame, res: flo
 def crop_downsample(cells: DataFrame, box: tuple[float, float, float, float], x_min: float, y_min: float, src: float, res: float, cols: list[str] = ("value",), by=BY) -> DataFrame:
     """The cells of box (x0, y0, x1, y1) as block means by the factor max(round(res / src), 1).
 
-    Blocks that would hang over the crop's end are dropped. A single band ignores unknown cells; five bands take
-    plain means, so one unknown makes a block unknown.
+    Blocks that would hang over the crop's end are dropped, but a crop smaller than one block keeps its cells. A single
+    band ignores unknown cells; five bands take plain means, so one unknown makes a block unknown. A cloud whose raster
+    lies outside the box gets one placeholder cell, null for a single band and 0 for five.
     """
     factor = max(int(round(res / src)), 1)
     x0, y0, x1, y1 = box
     lo, hi = (lambda v, o: F.greatest(F.floor((F.lit(float(v)) - o) / src), F.lit(0).cast("long"))), (lambda v, o: F.ceil((F.lit(float(v)) - o) / src) + 1)
     sized = cells.join(cells.groupBy(*by).agg((F.max("row") + 1).alias("_h"), (F.max("col") + 1).alias("_w")), list(by))
     sized = sized.withColumns({"_r0": lo(y0, y_min), "_r1": F.least(hi(y1, y_min), F.col("_h")), "_c0": lo(x0, x_min), "_c1": F.least(hi(x1, x_min), F.col("_w"))})
+    height, width = F.col("_r1") - F.col("_r0"), F.col("_c1") - F.col("_c0")
+    sized = sized.withColumn("_f", F.when((height < factor) | (width < factor), 1).otherwise(factor))
     r, c = F.col("row") - F.col("_r0"), F.col("col") - F.col("_c0")
-    br, bc = F.floor(r / factor), F.floor(c / factor)
-    whole = (r >= 0) & (c >= 0) & ((br + 1) * factor <= F.col("_r1") - F.col("_r0")) & ((bc + 1) * factor <= F.col("_c1") - F.col("_c0"))
-    mean = (lambda k: F.avg(k)) if len(cols) == 1 else (lambda k: F.when(F.count(k) == factor * factor, F.avg(k)))
-    return sized.filter(whole).groupBy(*by, br.alias("row"), bc.alias("col")).agg(*[mean(k).alias(k) for k in cols])
+    br, bc = F.floor(r / F.col("_f")), F.floor(c / F.col("_f"))
+    whole = (r >= 0) & (c >= 0) & ((br + 1) * F.col("_f") <= height) & ((bc + 1) * F.col("_f") <= width)
+    mean = (lambda k: F.avg(k)) if len(cols) == 1 else (lambda k: F.when(F.count(k) == F.first("_f") * F.first("_f"), F.avg(k)))
+    blocks = sized.filter(whole).groupBy(*by, br.alias("row"), bc.alias("col")).agg(*[mean(k).alias(k) for k in cols])
+    empty = F.lit(None).cast("double") if len(cols) == 1 else F.lit(0.0)
+    outside = sized.filter((height <= 0) | (width <= 0)).select(*by).distinct()
+    return blocks.unionByName(outside.select(*by, F.lit(0).cast("long").alias("row"), F.lit(0).cast("long").alias("col"), *[empty.alias(k) for k in cols]))
 
 
 def resample_patch(cells: DataFrame, frame: DataFrame, res: float, patches: DataFrame, size: int, by=BY) -> DataFrame:

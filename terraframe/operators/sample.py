@@ -132,16 +132,19 @@ def gauss(seed: str, *cols: str) -> Column:
 
 
 def augment_jitter(df: DataFrame, sigma: float, clip: float, seed: str) -> DataFrame:
+    """x, y and z each moved by Gaussian noise of deviation sigma, cut at clip."""
     noise = lambda c: F.least(F.greatest(gauss(f"{seed}/{c}", "pid") * sigma, F.lit(-clip)), F.lit(clip))
     return df.withColumns({c: F.col(c) + noise(c) for c in "xyz"})
 
 
 def augment_elastic(df: DataFrame, gran: float, mag: float, seed: str, most: int = 128, by=BY) -> DataFrame:
-    """Points moved by smooth noise: Gaussian values on a grid of spacing gran (at most `most` nodes an axis), each axis
-    blurred three wide twice, interpolated linearly between the eight nodes around a point, times mag."""
-    box = df.groupBy(*by).agg(*[F.min(c).alias(f"_lo{c}") for c in "xyz"], *[F.max(c).alias(f"_hi{c}") for c in "xyz"])
-    for c in "xyz":
-        box = box.withColumn(f"_n{c}", F.least(F.floor((F.col(f"_hi{c}") - F.col(f"_lo{c}")) / gran) + 3, F.lit(most).cast("long")))
+    """Points moved by smooth noise: Gaussian values on a grid, each axis blurred three wide twice, interpolated linearly between the eight nodes around a point, times mag.
+
+    The grid starts a node before the cloud's corner. Its spacing is gran, or wider where an axis would otherwise have more than `most` nodes.
+    """
+    box = df.groupBy(*by).agg(*[F.min(c).alias(f"_lo{c}") for c in "xyz"], *[(F.max(c) - F.min(c)).alias(f"_e{c}") for c in "xyz"])
+    box = box.withColumn("_g", F.greatest(F.lit(float(gran)), F.greatest("_ex", "_ey", "_ez") / max(most - 3, 1)))
+    box = box.withColumns({f"_n{c}": F.floor(F.col(f"_e{c}") / F.col("_g")) + 3 for c in "xyz"})
     grid = box.select(*by, *[f"_n{c}" for c in "xyz"])
     for c in "xyz":
         grid = grid.withColumn(f"i{c}", F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"_n{c}") - 1)))
@@ -154,7 +157,7 @@ def augment_elastic(df: DataFrame, gran: float, mag: float, seed: str, most: int
     grid = written(grid, "elastic")
     at = df.select(*by, "pid", *"xyz").join(box, list(by))
     for c in "xyz":
-        f = F.least((F.col(c) - F.col(f"_lo{c}")) / gran, (F.col(f"_n{c}") - 1).cast("double"))
+        f = (F.col(c) - F.col(f"_lo{c}")) / F.col("_g") + 1
         at = at.withColumn(f"_f{c}", f).withColumn(f"_b{c}", F.floor(f))
     corner = []
     for dx in (0, 1):
@@ -170,19 +173,23 @@ def augment_elastic(df: DataFrame, gran: float, mag: float, seed: str, most: int
     return df.join(move, [*by, "pid"]).withColumns({c: F.col(c) + mag * F.col(f"_d{c}") for c in "xyz"}).select(df.columns)
 
 
-def warp_patch(patch: DataFrame, size: int, params: DataFrame, bands=("dtm", "dsm", "ndsm"), by=("patch_id",)) -> DataFrame:
-    """A patch (by, row, col, bands) turned by -angle and scaled about its middle, sampled between cells, edges repeated; heights times sz."""
+def warp_patch(patch: DataFrame, size: int, params: DataFrame, bands=("dtm", "dsm", "ndsm"), by=("patch_id",), plain=()) -> DataFrame:
+    """A patch (by, row, col, bands, plain) warped about its middle as augment_planar moves points, sampled between cells, edges repeated.
+
+    params has planar_params' angle, sx, sy, fx, fy and sz. bands are heights and scale by sz; the plain ones do not.
+    """
     mid = (size - 1) / 2
     at = patch.select(*by, "row", "col").join(params, list(by))
     dr, dc = F.col("row") - mid, F.col("col") - mid
-    fx = F.least(F.greatest(mid + (F.cos("angle") * dc + F.sin("angle") * dr) / F.col("scale"), F.lit(0.0)), F.lit(float(size - 1)))
-    fy = F.least(F.greatest(mid + (-F.sin("angle") * dc + F.cos("angle") * dr) / F.col("scale"), F.lit(0.0)), F.lit(float(size - 1)))
-    at = at.withColumns({"_fx": fx, "_fy": fy}).withColumns({"_bx": F.floor("_fx"), "_by": F.floor("_fy")})
+    # where the inverse of turning, scaling and flipping takes each cell
+    back_x, back_y = (F.cos("angle") * dc + F.sin("angle") * dr) * F.col("fx") / F.col("sx"), (F.cos("angle") * dr - F.sin("angle") * dc) * F.col("fy") / F.col("sy")
+    inside = lambda v: F.least(F.greatest(mid + v, F.lit(0.0)), F.lit(float(size - 1)))
+    at = at.withColumns({"_fx": inside(back_x), "_fy": inside(back_y)}).withColumns({"_bx": F.floor("_fx"), "_by": F.floor("_fy")})
     side = lambda d, f, b: (F.col(f) - F.col(b)) if d else (1 - F.col(f) + F.col(b))
     corner = [F.struct(F.least(F.col("_by") + i, F.lit(size - 1)).alias("r"), F.least(F.col("_bx") + j, F.lit(size - 1)).alias("c"), (side(i, "_fy", "_by") * side(j, "_fx", "_bx")).alias("weight")) for i in (0, 1) for j in (0, 1)]
     four = at.select(*by, "row", "col", "sz", F.explode(F.array(*corner)).alias("k")).select(*by, "row", "col", "sz", "k.*")
-    src = patch.select(*by, F.col("row").alias("r"), F.col("col").alias("c"), *bands)
-    return four.join(src.hint("shuffle_merge"), [*by, "r", "c"]).groupBy(*by, "row", "col").agg(*[(F.sum(F.col("weight") * F.col(b)) * F.first("sz")).alias(b) for b in bands])
+    src = patch.select(*by, F.col("row").alias("r"), F.col("col").alias("c"), *bands, *plain)
+    return four.join(src.hint("shuffle_merge"), [*by, "r", "c"]).groupBy(*by, "row", "col").agg(*[(F.sum(F.col("weight") * F.col(b)) * F.first("sz")).alias(b) for b in bands], *[F.sum(F.col("weight") * F.col(b)).alias(b) for b in plain])
 
 
 def random_dropout(df: DataFrame, ratio: float, prob: float, min_pts: int, seed: str, by=BY) -> DataFrame:

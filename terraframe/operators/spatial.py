@@ -120,20 +120,22 @@ def stencil_aggregate(df: DataFrame, weights: list[float], feat: str, bias: floa
     return pairs.groupBy(*by, "vx", "vy", "vz").agg((F.sum(F.get(w, F.col("kernel")) * F.col(f"n_{feat}")) + bias).alias("conv"))
 
 
-def mean_elevation(df: DataFrame, near: DataFrame, by=BY) -> DataFrame:
-    """mean_elev of each query of near (a kNN result that holds the point itself): heights weighted by relative height."""
-    span = df.groupBy(*by).agg(F.min("z").alias("_z0"), F.greatest(F.max("z") - F.min("z"), F.lit(1e-6)).alias("_dz"))
-    p = (F.col("z") - F.col("_z0")) / F.col("_dz")
-    return near.join(span, list(by)).groupBy(*by, "q_pid").agg((F.sum(F.col("z") * p) / F.greatest(F.sum(p), F.lit(1e-6))).alias("mean_elev"))
+def mean_elevation(near: DataFrame, by=BY) -> DataFrame:
+    """mean_elev of each query of near (a kNN result that holds the point itself): its neighbours' heights, weighted by their height within that neighbourhood.
+
+    The k heights of a query meet in one small array. Where all are alike the weights vanish, and so does the mean.
+    """
+    heights = near.groupBy(*by, "q_pid").agg(F.collect_list("z").alias("_z"), F.min("z").alias("_z0"), F.greatest(F.max("z") - F.min("z"), F.lit(1e-6)).alias("_dz"))
+    share = lambda z: (z - F.col("_z0")) / F.col("_dz")
+    total = lambda f: F.aggregate("_z", F.lit(0.0), lambda a, z: a + f(z))
+    return heights.select(*by, "q_pid", (total(lambda z: z * share(z)) / F.greatest(total(share), F.lit(1e-6))).alias("mean_elev"))
 
 
 def covariance(near: DataFrame, by=BY, sample: bool = False) -> DataFrame:
-    """Centroid and the six covariances of each query's neighbours; over n, or over max(n - 1, 1)."""
-    mean = near.groupBy(*by, "q_pid").agg(*[F.avg(a).alias(f"_m{a}") for a in "xyz"], F.count("*").alias("n_near"))
-    both = near.join(mean, [*by, "q_pid"])
-    over = F.greatest(F.first("n_near") - 1, F.lit(1)) if sample else F.first("n_near")
-    c = lambda a, b: (F.sum((F.col(a) - F.col(f"_m{a}")) * (F.col(b) - F.col(f"_m{b}"))) / over).alias(f"c_{a}{b}")
-    return both.groupBy(*by, "q_pid").agg(*[c(a, b) for a, b in ("xx", "yy", "zz", "xy", "xz", "yz")], F.first("n_near").alias("n_near"))
+    """The six covariances of each query's neighbours, in one pass; over n, or over max(n - 1, 1)."""
+    n = F.count("*")
+    over = n / F.greatest(n - 1, F.lit(1)) if sample else F.lit(1.0)
+    return near.groupBy(*by, "q_pid").agg(*[(F.covar_pop(a, b) * over).alias(f"c_{a}{b}") for a, b in ("xx", "yy", "zz", "xy", "xz", "yz")], n.alias("n_near"))
 
 
 def smallest_eigenvalue(cov: DataFrame) -> DataFrame:
@@ -175,7 +177,7 @@ def normals(near: DataFrame, by=BY, sample: bool = True) -> DataFrame:
 def shallow_geom(df: DataFrame, k: int = 16, by=BY) -> DataFrame:
     """df with mean_elev and curvature from one shared neighbour table."""
     near = written(knn_join(df, df, k, 3, by=by), "neighbours")
-    both = mean_elevation(df, near, by).join(curvature(near, by).drop("n_near"), [*by, "q_pid"]).withColumnRenamed("q_pid", "pid")
+    both = mean_elevation(near, by).join(curvature(near, by).drop("n_near"), [*by, "q_pid"]).withColumnRenamed("q_pid", "pid")
     return df.join(both, [*by, "pid"])
 
 
@@ -194,24 +196,24 @@ def nearest_crop(df: DataFrame, n: int, centre: DataFrame | None = None, by=BY)
 
 
 def farthest_point(df: DataFrame, n: int, by=BY) -> DataFrame:
-    """pick order (from 0) of up to n points a cloud: the smallest pid first, then each time the one farthest from those taken.
+    """pick order (from 0) of up to n points a cloud: the smallest pid first, then each time the one farthest in x and y from those taken.
 
     A round a pick: every point left keeps its distance to the nearest pick in a written table, and one aggregate a cloud
     finds the next, so no task holds a cloud. Ties go to the smaller pid.
     """
-    point = F.struct("pid", "x", "y", "z")
-    left = written(df.select(*by, "pid", "x", "y", "z").withColumn("_d", F.lit(float("inf")).cast("double")), "farthest")
+    point = F.struct("pid", "x", "y")
+    left = written(df.select(*by, "pid", "x", "y").withColumn("_d", F.lit(float("inf")).cast("double")), "farthest")
     picks = None
     for k in range(n):
         top = left.groupBy(*by).agg(F.max_by(point, F.struct("_d", -F.col("pid"))).alias("_p"))
-        top = written(top.select(*by, F.col("_p.pid").alias("_pid"), *[F.col(f"_p.{a}").alias(f"_{a}") for a in "xyz"]), "farthest-pick")
+        top = written(top.select(*by, F.col("_p.pid").alias("_pid"), *[F.col(f"_p.{a}").alias(f"_{a}") for a in "xy"]), "farthest-pick")
         if top.isEmpty():
             break
         row = top.select(*by, F.col("_pid").alias("pid"), F.lit(k).cast("long").alias("pick"))
         picks = row if picks is None else picks.unionByName(row)
         if k + 1 < n:
-            near = sum((F.col(a) - F.col(f"_{a}")) * (F.col(a) - F.col(f"_{a}")) for a in "xyz")
-            left = written(left.join(top, list(by)).filter("pid <> _pid").select(*by, "pid", "x", "y", "z", F.least("_d", near).alias("_d")), "farthest")
+            near = sum((F.col(a) - F.col(f"_{a}")) * (F.col(a) - F.col(f"_{a}")) for a in "xy")
+            left = written(left.join(top, list(by)).filter("pid <> _pid").select(*by, "pid", "x", "y", F.least("_d", near).alias("_d")), "farthest")
     return picks if picks is not None else left.select(*by, "pid", F.lit(0).cast("long").alias("pick")).limit(0)
 
 
@@ -249,21 +251,21 @@ def cliff_tiles(df: DataFrame, n: int, min_ground: int = 64, candidates: int = 9
 def nominal_spacing(df: DataFrame, max_pts: int | None = 120_000, floor: float = 0.1, by=BY) -> DataFrame:
     """spacing per cloud: the median horizontal distance over 1 mm to the nearest other point, of the max_pts points nearest the centroid, or of all (None).
 
-    Without any such distance, the root of the 1-99 % extent over the count. At least floor.
+    Without any such distance, the root of the 1-99 % extent of these points over their count. At least floor.
     """
-    mid = df.groupBy(*by).agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"), F.count("*").alias("_n"), F.percentile("x", F.array(F.lit(0.01), F.lit(0.99))).alias("_px"), F.percentile("y", F.array(F.lit(0.01), F.lit(0.99))).alias("_py"))
-    core = df if max_pts is None else nearest_crop(df, max_pts, mid.select(*by, "cx", "cy"), by)
+    core = df if max_pts is None else nearest_crop(df, max_pts, df.groupBy(*by).agg(F.avg("x").alias("cx"), F.avg("y").alias("cy")), by)
+    mid = core.groupBy(*by).agg(F.count("*").alias("_n"), F.percentile("x", F.array(F.lit(0.01), F.lit(0.99))).alias("_px"), F.percentile("y", F.array(F.lit(0.01), F.lit(0.99))).alias("_py"))
     near = knn_join(core, core, 1, 2, by=by, exclude_self=True).withColumn("_d", F.sqrt("d2")).filter("_d > 0.001")
     med = near.groupBy(*by).agg(F.percentile("_d", F.lit(0.5)).alias("_med"))
     wide = lambda c: F.get(c, F.lit(1)) - F.get(c, F.lit(0))
-    return mid.join(med, list(by), "left").select(*by, F.greatest(F.coalesce("_med", F.sqrt(wide("_px") * wide("_py") / F.col("_n"))), F.lit(floor)).alias("spacing"))
+    return mid.join(med, list(by), "left").select(*by, F.greatest(F.coalesce("_med", F.sqrt(F.greatest(wide("_px") * wide("_py"), F.lit(1e-6)) / F.col("_n"))), F.lit(floor)).alias("spacing"))
 
 
 def candidate_centres(df: DataFrame, radius: float = 6.0, step: float = 5.0, min_pts: int = 100, by=BY) -> DataFrame:
     """center_id (the pid of its point) and the sorted members of each candidate disc.
 
     A regular grid over each cloud snaps to its nearest points; a disc of too few is left out. A cloud without
-    any gets the point nearest its middle, with all its points if it is no larger than min_pts.
+    any gets the point nearest its centroid, with its disc, or all its points where that holds too few as well.
     """
     box = df.groupBy(*by).agg(*[F.min(c).alias(f"_{c}0") for c in "xy"], *[F.max(c).alias(f"_{c}1") for c in "xy"])
     axis = lambda c: F.transform(F.sequence(F.lit(0).cast("long"), F.floor((F.col(f"_{c}1") - F.col(f"_{c}0")) / step)), lambda i: F.col(f"_{c}0") + i * step)
@@ -273,29 +275,33 @@ def candidate_centres(df: DataFrame, radius: float = 6.0, step: float = 5.0, min
     inside = radius_join(snapped, df.select(*by, "pid", "x", "y"), radius, 2, by)
     discs = written(inside.groupBy(*by, F.col("q_pid").alias("center_id")).agg(F.array_sort(F.collect_list("pid")).alias("members")).filter(F.size("members") >= min_pts), "discs")
     bare = df.join(discs.select(*by).distinct(), list(by), "left_anti")
-    one = nearest_crop(bare, 1, by=by).select(*by, "pid", "x", "y")
-    small = bare.groupBy(*by).agg(F.when(F.count("*") <= min_pts, F.array_sort(F.collect_list("pid"))).alias("_all"))
+    one = nearest_crop(bare, 1, bare.groupBy(*by).agg(F.avg("x").alias("cx"), F.avg("y").alias("cy")), by).select(*by, "pid", "x", "y")
     round_one = radius_join(one, bare.select(*by, "pid", "x", "y"), radius, 2, by).groupBy(*by, F.col("q_pid").alias("center_id")).agg(F.array_sort(F.collect_list("pid")).alias("_disc"))
-    fallback = round_one.join(small, list(by)).select(*by, "center_id", F.coalesce("_all", "_disc").alias("members"))
+    thin = round_one.filter(F.size("_disc") < min_pts).select(*by, "center_id")
+    whole = bare.join(thin, list(by)).groupBy(*by, "center_id").agg(F.array_sort(F.collect_list("pid")).alias("members"))
+    fallback = round_one.filter(F.size("_disc") >= min_pts).select(*by, "center_id", F.col("_disc").alias("members")).unionByName(whole)
     return discs.unionByName(fallback)
 
 
 def neighbour_profile(df: DataFrame, dl: float, r: float, levels: int = 3, growth: float = 2.0, pct: float = 0.9, cap: int = 1024, by=BY) -> DataFrame:
-    """Per level of a voxel pyramid the median, pct and largest number of neighbours within its radius, on the level and from coarse to fine; cap_n clamps the largest pct."""
+    """Per level of a voxel pyramid the median, pct and largest number of neighbours, on the level within its radius, and of its points among those of the finer level within the finer radius; cap_n clamps the largest pct.
+
+    A level is made from the points of the one before; `level` of coarse_to_fine is the coarser one.
+    """
     from terraframe.operators.voxel import voxel_downsample
 
-    out, fine = None, None
+    out, fine, base = None, None, df
     for level in range(levels):
         grown = growth**level
-        vox = voxel_downsample(df, dl * grown, label=None, by=by)
+        vox = voxel_downsample(base, dl * grown, label=None, by=by)
         pts = written(vox.select(*by, F.xxhash64("vx", "vy", "vz").alias("pid"), "x", "y", "z"), "pyramid")
-        for kind, other in (("same", pts), ("coarse_to_fine", fine)):
+        for kind, other, reach in (("same", pts, r * grown), ("coarse_to_fine", fine, r * grown / growth)):
             if other is None:
                 continue
-            n = radius_join(pts, other, r * grown, 3, by).groupBy(*by, "q_pid").agg(F.count("*").alias("n"))
+            n = radius_join(pts, other, reach, 3, by).groupBy(*by, "q_pid").agg(F.count("*").alias("n"))
             row = n.agg(F.percentile("n", F.lit(0.5)).alias("median_n"), F.percentile("n", F.lit(pct)).alias("pct_n"), F.max("n").alias("max_n")).withColumns({"level": F.lit(level), "kind": F.lit(kind)})
             out = row if out is None else out.unionByName(row)
-        fine = pts
+        fine = base = pts
     return out.withColumn("cap_n", F.least(F.ceil(F.max("pct_n").over(Window.partitionBy())), F.lit(cap).cast("long")))
 
 

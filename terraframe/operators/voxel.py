@@ -150,37 +150,42 @@ def batch_limit(counts: DataFrame, batch_num: int, weight: str | None = None) ->
     return counts.agg(F.greatest(F.bround((batch_num + 0.5) * mean, 0).cast("long"), F.lit(1).cast("long")).alias("limit"))
 
 
-#: Boxes of the six globals of the spike corrector: name, lowest, highest, value taken here.
-GLOBALS = (("theta0", 5.0, 45.0, 15.0), ("alpha", 0.5, 5.0, 2.0), ("beta", 0.0, 5.0, 1.0), ("n_mad", 1.0, 6.0, 3.0), ("floor", 0.02, 0.5, 0.1))
-RES_BOX = (1.0, 20.0)
+#: Boxes of the six globals of the spike corrector: name, lowest, highest, value taken here. Fixed values.
+GLOBALS = (("theta0", 5.0, 30.0, 10.0), ("alpha", 0.3, 0.9, 0.5), ("beta", 0.0, 0.99, 0.7), ("n_mad", 2.0, 4.0, 3.0), ("floor", 0.1, 1.0, 0.1))
+RES_BOX = (0.5, 8.0)
 
 
 def regime_targets(df: DataFrame, min_ground: int = 32, by=BY) -> DataFrame:
     """The six corrector globals per cloud: five fixed ones and base_res = sqrt(8 / density of ground), the middle of its box with too few."""
     ground = F.col("label") == 1
-    extent = lambda c: F.max(F.when(ground, F.col(c))) - F.min(F.when(ground, F.col(c)))
+    extent = lambda c: F.max(F.when(ground, F.col(c))) - F.min(F.when(ground, F.col(c))) + 1e-9
     per = df.groupBy(*by).agg(F.count_if(ground).alias("n_ground"), (extent("x") * extent("y")).alias("_area"))
-    res = F.when((F.col("n_ground") < min_ground) | (F.coalesce("_area", F.lit(0.0)) <= 0), F.lit(sum(RES_BOX) / 2)).otherwise(F.sqrt(8 * F.col("_area") / F.col("n_ground")))
+    density = F.greatest(F.col("n_ground") / F.col("_area"), F.lit(1e-6))
+    res = F.when(F.col("n_ground") < min_ground, F.lit(sum(RES_BOX) / 2)).otherwise(F.sqrt(8 / density))
     fixed = {n: F.lit(min(max(v, lo), hi)) for n, lo, hi, v in GLOBALS}
     return per.withColumns({**fixed, "base_res": F.least(F.greatest(res, F.lit(RES_BOX[0])), F.lit(RES_BOX[1]))}).drop("_area")
 
 
 def prediction_stats(df: DataFrame, by=BY) -> DataFrame:
-    """Eight statistics of a prediction per cloud; null and NaN count as 0."""
-    ground, other = F.col("pred") == 1, F.col("pred") == 0
-    z = lambda c: F.when(c, F.col("z"))
-    clean = lambda c: F.coalesce(F.nanvl(c, F.lit(0.0)), F.lit(0.0))
+    """Eight statistics of a prediction per cloud: ground share, mean height of ground over that of all, spreads, height range, size, mean probability and the ground's share of the spread.
+
+    Heights are in tens of metres, the range is cut at 10 km before. Without ground its mean and spread are 0; null, NaN and infinity count as 0.
+    """
+    ground = F.col("pred") == 1
+    z = F.when(ground, F.col("z"))
+    finite = lambda c: F.coalesce(F.when(F.abs(c) < float("inf"), F.nanvl(c, F.lit(0.0))), F.lit(0.0))
+    spread, spread_all = F.coalesce(F.stddev_pop(z), F.lit(0.0)), F.stddev_pop("z")
     stats = {
-        "ground_share": F.avg(ground.cast("double")),
-        "dz": (F.avg(z(other)) - F.avg(z(ground))) / 10,
-        "std_ground": F.stddev_pop(z(ground)) / 10,
-        "std_all": F.stddev_pop("z") / 10,
-        "z_range": F.least(F.greatest((F.max("z") - F.min("z")) / 10, F.lit(0.0)), F.lit(10.0)),
+        "ground_share": F.avg(F.coalesce(ground, F.lit(False)).cast("double")),
+        "dz": (F.coalesce(F.avg(z), F.lit(0.0)) - F.avg("z")) / 10,
+        "std_ground": spread / 10,
+        "std_all": spread_all / 10,
+        "z_range": F.least(F.greatest(F.max("z") - F.min("z"), F.lit(0.0)), F.lit(1e4)) / 10,
         "log_n": F.log(F.count("*").cast("double")) - 12,
         "mean_p": F.avg("p_ground"),
-        "std_p": F.stddev_pop("p_ground"),
+        "std_ratio": spread / (spread_all + 1e-3),
     }
-    return df.groupBy(*by).agg(*[clean(v).alias(k) for k, v in stats.items()])
+    return df.groupBy(*by).agg(*[finite(v).alias(k) for k, v in stats.items()])
 
 
 def scene_stats(per_disc: DataFrame, scene: str) -> DataFrame:

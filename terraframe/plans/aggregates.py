@@ -139,14 +139,14 @@ def a17(spark, sf):
     return v.batch_limit(counts, 3, "w")
 
 
-@query("a19_regime_targets", f"WITH g AS (SELECT cloud, count(*) FILTER (label = 1) AS n_ground, (max(x) FILTER (label = 1) - min(x) FILTER (label = 1)) * (max(y) FILTER (label = 1) - min(y) FILTER (label = 1)) AS area FROM {SC} GROUP BY cloud) SELECT cloud, n_ground, CAST(15 AS DOUBLE) AS theta0, CAST(2 AS DOUBLE) AS alpha, CAST(1 AS DOUBLE) AS beta, CAST(3 AS DOUBLE) AS n_mad, CAST(0.1 AS DOUBLE) AS floor, round(least(greatest(CASE WHEN n_ground < 32 OR coalesce(area, 0) <= 0 THEN CAST(10.5 AS DOUBLE) ELSE sqrt(8 * area / n_ground) END, 1), 20), 9) AS base_res FROM g")
+@query("a19_regime_targets", f"WITH g AS (SELECT cloud, count(*) FILTER (label = 1) AS n_ground, (max(x) FILTER (label = 1) - min(x) FILTER (label = 1) + 1e-9) * (max(y) FILTER (label = 1) - min(y) FILTER (label = 1) + 1e-9) AS area FROM {SC} GROUP BY cloud) SELECT cloud, n_ground, CAST(10 AS DOUBLE) AS theta0, CAST(0.5 AS DOUBLE) AS alpha, CAST(0.7 AS DOUBLE) AS beta, CAST(3 AS DOUBLE) AS n_mad, CAST(0.1 AS DOUBLE) AS floor, round(least(greatest(CASE WHEN n_ground < 32 THEN CAST(4.25 AS DOUBLE) ELSE sqrt(8 / greatest(n_ground / area, 1e-6)) END, 0.5), 8), 6) AS base_res FROM g")
 def a19(spark, sf):
-    return v.regime_targets(scored(spark, sf)).withColumn("base_res", F.round("base_res", 9))
+    return v.regime_targets(scored(spark, sf)).withColumn("base_res", F.round("base_res", 6))
 
 
-@query("a20_prediction_stats", f"SELECT cloud, round(avg(pred), 6) AS ground_share, round((avg(z) FILTER (pred = 0) - avg(z) FILTER (pred = 1)) / 10, 6) AS dz, round(stddev_pop(z) FILTER (pred = 1) / 10, 6) AS std_ground, round(stddev_pop(z) / 10, 6) AS std_all, round(least(greatest((max(z) - min(z)) / 10, 0), 10), 6) AS z_range, round(ln(count(*)) - 12, 6) AS log_n, round(avg(p_ground), 6) AS mean_p, round(stddev_pop(p_ground), 6) AS std_p FROM {SC} GROUP BY cloud")
+@query("a20_prediction_stats", f"SELECT cloud, round(avg(pred), 6) AS ground_share, round((coalesce(avg(z) FILTER (pred = 1), 0) - avg(z)) / 10, 6) AS dz, round(coalesce(stddev_pop(z) FILTER (pred = 1), 0) / 10, 6) AS std_ground, round(stddev_pop(z) / 10, 6) AS std_all, round(least(max(z) - min(z), 10000) / 10, 6) AS z_range, round(ln(count(*)) - 12, 6) AS log_n, round(avg(p_ground), 6) AS mean_p, round(coalesce(stddev_pop(z) FILTER (pred = 1), 0) / (stddev_pop(z) + 1e-3), 6) AS std_ratio FROM {SC} GROUP BY cloud")
 def a20(spark, sf):
-    return v.prediction_stats(scored(spark, sf)).select("cloud", *r(["ground_share", "dz", "std_ground", "std_all", "z_range", "log_n", "mean_p", "std_p"]))
+    return v.prediction_stats(scored(spark, sf)).select("cloud", *r(["ground_share", "dz", "std_ground", "std_all", "z_range", "log_n", "mean_p", "std_ratio"]))
 
 
 def conf_sql(pred: str = "pred", by: str = "") -> str:
@@ -237,9 +237,10 @@ def m10(spark, sf):
     return m.best_run(history(spark, sf))
 
 
-@query("m10_ema_best")
+@query("m10_ema_best", f"""WITH RECURSIVE h AS (SELECT *, row_number() OVER (ORDER BY epoch) AS i FROM {HISTORY} WHERE isfinite(miou)), e(i, epoch, ema) AS (SELECT i, epoch, miou FROM h WHERE i = 1 UNION ALL SELECT h.i, h.epoch, 0.9 * ema + 0.1 * miou FROM e JOIN h ON h.i = e.i + 1)
+ SELECT CAST(epoch AS BIGINT) AS epoch, round(ema, 9) AS ema FROM e ORDER BY e.ema, epoch LIMIT 1""")
 def m10b(spark, sf):
-    return m.ema_best(history(spark, sf).filter("NOT isnan(miou)"), "miou")
+    return m.ema_best(history(spark, sf), "miou").withColumn("ema", F.round("ema", 9))
 
 
 @query("t1_profile", f"""WITH f AS (SELECT cloud, quantile_cont(y, 0.5) AS my, max(y) - min(y) AS ey, min(x) AS x0, max(x) AS x1 FROM {PO} GROUP BY cloud),
@@ -271,7 +272,7 @@ def t3b(spark, sf):
     return m.surface_cells(points_o(spark, sf), 3.0, "low").select("cloud", "row", "col", *r("xyz"))
 
 
-@query("t5_z_range", f"SELECT cloud, CASE WHEN b - a < 1e-6 THEN a - 0.5 ELSE a END AS z_lo, CASE WHEN b - a < 1e-6 THEN b + 0.5 ELSE b END AS z_hi FROM (SELECT cloud, round(quantile_cont(z, 0.02), 6) AS a, round(quantile_cont(z, 0.98), 6) AS b FROM {PO} GROUP BY cloud) AS q")
+@query("t5_z_range", f"SELECT cloud, CASE WHEN b - a < 1e-6 THEN lo ELSE a END AS z_lo, CASE WHEN b - a >= 1e-6 THEN b WHEN hi - lo < 1e-6 THEN lo + 1 ELSE hi END AS z_hi FROM (SELECT cloud, round(quantile_cont(z, 0.02), 6) AS a, round(quantile_cont(z, 0.98), 6) AS b, round(min(z), 6) AS lo, round(max(z), 6) AS hi FROM {PO} GROUP BY cloud) AS q")
 def t5(spark, sf):
     return m.z_range(points_o(spark, sf)).select("cloud", *r(["z_lo", "z_hi"]))
 

@@ -72,30 +72,33 @@ def near16(spark, sf, asking="pid % 5 = 0"):
     return rows, s.knn_join(rows.filter(asking), rows, 16)
 
 
-@query("n4_mean_elevation", f"WITH {NEAR}, m AS (SELECT cloud, min(z) AS z0, greatest(max(z) - min(z), 1e-6) AS dz FROM {PO} GROUP BY cloud) SELECT cloud, q_pid, round(sum(z * (z - z0) / dz) / greatest(sum((z - z0) / dz), 1e-6), 6) AS mean_elev FROM near JOIN m USING (cloud) GROUP BY cloud, q_pid")
+#: Heights weighted by their place in the range of each query's own neighbourhood.
+ELEVATION = "w AS (SELECT *, (z - min(z) OVER q) / greatest(max(z) OVER q - min(z) OVER q, 1e-6) AS w FROM near WINDOW q AS (PARTITION BY cloud, q_pid))"
+MEAN_ELEV = "round(sum(z * w) / greatest(sum(w), 1e-6), 6) AS mean_elev"
+
+
+@query("n4_mean_elevation", f"WITH {NEAR}, {ELEVATION} SELECT cloud, q_pid, {MEAN_ELEV} FROM w GROUP BY cloud, q_pid")
 def n4(spark, sf):
-    rows, near = near16(spark, sf)
-    return s.mean_elevation(rows, near).select("cloud", "q_pid", *r(["mean_elev"]))
+    return s.mean_elevation(near16(spark, sf)[1]).select("cloud", "q_pid", *r(["mean_elev"]))
 
 
-@query("n4_mean_elevation_all", f"WITH {NEAR_ALL}, m AS (SELECT cloud, min(z) AS z0, greatest(max(z) - min(z), 1e-6) AS dz FROM {PO} GROUP BY cloud) SELECT cloud, q_pid, round(sum(z * (z - z0) / dz) / greatest(sum((z - z0) / dz), 1e-6), 6) AS mean_elev FROM near JOIN m USING (cloud) GROUP BY cloud, q_pid")
+@query("n4_mean_elevation_all", f"WITH {NEAR_ALL}, {ELEVATION} SELECT cloud, q_pid, {MEAN_ELEV} FROM w GROUP BY cloud, q_pid")
 def n4_all(spark, sf):
-    rows, near = near16(spark, sf, "TRUE")
-    return s.mean_elevation(rows, near).select("cloud", "q_pid", *r(["mean_elev"]))
+    return s.mean_elevation(near16(spark, sf, "TRUE")[1]).select("cloud", "q_pid", *r(["mean_elev"]))
 
 
 CURVATURE = f"""c AS (SELECT cloud, q_pid, covar_pop(x, x) AS xx, covar_pop(y, y) AS yy, covar_pop(z, z) AS zz, covar_pop(x, y) AS xy, covar_pop(x, z) AS xz, covar_pop(y, z) AS yz, count(*) AS n_near FROM near GROUP BY cloud, q_pid),
  q AS (SELECT *, (xx + yy + zz) / 3 AS q FROM c), p AS (SELECT *, sqrt((pow(xx - q, 2) + pow(yy - q, 2) + pow(zz - q, 2) + 2 * (xy * xy + xz * xz + yz * yz)) / 6) AS p FROM q),
- d AS (SELECT *, ((xx - q) * ((yy - q) * (zz - q) - yz * yz) - xy * (xy * (zz - q) - yz * xz) + xz * (xy * yz - (yy - q) * xz)) / (2 * p * p * p) AS r FROM p)
- SELECT cloud, q_pid, round(greatest(q + 2 * p * cos(acos(least(greatest(r, -1), 1)) / 3 + 2 * 3.141592653589793 / 3), 0) / (xx + yy + zz), 6) AS curvature, n_near FROM d"""
+ d AS (SELECT *, ((xx - q) * ((yy - q) * (zz - q) - yz * yz) - xy * (xy * (zz - q) - yz * xz) + xz * (xy * yz - (yy - q) * xz)) / (2 * p * p * p) AS r FROM p),
+ k AS (SELECT cloud, q_pid, greatest(q + 2 * p * cos(acos(least(greatest(r, -1), 1)) / 3 + 2 * 3.141592653589793 / 3), 0) / (xx + yy + zz) AS share, n_near FROM d)"""
 
 
-@query("n5_curvature", f"WITH {NEAR}, {CURVATURE}")
+@query("n5_curvature", f"WITH {NEAR}, {CURVATURE} SELECT cloud, q_pid, round(share, 6) AS curvature, n_near FROM k")
 def n5(spark, sf):
     return s.curvature(near16(spark, sf)[1]).select("cloud", "q_pid", *r(["curvature"]), "n_near")
 
 
-@query("n5_curvature_all", f"WITH {NEAR_ALL}, {CURVATURE}")
+@query("n5_curvature_all", f"WITH {NEAR_ALL}, {CURVATURE} SELECT cloud, q_pid, round(share, 6) AS curvature, n_near FROM k")
 def n5_all(spark, sf):
     return s.curvature(near16(spark, sf, "TRUE")[1]).select("cloud", "q_pid", *r(["curvature"]), "n_near")
 
@@ -105,9 +108,9 @@ def n5b(spark, sf):
     return s.normals(near16(spark, sf, "TRUE")[1])
 
 
-@query("n6_shallow_geom", f"WITH near AS ({knn_sql(8)}), m AS (SELECT cloud, min(z) AS z0, greatest(max(z) - min(z), 1e-6) AS dz FROM {PO} GROUP BY cloud) SELECT q_pid AS pid, round(sum(z * (z - z0) / dz) / greatest(sum((z - z0) / dz), 1e-6), 6) AS mean_elev FROM near JOIN m USING (cloud) GROUP BY cloud, q_pid")
+@query("n6_shallow_geom", f"WITH near AS ({knn_sql(8)}), {ELEVATION}, {CURVATURE}, e AS (SELECT cloud, q_pid, {MEAN_ELEV} FROM w GROUP BY cloud, q_pid) SELECT e.q_pid AS pid, mean_elev, round(share, 6) AS curvature FROM e JOIN k ON k.cloud = e.cloud AND k.q_pid = e.q_pid")
 def n6(spark, sf):
-    return s.shallow_geom(points_o(spark, sf), 8).select("pid", *r(["mean_elev"]))
+    return s.shallow_geom(points_o(spark, sf), 8).select("pid", *r(["mean_elev", "curvature"]))
 
 
 @query("n7_project_back", f"WITH k AS ({knn_sql(1, p='pid % 4 = 0')}) SELECT k.q_pid AS pid, CASE b.cls WHEN 2 THEN 1 ELSE 0 END AS label FROM k JOIN (SELECT pid, cls FROM {PO}) AS b ON b.pid = k.pid")
@@ -163,9 +166,9 @@ CENTRES = f"""b AS (SELECT cloud, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(
  n AS (SELECT cloud, row_number() OVER (PARTITION BY cloud ORDER BY i, j) AS node, x0 + i * 10 AS x, y0 + j * 10 AS y FROM b, range(10) AS a(i), range(10) AS c(j) WHERE i <= floor((x1 - x0) / 10) AND j <= floor((y1 - y0) / 10)),
  s AS (SELECT DISTINCT cloud, pid, x, y FROM (SELECT b.cloud, b.pid, b.x, b.y, row_number() OVER (PARTITION BY a.cloud, a.node ORDER BY {D2}, b.pid) AS k FROM n AS a JOIN (SELECT * FROM {PO}) AS b ON a.cloud = b.cloud) AS t WHERE k = 1),
  d0 AS (SELECT a.cloud, a.pid AS center_id, count(*) AS n FROM s AS a JOIN (SELECT * FROM {PO}) AS b ON a.cloud = b.cloud AND {D2} <= 16 GROUP BY ALL HAVING count(*) >= 20),
- m AS (SELECT cloud, (min(x) + max(x)) / 2 AS cx, (min(y) + max(y)) / 2 AS cy, count(*) AS total FROM {PO} WHERE cloud NOT IN (SELECT cloud FROM d0) GROUP BY cloud),
+ m AS (SELECT cloud, avg(x) AS cx, avg(y) AS cy, count(*) AS total FROM {PO} WHERE cloud NOT IN (SELECT cloud FROM d0) GROUP BY cloud),
  o AS (SELECT * FROM (SELECT p.cloud, p.pid, p.x, p.y, total, row_number() OVER (PARTITION BY p.cloud ORDER BY (p.x - cx) * (p.x - cx) + (p.y - cy) * (p.y - cy), p.pid) AS k FROM (SELECT * FROM {PO}) AS p JOIN m ON m.cloud = p.cloud) AS t WHERE k = 1),
- d AS (SELECT * FROM d0 UNION ALL SELECT a.cloud, a.pid, CASE WHEN any_value(total) <= 20 THEN any_value(total) ELSE count(*) END FROM o AS a JOIN (SELECT * FROM {PO}) AS b ON a.cloud = b.cloud AND {D2} <= 16 GROUP BY a.cloud, a.pid)"""
+ d AS (SELECT * FROM d0 UNION ALL SELECT a.cloud, a.pid, CASE WHEN count(*) < 20 THEN any_value(total) ELSE count(*) END FROM o AS a JOIN (SELECT * FROM {PO}) AS b ON a.cloud = b.cloud AND {D2} <= 16 GROUP BY a.cloud, a.pid)"""
 
 
 @query("a15_candidate_centres", f"WITH {CENTRES} SELECT cloud, center_id, CAST(n AS INTEGER) AS n FROM d")
@@ -179,7 +182,25 @@ def a16(spark, sf):
     return v.candidate_counts(discs.withColumn("pid", F.explode("members")), 30)
 
 
-@query("a18_neighbour_profile")
+def level_sql(src: str, dl: int) -> str:
+    """The mean points of the voxels of src, counted from each cloud's corner."""
+    cell = ", ".join(f"CAST(floor(({c} - min({c}) OVER c) / {dl}) AS BIGINT) AS v{c}" for c in "xyz")
+    return f"(SELECT cloud, vx, vy, vz, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM (SELECT cloud, x, y, z, {cell} FROM {src} WINDOW c AS (PARTITION BY cloud)) AS s GROUP BY cloud, vx, vy, vz)"
+
+
+def counts_sql(level: int, kind: str, asking: str, other: str, radius: float) -> str:
+    """Neighbours of each point of one level among those of another."""
+    return f"SELECT {level} AS level, '{kind}' AS kind, count(*) AS n FROM {asking} AS a JOIN {other} AS b ON a.cloud = b.cloud AND {D3} <= {radius * radius} GROUP BY a.cloud, a.vx, a.vy, a.vz"
+
+
+PROFILE = f"""WITH l0 AS {level_sql(PO, 1)}, l1 AS {level_sql('l0', 2)}, l2 AS {level_sql('l1', 4)},
+ n AS ({counts_sql(0, 'same', 'l0', 'l0', 2.5)} UNION ALL {counts_sql(1, 'same', 'l1', 'l1', 5.0)} UNION ALL {counts_sql(2, 'same', 'l2', 'l2', 10.0)}
+  UNION ALL {counts_sql(1, 'coarse_to_fine', 'l1', 'l0', 2.5)} UNION ALL {counts_sql(2, 'coarse_to_fine', 'l2', 'l1', 5.0)}),
+ p AS (SELECT level, kind, quantile_cont(n, 0.5) AS median_n, quantile_cont(n, 0.9) AS pct_n, max(n) AS max_n FROM n GROUP BY level, kind)
+ SELECT *, CAST(least(ceil(max(pct_n) OVER ()), 1024) AS BIGINT) AS cap_n FROM p"""
+
+
+@query("a18_neighbour_profile", PROFILE)
 def a18(spark, sf):
     return s.neighbour_profile(points_o(spark, sf), 1.0, 2.5)
 

@@ -66,9 +66,33 @@ def p8(spark, sf):
     return code.select("pid", "gx", "gy", "gz", "code", x.alias("dx"), y.alias("dy"), z.alias("dz"))
 
 
-@query("p9_hilbert")
+def hilbert_sql(bits: int) -> str:
+    """code of gx, gy, gz, one nested SELECT a step of the transform."""
+    src = f"(SELECT pid, gx, gy, gz, gx AS x, gy AS y, gz AS z FROM {GRID})"
+    keep = "pid, gx, gy, gz"
+    for b in range(bits - 1, 0, -1):
+        bit, low = 1 << b, (1 << b) - 1
+        for a in "xyz":
+            on = f"(({a} & {bit}) <> 0)"
+            swap = f"(xor(x, {a}) & {low})"
+            moved = {c: c for c in "xyz"}
+            moved["x"] = f"CASE WHEN {on} THEN xor(x, {low}) ELSE xor(x, {swap}) END"
+            if a != "x":
+                moved[a] = f"CASE WHEN {on} THEN {a} ELSE xor({a}, {swap}) END"
+            src = f"(SELECT {keep}, {', '.join(f'{v} AS {k}' for k, v in moved.items())} FROM {src} AS t)"
+    src = f"(SELECT {keep}, x, xor(x, y) AS y, xor(x, xor(y, z)) AS z FROM {src} AS t)"
+    flip = "0"
+    for b in range(bits - 1, 0, -1):
+        flip = f"xor({flip}, CASE WHEN (z & {1 << b}) <> 0 THEN {(1 << b) - 1} ELSE 0 END)"
+    src = f"(SELECT {keep}, xor(x, t) AS x, xor(y, t) AS y, xor(z, t) AS z FROM (SELECT *, {flip} AS t FROM {src} AS f) AS t)"
+    return f"SELECT {keep}, {morton_sql('x', 'y', 'z', bits)} AS code, gx AS dx, gy AS dy, gz AS dz FROM {src} AS h"
+
+
+@query("p9_hilbert", hilbert_sql(6))
 def p9(spark, sf):
-    return grid(spark, sf).select("pid", "gx", "gy", "gz", p.hilbert_encode(F.col("gx"), F.col("gy"), F.col("gz"), 6).alias("code"))
+    code = grid(spark, sf).withColumn("code", p.hilbert_encode(F.col("gx"), F.col("gy"), F.col("gz"), 6))
+    back = p.hilbert_decode(F.col("code"), 6)
+    return code.select("pid", "gx", "gy", "gz", "code", back["x"].alias("dx"), back["y"].alias("dy"), back["z"].alias("dz"))
 
 
 @query("p10_serialize", f"SELECT pid, {morton_sql('gx', 'gy', 'gz', 8)} AS code_z, {morton_sql('gy', 'gx', 'gz', 8)} AS code_z_trans FROM {GRID}")
@@ -206,13 +230,24 @@ def c11(spark, sf):
     return c.match_extent(boxes.filter("tile_year = 2011"), boxes.filter("tile_year = 2010").withColumnRenamed("tile_id", "raster_id"), 100.0, "tile_id", "raster_id")
 
 
-@query("c12_plan_round_robin")
+#: The round-robin plan, a tile a step: whether the chunk of a tile is stopped, the pass took anything, and what is left.
+ROUND_ROBIN = f"""WITH RECURSIVE n AS (SELECT area, tile_id, size, dense_rank() OVER (PARTITION BY area ORDER BY survey) AS pair_rank, row_number() OVER (PARTITION BY survey ORDER BY tile_id) AS position FROM {NAMED} WHERE start_year IS NOT NULL),
+ o AS (SELECT row_number() OVER (ORDER BY (position - 1) // 6, pair_rank, area, position, tile_id, size) AS i, CAST((position - 1) // 6 AS BIGINT) AS visit, area || ':' || pair_rank || ':' || (position - 1) // 6 AS chunk, tile_id, size FROM n),
+ s(i, left_over, stopped, visit, took, ended, tile) AS (SELECT CAST(0 AS BIGINT), CAST(500000 AS BIGINT), '', CAST(-1 AS BIGINT), TRUE, FALSE, CAST(NULL AS VARCHAR)
+  UNION ALL SELECT i, CASE WHEN fits THEN left_over - size ELSE left_over END, CASE WHEN NOT fits AND NOT done THEN chunk ELSE stopped END, visit, fits OR (took AND NOT turned), done, CASE WHEN fits THEN CAST(tile_id AS VARCHAR) END FROM (
+   SELECT *, NOT done AND stopped <> chunk AND size <= left_over AS fits FROM (SELECT o.i, s.left_over, s.stopped, o.visit, s.took, o.visit <> s.visit AS turned, s.ended OR (o.visit <> s.visit AND NOT s.took) AS done, o.chunk, o.tile_id, o.size FROM s JOIN o ON o.i = s.i + 1) AS a) AS b)
+ SELECT CAST(row_number() OVER (ORDER BY i) - 1 AS INTEGER) AS pick, tile FROM s WHERE tile IS NOT NULL"""
+
+
+@query("c12_plan_round_robin", ROUND_ROBIN)
 def c12(spark, sf):
     rows = named(spark, sf).filter("start_year IS NOT NULL").select("area", F.dense_rank().over(c.Window.partitionBy("area").orderBy("survey")).alias("pair_rank"), F.row_number().over(c.Window.partitionBy("survey").orderBy("tile_id")).alias("position"), F.col("tile_id").alias("tile"), "size")
     return c.plan_round_robin(rows, 500_000)
 
 
-@query("c13_plan_first_fit")
+@query("c13_plan_first_fit", f"""WITH RECURSIVE o AS (SELECT tile_id, size, row_number() OVER (ORDER BY md5(concat('4:', tile_id)), CAST(tile_id AS VARCHAR)) AS i FROM {CAT}), s(i, left_over, tile, size) AS (SELECT CAST(0 AS BIGINT), CAST(300000 AS BIGINT), CAST(NULL AS VARCHAR), CAST(0 AS BIGINT)
+  UNION ALL SELECT o.i, CASE WHEN o.size <= left_over THEN left_over - o.size ELSE left_over END, CASE WHEN o.size <= left_over THEN CAST(tile_id AS VARCHAR) END, CAST(o.size AS BIGINT) FROM s JOIN o ON o.i = s.i + 1)
+ SELECT tile, size FROM s WHERE tile IS NOT NULL""")
 def c13(spark, sf):
     return c.plan_first_fit(catalog(spark, sf).select(F.col("tile_id").alias("tile"), "size"), 300_000, 4)
 

@@ -41,7 +41,7 @@ def b3(spark, sf):
     return s.fixed_subset(points_o(spark, sf), 500, "seed").select("pid")
 
 
-@query("b3_uniform_draws")
+@query("b3_uniform_draws", f"WITH i AS (SELECT pid, row_number() OVER (ORDER BY pid) - 1 AS k, count(*) OVER () AS n FROM {PO}), d AS (SELECT draw, {u_sql('seed', 'draw')} AS u FROM range(2000) AS t(draw)) SELECT draw, pid FROM d JOIN i ON k = CAST(floor(u * n) AS BIGINT)")
 def b3b(spark, sf):
     return s.uniform_draws(points_o(spark, sf), 2000, "seed")
 
@@ -51,7 +51,9 @@ def b4(spark, sf):
     return s.even_subset(points_o(spark, sf), 40).select("pid", "cloud")
 
 
-@query("b5_pack_batches")
+@query("b5_pack_batches", f"""WITH RECURSIVE o AS (SELECT survey_year AS shard, cloud AS item, count(*) AS n, row_number() OVER (PARTITION BY survey_year ORDER BY cloud) AS i FROM {PL} GROUP BY survey_year, cloud),
+ s AS (SELECT shard, item, n, i, n AS used, CAST(0 AS BIGINT) AS batch FROM o WHERE i = 1 UNION ALL SELECT o.shard, o.item, o.n, o.i, CASE WHEN s.used + o.n > 2500 THEN o.n ELSE s.used + o.n END, CASE WHEN s.used + o.n > 2500 THEN s.batch + 1 ELSE s.batch END FROM s JOIN o ON o.shard = s.shard AND o.i = s.i + 1)
+ SELECT shard, item, n, batch FROM s""")
 def b5(spark, sf):
     items = points_l(spark, sf).groupBy("survey_year", "cloud").agg(F.count("*").alias("n")).select(F.col("survey_year").alias("shard"), F.col("cloud").alias("item"), "n")
     return s.pack_batches(items, 2500)
@@ -85,27 +87,58 @@ def g2(spark, sf):
     return s.augment_tilt(rows, s.tilt_params(rows.select("cloud").distinct(), "t")).select("pid", *r("xyz"))
 
 
-@query("g3_augment_jitter")
+def gauss_sql(seed: str, *cols: str) -> str:
+    return f"sqrt(-2 * ln(1 - {u_sql(seed + '/1', *cols)})) * cos(6.283185307179586 * {u_sql(seed + '/2', *cols)})"
+
+
+JITTER = ", ".join(f"round({c} + least(greatest({gauss_sql(f'j/{c}', 'pid')} * 0.01, -0.02), 0.02), 6) AS {c}" for c in "xyz")
+
+
+@query("g3_augment_jitter", f"SELECT pid, {JITTER} FROM {PO}")
 def g3(spark, sf):
-    return s.augment_jitter(points_o(spark, sf), 0.01, 0.05, "j").select("pid", *"xyz")
+    return s.augment_jitter(points_o(spark, sf), 0.01, 0.02, "j").select("pid", *r("xyz"))
+
+
+def blur_sql(n: int, axis: str, others: str) -> str:
+    return f"b{n + 1} AS (SELECT cloud, ix, iy, iz, " + ", ".join(f"sum(n{c}) OVER w / 3 AS n{c}" for c in "xyz") + f" FROM b{n} WINDOW w AS (PARTITION BY cloud, {others} ORDER BY {axis} ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING))"
 
 
-@query("g4_augment_elastic")
+BLURS = ", ".join(blur_sql(n, axis, others) for n, (axis, others) in enumerate((("ix", "iy, iz"), ("iy", "ix, iz"), ("iz", "ix, iy")) * 2))
+
+
+def elastic_sql(gran: float, mag: float, most: int = 128) -> str:
+    """The grid starts a node before the corner; its spacing is wider than gran where an axis would have more than `most` nodes."""
+    part = lambda c, d: f"CASE {d} WHEN 1 THEN f{c} - floor(f{c}) ELSE 1 - f{c} + floor(f{c}) END"
+    return f"""WITH e AS (SELECT cloud, min(x) AS lx, min(y) AS ly, min(z) AS lz, max(x) - min(x) AS ex, max(y) - min(y) AS ey, max(z) - min(z) AS ez FROM {PO} GROUP BY cloud),
+ g AS (SELECT *, greatest({gran}, greatest(ex, ey, ez) / {most - 3}) AS g FROM e),
+ b0 AS (SELECT cloud, ix, iy, iz, {', '.join(f"{gauss_sql(f'e/{c}', 'cloud', 'ix', 'iy', 'iz')} AS n{c}" for c in 'xyz')} FROM g, range({most}) AS a(ix), range({most}) AS b(iy), range({most}) AS c(iz) WHERE ix < floor(ex / g) + 3 AND iy < floor(ey / g) + 3 AND iz < floor(ez / g) + 3),
+ {BLURS},
+ f AS (SELECT pid, p.cloud, x, y, z, (x - lx) / g + 1 AS fx, (y - ly) / g + 1 AS fy, (z - lz) / g + 1 AS fz FROM {PO.replace(' AS po', ' AS p')} JOIN g ON g.cloud = p.cloud),
+ m AS (SELECT pid, {', '.join(f"sum({part('x', 'dx')} * {part('y', 'dy')} * {part('z', 'dz')} * n{c}) AS m{c}" for c in 'xyz').replace('CASE', '(CASE').replace('END', 'END)')} FROM f, range(2) AS a(dx), range(2) AS b(dy), range(2) AS c(dz), b6 WHERE b6.cloud = f.cloud AND ix = floor(fx) + dx AND iy = floor(fy) + dy AND iz = floor(fz) + dz GROUP BY pid)
+ SELECT f.pid, {', '.join(f"round({c} + {mag} * m{c}, 6) AS {c}" for c in 'xyz')} FROM f JOIN m ON m.pid = f.pid"""
+
+
+@query("g4_augment_elastic", elastic_sql(8.0, 0.4))
 def g4(spark, sf):
-    return s.augment_elastic(points_o(spark, sf), 8.0, 0.4, "e").select("pid", *"xyz")
+    return s.augment_elastic(points_o(spark, sf), 8.0, 0.4, "e").select("pid", *r("xyz"))
+
+
+@query("g4_augment_elastic_coarsened", elastic_sql(0.4, 0.4, 16))
+def g4_coarse(spark, sf):
+    return s.augment_elastic(points_o(spark, sf), 0.4, 0.4, "e", 16).select("pid", *r("xyz"))
 
 
 WARP_CELLS = f"(SELECT CAST(substr(cloud, 4) AS INTEGER) AS patch_id, CAST(floor(y / 6) AS BIGINT) AS row, CAST(floor(x / 6) AS BIGINT) AS col, max(z) AS dtm, max(z) AS dsm, min(z) AS ndsm FROM {PO} GROUP BY ALL) AS wc"
 
 
-@query("g5_warp_patch", f"""WITH c AS (SELECT * FROM {WARP_CELLS}), a AS (SELECT patch_id, row, col, least(greatest(4.5 + (cos(0.3) * (col - 4.5) + sin(0.3) * (row - 4.5)) / 1.1, 0), 9) AS fx, least(greatest(4.5 + (cos(0.3) * (row - 4.5) - sin(0.3) * (col - 4.5)) / 1.1, 0), 9) AS fy FROM c),
+@query("g5_warp_patch", f"""WITH c AS (SELECT * FROM {WARP_CELLS}), a AS (SELECT patch_id, row, col, least(greatest(4.5 - (cos(0.3) * (col - 4.5) + sin(0.3) * (row - 4.5)) / 1.1, 0), 9) AS fx, least(greatest(4.5 + (cos(0.3) * (row - 4.5) - sin(0.3) * (col - 4.5)) / 0.9, 0), 9) AS fy FROM c),
  k AS (SELECT patch_id, row, col, least(CAST(floor(fy) AS BIGINT) + i, 9) AS r, least(CAST(floor(fx) AS BIGINT) + j, 9) AS c, (CASE i WHEN 1 THEN fy - floor(fy) ELSE 1 - fy + floor(fy) END) * (CASE j WHEN 1 THEN fx - floor(fx) ELSE 1 - fx + floor(fx) END) AS w FROM a, range(2) AS p(i), range(2) AS q(j))
- SELECT k.patch_id, k.row, k.col, round(sum(w * c.dtm) * 2, 6) AS dtm, round(sum(w * c.ndsm) * 2, 6) AS ndsm FROM k JOIN c ON c.patch_id = k.patch_id AND c.row = k.r AND c.col = k.c GROUP BY k.patch_id, k.row, k.col""")
+ SELECT k.patch_id, k.row, k.col, round(sum(w * c.dtm) * 2, 6) AS dtm, round(sum(w * c.ndsm), 6) AS ndsm FROM k JOIN c ON c.patch_id = k.patch_id AND c.row = k.r AND c.col = k.c GROUP BY k.patch_id, k.row, k.col""")
 def g5(spark, sf):
     rows = points_o(spark, sf)
     patch = rows.groupBy(F.substring("cloud", 4, 4).cast("int").alias("patch_id"), F.floor(F.col("y") / 6).alias("row"), F.floor(F.col("x") / 6).alias("col")).agg(F.max("z").alias("dtm"), F.max("z").alias("dsm"), F.min("z").alias("ndsm"))
-    params = patch.select("patch_id").distinct().withColumns({"angle": F.lit(0.3), "scale": F.lit(1.1), "sz": F.lit(2.0)})
-    return s.warp_patch(patch, 10, params).select("patch_id", "row", "col", *r(["dtm", "ndsm"]))
+    params = patch.select("patch_id").distinct().withColumns({"angle": F.lit(0.3), "sx": F.lit(1.1), "sy": F.lit(0.9), "fx": F.lit(-1.0), "fy": F.lit(1.0), "sz": F.lit(2.0)})
+    return s.warp_patch(patch, 10, params, ("dtm",), plain=("ndsm",)).select("patch_id", "row", "col", *r(["dtm", "ndsm"]))
 
 
 @query("g6_random_dropout", f"WITH d AS (SELECT pid, cloud, {u_sql('d/cloud', 'cloud')} < 0.6 AND {u_sql('d/point', 'pid')} < 0.3 AS gone FROM {PO}), k AS (SELECT *, count(*) FILTER (NOT gone) OVER (PARTITION BY cloud) AS n FROM d) SELECT pid FROM k WHERE NOT gone OR n < 1500")

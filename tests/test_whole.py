@@ -56,7 +56,7 @@ def test_farthest_points_of_the_centres_by_brute_force(spark, sf):
         xyz, d, at = np.array([p[2:] for p in g]), np.full(len(g), np.inf), 0
         for k in range(min(64, len(g))):
             want[cloud, k] = g[at]["pid"]
-            d = np.minimum(d, ((xyz - xyz[at]) ** 2).sum(1))
+            d = np.minimum(d, ((xyz - xyz[at])[:, :2] ** 2).sum(1))
             d[at] = -1
             at = int(d.argmax())
     assert got == want
