@@ -5,16 +5,38 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
-    """df as a Parquet table in the session's checkpoint folder; a local one only where none is set."""
+    """df as a Parquet table in the session's checkpoint folder; a local one where none is set and all run on one machine."""
     spark = df.sparkSession
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = tempfile.mkdtemp(prefix="spark-terraframe-")
         spark.conf.set("spark.checkpoint.dir", where)
     path = f"{where.rstrip('/')}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def running(rows: DataFrame, by: tuple[str, ...] | list[str], order: list[str | Column], label: str, **values: Column) -> DataFrame:
+    """rows with, under each name of values, the sum of that value over the rows before it in its group, and under <name>_all over the whole group.
+
+    Two levels: a range sort by group and order cuts the rows into even parts, however large a group is; each part
+    sums its own rows and adds what the group has in the parts before. Those offsets are at most a row a part and
+    a group, and are broadcast.
+    """
+    own = {f"_v_{k}": v for k, v in values.items()}
+    ranged = written(rows.withColumns(own).repartitionByRange(*by, *order).withColumn("_part", F.spark_partition_id()), label)
+    sums = ranged.groupBy(*by, "_part").agg(*[F.sum(v).alias(v) for v in own])
+    group = Window.partitionBy(*by)
+    before = group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    offsets = sums.select(*by, "_part", *[zero(F.sum(v).over(before)).alias(f"_o{v}") for v in own], *[F.sum(f"_v_{k}").over(group).alias(f"{k}_all") for k in values])
+    inside = Window.partitionBy(*by, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = ranged.withColumns({f"_s{v}": zero(F.sum(v).over(inside)) for v in own}).join(F.broadcast(offsets), [*by, "_part"])
+    return out.withColumns({k: F.col(f"_o_v_{k}") + F.col(f"_s_v_{k}") for k in values}).select(*rows.columns, *values, *[f"{k}_all" for k in values])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terraframe.functions.tables import written
+from terraframe.functions.tables import running, written
 
 
 def _first(col: Column, pattern: str, group: int = 1) -> Column:
@@ -168,8 +168,9 @@ def plan_first_fit(df: DataFrame, budget: int, seed: int = 0) -> DataFrame:
 
 def plan_prefix(df: DataFrame, budget: int, seed: int = 0) -> DataFrame:
     """tile, size of the longest prefix, in MD5 order, within the budget."""
-    w = Window.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col("tile").cast("string"))), "tile").rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("total", F.sum("size").over(w)).filter(F.col("total") <= budget).select("tile", "size", "total")
+    keyed = df.select("tile", "size", F.md5(F.concat(F.lit(f"{seed}:"), F.col("tile").cast("string"))).alias("_k"))
+    upto = running(keyed, (), ["_k", "tile"], "plan", _before=F.col("size")).withColumn("total", F.col("_before") + F.col("size"))
+    return upto.filter(F.col("total") <= budget).select("tile", "size", "total")
 
 
 def plan_dem_pairs(df: DataFrame, budget: int, first: int = 8) -> DataFrame:
@@ -180,8 +181,8 @@ def plan_dem_pairs(df: DataFrame, budget: int, first: int = 8) -> DataFrame:
     tiles = pairs.join(df.withColumnRenamed("start_year", "prev_year"), ["area", "prev_year"])
     place = F.row_number().over(Window.partitionBy("area", "cur_year").orderBy("tile_id"))
     kept = tiles.withColumn("_k", place).filter(F.col("_k") <= first)
-    run = Window.orderBy("area", "cur_year", "_k").rowsBetween(Window.unboundedPreceding, 0)
-    return kept.withColumn("total", F.sum("size").over(run)).filter(F.col("total") <= budget).select("area", "cur_year", "prev_year", "tile_id", "size", "total")
+    upto = running(kept, (), ["area", "cur_year", "_k"], "plan", _before=F.col("size")).withColumn("total", F.col("_before") + F.col("size"))
+    return upto.filter(F.col("total") <= budget).select("area", "cur_year", "prev_year", "tile_id", "size", "total")
 
 
 def year_from_collection(df: DataFrame, json_col: str, name_col: str) -> DataFrame:
@@ -234,7 +235,7 @@ def grid_components(tiles: DataFrame) -> DataFrame:
     cells = written(cells.join(step("e"), "region").join(step("n"), "region"), "grid-cells")
     offsets = F.array(*[F.struct(F.lit(a).alias("de"), F.lit(b).alias("dn")) for a, b in ((1, 0), (-1, 0), (0, 1), (0, -1))])
     ends = cells.select("region", "_id", F.explode(offsets).alias("o"), "e", "n", "step_e", "step_n").select("region", "_id", (F.col("e") + F.col("o.de") * F.col("step_e")).alias("e"), (F.col("n") + F.col("o.dn") * F.col("step_n")).alias("n"))
-    edges = written(ends.join(cells.select("region", "e", "n", F.col("_id").alias("_to")), ["region", "e", "n"]).select("region", "_id", "_to"), "grid-edges")
+    edges = written(ends.join(cells.select("region", "e", "n", F.col("_id").alias("_to")).hint("shuffle_merge"), ["region", "e", "n"]).select("region", "_id", "_to"), "grid-edges")
     labels = written(cells.select("region", "_id", F.col("_id").alias("label")), "grid-labels")
     while True:
         near = edges.join(labels.select("region", F.col("_id").alias("_to"), F.col("label").alias("_near")), ["region", "_to"]).groupBy("region", "_id").agg(F.min("_near").alias("_near"))

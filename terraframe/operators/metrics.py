@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from terraframe.functions.tables import running
 from terraframe.operators.project import BY, IGNORE_LABEL
 
 EPS = 1e-8
@@ -77,7 +78,7 @@ def dtm_errors(df: DataFrame, res: float = 1.0, pred: str = "pred", label: str =
         true, made = (_tin(rows, c, res, n, by, block, halo) for c, n in ((is_true, "z_true"), (is_pred, "z_pred")))
     else:
         true, made = (_surface(rows, c, res, n, by) for c, n in ((is_true, "z_true"), (is_pred, "z_pred")))
-    return true.join(made, [*by, "row", "col"]).withColumn("error", F.col("z_pred") - F.col("z_true"))
+    return true.join(made.hint("shuffle_merge"), [*by, "row", "col"]).withColumn("error", F.col("z_pred") - F.col("z_true"))
 
 
 def dtm_rmse(df: DataFrame, res: float = 1.0, pred: str = "pred", label: str = "label", by=BY, surface: str = "cell") -> DataFrame:
@@ -100,13 +101,12 @@ def lovasz(df: DataFrame, p: str = "p_ground", label: str = "label", ignore: int
     """
     rows = df.filter(F.col(label) != ignore)
     classes = rows.select(*by, "pid", F.explode(F.array(*[F.struct(F.lit(c).alias("cls"), (F.col(label) == c).cast("double").alias("fg"), F.abs((F.col(label) == c).cast("double") - (F.col(p) if c == 1 else 1 - F.col(p))).alias("err")) for c in (0, 1)])).alias("c")).select(*by, "pid", "c.cls", "c.fg", "c.err")
-    w = Window.partitionBy(*by, "cls").orderBy(F.desc("err"), "pid")
-    run = w.rowsBetween(Window.unboundedPreceding, 0)
-    total = F.sum("fg").over(Window.partitionBy(*by, "cls"))
-    jac = classes.withColumns({"_total": total, "_hit": F.sum("fg").over(run), "_k": F.row_number().over(w)})
-    jac = jac.withColumn("_j", 1 - (F.col("_total") - F.col("_hit")) / (F.col("_total") + F.col("_k") - F.col("_hit")))
-    step = F.col("_j") - F.coalesce(F.lag("_j").over(w), F.lit(0.0))
-    per = jac.filter("_total > 0").withColumn("_s", step).groupBy(*by, "cls").agg(F.sum(F.col("err") * F.col("_s")).alias("loss"))
+    # the loss after k errors with h hits is 1 - (total - h) / (total + k - h); a row's step is that with it less that without it
+    before = running(classes, (*by, "cls"), [F.desc("err"), "pid"], "errors", _hit=F.col("fg"), _k=F.lit(1).cast("long")).filter("_hit_all > 0")
+    total = F.col("_hit_all")
+    loss = lambda h, k: 1 - (total - h) / (total + k - h)
+    step = loss(F.col("_hit") + F.col("fg"), F.col("_k") + 1) - loss(F.col("_hit"), F.col("_k"))
+    per = before.groupBy(*by, "cls").agg(F.sum(F.col("err") * step).alias("loss"))
     return per.groupBy(*by).agg(F.avg("loss").alias("lovasz"))
 
 
@@ -167,7 +167,7 @@ def profile(df: DataFrame, band: float = 0.06, bins: int = 80, pct: float = 0.3,
     at = F.least(F.floor((F.col("x") - F.col("_x0")) / width), F.lit(bins - 1).cast("long"))
     line = inside.groupBy(*by, at.alias("bin")).agg(F.percentile("z", F.lit(pct)).alias("_z"), F.count("*").alias("n"))
     every = df.select(*by).distinct().withColumn("bin", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(bins - 1).cast("long"))))
-    full = every.join(line, [*by, "bin"], "left")
+    full = every.join(line.hint("shuffle_merge"), [*by, "bin"], "left")
     w = Window.partitionBy(*by).orderBy("bin")
     back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
     seen = F.when(F.col("_z").isNotNull(), F.col("bin"))

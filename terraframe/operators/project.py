@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from terraframe.functions.tables import running
+
 GROUND, NOISE, UNCLASSIFIED = (2, 9), (7, 18), (0, 1)
 IGNORE_LABEL = 2
 BY = ("cloud",)
@@ -209,15 +211,17 @@ def serialize(df: DataFrame, orders=("z", "z-trans"), depth: int = 16) -> DataFr
 
 def order_rank(df: DataFrame, code: str, by=BY) -> DataFrame:
     """rank_<code>: place in curve order within the cloud, from 0."""
-    return df.withColumn(f"rank_{code}", (F.row_number().over(Window.partitionBy(*by).orderBy(code, "pid")) - 1).cast("long"))
+    name = f"rank_{code}"
+    return running(df.drop(name), by, [code, "pid"], "ranks", **{name: F.lit(1).cast("long")}).drop(f"{name}_all")
 
 
 def order_variants(df: DataFrame, rank: str, by=BY) -> DataFrame:
     """rank reversed, stride-2 interleaved (evens then odds), and that reversed; each a permutation of the cloud's ranks."""
-    n, r = F.count("*").over(Window.partitionBy(*by)), F.col(rank)
+    n, r = F.col("_n"), F.col(rank)
     half = F.floor((n + 1) / 2)
     inter = F.when(r % 2 == 0, F.floor(r / 2)).otherwise(half + F.floor(r / 2))
-    return df.withColumns({"rank_reversed": n - 1 - r, "rank_stride": inter, "rank_stride_reversed": n - 1 - inter})
+    sized = df.join(df.groupBy(*by).agg(F.count("*").alias("_n")), list(by))
+    return sized.withColumns({"rank_reversed": n - 1 - r, "rank_stride": inter, "rank_stride_reversed": n - 1 - inter}).drop("_n")
 
 
 def window_encoding(df: DataFrame, w: int = 16) -> DataFrame:

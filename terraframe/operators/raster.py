@@ -46,15 +46,15 @@ def fill_nearest(cells: DataFrame, frame: DataFrame, col: str = "value", by=BY)
 
     A raster without any value stays empty.
     """
-    full = dense(frame, by).join(cells.select(*by, "row", "col", col), [*by, "row", "col"], "left")
+    full = dense(frame, by).join(cells.select(*by, "row", "col", col).hint("shuffle_merge"), [*by, "row", "col"], "left")
     width = F.max("w").over(Window.partitionBy())
     ident = frame.withColumn("_w", width).select(*by, "_w")
-    keyed = full.join(ident, list(by)).withColumns({"pid": F.col("row") * F.col("_w") + F.col("col"), "x": F.col("col").cast("double"), "y": F.col("row").cast("double")})
+    keyed = full.join(ident.hint("shuffle_merge"), list(by)).withColumns({"pid": F.col("row") * F.col("_w") + F.col("col"), "x": F.col("col").cast("double"), "y": F.col("row").cast("double")})
     known = keyed.filter(F.col(col).isNotNull()).select(*by, "pid", "x", "y", col)
     empty = keyed.filter(F.col(col).isNull())
     some = known.select(*by).distinct()
     hit = knn_join(empty.join(some, list(by), "left_semi").select(*by, "pid", "x", "y"), known, 1, 2, cell=4.0, by=by).select(*by, F.col("q_pid").alias("pid"), F.col(col).alias("_near"))
-    filled = empty.select(*by, "row", "col", "pid").join(hit, [*by, "pid"], "left").select(*by, "row", "col", F.col("_near").alias(col))
+    filled = empty.select(*by, "row", "col", "pid").join(hit.hint("shuffle_merge"), [*by, "pid"], "left").select(*by, "row", "col", F.col("_near").alias(col))
     return keyed.filter(F.col(col).isNotNull()).select(*by, "row", "col", col).unionByName(filled)
 
 
@@ -65,7 +65,7 @@ def build_prior(df: DataFrame, res: float = 1.0, ground: Column | None = None, b
     cells = placed(df.withColumn("_g", ground), frame, res, by).groupBy(*by, "row", "col").agg(
         F.avg(F.when(F.col("_g"), F.col("z"))).alias("dtm"), F.max("z").alias("dsm"), (F.count_if(F.col("_g")) / F.count("*")).alias("gprob"),
     )
-    both = fill_nearest(cells, frame, "dtm", by).join(fill_nearest(cells, frame, "dsm", by), [*by, "row", "col"]).join(cells.select(*by, "row", "col", "gprob"), [*by, "row", "col"], "left")
+    both = fill_nearest(cells, frame, "dtm", by).join(fill_nearest(cells, frame, "dsm", by).hint("shuffle_merge"), [*by, "row", "col"]).join(cells.select(*by, "row", "col", "gprob").hint("shuffle_merge"), [*by, "row", "col"], "left")
     return both.select(*by, "row", "col", "dtm", "dsm", F.greatest(F.col("dsm") - F.col("dtm"), F.lit(0.0)).alias("ndsm"), F.coalesce("gprob", F.lit(0.0)).alias("gprob"), F.when(F.col("gprob").isNotNull(), 1.0).otherwise(0.0).alias("cover"))
 
 
@@ -74,7 +74,7 @@ def prior_from_grid(cells: DataFrame, frame: DataFrame, nodata: float, by=BY) ->
     v = F.when((F.col("value") != nodata) & ~F.isnan("value"), F.col("value"))
     clean = cells.withColumn("value", v).filter("value IS NOT NULL")
     cover = clean.select(*by, "row", "col", F.lit(1.0).alias("_c"))
-    filled = fill_nearest(clean, frame, "value", by).join(cover, [*by, "row", "col"], "left")
+    filled = fill_nearest(clean, frame, "value", by).join(cover.hint("shuffle_merge"), [*by, "row", "col"], "left")
     h, c = F.coalesce("value", F.lit(0.0)), F.coalesce("_c", F.lit(0.0))
     return filled.select(*by, "row", "col", h.alias("dtm"), h.alias("dsm"), F.lit(0.0).alias("ndsm"), c.alias("gprob"), c.alias("cover"))
 
@@ -165,7 +165,7 @@ def resample_patch(cells: DataFrame, frame: DataFrame, res: float, patches: Data
     nodes = patches.withColumn("py", F.explode(grid)).withColumn("px", F.explode(grid)).withColumns({"x": node("x0", "px"), "y": node("y0", "py")})
     nodes = nodes.withColumn("pid", (F.col("patch_id") * size + F.col("py")) * size + F.col("px"))
     got = sample_bilinear(nodes.select(*by, "pid", "x", "y"), cells, frame, res, list(BANDS), "", by).drop("x", "y")
-    out = nodes.join(got, [*by, "pid"], "left")
+    out = nodes.join(got.hint("shuffle_merge"), [*by, "pid"], "left")
     less = {b: F.coalesce(F.col(b) - F.col("z0") if b in ("dtm", "dsm") else F.col(b), F.lit(0.0)) for b in BANDS}
     return out.select(*by, "patch_id", "py", "px", *[v.alias(k) for k, v in less.items()])
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terraframe.functions.tables import written
+from terraframe.functions.tables import running, written
 from terraframe.operators.project import BY
 
 
@@ -59,11 +59,10 @@ def fixed_subset(df: DataFrame, n: int, seed: str, item: str = "pid") -> DataFra
 
 def even_subset(df: DataFrame, n: int, item: str = "pid", by=BY) -> DataFrame:
     """At most n rows of each cloud at evenly spaced places, rounded half to even."""
-    w = Window.partitionBy(*by)
-    rows = df.withColumns({"_p": F.row_number().over(w.orderBy(item)) - 1, "_n": F.count("*").over(w)})
-    places = rows.groupBy(*by).agg(F.first("_n").alias("_n")).withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    wanted = places.select(*by, F.bround(F.col("_i") * (F.col("_n") - 1) / max(n - 1, 1), 0).cast("int").alias("_p")).distinct()
-    return rows.join(wanted, [*by, "_p"], "left_semi").drop("_p", "_n")
+    rows = running(df, by, [item], "places", _p=F.lit(1).cast("long"))
+    places = rows.groupBy(*by).agg(F.first("_p_all").alias("_n")).withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    wanted = places.select(*by, F.bround(F.col("_i") * (F.col("_n") - 1) / max(n - 1, 1), 0).cast("long").alias("_p")).distinct()
+    return rows.join(wanted.hint("shuffle_merge"), [*by, "_p"], "left_semi").drop("_p", "_p_all")
 
 
 def pack_batches(df: DataFrame, limit: int, shard: str = "shard", item: str = "item", size: str = "n") -> DataFrame:
@@ -87,9 +86,8 @@ def mix_pairs(clouds: DataFrame, by=BY) -> DataFrame:
 
 def stride_sample(df: DataFrame, cap: int = 200_000, item: str = "pid", by=BY) -> DataFrame:
     """Every max(1, n // cap)-th row of each cloud."""
-    w = Window.partitionBy(*by)
-    step = F.greatest(F.floor(F.count("*").over(w) / cap), F.lit(1).cast("long"))
-    return df.withColumns({"_p": F.row_number().over(w.orderBy(item)) - 1, "_s": step}).filter(F.col("_p") % F.col("_s") == 0).drop("_p", "_s")
+    step = F.greatest(F.floor(F.col("_p_all") / cap), F.lit(1).cast("long"))
+    return running(df, by, [item], "places", _p=F.lit(1).cast("long")).filter(F.col("_p") % step == 0).drop("_p", "_p_all")
 
 
 # augmentation

@@ -308,4 +308,4 @@ def neighbour_profile(df: DataFrame, dl: float, r: float, levels: int = 3, growt
 def hole_mask(nodes: DataFrame, points: DataFrame, limit: float, qid: str = "node", by=BY) -> DataFrame:
     """nodes with hole: whether the nearest point is farther than limit."""
     hit = knn_join(nodes, points.select(*by, "pid", "x", "y"), 1, 2, qid=qid, by=by).select(*by, F.col(f"q_{qid}").alias(qid), "d2")
-    return nodes.join(hit, [*by, qid]).withColumn("hole", F.col("d2") > limit * limit).drop("d2")
+    return nodes.join(hit.hint("shuffle_merge"), [*by, qid]).withColumn("hole", F.col("d2") > limit * limit).drop("d2")

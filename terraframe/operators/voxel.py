@@ -18,17 +18,15 @@ def voxel_key(by=BY) -> list[str]:
     return [*by, "vx", "vy", "vz"]
 
 
-def _majority(votes: DataFrame, keys: list[str], label: str) -> DataFrame:
-    """The label with most rows of each key, ties to the lowest; counts are combined before they move."""
-    counts = votes.groupBy(*keys, label).agg(F.count("*").alias("_n"))
-    return counts.groupBy(*keys).agg(F.min_by(label, F.struct((-F.col("_n")).alias("n"), F.col(label).alias("l"))).alias(label))
-
-
 def voxel_downsample(df: DataFrame, dl: float, feats: list[str] = (), label: str | None = "label", by=BY) -> DataFrame:
     """One row a voxel: mean coordinates and features, number of points, and the majority label, ignore counted as a class."""
-    placed, keys = voxel_assign(df, dl, by), voxel_key(by)
-    out = placed.groupBy(*keys).agg(*[F.avg(c).alias(c) for c in ("x", "y", "z", *feats)], F.count("*").alias("n_points"))
-    return out.join(_majority(placed, keys, label), keys) if label else out
+    placed, keys, means = voxel_assign(df, dl, by), voxel_key(by), ("x", "y", "z", *feats)
+    if not label:
+        return placed.groupBy(*keys).agg(*[F.avg(c).alias(c) for c in means], F.count("*").alias("n_points"))
+    # sums per voxel and label, then these few rows per voxel
+    parts = placed.groupBy(*keys, label).agg(*[F.sum(c).alias(f"_s_{c}") for c in means], *[F.count(c).alias(f"_n_{c}") for c in means], F.count("*").alias("_n"))
+    first = F.struct((-F.col("_n")).alias("n"), F.col(label).alias("l"))
+    return parts.groupBy(*keys).agg(*[(F.sum(f"_s_{c}") / F.sum(f"_n_{c}")).alias(c) for c in means], F.sum("_n").alias("n_points"), F.min_by(label, first).alias(label))
 
 
 def voxel_majority(df: DataFrame, dl: float, label: str = "label", ignore: int = IGNORE_LABEL, by=BY) -> DataFrame:
