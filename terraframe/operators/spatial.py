@@ -54,15 +54,15 @@ def knn_join(q: DataFrame, p: DataFrame, k: int, dims: int = 3, cell: float | No
     sizes = p.groupBy(*by).agg(*[F.min(a).alias(f"_lo{a}") for a in axes], *[F.max(a).alias(f"_hi{a}") for a in axes])
     todo = written(q.select(F.col(qid), *by, *axes).join(sizes, list(by)), "knn-queries")
     keys = [*by, *[f"_c{a}" for a in axes]]
-    need = k + 1 if exclude_self else k
     found = None
     while True:
         asked = _asking(todo, cell, 1, dims)
         for b in by:
             asked = asked.withColumnRenamed(f"q_{b}", b)
         pairs = _cells(p, cell, dims).hint("shuffle_merge").join(asked, keys).withColumn("d2", distance2(dims))
+        pairs = pairs.filter(F.col("pid") != F.col(f"q_{qid}")) if exclude_self else pairs
         rank = F.row_number().over(Window.partitionBy(*by, f"q_{qid}").orderBy("d2", "pid"))
-        top = pairs.withColumn("rank", rank).filter(F.col("rank") <= need)
+        top = pairs.withColumn("rank", rank).filter(F.col("rank") <= k)
         top = written(top.select(f"q_{qid}", "rank", "d2", *p.columns), "knn-hits")
         done = top.groupBy(*by, f"q_{qid}").agg(F.count("*").alias("_n"), F.max("d2").alias("_far"))
         at = {a: F.floor(F.col(a) / cell) for a in axes}
@@ -71,16 +71,13 @@ def knn_join(q: DataFrame, p: DataFrame, k: int, dims: int = 3, cell: float | No
         for a in axes:
             covered &= (at[a] - 1 <= F.floor(F.col(f"_lo{a}") / cell)) & (at[a] + 1 >= F.floor(F.col(f"_hi{a}") / cell))
         state = todo.join(done.withColumnRenamed(f"q_{qid}", qid), [*by, qid], "left")
-        good = covered | ((F.coalesce("_n", F.lit(0)) >= need) & (F.col("_far") <= reach * reach))
+        good = covered | ((F.coalesce("_n", F.lit(0)) >= k) & (F.col("_far") <= reach * reach))
         left = written(state.filter(~good).drop("_n", "_far"), "knn-queries")
         settled = top.join(left.select(*by, F.col(qid).alias(f"q_{qid}")), [*by, f"q_{qid}"], "left_anti")
         found = settled if found is None else found.unionByName(settled)
         if left.isEmpty():
             break
         todo, cell = left, cell * 3
-    if exclude_self:
-        found = found.filter(F.col("pid") != F.col(f"q_{qid}"))
-        found = found.withColumn("rank", F.row_number().over(Window.partitionBy(*by, f"q_{qid}").orderBy("d2", "pid"))).filter(F.col("rank") <= k)
     return found
 
 

@@ -50,3 +50,19 @@ def s9(spark, sf):
     f.append_history(rows.filter("epoch % 2 = 0"), path)
     f.append_history(rows.filter("epoch % 2 = 1"), path)
     return f.latest_history(spark, path).select("epoch", "miou")
+
+
+GRID_CELLS = "SELECT CAST(floor(y / 6) AS BIGINT) AS row, CAST(floor(x / 6) AS BIGINT) AS col, round(avg(z), 3) AS value FROM {src} WHERE cls <> 5 GROUP BY ALL"
+
+
+@query("s6_read_ascii_grid", f"WITH c AS ({GRID_CELLS.format(src=PL)}) SELECT CAST(r AS BIGINT) AS row, CAST(k AS BIGINT) AS col, value FROM range(10) AS a(r) CROSS JOIN range(10) AS b(k) LEFT JOIN c ON c.row = r AND c.col = k")
+def s6(spark, sf):
+    """The mean heights of a grid of 10 x 10 cells, written as the lines of an ASCII grid, northernmost first, and read back."""
+    path = place(spark, "grid")
+    cells = points_l(spark, sf).filter("cls <> 5").groupBy(F.floor(F.col("y") / 6).alias("row"), F.floor(F.col("x") / 6).alias("col")).agg(F.round(F.avg("z"), 3).alias("value"))
+    every = spark.range(100).select((F.col("id") / 10).cast("long").alias("row"), (F.col("id") % 10).alias("col"))
+    full = every.join(cells.hint("shuffle_merge"), ["row", "col"], "left").withColumn("value", F.coalesce(F.col("value").cast("string"), F.lit("-9999")))
+    lines = full.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("col", "value"))).alias("v")).select((10 - F.col("row")).alias("at"), F.array_join("v.value", " ").alias("line"))
+    head = spark.range(1).select(F.lit(0).cast("long").alias("at"), F.lit("ncols 10\nnrows 10\nxllcorner 0\nyllcorner 0\ncellsize 6\nNODATA_value -9999").alias("line"))
+    head.unionByName(lines).coalesce(1).sortWithinPartitions("at").select("line").write.text(path)
+    return f.read_ascii_grid(spark, path)[0].select("row", "col", "value")
