@@ -35,7 +35,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their token ids and the text decoded from these."""
-    return bpe.decode(bpe.encode(docs, TOKENIZER), TOKENIZER)
+    return bpe.encode_decode(docs, TOKENIZER)
 
 
 STAGES = [

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 #: Words are maximal runs of anything but space, tab, line feed, vertical tab, form feed, return.
 WORD_GAP = r"[\x20\x09-\x0D]+"
 BITMAP_ROWS = 256
+BATCH_BYTES = "4m"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -19,14 +20,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is set (tests, one machine)."""
+    """The folder that driver and executors share; a local one where none is set and all run on one machine."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = tempfile.mkdtemp(prefix="spark-terraframe-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
 
 
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """df for a function over Arrow batches: the session cuts them at BATCH_BYTES, so that long texts don't pile up between Spark and Python.
+
+    Columns are named by place, as such functions can't take a name with a dot.
+    """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
 def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
@@ -47,15 +59,26 @@ def _bit(key: tuple[str, ...]) -> tuple[Column, Column]:
 def bitmap(rows: DataFrame, *key: str) -> DataFrame:
     """The keys of rows as a bitmap of fixed size (BITMAP_ROWS x 32,768 bits, 1 MB), written: small enough to broadcast at any size."""
     row, bit = _bit(key)
-    return written(rows.groupBy(row.alias("_row")).agg(F.bitmap_construct_agg(bit.cast("long")).alias("_bits")), "bitmap")
+    return written(rows.groupBy(row.alias("_slot")).agg(F.bitmap_construct_agg(bit.cast("long")).alias("_bits")), "bitmap")
 
 
 def marked(rows: DataFrame, bits: DataFrame, *key: str) -> DataFrame:
     """rows with _marked: true for every key of the bitmap, and for a few others whose bit is set by chance."""
     row, bit = _bit(key)
     byte = F.conv(F.hex(F.substring(F.col("_bits"), F.shiftright(bit, 3) + 1, F.lit(1))), 16, 10).cast("int")
-    tested = rows.withColumn("_row", row).join(F.broadcast(bits), "_row", "left")
-    return tested.withColumn("_marked", F.coalesce(F.getbit(byte, bit.bitwiseAND(7)), F.lit(0)) == 1).drop("_row", "_bits")
+    tested = rows.withColumn("_slot", row).join(F.broadcast(bits), "_slot", "left")
+    return tested.withColumn("_marked", F.coalesce(F.getbit(byte, bit.bitwiseAND(7)), F.lit(0)) == 1).drop("_slot", "_bits")
+
+
+def less(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """rows (doc_id, ...) whose doc_id is not in gone (_gone, of the same type).
+
+    Most rows pass by the bitmap of gone and stay where they are; only rows that it marks are joined.
+    """
+    flagged = marked(rows.withColumn("_key", F.col("doc_id")), bitmap(gone.select(F.col("_gone").alias("_key")), "_key"), "_key").drop("_key")
+    doubtful = flagged.filter("_marked")
+    left = doubtful.join(gone.hint("merge"), doubtful["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")
+    return flagged.filter("NOT _marked").unionByName(left).drop("_marked")
 
 
 def without(df: DataFrame, *names: str) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from terraframe.llm._common import without
+from terraframe.llm._common import in_small_batches, without
 
 #: The normaliser's \s: the Unicode White_Space property.
 SPACE = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
@@ -267,12 +267,23 @@ def ended(ids: np.ndarray, bounds: np.ndarray, end_id: int | None) -> tuple[np.n
 def encode(docs: DataFrame, tokenizer_path: str, text_col: str = "text", ids_col: str = "ids", end_id: int | None = None) -> DataFrame:
     """docs with ids_col, the token ids of the whole text (and end_id after them, if given).
 
-    A null or empty text has no ids but the end id. Every row stands alone: repeated rows, null keys and
-    empty tables need nothing special, an input column named ids_col is replaced, and the others pass.
+    A null or empty text has no ids but the end id; a text of any length is taken whole. Every row stands alone: repeated
+    rows, ties, null keys and empty tables need nothing special, an input column named ids_col is replaced, and the others pass.
     """
-    kept = without(docs, ids_col) if text_col.lower() != ids_col.lower() else docs
+    return _encoded(docs, tokenizer_path, text_col, ids_col, end_id, None)
+
+
+def encode_decode(docs: DataFrame, tokenizer_path: str, text_col: str = "text", ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
+    """encode() and decode() in one pass: docs with ids_col and out_col, so that ids need not come back to be decoded."""
+    return _encoded(docs, tokenizer_path, text_col, ids_col, None, out_col)
+
+
+def _encoded(docs: DataFrame, tokenizer_path: str, text_col: str, ids_col: str, end_id: int | None, out_col: str | None) -> DataFrame:
+    made = [c for c in (ids_col, out_col) if c is not None]
+    kept = without(docs, *[c for c in made if c.lower() != text_col.lower()])
     at = [c.lower() for c in kept.columns].index(text_col.lower())
-    schema = T.StructType([*kept.schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType()))])
+    types = [T.ArrayType(T.IntegerType()), T.StringType()]
+    schema = T.StructType([*kept.schema.fields, *[T.StructField(c, t) for c, t in zip(made, types)]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer_path)
@@ -281,13 +292,17 @@ def encode(docs: DataFrame, tokenizer_path: str, text_col: str = "text", ids_col
                 part = batch.slice(lo, hi - lo)
                 ids, bounds = ended(*enc.encode_column(part.column(at)), end_id)
                 lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))
-                yield pa.RecordBatch.from_arrays([*part.columns, lists], names=[*part.schema.names, ids_col])
+                texts = [] if out_col is None else [decoder(tokenizer_path).decode_lists(lists)]
+                yield pa.RecordBatch.from_arrays([*part.columns, lists, *texts], names=schema.names)
 
-    return kept.mapInArrow(run, schema)
+    return in_small_batches(kept).mapInArrow(run, schema)
 
 
 def decode(rows: DataFrame, tokenizer_path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
-    """rows with out_col, the text of ids_col as the library decodes it; a null list gives an empty text."""
+    """rows with out_col, the text of ids_col as the library decodes it; a null or empty list gives an empty text.
+
+    Rows stand alone, so repeats, ties and empty tables need nothing; an input column named out_col is replaced, the others pass.
+    """
     kept = without(rows, out_col)
     at = [c.lower() for c in kept.columns].index(ids_col.lower())
     schema = T.StructType([*kept.schema.fields, T.StructField(out_col, T.StringType())])
@@ -297,13 +312,13 @@ def decode(rows: DataFrame, tokenizer_path: str, ids_col: str = "ids", out_col:
         for batch in batches:
             for lo, hi in slices(batch.column(at)):
                 part = batch.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays([*part.columns, dec.decode_lists(part.column(at))], names=[*part.schema.names, out_col])
+                yield pa.RecordBatch.from_arrays([*part.columns, dec.decode_lists(part.column(at))], names=schema.names)
 
-    return kept.mapInArrow(run, schema)
+    return in_small_batches(kept).mapInArrow(run, schema)
 
 
 def digests(rows: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key, n_tokens and SHA-256 of the ids (decimal, joined by spaces) and of the decoded text."""
+    """key, n_tokens and SHA-256 of the ids (decimal, joined by spaces) and of the decoded text; one row for each, no ids have the digest of nothing."""
     return rows.select(
         key,
         F.size("ids").cast("long").alias("n_tokens"),

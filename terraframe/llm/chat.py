@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terraframe.llm._common import prefix_sums, word_count, written
+from terraframe.llm._common import in_small_batches, prefix_sums, word_count, written
 
 #: Tokens a window may hold; half of them start new turns, a quarter may be history, and the rest is for
 #: the system turn and a last turn that runs over the cut. A longer turn makes a window of its own length.
@@ -89,7 +89,7 @@ def windows(turns: DataFrame, budget: int = BUDGET, tokens=count_tokens) -> Data
             out = pd.DataFrame(rows, columns=["conv_id", "window", "n_repeated", "text", "loss_spans", "n_tokens", "over_budget"])
             yield out.astype({"conv_id": "Int64"})
 
-    return whole.mapInPandas(run, WINDOW_SCHEMA)
+    return in_small_batches(whole).mapInPandas(run, WINDOW_SCHEMA)
 
 
 def parse(text: str) -> list[tuple[str, str]]:
@@ -101,7 +101,8 @@ def digests(formatted: DataFrame) -> DataFrame:
     """Per conversation, read back from its windows: n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars.
 
     A digest needs a conversation's text in order; the windows stream past, sorted, and only the hash
-    states and one window are held.
+    states and one window are held. Null conv_ids are one conversation; empty texts are turns of no characters; an empty
+    table gives no rows.
     """
     ordered = formatted.select("conv_id", "window", "n_repeated", "text", "loss_spans").repartition("conv_id").sortWithinPartitions("conv_id", "window")
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]

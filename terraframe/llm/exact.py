@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from terraframe.llm._common import ascii_lower, bitmap, marked, without, written
+from terraframe.llm._common import ascii_lower, bitmap, less, marked, without, written
 
 PREFIX_CHARS = 256
 MADE = ("keep_id", "group_size", "kept", "full_hash")
@@ -76,7 +76,7 @@ def _stay(docs: DataFrame) -> DataFrame:
     # a doc_id may stand for several texts, one of which stays: such ids are told apart by text, not by id alone
     twice = decided.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias("_twice"))
     single_gone = gone.join(twice, gone["_gone"].eqNullSafe(twice["_twice"]), "left_anti")
-    kept = docs.join(single_gone, docs["doc_id"].eqNullSafe(single_gone["_gone"]), "left_anti")
+    kept = less(docs, written(single_gone, "gone"))
     rare = written(twice, "repeated-ids")
     if rare.isEmpty():
         return kept

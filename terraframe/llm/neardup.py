@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terraframe.llm import hyperminhash as hmh
-from terraframe.llm._common import bitmap, marked, without, written
+from terraframe.llm._common import bitmap, in_small_batches, less, marked, without, written
 from terraframe.llm.components import components
 
 #: Members and shingles a block aims at.
@@ -49,7 +49,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                 hide = lambda x: pa.compute.if_else(pa.array(none), pa.scalar(None, x.type), x)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(size, pa.int64()), pa.array(key, mask=none), hide(packed), hide(bands)], names=["doc_id", "n_shingles", "class", "regs", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SIGNATURE_SCHEMA)
+    return in_small_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(run, SIGNATURE_SCHEMA)
 
 
 def _registers(column: pa.Array) -> np.ndarray:
@@ -302,9 +302,15 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     Null, empty and wordless texts are linked with nothing and all stay (of those that repeat a doc_id one); a
     group whose doc_ids are all null keeps one row; columns of any other name pass; an empty table stays empty.
     """
+    columns = docs.columns
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.struct("*").alias("_row"))
+    return _stay(docs).select("_row.*").select(*[F.col(f"`{c}`") for c in columns])
+
+
+def _stay(docs: DataFrame) -> DataFrame:
+    """The rows of docs (doc_id, text, _row) that stay."""
     out = written(groups(docs), "near")
-    gone = out.filter("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")
+    kept = less(docs, written(out.filter("NOT kept").select(F.col("doc_id").alias("_gone")).distinct(), "gone"))
     twice = written(out.filter("kept").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias("_twice")), "repeated-ids")
     if twice.isEmpty():
         return kept

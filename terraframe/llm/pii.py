@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from terraframe.llm._common import without, written
+from terraframe.llm._common import in_small_batches, without, written
 
 KINDS = ("email", "ip", "card", "phone")
 #: Documents whose candidates are fitted, those with the smallest MD5 of the id, and the most candidates of these; a third of the documents calibrate.
@@ -328,7 +328,7 @@ def fit(docs: DataFrame, max_docs: int = FIT_DOCS, max_rows: int = FIT_ROWS) ->
                         rows.append((doc_id, *s, float(s in right), np.array(features(held, *s), "<f4").tobytes()))
             yield pd.DataFrame(rows, columns=["doc_id", "kind", "a", "b", "y", "x"])
 
-    rows = written(texts.mapInPandas(run, "doc_id long, kind string, a int, b int, y double, x binary"), "fit-candidates")
+    rows = written(in_small_batches(texts).mapInPandas(run, "doc_id long, kind string, a int, b int, y double, x binary"), "fit-candidates")
     got = rows.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id", "kind", "a", "b").limit(max_rows).toPandas()
     if not len(got):
         return Trees().fit(np.empty((0, 1)), np.empty(0)), dict.fromkeys(KINDS, 2.0)
@@ -362,6 +362,8 @@ def detect(docs: DataFrame, model: tuple[Trees, dict[str, float]]) -> DataFrame:
     kind = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_()), ("score", pa.float64())])
     spark_kind = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("base", T.BooleanType()), T.StructField("score", T.DoubleType())]))
 
+    schema = T.StructType([*kept.schema.fields, T.StructField("pii", spark_kind)])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
@@ -379,9 +381,9 @@ def detect(docs: DataFrame, model: tuple[Trees, dict[str, float]]) -> DataFrame:
                     for k in best_first(spans, own, _merged(base), limits):
                         taken.append({"kind": spans[k][0], "start": spans[k][1], "end": spans[k][2], "base": False, "score": float(own[k])})
                     out.append(sorted(taken, key=lambda t: (KINDS.index(t["kind"]), t["start"])))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.list_(kind))], names=[*part.schema.names, "pii"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.list_(kind))], names=schema.names)
 
-    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField("pii", spark_kind)]))
+    return in_small_batches(kept).mapInArrow(run, schema)
 
 
 def redact(found: DataFrame) -> DataFrame:

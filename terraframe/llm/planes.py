@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from terraframe.llm._common import in_small_batches
 from terraframe.llm.bpe import encoder, ended, slices
 
 CHUNK_IDS = 1 << 16
@@ -84,7 +85,9 @@ class _Shard:
 def write_texts(docs: DataFrame, path: str, tokenizer_path: str, end_id: int | None = None, kind: str = "byte", chunk_ids: int = CHUNK_IDS) -> None:
     """Encodes the whole texts of docs (doc_id, text) and writes their ids to path in doc_id order.
 
-    The range sort moves texts, which compress better than ids; encoding and packing follow in one pass.
+    The range sort moves texts, which compress better than ids; encoding and packing follow in one pass. A null or empty
+    text has no ids but the end id, a text of any length is cut over as many chunks as it needs; null doc_ids come first,
+    rows that repeat a doc_id stand side by side; other columns are ignored; an empty table writes an empty data set.
     """
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
     arrow_schema = pa.schema([("shard", pa.int32()), ("chunk", pa.int32()), ("first", pa.int64()), ("n_ids", pa.int32()), ("kind", pa.string()), ("sizes", pa.list_(pa.int32())), ("payload", pa.binary()), ("docs", pa.list_(pa.struct([("seq", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("n", pa.int64())])))])
@@ -104,7 +107,7 @@ def write_texts(docs: DataFrame, path: str, tokenizer_path: str, end_id: int | N
         if shard.docs or shard.ids:
             yield pa.RecordBatch.from_pylist([shard.flush()], schema=arrow_schema)
 
-    ordered.mapInArrow(run, CHUNK_SCHEMA).write.option("compression", "none").parquet(path)
+    in_small_batches(ordered).mapInArrow(run, CHUNK_SCHEMA).write.option("compression", "none").parquet(path)
 
 
 def _pieces(chunks: DataFrame, whole: bool) -> DataFrame:
@@ -139,7 +142,8 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens and ids of every document of a data set.
 
     Only documents cut by a chunk's end are put together by a shuffle. Shard totals, a row a shard, give
-    each shard's place in the whole.
+    each shard's place in the whole. Documents without ids are there with none; null and repeated doc_ids come back as they
+    were written; an empty data set gives no rows.
     """
     chunks = spark.read.schema(CHUNK_SCHEMA).parquet(path)
     whole = _pieces(chunks, True).select("shard", "doc_id", "start", "n", "ids")
@@ -155,7 +159,7 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
 
 
 def id_crc32(docs: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens and ids_crc32, the CRC-32 of the ids as little-endian unsigned 32-bit integers."""
+    """doc_id, start, n_tokens and ids_crc32, the CRC-32 of the ids as little-endian unsigned 32-bit integers (0 for none)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from terraframe.llm._common import without, written
+from terraframe.llm._common import in_small_batches, without, written
 
 #: At most so many labelled rows are fitted, those with the smallest hashes; the bound keeps the driver's share fixed.
 FIT_ROWS = 12_000
@@ -62,7 +62,7 @@ class Features:
         text = text or ""
         words = text.split()
         counts = Counter(words)
-        if len(self.seen) > 300_000:
+        if len(self.seen) > 150_000:
             self.seen = {}
         seen = self.seen
         for w in [w for w in counts if w not in seen]:
@@ -150,7 +150,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = FIT_ROWS) -> Machine
             rows = [(d, int(y), *make.row(t, None if pd.isna(c) else int(c))) for d, t, c, y in frame.itertuples(index=False)]
             yield pd.DataFrame({"doc_id": [r[0] for r in rows], "y": [r[1] for r in rows], "idx": [r[2].astype("<i2").tobytes() for r in rows], "val": [r[3].astype("<f4").tobytes() for r in rows]})
 
-    sample = joined.mapInPandas(run, "doc_id long, y int, idx binary, val binary")
+    sample = in_small_batches(joined).mapInPandas(run, "doc_id long, y int, idx binary, val binary")
     # a repeated doc_id can only widen the sample by its repeats; the cut keeps the bound
     got = written(sample, "fit-rows").orderBy("doc_id", "idx").limit(max_rows).toArrow()
     rows = [(np.frombuffer(i.as_py(), "<i2").astype(np.int64), np.frombuffer(x.as_py(), "<f4").astype(np.float64)) for i, x in zip(got["idx"], got["val"])]
@@ -158,7 +158,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = FIT_ROWS) -> Machine
 
 
 def _n_chars(docs: DataFrame):
-    return F.col("n_chars").cast("long") if "n_chars" in docs.columns else F.lit(None).cast("long")
+    return F.col("n_chars").cast("long") if "n_chars" in [c.lower() for c in docs.columns] else F.lit(None).cast("long")
 
 
 def score(docs: DataFrame, machine: Machine, threshold: float = THRESHOLD) -> DataFrame:
@@ -169,7 +169,8 @@ def score(docs: DataFrame, machine: Machine, threshold: float = THRESHOLD) -> Da
     """
     base = without(docs, "held_out", "score", "predicted").withColumn("held_out", held_out(F.col("doc_id")))
     names = base.columns
-    at, n_at = names.index("text"), next((i for i, c in enumerate(names) if c == "n_chars"), None)
+    low = [c.lower() for c in names]
+    at, n_at = low.index("text"), low.index("n_chars") if "n_chars" in low else None
     schema = T.StructType([*base.schema.fields, T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,9 +180,9 @@ def score(docs: DataFrame, machine: Machine, threshold: float = THRESHOLD) -> Da
                 part = batch.slice(lo, 200)
                 chars = part.column(n_at).to_pylist() if n_at is not None else [None] * part.num_rows
                 rows = [make.row(t, c) for t, c in zip(part.column(at).to_pylist(), chars)]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(machine.score(rows), pa.float64())], names=[*part.schema.names, "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(machine.score(rows), pa.float64())], names=schema.names)
 
-    return base.mapInArrow(run, schema).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return in_small_batches(base).mapInArrow(run, schema).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, max_rows: int = FIT_ROWS, threshold: float = THRESHOLD) -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from terraframe.llm import exact, hilbert_ann, html_paths, mixing, neardup, pii, quality
+from terraframe.llm import bpe, exact, hilbert_ann, html_paths, mixing, neardup, pii, quality, queries
 from terraframe.llm import hyperminhash as hmh
 from terraframe.llm._common import table
 from terraframe.llm.components import components
@@ -162,6 +162,34 @@ def test_page_whose_article_is_not_its_text():
     assert html_paths.main_text(f'<html><body><article class="post has-sidebar"><header><h1>Head</h1></header>{text}</article></body></html>').split("\n") == ["Head", *body]
 
 
+def test_page_ratios_decide_without_marks(monkeypatch):
+    """No article mark and no telling class name: only the ratios of the paths part the story from what surrounds it."""
+    body = [f"Paragraph {i}, which tells the story at length; it goes on, and on, until the reader, tired, has enough of it. So it ends." for i in range(5)]
+    short = ["Oslo, Monday.", "By A. Reporter", "Updated: 10:30", "4 min read"]
+    page = (
+        "<html><body>" + "".join(f'<div class="k1"><span>{s}</span></div>' for s in short) + '<div class="k2">' + "".join(f"<p>{p}</p>" for p in body[:3])
+        + '<ul class="k3"><li>First point, which is long enough to matter; it has signs.<li>Second point, as long as the first one, more or less.</ul>' + "".join(f"<p>{p}</p>" for p in body[3:]) + "</div>"
+        + "".join(f'<div class="k4"><b>{s}</b></div>' for s in ("Oslo", "Harbour", "Ferries", "Weather", "Older stories", "Print")) + "</body></html>"
+    )
+    want = [*body[:3], "First point, which is long enough to matter; it has signs.", "Second point, as long as the first one, more or less.", *body[3:]]
+    assert html_paths.main_text(page).split("\n") == want
+    monkeypatch.setattr(html_paths, "least_share", lambda shares: 0.0)
+    assert html_paths.main_text(page).split("\n") != want
+    monkeypatch.undo()
+    # a short page without any such rest keeps all it has
+    assert html_paths.main_text("<div><p>One line, only.</p></div>") == "One line, only."
+
+
+def test_pages_long_and_odd(spark):
+    rows = [(1, None), (2, ""), (3, "<p>" * 30_000 + "deep, indeed." + "</p>" * 30_000), (4, "<p>" + "word, " * 60_000), (5, "<" * 20_000), (6, "&amp;" * 20_000), (7, "<div><p>a"), (7, "<div><p>a")]
+    got = html_paths.extract(spark.createDataFrame(rows, "page_id long, html string")).collect()
+    assert len(got) == len(rows)
+    by = {r["page_id"]: r for r in got}
+    assert by[3]["text"] == "deep, indeed."
+    assert by[4]["n_chars"] == 60_000 * 6 - 1
+    assert all(r["n_chars"] == len(r["text"]) for r in got)
+
+
 def sets_of(rows):
     out = []
     for doc_id, text in rows:
@@ -395,3 +423,51 @@ def test_pipeline(spark):
     assert dict(counts) == {d: c for d, c in taken.items() if c}
     assert corpus_pipeline.run(spark, sf).count() == sum(counts.values())
     assert exact.refine(docs).count() == docs.count()
+
+
+CLASHING = "_len _prefix _bucket _norm _top _alone _row _bits _carry _marked _id _source _words _size _finish _times _doc _from finish size rows taken copies u v band comp class regs bands node _gone _twice _first pii ids decoded score".split()
+
+
+@pytest.fixture(scope="module")
+def clashing(spark):
+    """Few odd rows with columns named like those that operators make on the way, and one with a dot."""
+    rows = [(0, None, None), (1, "", "b"), (2, "one two three four five six", "b"), (3, "One two three four five six", "b"), (3, "One two three four five six", "b"), (None, "seven", None), (4, "w " * 20_000, "c")]
+    wide = [(*r, *range(len(CLASHING)), "dot") for r in rows]
+    return spark.createDataFrame(wide, f"doc_id long, text string, source string, {', '.join(f'{c} int' for c in CLASHING)}, `a.b` string")
+
+
+def test_clashing_columns_pass(spark, clashing):
+    made = {"mixing": mixing.mix(clashing), "exact": exact.deduplicate(clashing), "near": neardup.deduplicate(clashing)}
+    for name, out in made.items():
+        assert out.columns == clashing.columns, name
+        for r in out.collect():
+            assert r["_len"] == 0
+            assert r["a.b"] == "dot"
+    assert {r["doc_id"]: r["kept"] for r in exact.refine(clashing).select("doc_id", "kept", "_len", "_top").collect()}[2] is False
+    assert sorted(str(r["doc_id"]) for r in made["exact"].collect()) == ["1", "3", "4", "None"]
+    assert made["near"].count() == 5  # rows 3 repeat, and 2 links them
+    shown = bpe.encode(clashing, queries.TOKENIZER)
+    assert shown.count() == clashing.count()
+    assert neardup.groups(clashing).count() == clashing.count()
+
+
+def test_quality_finds_columns_in_any_case(spark):
+    docs = spark.createDataFrame([(1, "a b c", 5), (2, None, None)], "doc_id long, Text string, N_CHARS int")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    assert quality.classify(docs, labels).count() == 2
+
+
+def test_pipeline_stages_on_odd_and_empty_tables(spark, tmp_path):
+    folder = str(tmp_path)
+    rows = [(i, "One two three four five six." if i % 3 else None, "en", "a" if i % 2 else None, 3) for i in range(12)] + [(None, "x", None, None, None), (3, "", "en", "b", 0)]
+    schema = "doc_id long, text string, lang string, source string, n_chars int"
+    for docs in (spark.createDataFrame(rows, schema), spark.createDataFrame([], schema)):
+        docs.write.mode("overwrite").parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([(1, 1, 0), (2, 0, None), (4, None, 1)], "doc_id long, quality int, toxic int").write.mode("overwrite").parquet(f"{folder}/labels.parquet")
+        now = spark.read.parquet(f"{folder}/documents.parquet")
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, now, folder)
+            if name != corpus_pipeline.STAGES[-1][0]:
+                assert out.columns == now.columns
+            assert out.count() >= 0
+            now = out
