@@ -78,16 +78,15 @@ def a7(spark, sf):
     return v.cloud_sizes(points_l(spark, sf))
 
 
-@query("a9_norm_stats", f"SELECT round(avg(x), 6) AS mean_x, round(avg(z), 6) AS mean_z, round(sqrt(greatest(avg(x * x) - avg(x) * avg(x), 1e-8)), 6) AS std_x, round(sqrt(greatest(avg(z * z) - avg(z) * avg(z), 1e-8)), 6) AS std_z, count(*) AS n_points, CAST(2 AS INTEGER) AS n_features FROM (SELECT *, row_number() OVER (PARTITION BY cloud ORDER BY md5(CAST(pid AS VARCHAR)), pid) AS k FROM {PO}) AS s WHERE k <= 1000")
-def a9(spark, sf, per_cloud=1000):
-    out = v.norm_stats(points_o(spark, sf), ["x", "z"], per_cloud)
-    g = lambda c, i: F.round(F.get(c, F.lit(i)), 6)
-    return out.select(g("mean", 0).alias("mean_x"), g("mean", 1).alias("mean_z"), g("std", 0).alias("std_x"), g("std", 1).alias("std_z"), "n_points", "n_features")
+NORMS = f"SELECT round(avg(x), 6) AS mean_x, round(avg(z), 6) AS mean_z, round(sqrt(greatest(avg(x * x) - avg(x) * avg(x), 1e-8)), 6) AS std_x, round(sqrt(greatest(avg(z * z) - avg(z) * avg(z), 1e-8)), 6) AS std_z, count(*) AS n_points, CAST(2 AS INTEGER) AS n_features FROM {PO}"
 
 
-@query("a9_norm_stats_all", f"SELECT round(avg(x), 6) AS mean_x, round(avg(z), 6) AS mean_z, round(sqrt(greatest(avg(x * x) - avg(x) * avg(x), 1e-8)), 6) AS std_x, round(sqrt(greatest(avg(z * z) - avg(z) * avg(z), 1e-8)), 6) AS std_z, count(*) AS n_points, CAST(2 AS INTEGER) AS n_features FROM {PO}")
-def a9_all(spark, sf):
-    return a9(spark, sf, None)
+@query("a9_norm_stats", NORMS)
+@query("a9_norm_stats_all", NORMS)
+def a9(spark, sf):
+    out = v.norm_stats(points_o(spark, sf), ["x", "z"], None)
+    g = lambda c, i: F.round(F.get(c, F.lit(i)), 6)
+    return out.select(g("mean", 0).alias("mean_x"), g("mean", 1).alias("mean_z"), g("std", 0).alias("std_x"), g("std", 1).alias("std_z"), "n_points", "n_features")
 
 
 @query("p6_standardise", f"WITH s AS (SELECT avg(x) AS mx, avg(z) AS mz, sqrt(greatest(avg(x * x) - avg(x) * avg(x), 1e-8)) AS sx, sqrt(greatest(avg(z * z) - avg(z) * avg(z), 1e-8)) AS sz FROM {PO}) SELECT pid, round((x - mx) / sx, 6) AS x, round((z - mz) / sz, 6) AS z FROM {PO}, s")

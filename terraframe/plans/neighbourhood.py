@@ -21,34 +21,29 @@ def knn_sql(k: int, d: str = D3, q: str = "TRUE", p: str = "TRUE", src: str = PO
     return f"SELECT * FROM (SELECT a.cloud, a.pid AS q_pid, b.pid, b.x, b.y, b.z, {d} AS d2, row_number() OVER (PARTITION BY a.cloud, a.pid ORDER BY {d}, b.pid) AS rank FROM (SELECT * FROM {src} WHERE {q}) AS a JOIN (SELECT * FROM {src} WHERE {p}) AS b ON a.cloud = b.cloud) AS n WHERE rank <= {k}"
 
 
-@query("n1_knn_join", f"SELECT q_pid, cloud, pid, CAST(rank AS INTEGER) AS rank, round(d2, 9) AS d2 FROM ({knn_sql(4, q='pid % 5 = 0')}) AS k")
+@query("n1_knn_join", f"SELECT q_pid, cloud, pid, CAST(rank AS INTEGER) AS rank, round(d2, 9) AS d2 FROM ({knn_sql(4)}) AS k")
 def n1(spark, sf):
     rows = points_o(spark, sf)
-    return s.knn_join(rows.filter("pid % 5 = 0"), rows, 4).select("q_pid", "cloud", "pid", "rank", F.round("d2", 9).alias("d2"))
+    return s.knn_join(rows, rows, 4).select("q_pid", "cloud", "pid", "rank", F.round("d2", 9).alias("d2"))
 
 
-@query("n2_radius_join", f"SELECT a.pid AS q_pid, a.cloud, b.pid, round({D2}, 9) AS d2 FROM (SELECT * FROM {PO} WHERE pid % 7 = 0) AS a JOIN (SELECT * FROM {PO}) AS b ON a.cloud = b.cloud AND {D2} <= 1.5 * 1.5")
-def n2(spark, sf):
-    rows = points_o(spark, sf)
-    return s.radius_join(rows.filter("pid % 7 = 0"), rows, 1.5).select("q_pid", "cloud", "pid", F.round("d2", 9).alias("d2"))
+PAIRS = f"SELECT a.pid AS q_pid, a.cloud, b.pid, round({D2}, 9) AS d2 FROM (SELECT * FROM {PO}) AS a JOIN (SELECT * FROM {PO}) AS b ON a.cloud = b.cloud AND {D2} <= 1.5 * 1.5"
 
 
-@query("n2_radius_join_all", f"SELECT a.pid AS q_pid, a.cloud, b.pid, round({D2}, 9) AS d2 FROM (SELECT * FROM {PO}) AS a JOIN (SELECT * FROM {PO}) AS b ON a.cloud = b.cloud AND {D2} <= 1.5 * 1.5")
-def n2_all(spark, sf):
+@query("n2_radius_join", PAIRS)
+@query("n2_radius_join_all", PAIRS)
+def n2(spark, sf):
     rows = points_o(spark, sf)
     return s.radius_join(rows, rows, 1.5).select("q_pid", "cloud", "pid", F.round("d2", 9).alias("d2"))
 
 
-@query("n2_radius_or_nearest", f"""WITH k AS ({knn_sql(1000000, D2, 'pid % 50 = 0')}), c AS (SELECT *, count(*) FILTER (d2 <= 1) OVER (PARTITION BY cloud, q_pid) AS inside FROM k)
- SELECT q_pid, cloud, pid FROM c WHERE CASE WHEN inside >= 3 THEN d2 <= 1 ELSE rank <= 3 END""")
-def n2b(spark, sf):
-    rows = points_o(spark, sf)
-    return s.radius_or_nearest(rows.filter("pid % 50 = 0"), rows, 1.0, 3).select("q_pid", "cloud", "pid")
+DISCS = f"""WITH k AS ({knn_sql(3, D2)}), disc AS (SELECT a.cloud, a.pid AS q_pid, b.pid FROM (SELECT * FROM {PO}) AS a JOIN (SELECT * FROM {PO}) AS b ON a.cloud = b.cloud AND {D2} <= 1), c AS (SELECT cloud, q_pid, count(*) AS inside FROM disc GROUP BY cloud, q_pid)
+ SELECT q_pid, cloud, disc.pid FROM disc JOIN c USING (cloud, q_pid) WHERE inside >= 3 UNION ALL SELECT q_pid, cloud, k.pid FROM k JOIN c USING (cloud, q_pid) WHERE inside < 3"""
 
 
-@query("n2_radius_or_nearest_all", f"""WITH k AS ({knn_sql(3, D2)}), disc AS (SELECT a.cloud, a.pid AS q_pid, b.pid FROM (SELECT * FROM {PO}) AS a JOIN (SELECT * FROM {PO}) AS b ON a.cloud = b.cloud AND {D2} <= 1), c AS (SELECT cloud, q_pid, count(*) AS inside FROM disc GROUP BY cloud, q_pid)
- SELECT q_pid, cloud, disc.pid FROM disc JOIN c USING (cloud, q_pid) WHERE inside >= 3 UNION ALL SELECT q_pid, cloud, k.pid FROM k JOIN c USING (cloud, q_pid) WHERE inside < 3""")
-def n2b_all(spark, sf):
+@query("n2_radius_or_nearest", DISCS)
+@query("n2_radius_or_nearest_all", DISCS)
+def n2b(spark, sf):
     rows = points_o(spark, sf)
     return s.radius_or_nearest(rows, rows, 1.0, 3).select("q_pid", "cloud", "pid")
 
@@ -63,13 +58,12 @@ def n3(spark, sf):
     return s.stencil_aggregate(voxels, WEIGHTS, "n_points", 0.5).select("cloud", "vx", "vy", "vz", *r(["conv"]))
 
 
-NEAR = f"near AS ({knn_sql(16, q='pid % 5 = 0')})"
-NEAR_ALL = f"near AS ({knn_sql(16)})"
+NEAR = f"near AS ({knn_sql(16)})"
 
 
-def near16(spark, sf, asking="pid % 5 = 0"):
+def near16(spark, sf):
     rows = points_o(spark, sf)
-    return rows, s.knn_join(rows.filter(asking), rows, 16)
+    return s.knn_join(rows, rows, 16)
 
 
 #: Heights weighted by their place in the range of each query's own neighbourhood.
@@ -77,14 +71,13 @@ ELEVATION = "w AS (SELECT *, (z - min(z) OVER q) / greatest(max(z) OVER q - min(
 MEAN_ELEV = "round(sum(z * w) / greatest(sum(w), 1e-6), 6) AS mean_elev"
 
 
-@query("n4_mean_elevation", f"WITH {NEAR}, {ELEVATION} SELECT cloud, q_pid, {MEAN_ELEV} FROM w GROUP BY cloud, q_pid")
-def n4(spark, sf):
-    return s.mean_elevation(near16(spark, sf)[1]).select("cloud", "q_pid", *r(["mean_elev"]))
+ELEVATIONS = f"WITH {NEAR}, {ELEVATION} SELECT cloud, q_pid, {MEAN_ELEV} FROM w GROUP BY cloud, q_pid"
 
 
-@query("n4_mean_elevation_all", f"WITH {NEAR_ALL}, {ELEVATION} SELECT cloud, q_pid, {MEAN_ELEV} FROM w GROUP BY cloud, q_pid")
-def n4_all(spark, sf):
-    return s.mean_elevation(near16(spark, sf, "TRUE")[1]).select("cloud", "q_pid", *r(["mean_elev"]))
+@query("n4_mean_elevation", ELEVATIONS)
+@query("n4_mean_elevation_all", ELEVATIONS)
+def n4(spark, sf):
+    return s.mean_elevation(near16(spark, sf)).select("cloud", "q_pid", *r(["mean_elev"]))
 
 
 CURVATURE = f"""c AS (SELECT cloud, q_pid, covar_pop(x, x) AS xx, covar_pop(y, y) AS yy, covar_pop(z, z) AS zz, covar_pop(x, y) AS xy, covar_pop(x, z) AS xz, covar_pop(y, z) AS yz, count(*) AS n_near FROM near GROUP BY cloud, q_pid),
@@ -93,19 +86,18 @@ CURVATURE = f"""c AS (SELECT cloud, q_pid, covar_pop(x, x) AS xx, covar_pop(y, y
  k AS (SELECT cloud, q_pid, greatest(q + 2 * p * cos(acos(least(greatest(r, -1), 1)) / 3 + 2 * 3.141592653589793 / 3), 0) / (xx + yy + zz) AS share, n_near FROM d)"""
 
 
-@query("n5_curvature", f"WITH {NEAR}, {CURVATURE} SELECT cloud, q_pid, round(share, 6) AS curvature, n_near FROM k")
-def n5(spark, sf):
-    return s.curvature(near16(spark, sf)[1]).select("cloud", "q_pid", *r(["curvature"]), "n_near")
+CURVATURES = f"WITH {NEAR}, {CURVATURE} SELECT cloud, q_pid, round(share, 6) AS curvature, n_near FROM k"
 
 
-@query("n5_curvature_all", f"WITH {NEAR_ALL}, {CURVATURE} SELECT cloud, q_pid, round(share, 6) AS curvature, n_near FROM k")
-def n5_all(spark, sf):
-    return s.curvature(near16(spark, sf, "TRUE")[1]).select("cloud", "q_pid", *r(["curvature"]), "n_near")
+@query("n5_curvature", CURVATURES)
+@query("n5_curvature_all", CURVATURES)
+def n5(spark, sf):
+    return s.curvature(near16(spark, sf)).select("cloud", "q_pid", *r(["curvature"]), "n_near")
 
 
 @query("n5_normals")
 def n5b(spark, sf):
-    return s.normals(near16(spark, sf, "TRUE")[1])
+    return s.normals(near16(spark, sf))
 
 
 @query("n6_shallow_geom", f"WITH near AS ({knn_sql(8)}), {ELEVATION}, {CURVATURE}, e AS (SELECT cloud, q_pid, {MEAN_ELEV} FROM w GROUP BY cloud, q_pid) SELECT e.q_pid AS pid, mean_elev, round(share, 6) AS curvature FROM e JOIN k ON k.cloud = e.cloud AND k.q_pid = e.q_pid")
@@ -113,10 +105,16 @@ def n6(spark, sf):
     return s.shallow_geom(points_o(spark, sf), 8).select("pid", *r(["mean_elev", "curvature"]))
 
 
-@query("n7_project_back", f"WITH k AS ({knn_sql(1, p='pid % 4 = 0')}) SELECT k.q_pid AS pid, CASE b.cls WHEN 2 THEN 1 ELSE 0 END AS label FROM k JOIN (SELECT pid, cls FROM {PO}) AS b ON b.pid = k.pid")
+#: The first point of each voxel of 3 m stands for it.
+SUBSAMPLE = f"sub AS (SELECT cloud, min(pid) AS pid FROM {vox(PO)} GROUP BY cloud, vx, vy, vz)"
+NEAREST = f"SELECT q_pid AS pid, pid AS hit FROM (SELECT a.pid AS q_pid, b.pid, row_number() OVER (PARTITION BY a.cloud, a.pid ORDER BY {D3}, b.pid) AS k FROM (SELECT * FROM {PO}) AS a JOIN (SELECT p.* FROM (SELECT * FROM {PO}) AS p JOIN sub ON sub.pid = p.pid) AS b ON a.cloud = b.cloud) AS n WHERE k = 1"
+
+
+@query("n7_project_back", f"WITH {SUBSAMPLE} SELECT k.pid, CASE b.cls WHEN 2 THEN 1 ELSE 0 END AS label FROM ({NEAREST}) AS k JOIN (SELECT pid, cls FROM {PO}) AS b ON b.pid = k.hit")
 def n7(spark, sf):
     rows = points_o(spark, sf)
-    sub = rows.filter("pid % 4 = 0").select("pid", "cloud", "x", "y", "z", F.when(F.col("cls") == 2, 1).otherwise(0).alias("label"))
+    first = v.voxel_assign(rows, 3).groupBy("cloud", "vx", "vy", "vz").agg(F.min("pid").alias("pid")).select("cloud", "pid")
+    sub = rows.join(first, ["cloud", "pid"], "left_semi").select("pid", "cloud", "x", "y", "z", F.when(F.col("cls") == 2, 1).otherwise(0).alias("label"))
     return s.project_back(rows, sub, ["label"]).select("pid", "label")
 
 
@@ -151,10 +149,10 @@ def n10(spark, sf):
 
 
 @query("a8_nominal_spacing", f"""WITH m AS (SELECT cloud, avg(x) AS cx, avg(y) AS cy FROM {PO} GROUP BY cloud), c AS (SELECT *, row_number() OVER (PARTITION BY cloud ORDER BY (x - cx) * (x - cx) + (y - cy) * (y - cy), pid) AS k FROM {PO} JOIN m USING (cloud)),
- d AS (SELECT a.cloud, a.pid, min(sqrt({D2})) AS d FROM (SELECT * FROM c WHERE k <= 400) AS a JOIN (SELECT * FROM c WHERE k <= 400) AS b ON a.cloud = b.cloud AND a.pid <> b.pid GROUP BY a.cloud, a.pid)
+ d AS (SELECT a.cloud, a.pid, min(sqrt({D2})) AS d FROM (SELECT * FROM c WHERE k <= 120000) AS a JOIN (SELECT * FROM c WHERE k <= 120000) AS b ON a.cloud = b.cloud AND a.pid <> b.pid GROUP BY a.cloud, a.pid)
  SELECT cloud, round(greatest(quantile_cont(d, 0.5) FILTER (d > 0.001), 0.1), 6) AS spacing FROM d GROUP BY cloud""")
 def a8(spark, sf):
-    return s.nominal_spacing(points_o(spark, sf), 400).select("cloud", *r(["spacing"]))
+    return s.nominal_spacing(points_o(spark, sf)).select("cloud", *r(["spacing"]))
 
 
 @query("a8_nominal_spacing_all", f"WITH d AS (SELECT a.cloud, a.pid, min(sqrt({D2})) AS d FROM (SELECT * FROM {PO}) AS a JOIN (SELECT * FROM {PO}) AS b ON a.cloud = b.cloud AND a.pid <> b.pid GROUP BY a.cloud, a.pid) SELECT cloud, round(greatest(quantile_cont(d, 0.5) FILTER (d > 0.001), 0.1), 6) AS spacing FROM d GROUP BY cloud")
@@ -213,11 +211,11 @@ def t4(spark, sf):
     return s.hole_mask(nodes, rows, 0.5).select("cloud", "node", "hole")
 
 
-@query("a21_coverage_filter", f"WITH c AS (SELECT * FROM {PO} WHERE pid % 9 = 0), k AS (SELECT DISTINCT cloud, CAST(floor(y / 2) AS BIGINT) AS row, CAST(floor(x / 2) AS BIGINT) AS col FROM {PO} WHERE cls = 2), g AS (SELECT c.cloud, avg(CASE WHEN k.row IS NULL THEN 0 ELSE 1 END) AS cov FROM c LEFT JOIN k ON k.cloud = c.cloud AND k.row = floor(c.y / 2) AND k.col = floor(c.x / 2) GROUP BY c.cloud HAVING avg(CASE WHEN k.row IS NULL THEN 0 ELSE 1 END) >= 0.5) SELECT pid, cloud FROM c WHERE cloud IN (SELECT cloud FROM g)")
+@query("a21_coverage_filter", f"WITH c AS (SELECT * FROM {PO}), k AS (SELECT DISTINCT cloud, CAST(floor(y / 2) AS BIGINT) AS row, CAST(floor(x / 2) AS BIGINT) AS col FROM {PO} WHERE cls = 2), g AS (SELECT c.cloud, avg(CASE WHEN k.row IS NULL THEN 0 ELSE 1 END) AS cov FROM c LEFT JOIN k ON k.cloud = c.cloud AND k.row = floor(c.y / 2) AND k.col = floor(c.x / 2) GROUP BY c.cloud HAVING avg(CASE WHEN k.row IS NULL THEN 0 ELSE 1 END) >= 0.5) SELECT pid, cloud FROM c WHERE cloud IN (SELECT cloud FROM g)")
 def a21(spark, sf):
     rows = points_o(spark, sf)
     cells = rows.filter("cls = 2").groupBy("cloud", F.floor(F.col("y") / 2).alias("row"), F.floor(F.col("x") / 2).alias("col")).agg(F.avg("z").alias("value"))
-    return v.coverage_filter(rows.filter("pid % 9 = 0"), cells, 0.0, 0.0, 2.0, 0.5).select("pid", "cloud")
+    return v.coverage_filter(rows, cells, 0.0, 0.0, 2.0, 0.5).select("pid", "cloud")
 
 
 @query("a21_coverage_filter_centres", f"WITH {CENTRES}, c AS (SELECT p.cloud, p.pid, p.x, p.y FROM (SELECT * FROM {PO}) AS p JOIN d ON d.cloud = p.cloud AND d.center_id = p.pid), k AS (SELECT DISTINCT cloud, CAST(floor(y / 2) AS BIGINT) AS row, CAST(floor(x / 2) AS BIGINT) AS col FROM {PO} WHERE cls = 2), g AS (SELECT c.cloud FROM c LEFT JOIN k ON k.cloud = c.cloud AND k.row = floor(c.y / 2) AND k.col = floor(c.x / 2) GROUP BY c.cloud HAVING avg(CASE WHEN k.row IS NULL THEN 0 ELSE 1 END) >= 0.5) SELECT pid, cloud FROM c WHERE cloud IN (SELECT cloud FROM g)")

@@ -287,7 +287,7 @@ def c18(spark, sf):
     return c.scan_tiles(points_l(spark, sf))
 
 
-TILES = f"(SELECT region, east AS e, north AS n, sum(size) AS n_points FROM {GRIDDED} WHERE (east + north * 3) % 4 > 0 GROUP BY ALL) AS tiles"
+TILES = f"(SELECT region, east AS e, north AS n, sum(size) AS n_points FROM {GRIDDED} GROUP BY ALL) AS tiles"
 COMPONENTS = f"""WITH RECURSIVE t AS (SELECT *, row_number() OVER (PARTITION BY region ORDER BY e, n) AS id FROM {TILES}),
  se AS (SELECT region, coalesce(min(g), 1) AS se FROM (SELECT region, e - lag(e) OVER (PARTITION BY region ORDER BY e) AS g FROM (SELECT DISTINCT region, e FROM t) AS d) AS q GROUP BY region),
  sn AS (SELECT region, coalesce(min(g), 1) AS sn FROM (SELECT region, n - lag(n) OVER (PARTITION BY region ORDER BY n) AS g FROM (SELECT DISTINCT region, n FROM t) AS d) AS q GROUP BY region),
@@ -297,7 +297,7 @@ COMPONENTS = f"""WITH RECURSIVE t AS (SELECT *, row_number() OVER (PARTITION BY
 
 
 def tiles(spark, sf):
-    return gridded(spark, sf).withColumnsRenamed({"east": "e", "north": "n"}).filter("(e + n * 3) % 4 > 0").groupBy("region", "e", "n").agg(F.sum("size").alias("n_points"))
+    return gridded(spark, sf).withColumnsRenamed({"east": "e", "north": "n"}).groupBy("region", "e", "n").agg(F.sum("size").alias("n_points"))
 
 
 @query("c19_grid_components", f"{COMPONENTS} SELECT region, e, n, component FROM comp")

@@ -45,13 +45,13 @@ def r1b(spark, sf):
     return ra.build_dtm(scored(spark, sf), 2.0, "min")
 
 
-GROUND = "g AS (SELECT cloud, row, col, avg(z) AS value FROM p WHERE label = 1 AND pid % 4 = 0 GROUP BY cloud, row, col)"
+GROUND = "g AS (SELECT cloud, row, col, avg(z) AS value FROM p WHERE label = 1 GROUP BY cloud, row, col)"
 
 
 def sparse(spark, sf):
     rows = scored(spark, sf)
     frame = ra.frames(rows, 2.0)
-    cells = ra.placed(rows, frame, 2.0).filter("label = 1 AND pid % 4 = 0").groupBy("cloud", "row", "col").agg(F.avg("z").alias("value"))
+    cells = ra.placed(rows, frame, 2.0).filter("label = 1").groupBy("cloud", "row", "col").agg(F.avg("z").alias("value"))
     return rows, frame, cells
 
 

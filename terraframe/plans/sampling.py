@@ -22,12 +22,12 @@ def u_sql(seed: str, *cols: str) -> str:
     return "CAST(('0x' || substr(md5(concat_ws(':', '" + seed + "', " + ", ".join(cols) + ")), 1, 12)) AS BIGINT) / pow(2, 48)"
 
 
-@query("b1_weighted_draws", f"""WITH i AS (SELECT pid AS item, sum(1 + pid % 9) OVER (ORDER BY pid) AS hi, 1 + pid % 9 AS w, sum(1 + pid % 9) OVER () AS total FROM {PO}), d AS (SELECT pid AS draw, (pid * 7919 % 100003) / 100003 AS u FROM {PO} WHERE pid % 5 = 0)
+@query("b1_weighted_draws", f"""WITH i AS (SELECT pid AS item, sum(1 + pid % 9) OVER (ORDER BY pid) AS hi, 1 + pid % 9 AS w, sum(1 + pid % 9) OVER () AS total FROM {PO}), d AS (SELECT pid AS draw, (pid * 7919 % 100003) / 100003 AS u FROM {PO})
  SELECT draw, item FROM d JOIN i ON u >= CAST(hi - w AS DOUBLE) / total AND u < CAST(hi AS DOUBLE) / total""")
 def b1(spark, sf):
     rows = points_o(spark, sf)
     items = rows.select(F.col("pid").alias("item"), (1 + F.col("pid") % 9).alias("w"))
-    draws = rows.filter("pid % 5 = 0").select(F.col("pid").alias("draw"), ((F.col("pid") * 7919 % 100003) / 100003).alias("u"))
+    draws = rows.select(F.col("pid").alias("draw"), ((F.col("pid") * 7919 % 100003) / 100003).alias("u"))
     return s.weighted_draws(items, "w", draws)
 
 
