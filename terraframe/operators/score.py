@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from terraframe.operators.project import BY, IGNORE_LABEL
 from terraframe.operators.raster import rotate90_points
-from terraframe.operators.spatial import knn_join, radius_join
+from terraframe.operators.spatial import distance2, knn_join
 
 
 def disc_jobs(df: DataFrame, step: float = 50.0, margin: float = 8.0, max_pts: int = 100_000, trim: bool = True, by=BY) -> DataFrame:
@@ -29,10 +29,12 @@ def disc_jobs(df: DataFrame, step: float = 50.0, margin: float = 8.0, max_pts: i
     axis = lambda c: F.transform(F.sequence(F.lit(0).cast("long"), F.floor((F.col(f"_hi{c}") - F.col(f"_lo{c}")) / step)), lambda i: F.col(f"_lo{c}") + (i + 0.5) * step)
     discs = large.withColumn("_context", context).withColumn("x", F.explode(axis("x"))).withColumn("y", F.explode(axis("y")))
     discs = discs.withColumn("job", F.row_number().over(Window.partitionBy(*by).orderBy("x", "y")).cast("long")).select(*by, "job", "x", "y", "_context")
-    widest = large.agg(F.max(context)).first()[0]
-    if widest is None:
-        return small
-    met = radius_join(discs, df.select(*by, "pid", "x", "y"), float(widest), 2, by).filter(F.col("d2") <= F.col("q__context") * F.col("q__context"))
+    # each cloud has cells of its own context radius, so a disc looks at the nine around its centre
+    cell = lambda c: F.floor(F.col(c) / F.col("_context"))
+    points = df.select(*by, "pid", "x", "y").join(large.select(*by, context.alias("_context")), list(by)).withColumns({"_cx": cell("x"), "_cy": cell("y")})
+    asked = discs.withColumns({"_cx": F.explode(F.sequence(cell("x") - 1, cell("x") + 1))}).withColumn("_cy", F.explode(F.sequence(cell("y") - 1, cell("y") + 1)))
+    asked = asked.select(*by, "_cx", "_cy", F.col("job").alias("q_job"), F.col("x").alias("q_x"), F.col("y").alias("q_y"))
+    met = points.hint("shuffle_merge").join(asked, [*by, "_cx", "_cy"]).withColumn("d2", distance2(2)).filter(F.col("d2") <= F.col("_context") * F.col("_context"))
     jobs = met.select(*by, F.col("q_job").alias("job"), "pid", (F.col("d2") <= central * central).alias("central"))
     if trim:
         place = F.row_number().over(Window.partitionBy(*by, "job").orderBy(F.desc("central"), F.md5(F.concat_ws(":", "job", "pid")), "pid"))

@@ -13,11 +13,11 @@ from terraframe.functions.tables import written
 from terraframe.operators.project import BY
 
 
-def _cells(df: DataFrame, cell: float, dims: int) -> DataFrame:
+def _cells(df: DataFrame, cell: float | Column, dims: int) -> DataFrame:
     return df.withColumns({f"_c{a}": F.floor(F.col(a) / cell) for a in "xyz"[:dims]})
 
 
-def _asking(q: DataFrame, cell: float, ring: int, dims: int, p: str = "q_") -> DataFrame:
+def _asking(q: DataFrame, cell: float | Column, ring: int, dims: int, p: str = "q_") -> DataFrame:
     """q with every column prefixed and a row for each cell within ring of its own."""
     out = _cells(q, cell, dims).select(*[F.col(c).alias(f"{p}{c}") for c in q.columns], *[F.col(f"_c{a}") for a in "xyz"[:dims]])
     for a in "xyz"[:dims]:
@@ -45,21 +45,22 @@ def knn_join(q: DataFrame, p: DataFrame, k: int, dims: int = 3, cell: float | No
 
     Queries look at their own cell and those around it. Those whose k-th distance (or lack of it) leaves room
     for a nearer point outside are asked again, and only those, with cells three times as wide, so a query never
-    looks at more than 3**dims cells, however thin its surroundings. Ties go to the smaller pid. A query that cannot find k points,
+    looks at more than 3**dims cells, however thin its surroundings; each cloud has cells of its own size. Ties go to the smaller pid. A query that cannot find k points,
     because its cloud has fewer, gets all there are.
     """
-    if cell is None:
-        cell = _cell_for(p, k, dims, by)
     axes = "xyz"[:dims]
-    sizes = p.groupBy(*by).agg(*[F.min(a).alias(f"_lo{a}") for a in axes], *[F.max(a).alias(f"_hi{a}") for a in axes])
+    width = F.lit(float(cell)) if cell else _cell_for(k)
+    sizes = p.groupBy(*by).agg(*[F.min(a).alias(f"_lo{a}") for a in axes], *[F.max(a).alias(f"_hi{a}") for a in axes], width.alias("_cell"))
+    points = p.join(sizes.select(*by, "_cell"), list(by))
     todo = written(q.select(F.col(qid), *by, *axes).join(sizes, list(by)), "knn-queries")
     keys = [*by, *[f"_c{a}" for a in axes]]
-    found = None
+    found, factor = None, 1.0
     while True:
+        cell = F.col("_cell") * factor
         asked = _asking(todo, cell, 1, dims)
         for b in by:
             asked = asked.withColumnRenamed(f"q_{b}", b)
-        pairs = _cells(p, cell, dims).hint("shuffle_merge").join(asked, keys).withColumn("d2", distance2(dims))
+        pairs = _cells(points, cell, dims).drop("_cell").hint("shuffle_merge").join(asked, keys).withColumn("d2", distance2(dims))
         pairs = pairs.filter(F.col("pid") != F.col(f"q_{qid}")) if exclude_self else pairs
         rank = F.row_number().over(Window.partitionBy(*by, f"q_{qid}").orderBy("d2", "pid"))
         top = pairs.withColumn("rank", rank).filter(F.col("rank") <= k)
@@ -77,17 +78,15 @@ def knn_join(q: DataFrame, p: DataFrame, k: int, dims: int = 3, cell: float | No
         found = settled if found is None else found.unionByName(settled)
         if left.isEmpty():
             break
-        todo, cell = left, cell * 3
+        todo, factor = left, factor * 3
     return found
 
 
-def _cell_for(p: DataFrame, k: int, dims: int, by) -> float:
-    """A cell that holds about k points of the densest cloud's mean density."""
-    area = F.lit(1.0)
-    for a in "xy":
-        area = area * F.greatest(F.max(a) - F.min(a), F.lit(1e-6))
-    row = p.groupBy(*by).agg(F.sqrt(area / F.count("*")).alias("s")).agg(F.min("s"), F.max("s")).first()
-    return float((row[0] or 1.0) * max(1.0, k**0.5) * 0.75) or 1.0
+def _cell_for(k: int) -> Column:
+    """A cell for a cloud, as an aggregate: one that holds about k points at its mean density in x and y, or along its longer side if it is thin."""
+    wide, high = (F.greatest(F.max(a) - F.min(a), F.lit(1e-6)) for a in "xy")
+    spacing = F.greatest(F.sqrt(wide * high / F.count("*")), F.greatest(wide, high) / F.count("*"))
+    return spacing * max(1.0, k**0.5) * 0.75
 
 
 def radius_or_nearest(q: DataFrame, p: DataFrame, r: float, min_pts: int, dims: int = 2, qid: str = "pid", by=BY) -> DataFrame:
@@ -173,7 +172,8 @@ def normals(near: DataFrame, by=BY, sample: bool = True) -> DataFrame:
 
 def shallow_geom(df: DataFrame, k: int = 16, by=BY) -> DataFrame:
     """df with mean_elev and curvature from one shared neighbour table."""
-    near = written(knn_join(df, df, k, 3, by=by), "neighbours")
+    place = df.select(*by, "pid", "x", "y", "z")
+    near = written(knn_join(place, place, k, 3, by=by).select(*by, "q_pid", "pid", "x", "y", "z"), "neighbours")
     both = mean_elevation(near, by).join(curvature(near, by).drop("n_near"), [*by, "q_pid"]).withColumnRenamed("q_pid", "pid")
     return df.join(both, [*by, "pid"])
 

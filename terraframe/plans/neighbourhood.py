@@ -23,7 +23,7 @@ def knn_sql(k: int, d: str = D3, q: str = "TRUE", p: str = "TRUE", src: str = PO
 
 @query("n1_knn_join", f"SELECT q_pid, cloud, pid, CAST(rank AS INTEGER) AS rank, round(d2, 9) AS d2 FROM ({knn_sql(4)}) AS k")
 def n1(spark, sf):
-    rows = points_o(spark, sf)
+    rows = points_o(spark, sf).select("cloud", "pid", "x", "y", "z")
     return s.knn_join(rows, rows, 4).select("q_pid", "cloud", "pid", "rank", F.round("d2", 9).alias("d2"))
 
 
@@ -62,7 +62,7 @@ NEAR = f"near AS ({knn_sql(16)})"
 
 
 def near16(spark, sf):
-    rows = points_o(spark, sf)
+    rows = points_o(spark, sf).select("cloud", "pid", "x", "y", "z")
     return s.knn_join(rows, rows, 16)
 
 

@@ -146,14 +146,22 @@ def g6(spark, sf):
     return s.random_dropout(points_o(spark, sf), 0.3, 0.6, 1500, "d").select("pid")
 
 
-@query("v1_disc_jobs", f"""WITH b AS (SELECT cloud, count(*) AS n, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1 FROM {PO} GROUP BY cloud), c AS (SELECT *, greatest(sqrt(2) / 2 * 20 + 4, sqrt(1000 / (3.141592653589793 * (n / greatest((x1 - x0) * (y1 - y0), 1e-6))))) AS rc FROM b WHERE n > 1000),
+DISCS = f"""WITH b AS (SELECT cloud, count(*) AS n, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1 FROM {PO} GROUP BY cloud), c AS (SELECT *, greatest(sqrt(2) / 2 * 20 + 4, sqrt(1000 / (3.141592653589793 * (n / greatest((x1 - x0) * (y1 - y0), 1e-6))))) AS rc FROM b WHERE n > 1000),
  d AS (SELECT cloud, rc, row_number() OVER (PARTITION BY cloud ORDER BY i, j) AS job, x0 + (i + 0.5) * 20 AS cx, y0 + (j + 0.5) * 20 AS cy FROM c, range(5) AS p(i), range(5) AS q(j) WHERE i <= floor((x1 - x0) / 20) AND j <= floor((y1 - y0) / 20))
  SELECT p.cloud, job, pid, (x - cx) * (x - cx) + (y - cy) * (y - cy) <= (sqrt(2) / 2 * 20) * (sqrt(2) / 2 * 20) AS central FROM (SELECT * FROM {PO}) AS p JOIN d ON d.cloud = p.cloud AND (x - cx) * (x - cx) + (y - cy) * (y - cy) <= rc * rc
- UNION ALL SELECT p.cloud, 0, pid, TRUE FROM (SELECT * FROM {PO}) AS p JOIN b ON b.cloud = p.cloud WHERE b.n <= 1000""")
+ UNION ALL SELECT p.cloud, 0, pid, TRUE FROM (SELECT * FROM {PO}) AS p JOIN b ON b.cloud = p.cloud WHERE b.n <= 1000"""
+
+
+@query("v1_disc_jobs", DISCS)
 def v1(spark, sf):
     return sc.disc_jobs(points_o(spark, sf), 20.0, 4.0, 1000, trim=False)
 
 
+@query("v1_disc_jobs_trimmed", f"SELECT cloud, job, pid, central FROM (SELECT *, row_number() OVER (PARTITION BY cloud, job ORDER BY central DESC, md5(concat_ws(':', job, pid)), pid) AS k FROM ({DISCS}) AS d) AS t WHERE job = 0 OR k <= 1000")
+def v1_trimmed(spark, sf):
+    return sc.disc_jobs(points_o(spark, sf), 20.0, 4.0, 1000)
+
+
 def height_rule(g: pd.DataFrame) -> pd.Series:
     """P(ground) by height above the slope."""
     return 1 / (1 + ((g["z"] - g["x"] / 20).abs() * 2))
