@@ -89,7 +89,9 @@ def write_texts(docs: DataFrame, path: str, tokenizer_path: str, end_id: int | N
     text has no ids but the end id, a text of any length is cut over as many chunks as it needs; null doc_ids come first,
     rows that repeat a doc_id stand side by side; other columns are ignored; an empty table writes an empty data set.
     """
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    # rows that share a doc_id, or have none, may still be many: the text's hash parts them
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("_tie"))
+    ordered = keyed.repartitionByRange("doc_id", "_tie").sortWithinPartitions("doc_id", "_tie").drop("_tie")
     arrow_schema = pa.schema([("shard", pa.int32()), ("chunk", pa.int32()), ("first", pa.int64()), ("n_ids", pa.int32()), ("kind", pa.string()), ("sizes", pa.list_(pa.int32())), ("payload", pa.binary()), ("docs", pa.list_(pa.struct([("seq", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("n", pa.int64())])))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
