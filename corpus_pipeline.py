@@ -1,5 +1,8 @@
 """A training corpus from raw documents: classify, deduplicate exactly and nearly, mix sources, encode.
 
+In every stage null and empty texts, null ids and sources, repeated rows, ties and texts of any length have the results that its
+operator's docstring states, other columns pass under any name, and an empty table stays empty.
+
 STAGES lists (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame that is written
 as Parquet and read again as the docs of the next. All but the last return the columns of documents.
 """
@@ -14,27 +17,27 @@ from terraframe.llm.queries import TOKENIZER
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that the classifier rejects."""
+    """Drops the documents that the classifier rejects; null and empty texts are judged like others."""
     return quality.classify(docs, table(spark, sf_dir, "labels")).filter("predicted = 1").select(docs.columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts one stays."""
+    """Of equal texts one stays, the one with the largest doc_id; null texts count as empty, so one of these stays."""
     return exact.deduplicate(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates one stays."""
+    """Of each group of near-duplicates one stays, the one with the smallest doc_id; texts without words all stay."""
     return neardup.deduplicate(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them, in its order."""
+    """Documents as often as the mix takes them, in its order; texts without words are not taken."""
     return mixing.mix(docs)
 
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with their token ids and the text decoded from these."""
+    """Documents with their token ids and the text decoded from these; a null text has none."""
     return bpe.encode_decode(docs, TOKENIZER)
 
 

@@ -16,50 +16,60 @@ END_ID = 1
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a document, repeated rows too. Null and empty texts are scored by their statistics alone, null n_chars as absent; without labels every score is 0.5; an empty table gives no rows."""
     scored = quality.classify(table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars"), table(spark, sf_dir, "labels"))
     return scored.select("doc_id", "held_out", "score", "predicted")
 
 
 def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a conversation and one for -7. Null texts and roles count as empty, null turns come first, ties go by role and text, repeated rows are turns of their own, a turn over the budget has a window of its own; an empty table gives -7 alone."""
     odd = "\\### Assistant: </turn> ok"
     extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(odd).alias("text"))
     return chat.digests(chat.windows(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)))
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a document, repeated rows too. Null and empty texts have no spans; long texts are read whole; an empty table gives no rows."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pii.digests(pii.detect(docs, pii.fit(docs)).drop("text"))
 
 
 def op4_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a document, repeated rows too. Null texts count as empty, null doc_ids as the smallest; of rows alike in id and text one is kept; an empty table gives no rows."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     docs = docs.withColumn("text_sha256", F.sha2(ascii_lower(F.coalesce(F.col("text"), F.lit(""))), 256))
     return exact.refine(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 def op5_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a document, repeated rows too, side by side. Null and empty texts have the end id alone; null doc_ids come first; an empty table gives no rows."""
     path = new_path(spark, "token-ids")
     planes.write_texts(table(spark, sf_dir, "documents"), path, TOKENIZER, END_ID)
     return planes.id_crc32(planes.read_ids(spark, path))
 
 
 def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a page, repeated rows too. Null, empty and textless pages have an empty text; pages of any length and depth are read whole; an empty table gives no rows."""
     return html_paths.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
 
 
 def op7_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a document, repeated rows too. Null, empty and wordless texts are linked with nothing; null doc_ids are never a component's name; an empty table gives no rows."""
     return neardup.groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """At most 20 rows a query. Null ids and null, zero, non-finite or oddly long vectors take no part; ties go to the smaller id; rows alike in id and vector count once; an empty table gives no rows."""
     return hilbert_ann.search(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a document, repeated rows too. Null texts have no words and take nothing, null sources are a source, null ids come first, repeated rows are taken together; an empty table gives no rows."""
     return mixing.per_document(mixing.plan(table(spark, sf_dir, "documents")))
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a document, repeated rows too. Null and empty texts have no ids and an empty decoded text; long texts are taken whole; an empty table gives no rows."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.digests(bpe.encode_decode(docs, TOKENIZER))
 
