@@ -103,7 +103,10 @@ class FragmentEncoder:
         if split["behavior"] != "Removed" or not split["invert"]:
             return None
         group = lambda kind: "".join(re.escape(c) for c in map(chr, range(0x250)) if unicodedata.category(c)[0] == kind)
-        return re.compile(split["pattern"]["Regex"].replace(r"\p{L}", group("L")).replace(r"\p{N}", group("N")))
+        parts, letters = split["pattern"]["Regex"].split("|"), r"[\p{L}]+"
+        if letters in parts and all(p.startswith("'") for p in parts[: parts.index(letters)]):  # these start with no letter, so letters may be tried first
+            parts = [letters, *[p for p in parts if p != letters]]
+        return re.compile("|".join(parts).replace(r"\p{L}", group("L")).replace(r"\p{N}", group("N")))
 
     def fragments(self, word: str) -> list[str]:
         """The pieces of a word between certain cuts."""
@@ -133,14 +136,27 @@ class FragmentEncoder:
     def learn(self, words: list[str]) -> list[np.ndarray]:
         """The ids of some words: the words without certain cuts in one call, the fragments of the others in two."""
         words = list(map(self.shown, words))
-        codes = np.frombuffer("\n".join(words).encode("utf-32-le"), np.uint32)
+        line = "\n".join(words)
+        codes = np.frombuffer(line.encode("utf-32-le"), np.uint32)
         mark, known = codes == 10, codes < ALPHABET
         low = np.where(known, codes, 0)
         uncut = self.pairs[low[:-1], low[1:]] & known[:-1] & known[1:]
         starts = np.r_[0, np.flatnonzero(mark) + 1]
-        doubtful = np.logical_or.reduceat(np.r_[~uncut & ~mark[:-1] & ~mark[1:], False], starts).tolist()
+        cut = np.r_[~uncut & ~mark[:-1] & ~mark[1:], False]
+        doubtful = np.logical_or.reduceat(cut, starts)
+        # the pieces of cut words, one after the other; a character beyond the table makes its word doubtful, and is looked at by itself
+        ends = np.r_[starts[1:] - 1, len(line)]
+        at, stop = np.flatnonzero(cut) + 1, np.searchsorted(np.flatnonzero(cut), starts)
+        odd = np.logical_or.reduceat(~known, starts)
+        parts = []
+        for k in np.flatnonzero(doubtful).tolist():
+            if odd[k]:
+                parts.append(self.fragments(words[k]))
+            else:
+                places = [int(starts[k]), *at[stop[k] : stop[k + 1] if k + 1 < len(words) else None].tolist(), int(ends[k])]
+                parts.append([line[a:b] for a, b in zip(places, places[1:])])
+        doubtful = doubtful.tolist()
         whole = [w for w, d in zip(words, doubtful) if not d]
-        parts = [self.fragments(w) for w, d in zip(words, doubtful) if d]
         one, heads, tails = iter(self._ids(self.last, whole)), iter(self._ids(self.inner, [f for fs in parts for f in fs[:-1]])), iter(self._ids(self.last, [fs[-1] for fs in parts]))
         size = iter([len(fs) - 1 for fs in parts])
         return [np.concatenate([*islice(heads, next(size)), next(tails)]) if d else next(one) for d in doubtful]

@@ -48,6 +48,13 @@ def from_planes(planes: list[bytes], n: int, kind: str) -> np.ndarray:
     return np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little").view("<u4").ravel()
 
 
+def part_of(planes: list[bytes], start: int, stop: int, n: int, kind: str) -> np.ndarray:
+    """Ids start to stop of the n that planes hold; of byte planes only these are put together."""
+    if kind == "byte":
+        return from_planes([memoryview(p)[start:stop] for p in planes], stop - start, kind)
+    return from_planes(planes, n, kind)[start:stop]
+
+
 class _Shard:
     """Gathers the ids of one partition and cuts them into chunks; holds one chunk and one document at most."""
 
@@ -130,9 +137,13 @@ def _pieces(chunks: DataFrame, whole: bool) -> DataFrame:
                     continue
                 payload = memoryview(batch.column("payload")[i].as_buffer())
                 ends = np.cumsum([0, *row["sizes"]])
-                ids = from_planes([unpack(payload[a:b]) for a, b in zip(ends, ends[1:])], row["n_ids"], row["kind"]).astype(np.int32)
+                planes = [unpack(payload[a:b]) for a, b in zip(ends, ends[1:])]
                 size = np.minimum(start + n, hi) - np.maximum(start, lo)  # documents follow each other without a gap
-                parts = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size[pick])], pa.int32()), pa.array(ids[np.repeat(pick, size)], pa.int32()))
+                at = np.r_[0, np.cumsum(size)]
+                # runs of neighbouring documents: the whole ones are one, those cut lie at the ends
+                edge = np.flatnonzero(np.diff(np.r_[0, pick.astype(np.int8), 0])).reshape(-1, 2)
+                ids = np.concatenate([part_of(planes, at[a], at[b], row["n_ids"], row["kind"]) for a, b in edge])
+                parts = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size[pick])], pa.int32()), pa.array(ids.view(np.int32), pa.int32()))
                 chosen = docs.filter(pa.array(pick))
                 cols = [pa.array(np.full(len(chosen), row["shard"]), pa.int32()), *(chosen.field(k) for k in ("seq", "doc_id", "start", "n")), pa.array(np.full(len(chosen), row["chunk"]), pa.int32()), parts]
                 yield pa.RecordBatch.from_arrays(cols, names=["shard", "seq", "doc_id", "start", "n", "chunk", "ids"])
