@@ -32,7 +32,7 @@ SPACE = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u20
 #: Anything but printable Latin letters, signs and plain white space, all of which are their own canonical
 #: composition and lower-case one by one within the same range.
 NOT_PLAIN = re.compile("[^\\t-\\r\\x20-\\x7e\\xa0-\\u012f\\u0131-\\u0239]")
-#: A memo that reaches MEMO_WORDS or MEMO_IDS starts afresh with the words of the last slice, but for those over MEMO_CHARS.
+#: A memo that reaches MEMO_WORDS or MEMO_IDS starts afresh with the half of its words that came up most, but for those over MEMO_CHARS.
 #: A slice ends at SLICE_BYTES of text; a longer text is a slice of its own.
 MEMO_WORDS, MEMO_IDS, MEMO_CHARS, SLICE_ROWS, SLICE_BYTES = 450_000, 1 << 22, 64, 500, 1 << 20
 #: The byte-level alphabet ends before; pairs of its characters stand in a table.
@@ -177,7 +177,7 @@ class FragmentEncoder:
     def _start(self, kept: dict[str, np.ndarray]) -> None:
         """A memo that knows the ids of kept: number of each word, and place and length of its ids in the table."""
         self.memo, self.names = {}, []
-        self.table, self.at, self.size = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.table, self.at, self.size, self.hits = np.empty(0, np.int32), *(np.empty(0, np.int64) for _ in range(3))
         self._add(list(kept), list(kept.values()))
 
     def _add(self, words: list[str], ids: list[np.ndarray]) -> None:
@@ -186,6 +186,7 @@ class FragmentEncoder:
         size = np.fromiter(map(len, ids), np.int64, len(ids))
         self.at = np.r_[self.at, len(self.table) + np.cumsum(size) - size]
         self.size = np.r_[self.size, size]
+        self.hits = np.r_[self.hits, np.zeros(len(ids), np.int64)]
         self.table = np.concatenate([self.table, *ids])
 
     def encode_column(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -210,8 +211,10 @@ class FragmentEncoder:
         size = self.size[number]
         stop = np.cumsum(size)
         ids = self.table[np.repeat(self.at[number] - stop + size, size) + np.arange(stop[-1] if len(stop) else 0)]
+        self.hits += np.bincount(number, minlength=len(self.hits))
         if len(self.names) > MEMO_WORDS or len(self.table) > MEMO_IDS:
-            self._start({self.names[i]: self.table[self.at[i] : self.at[i] + self.size[i]] for i in np.unique(number).tolist() if len(self.names[i]) <= MEMO_CHARS})
+            most = np.argsort(-self.hits, kind="stable")[: MEMO_WORDS // 2]
+            self._start({self.names[i]: self.table[self.at[i] : self.at[i] + self.size[i]] for i in most[self.hits[most] > 1].tolist() if len(self.names[i]) <= MEMO_CHARS})
         return ids, np.r_[0, stop][np.r_[0, np.cumsum(np.fromiter(map(len, rows), np.int64, len(rows)))]]
 
     def encode(self, text: str | None) -> np.ndarray:
