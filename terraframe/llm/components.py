@@ -13,20 +13,20 @@ def components(edges: DataFrame) -> DataFrame:
 
     Links point from the larger node to the smaller. While a node has several smaller neighbours, it keeps
     the smallest and hands the others on to it, which leaves connections as they are; once every node has one, the
-    links are a forest, and each node takes its parent's parent until all point at roots. A round groups by
-    the larger end, so the many links of a hub meet nowhere. Nodes and links stay in tables; the driver sees
-    whether a round changed anything. Self-links and repeats are dropped; nulls must not occur.
+    links are a forest, and each node takes its parent's parent until all point at roots. A round takes the
+    smallest neighbour by an aggregate and joins it to the links, so no row ever holds the links of a hub, and
+    Spark may split the hub's part of the join. Nodes and links stay in tables; the driver sees whether a round
+    changed anything. Self-links and repeats are dropped; nulls must not occur.
     """
-    links = edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    links = written(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), "links")
     while True:
-        up = written(links.groupBy("u").agg(F.array_sort(F.collect_set("v")).alias("up")), "links")
-        if up.filter(F.size("up") > 1).isEmpty():
+        first = written(links.groupBy("u").agg(F.min("v").alias("first")), "first-links")
+        others = links.join(first.hint("merge"), "u").filter("v <> first").select(F.col("v").alias("u"), F.col("first").alias("v"))
+        handed = written(others.distinct(), "handed-links")
+        if handed.isEmpty():
             break
-        first = F.get("up", F.lit(0))
-        own = F.struct(F.col("u"), first.alias("v"))
-        handed = F.transform(F.slice("up", 2, 2**30), lambda p: F.struct(p.alias("u"), first.alias("v")))
-        links = up.select(F.explode(F.concat(F.array(own), handed)).alias("l")).select("l.u", "l.v")
-    tree = up.select(F.col("u").alias("node"), F.get("up", F.lit(0)).alias("comp"))
+        links = first.select("u", F.col("first").alias("v")).unionByName(handed)
+    tree = first.select(F.col("u").alias("node"), F.col("first").alias("comp"))
     while True:
         over = tree.select(F.col("node").alias("comp"), F.col("comp").alias("_next"))
         moved = written(tree.join(over, "comp", "left").select("node", F.coalesce("_next", "comp").alias("comp"), F.col("_next").isNotNull().alias("moved")), "forest")

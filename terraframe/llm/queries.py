@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terraframe.llm import bpe, chat, exact, hilbert_ann, html_paths, mixing, neardup, pii, planes, quality
+from terraframe.llm import bpe, chat, exact, hilbert_ann, html_paths, mixing, neardup, pigeonhole, pii, planes, quality
 from terraframe.llm._common import ascii_lower, new_path, table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -74,6 +74,11 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode_decode(docs, TOKENIZER))
 
 
+def op11_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a vector, repeated rows too, which are linked to each other. Null labels and null, zero or non-finite vectors are linked with nothing; null ids are never a component's name; an empty table gives no rows."""
+    return pigeonhole.near_groups(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": op1_quality,
@@ -86,6 +91,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_ann": op8_ann,
         "op9_mixing": op9_mixing,
         "op10_bpe": op10_bpe,
+        "op11_pigeonhole": op11_pigeonhole,
     }
 
 
@@ -101,6 +107,19 @@ ORACLE_SQL: dict[str, str] = {
         r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
     """,
+    "op11_pigeonhole": """
+        WITH RECURSIVE v AS (
+            SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+            WHERE label IS NOT NULL AND embedding IS NOT NULL
+              AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0 AND len([x for x in embedding if x <> 0]) > 0),
+        l AS (
+            SELECT a.vec_id AS u, b.vec_id AS w FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+            WHERE list_inner_product(a.e, b.e) / sqrt(list_inner_product(a.e, a.e)) / sqrt(list_inner_product(b.e, b.e)) >= 0.98),
+        r AS (SELECT vec_id, vec_id AS c FROM embeddings UNION SELECT l.w, r.c FROM r JOIN l ON r.vec_id = l.u),
+        n AS (SELECT u, count(*) AS n FROM l GROUP BY u)
+        SELECT r.vec_id, CAST(coalesce(max(n.n), 0) AS BIGINT) AS n_links, min(r.c) AS component_id, r.vec_id = min(r.c) AS kept
+        FROM r LEFT JOIN n ON n.u = r.vec_id GROUP BY r.vec_id
+    """,
     "op4_exact": """
         WITH t AS (
             SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm FROM documents)
