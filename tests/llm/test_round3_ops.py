@@ -8,7 +8,7 @@ import zlib
 import numpy as np
 import pytest
 
-from terraframe.llm import components, pigeonhole, queries
+from terraframe.llm import components, merkle, pigeonhole, queries
 
 
 def brute_links(rows, cosine):
@@ -91,3 +91,70 @@ def test_vector_query(spark):
     rows = [(r["vec_id"], r["embedding"], r["label"]) for r in spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").collect()]
     got = queries.queries()["op11_pigeonhole"](spark, "/root/testdata/sf0.001").collect()
     assert sorted((tuple(r) for r in got), key=str) == brute_links(rows, 0.98)
+
+
+def sha(*parts):
+    return hashlib.sha256("".join(parts).encode()).hexdigest()
+
+
+def fold_up(nodes):
+    """The root of nodes, and for each the siblings level by level as (left, right)."""
+    paths = [[] for _ in nodes]
+    held = [[i] for i in range(len(nodes))]
+    while len(nodes) > 1:
+        up, over = [], []
+        for lo in range(0, len(nodes), 8):
+            run = nodes[lo : lo + 8]
+            for k in range(len(run)):
+                for i in held[lo + k]:
+                    paths[i].append(("".join(run[:k]), "".join(run[k + 1 :])))
+            up.append(sha(*run))
+            over.append([i for h in held[lo : lo + 8] for i in h])
+        nodes, held = up, over
+    return nodes[0], paths
+
+
+def brute_manifest(rows):
+    """rows of (doc_id, source, lang, n_chars, text): the contract's rows, ties by leaf."""
+    told = lambda v: "-" if v is None else f"{len(str(v).encode())}:{v}"
+    low = lambda t: "".join(c.lower() if "A" <= c <= "Z" else c for c in t)
+    made = [(r[2], r[0], sha(*map(told, r)), sha(*map(told, (*r[:4], low(r[4])))) if r[0] is not None and r[4] is not None and zlib.crc32(str(r[0]).encode()) % 3 == 0 else None) for r in rows]
+    made.sort(key=lambda m: (m[0] is not None, (m[0] or "").encode(), m[1] is not None, m[1] or 0, m[2]))
+    langs = list(dict.fromkeys(m[0] for m in made))
+    trees = [fold_up([m[2] for m in made if m[0] == g]) for g in langs]
+    root, above = fold_up([t[0] for t in trees])
+    out = []
+    for g, (subroot, inner), over in zip(langs, trees, above):
+        for m, path in zip([m for m in made if m[0] == g], inner):
+            folded = m[3] or m[2]
+            for left, right in path + over:
+                folded = sha(left, folded, right)
+            out.append((m[1], m[2], subroot, root, sha(*[x for step in path + over for x in step]), folded, folded == root))
+    return sorted(out, key=str)
+
+
+RESULT = ["doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"]
+
+
+@pytest.mark.parametrize(("n", "langs"), [(700, 3), (90, 40), (1, 1), (9, 1)])
+def test_manifest_matches_brute_force(spark, n, langs):
+    rng = random.Random(n)
+    ids = rng.sample(range(-10**6 if n == 700 else 0, 10**6 if n == 90 else 1000), n)
+    rows = [(i, rng.choice(["a", None, "ß"]), f"l{rng.randrange(langs)}", rng.choice([None, 3]), rng.choice(["Ab é", "plain", None, ""])) for i in ids]
+    if n > 500:
+        rows += [(None, "s", "l0", 1, "Nobody")] * 20 + [(5, "s", "l1", 1, f"Same {k % 4}") for k in range(30)] + [(6, "s", None, 1, "T"), (10**15, "s", "l0", 1, "Far"), (-(2**63), "s", "l2", 1, "Low"), (2**63 - 1, "s", "l2", 1, "High")]
+    docs = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, source string, lang string, n_chars long, text string, place string, leaf int").repartition(3)
+    got = merkle.manifest(docs).select(*RESULT)
+    assert sorted((tuple(r) for r in got.collect()), key=str) == brute_manifest(rows)
+
+
+def test_manifest_of_nothing(spark):
+    docs = spark.createDataFrame([], "doc_id long, source string, lang string, n_chars long, text string")
+    assert merkle.manifest(docs).count() == 0
+
+
+def test_manifest_query(spark, sf):
+    rows = [(r["doc_id"], r["source"], r["lang"], r["n_chars"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    got = queries.queries()["op13_merkle"](spark, sf)
+    assert got.columns == RESULT
+    assert sorted((tuple(r) for r in got.collect()), key=str) == brute_manifest(rows)
