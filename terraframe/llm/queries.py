@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terraframe.llm import bpe, chat, exact, hilbert_ann, html_paths, merkle, mixing, neardup, pigeonhole, pii, planes, quality
+from terraframe.llm import bpe, chat, exact, hilbert_ann, html_paths, merkle, mixing, neardup, pigeonhole, pii, planes, quality, runs
 from terraframe.llm._common import ascii_lower, new_path, table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -79,6 +79,12 @@ def op11_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pigeonhole.near_groups(table(spark, sf_dir, "embeddings"))
 
 
+def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a document, repeated rows too. Null, empty and wordless texts have no runs, and nothing is repeated under a null id; long texts are read whole; an empty table gives no rows."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", runs.repeated(F.col("text"), F.col("doc_id")).alias("text"))
+    return runs.digests(runs.find(docs))
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row a document, repeated rows too, which are leaves of their own. Null fields are a dash in the leaf, null doc_ids come first and are never tampered with, a null lang is the first group; an empty table gives no rows."""
     return merkle.manifest(table(spark, sf_dir, "documents")).select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
@@ -97,6 +103,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_mixing": op9_mixing,
         "op10_bpe": op10_bpe,
         "op11_pigeonhole": op11_pigeonhole,
+        "op12_runs": op12_runs,
         "op13_merkle": op13_merkle,
     }
 

@@ -3,12 +3,14 @@
 import hashlib
 import math
 import random
+import re
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pytest
 
-from terraframe.llm import components, merkle, pigeonhole, queries
+from terraframe.llm import components, merkle, pigeonhole, queries, recompression, runs
 
 
 def brute_links(rows, cosine):
@@ -158,3 +160,86 @@ def test_manifest_query(spark, sf):
     got = queries.queries()["op13_merkle"](spark, sf)
     assert got.columns == RESULT
     assert sorted((tuple(r) for r in got.collect()), key=str) == brute_manifest(rows)
+
+
+def brute_runs(words):
+    n, out = len(words), {}
+    for q in range(1, n // 3 + 1):
+        i = 0
+        while i + q < n:
+            if words[i] != words[i + q]:
+                i += 1
+                continue
+            j = i
+            while j + q < n and words[j] == words[j + q]:
+                j += 1
+            if j + q - i >= max(24, 3 * q):
+                out.setdefault((i, j + q - i), q)  # the smallest period comes first
+            i = j
+    return sorted((s, length, q) for (s, length), q in out.items())
+
+
+def wavy(rng):
+    """Words with repetitions inside repetitions, and some luck."""
+    words = [rng.choice("abc") for _ in range(rng.randrange(60))]
+    for _ in range(rng.randrange(4)):
+        base = words[-rng.randrange(1, 12) :] or ["z"]
+        words += base * rng.randrange(1, 14) + [rng.choice("abcd") for _ in range(rng.randrange(9))]
+    return words
+
+
+def test_runs_match_brute_force():
+    rng = random.Random(12)
+    docs = [wavy(rng) for _ in range(400)] + [["a"] * k for k in (0, 1, 23, 24, 25, 500)] + [list("ab") * 40 + list("ba") * 40]
+    ids = {w: k for k, w in enumerate("abcdz")}
+    flat = np.array([ids[w] for d in docs for w in d])
+    got = runs.runs_of(flat, np.array([len(d) for d in docs]))
+    want = [brute_runs(d) for d in docs]
+    assert [sorted(map(tuple, g.tolist())) for g in got] == want
+    assert sum(map(len, want)) > 300
+
+
+def test_grammar_extensions():
+    rng = random.Random(3)
+    docs = [wavy(rng) for _ in range(30)]
+    docs = [d for d in docs if len(d) > 1]
+    sizes = np.array([len(d) for d in docs])
+    grammar = recompression.Grammar(np.array([ord(w) for d in docs for w in d]), sizes)
+    asked = [(k, *rng.sample(range(len(docs[k])), 2)) for k in range(len(docs)) for _ in range(200)]
+    for step in (1, -1):
+        i, j = (np.array([grammar.at[a[0]] + a[c] for a in asked]) for c in (1, 2))
+        got = grammar.extend(i, j, step)
+        for (k, x, y), n in zip(asked, got.tolist()):
+            d, want = docs[k], 0
+            while 0 <= min(x, y) and max(x, y) < len(d) and d[x] == d[y]:
+                x, y, want = x + step, y + step, want + 1
+            assert n == want
+
+
+def brute_run_row(doc_id, text):
+    words = [w for w in re.split(r"[\x20\x09-\x0D]+", text or "") if w]
+    n = len(words)
+    h = zlib.crc32(str(doc_id).encode()) if doc_id is not None else 1
+    g = h // 10
+    if h % 10 == 0 and n:
+        a = g % n
+        p = 1 + (n - a) // (3 + g % 8)
+        words = [words[i] if i < a else words[a + (i - a) % p] for i in range(n)]
+    found = brute_runs(words)
+    drop = {i for s, length, q in found for i in range(s + q, s + length)}
+    best = min(found, key=lambda r: (-Fraction(r[1], r[2]), r[0], r[2]), default=None)
+    told = (*best, 1000 * best[1] // best[2]) if best else (None,) * 4
+    return (doc_id, len(found), *told, sha(*[f"{s},{length},{q}\n" for s, length, q in found]), sha(" ".join(w for i, w in enumerate(words) if i not in drop)))
+
+
+def test_runs_query(spark, sf, tmp_path):
+    rng = random.Random(8)
+    odd = [None, "", " \t\n", "a" * 5000, " ".join(["x y"] * 400), "\x0b".join("Zz\x1c\u2003é") + "\x0c" * 30, " ".join(wavy(rng)) + "\r\n" + "q " * 3000]
+    rows = [(i, t) for i, t in enumerate(odd * 12)] + [(None, "n " * 90), (3, "r s t " * 30), (3, "r s t " * 30)]
+    spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS runs").write.parquet(f"{tmp_path}/documents.parquet")
+    for where in (str(tmp_path), sf):
+        docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{where}/documents.parquet").collect()]
+        got = queries.queries()["op12_runs"](spark, where)
+        assert got.columns == ["doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256"]
+        assert sorted((tuple(r) for r in got.collect()), key=str) == sorted((brute_run_row(*d) for d in docs), key=str)
+    assert runs.find(spark.createDataFrame([], "doc_id long, text string")).count() == 0
