@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terraframe.functions.tables import running
+from terraframe.functions.quantiles import quantiles
+from terraframe.functions.tables import running, written
 from terraframe.operators.project import BY, IGNORE_LABEL
+from terraframe.operators.surface import tin_surface
 
 EPS = 1e-8
 
@@ -39,59 +41,52 @@ def binary_metrics(df: DataFrame, pred: str = "pred", label: str = "label", by=(
     return out.withColumns({"precision": precision * 100, "recall": recall * 100, "f1": 200 * precision * recall / (precision + recall + EPS), "mcc": F.col("mcc") / 100, "kappa": F.col("kappa") / 100})
 
 
-def _surface(df: DataFrame, rows: Column, res: float, name: str, by) -> DataFrame:
-    return df.filter(rows).groupBy(*by, F.floor(F.col("y") / res).alias("row"), F.floor(F.col("x") / res).alias("col")).agg(F.avg("z").alias(name))
-
-
-def _tin(df: DataFrame, rows: Column, res: float, name: str, by, block: float, halo: float) -> DataFrame:
-    """Heights at cell centres of the triangulated surface, block by block with the points up to halo around it."""
-    import numpy as np
-    import pandas as pd
-
-    from terraframe.functions.tin import interpolate
+def corners(df: DataFrame, res: float, by=BY) -> DataFrame:
+    """_x0, _y0, _h, _w of each cloud: the corner of its points and its height and width in cells, one at least."""
+    n = lambda c: F.greatest(F.ceil((F.max(c) - F.min(c)) / res), F.lit(1).cast("long"))
+    return df.groupBy(*by).agg(F.min("x").alias("_x0"), F.min("y").alias("_y0"), n("y").alias("_h"), n("x").alias("_w"))
 
-    reach = lambda c: F.sequence(F.floor((F.col(c) - halo) / block), F.floor((F.col(c) + halo) / block))
-    near = df.filter(rows).select(*by, "x", "y", "z").withColumn("bx", F.explode(reach("x"))).withColumn("by", F.explode(reach("y")))
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        x0, y0 = g["bx"].iloc[0] * block, g["by"].iloc[0] * block
-        cols, rows_ = np.arange(np.ceil(x0 / res - 1e-9), np.ceil((x0 + block) / res - 1e-9)), np.arange(np.ceil(y0 / res - 1e-9), np.ceil((y0 + block) / res - 1e-9))
-        c, r = (v.ravel() for v in np.meshgrid(cols, rows_))
-        z = interpolate(g[["x", "y"]].to_numpy(), g["z"].to_numpy(), np.c_[(c + 0.5) * res, (r + 0.5) * res])
-        ok = ~np.isnan(z)
-        return pd.DataFrame({**{b: np.full(ok.sum(), g[b].iloc[0]) for b in by}, "row": r[ok].astype("int64"), "col": c[ok].astype("int64"), name: z[ok]})
-
-    keys = ", ".join(f"{b} string" for b in by)
-    return near.groupBy(*by, "bx", "by").applyInPandas(run, f"{keys}, row long, col long, {name} double")
+def _surface(df: DataFrame, rows: Column, res: float, name: str, by) -> DataFrame:
+    at = lambda c, n: F.least(F.floor((F.col(c) - F.col(f"_{c}0")) / res), F.col(n) - 1)
+    return df.filter(rows).groupBy(*by, at("y", "_h").alias("row"), at("x", "_w").alias("col")).agg(F.avg("z").alias(name))
 
 
-def dtm_errors(df: DataFrame, res: float = 1.0, pred: str = "pred", label: str = "label", by=BY, surface: str = "cell", block: float = 32.0, halo: float = 8.0) -> DataFrame:
+def dtm_errors(df: DataFrame, res: float = 1.0, pred: str = "pred", label: str = "label", by=BY, surface: str = "cell") -> DataFrame:
     """error of the predicted elevation against the true one per cell, where both exist; clouds need three points of each.
 
-    surface cell takes the mean height of a cell's points, tin the triangulated surface at its centre. The
-    triangulation is made in blocks; where a triangle is wider than the halo it may differ from one over all.
+    Cells count from the corner of all points of a cloud. surface cell takes the mean height of a cell's points, tin
+    the surface triangulated over the whole cloud at its centre; see tin_surface().
     """
-    enough = df.groupBy(*by).agg(F.count_if(F.col(label) == 1).alias("_t"), F.count_if((F.col(pred) == 1) & F.col(label).isin(0, 1)).alias("_p")).filter("_t >= 3 AND _p >= 3").select(*by)
-    rows = df.join(enough, list(by), "left_semi")
     is_true, is_pred = F.col(label) == 1, (F.col(pred) == 1) & F.col(label).isin(0, 1)
+    enough = df.groupBy(*by).agg(F.count_if(F.col(label) == 1).alias("_t"), F.count_if(is_pred).alias("_p")).filter("_t >= 3 AND _p >= 3").select(*by)
+    rows = df.join(corners(df, res, by).join(enough, list(by), "left_semi"), list(by))
     if surface == "tin":
-        true, made = (_tin(rows, c, res, n, by, block, halo) for c, n in ((is_true, "z_true"), (is_pred, "z_pred")))
+        true, made = (tin_surface(rows.filter(c), res, n, by) for c, n in ((is_true, "z_true"), (is_pred, "z_pred")))
     else:
         true, made = (_surface(rows, c, res, n, by) for c, n in ((is_true, "z_true"), (is_pred, "z_pred")))
     return true.join(made.hint("shuffle_merge"), [*by, "row", "col"]).withColumn("error", F.col("z_pred") - F.col("z_true"))
 
 
 def dtm_rmse(df: DataFrame, res: float = 1.0, pred: str = "pred", label: str = "label", by=BY, surface: str = "cell") -> DataFrame:
-    """sse and n per cloud over elevation cells; total_rmse over all clouds; null without any."""
+    """sse and n per cloud over elevation cells, both 0 where its elevations aren't defined; total_rmse over all clouds, null without any cell."""
     per = dtm_errors(df, res, pred, label, by, surface).groupBy(*by).agg(F.sum(F.col("error") * F.col("error")).alias("sse"), F.count("*").alias("n"))
     every = Window.partitionBy()
-    return per.withColumn("total_rmse", F.sqrt(F.sum("sse").over(every) / F.sum("n").over(every)))
+    whole = df.select(*by).distinct().join(per, list(by), "left").select(*by, F.coalesce("sse", F.lit(0.0)).alias("sse"), F.coalesce("n", F.lit(0)).alias("n"))
+    return whole.withColumn("total_rmse", F.when(F.sum("n").over(every) > 0, F.sqrt(F.sum("sse").over(every) / F.sum("n").over(every))))
 
 
-def aggregate_error(errors: DataFrame, by=BY) -> DataFrame:
-    """rmse, p95, p99 and max of the absolute cell errors."""
+def aggregate_error(errors: DataFrame, by=BY, clouds: DataFrame | None = None) -> DataFrame:
+    """rmse, p95, p99 and max of the absolute cell errors; infinite for those of clouds that have none."""
     e = F.abs("error")
-    return errors.groupBy(*by).agg(F.sqrt(F.avg(F.col("error") * F.col("error"))).alias("rmse"), F.percentile(e, F.lit(0.95)).alias("p95"), F.percentile(e, F.lit(0.99)).alias("p99"), F.max(e).alias("max_error"))
+    held = written(errors.select(*by, "error"), "cell-errors")
+    tails = quantiles(held, e, [0.95, 0.99], by, stored=True)
+    out = held.groupBy(*by).agg(F.sqrt(F.avg(F.col("error") * F.col("error"))).alias("rmse"), F.max(e).alias("max_error")).join(tails, list(by))
+    out = out.select(*by, "rmse", F.get("q", F.lit(0)).alias("p95"), F.get("q", F.lit(1)).alias("p99"), "max_error")
+    if clouds is None:
+        return out
+    inf = F.lit(float("inf"))
+    return clouds.select(*by).distinct().join(out, list(by), "left").select(*by, *[F.coalesce(c, inf).alias(c) for c in ("rmse", "p95", "p99", "max_error")])
 
 
 def lovasz(df: DataFrame, p: str = "p_ground", label: str = "label", ignore: int = IGNORE_LABEL, by=BY) -> DataFrame:
@@ -153,28 +148,37 @@ def ema_best(history: DataFrame, metric: str, epoch: str = "epoch", keep: float
     return listed.select(F.aggregate("h", start, step).alias("s")).select(F.col("s.at").alias(epoch), F.col("s.best").alias("ema"))
 
 
-def profile(df: DataFrame, band: float = 0.06, bins: int = 80, pct: float = 0.3, by=BY) -> DataFrame:
-    """Ground line along x of the points near the median y: per bin the lower percentile of z, gaps filled linearly.
+def profile(df: DataFrame, band: float = 0.06, bins: int = 80, pct: float = 0.3, label: str = "label", by=BY) -> DataFrame:
+    """Ground line of each cloud along x: x (the middle of the bin, from the cloud's corner), z and n of each bin.
 
-    The band is half of max(6 % of the extent, 1) wide, widened to 15 % if it holds fewer than 60 points.
+    The line is made of the label-1 points whose y is within max(6 % of the extent, 1) of the median, or 15 % of the extent where that
+    band holds fewer than 60 points, or of all points where it holds none. Bins part the ground points' own x range; a bin's z is a
+    low percentile, gaps are filled linearly. Fewer than four ground points, or all in one bin, give no line.
     """
-    frame = df.groupBy(*by).agg(F.percentile("y", F.lit(0.5)).alias("_my"), (F.max("y") - F.min("y")).alias("_ey"), F.min("x").alias("_x0"), F.max("x").alias("_x1"))
-    rows = df.join(frame, list(by))
-    near = lambda share: F.abs(F.col("y") - F.col("_my")) <= F.greatest(F.col("_ey") * share, F.lit(1.0)) / 2
-    counts = rows.groupBy(*by).agg(F.count_if(near(band)).alias("_n"))
-    inside = rows.join(counts, list(by)).filter(F.when(F.col("_n") < 60, near(0.15)).otherwise(near(band)))
-    width = F.greatest(F.col("_x1") - F.col("_x0"), F.lit(1e-9)) / bins
-    at = F.least(F.floor((F.col("x") - F.col("_x0")) / width), F.lit(bins - 1).cast("long"))
-    line = inside.groupBy(*by, at.alias("bin")).agg(F.percentile("z", F.lit(pct)).alias("_z"), F.count("*").alias("n"))
-    every = df.select(*by).distinct().withColumn("bin", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(bins - 1).cast("long"))))
-    full = every.join(line.hint("shuffle_merge"), [*by, "bin"], "left")
+    held = written(df.select(*by, "x", "y", "z", label), "profile-points")
+    mid = quantiles(held, "y", [0.5], by, stored=True)
+    frame = held.groupBy(*by).agg((F.max("y") - F.min("y")).alias("_ey"), F.min("x").alias("_xmin")).join(mid, list(by)).withColumn("_my", F.get("q", F.lit(0))).drop("q")
+    rows = held.join(frame, list(by))
+    off = F.abs(F.col("y") - F.col("_my"))
+    first, second = off <= F.greatest(F.col("_ey") * band, F.lit(1.0)), off <= F.col("_ey") * 0.15
+    counts = rows.groupBy(*by).agg(F.count_if(first).alias("_n1"), F.count_if(second).alias("_n2"))
+    inside = F.when(F.col("_n1") >= 60, first).otherwise(second | (F.col("_n2") == 0))
+    line = written(rows.join(counts, list(by)).filter(inside & (F.col(label) == 1)).select(*by, (F.col("x") - F.col("_xmin")).alias("x"), "z"), "profile-line")
+    ends = line.groupBy(*by).agg(F.min("x").alias("_x0"), F.max("x").alias("_x1"), F.count("*").alias("_n")).filter("_n >= 4").drop("_n")
+    width = (F.col("_x1") - F.col("_x0")) / bins
+    at = F.when(F.col("_x1") > F.col("_x0"), F.least(F.floor((F.col("x") - F.col("_x0")) / F.nullif(width, F.lit(0.0))), F.lit(bins - 1).cast("long"))).otherwise(F.lit(bins - 1).cast("long"))
+    binned = written(line.join(ends, list(by)).select(*by, at.alias("bin"), "z"), "profile-bins")
+    low = quantiles(binned, "z", [pct], (*by, "bin"), stored=True).join(binned.groupBy(*by, "bin").agg(F.count("*").alias("n")), [*by, "bin"]).select(*by, "bin", F.get("q", F.lit(0)).alias("_z"), "n")
+    several = low.groupBy(*by).agg(F.count("*").alias("_k")).filter("_k >= 2").select(*by)
+    every = ends.join(several, list(by), "left_semi").withColumn("bin", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(bins - 1).cast("long"))))
+    full = every.join(low.hint("shuffle_merge"), [*by, "bin"], "left")
     w = Window.partitionBy(*by).orderBy("bin")
     back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
     seen = F.when(F.col("_z").isNotNull(), F.col("bin"))
     b0, b1 = F.last(seen, True).over(back), F.first(seen, True).over(ahead)
     z0, z1 = F.last("_z", True).over(back), F.first("_z", True).over(ahead)
     filled = F.when(b0.isNull(), z1).when(b1.isNull() | (b0 == b1), z0).otherwise(z0 + (z1 - z0) * (F.col("bin") - b0) / (b1 - b0))
-    return full.withColumn("z", filled).select(*by, "bin", "z", F.coalesce("n", F.lit(0)).alias("n"))
+    return full.withColumns({"z": filled, "x": F.col("_x0") + (F.col("bin") + 0.5) * width}).select(*by, "bin", "x", "z", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def error_points(df: DataFrame, pred: str = "pred", label: str = "label", by=BY) -> DataFrame:
@@ -184,22 +188,30 @@ def error_points(df: DataFrame, pred: str = "pred", label: str = "label", by=BY)
     return n.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(*by)))
 
 
-def surface_cells(df: DataFrame, cell: float, reduce: str = "max", by=BY) -> DataFrame:
-    """One representative a cell: the highest point with its place; or the mean place with the lowest z, or the mean of the lowest fifth."""
-    keyed = df.withColumns({"row": F.floor(F.col("y") / cell), "col": F.floor(F.col("x") / cell)})
+def surface_cells(df: DataFrame, cell: float | None, reduce: str = "max", by=BY) -> DataFrame:
+    """One representative a cell: the highest point with its place; or the mean place with the lowest z, or the mean of the lowest fifth.
+
+    Cells count from the corner of each cloud's points; without a size they are a 160th of its longer side.
+    """
+    side = F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y")) / 160
+    frame = df.groupBy(*by).agg(F.min("x").alias("_x0"), F.min("y").alias("_y0"), F.greatest(F.lit(float(cell)) if cell else side, F.lit(1e-6)).alias("_cell"))
+    keyed = df.join(frame, list(by)).withColumns({"row": F.floor((F.col("y") - F.col("_y0")) / F.col("_cell")), "col": F.floor((F.col("x") - F.col("_x0")) / F.col("_cell"))})
     keys = [*by, "row", "col"]
     if reduce == "max":
         top = F.max_by(F.struct("x", "y", "z"), F.struct(F.col("z"), (-F.col("pid")).alias("p")))
         return keyed.groupBy(*keys).agg(top.alias("t")).select(*keys, "t.x", "t.y", "t.z")
     if reduce == "min":
         return keyed.groupBy(*keys).agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.min("z").alias("z"))
-    cut = keyed.groupBy(*keys).agg(F.percentile("z", F.lit(0.2)).alias("_q"))
-    return keyed.join(cut, keys).groupBy(*keys).agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.avg(F.when(F.col("z") <= F.col("_q"), F.col("z"))).alias("z"))
+    held = written(keyed.select(*keys, "x", "y", "z"), "surface-cells")
+    cut = quantiles(held, "z", [0.2], keys, stored=True).select(*keys, F.get("q", F.lit(0)).alias("_q"))
+    return held.join(cut.hint("merge"), keys).groupBy(*keys).agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.avg(F.when(F.col("z") <= F.col("_q"), F.col("z"))).alias("z"))
 
 
 def z_range(df: DataFrame, by=BY) -> DataFrame:
     """z_lo, z_hi: the 2nd and 98th percentile; where they meet the lowest and highest z, and where these do, one unit up from the lowest."""
-    q = df.groupBy(*by).agg(F.percentile("z", F.array(F.lit(0.02), F.lit(0.98))).alias("q"), F.min("z").alias("_lo"), F.max("z").alias("_hi"))
+    held = written(df.select(*by, "z"), "heights")
+    ends = held.groupBy(*by).agg(F.min("z").alias("_lo"), F.max("z").alias("_hi"))
+    q = quantiles(held, "z", [0.02, 0.98], by, stored=True).join(ends, list(by))
     flat = F.get("q", F.lit(1)) - F.get("q", F.lit(0)) < 1e-6
     lo, hi = F.when(flat, F.col("_lo")).otherwise(F.get("q", F.lit(0))), F.when(flat, F.col("_hi")).otherwise(F.get("q", F.lit(1)))
     return q.select(*by, lo.alias("z_lo"), F.when(hi - lo < 1e-6, lo + 1).otherwise(hi).alias("z_hi"))

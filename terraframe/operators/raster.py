@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from terraframe.functions.quantiles import quantiles
 from terraframe.functions.tables import written
 from terraframe.operators.project import BY
 from terraframe.operators.spatial import knn_join
@@ -107,8 +108,11 @@ def sample_bilinear(points: DataFrame, cells: DataFrame, frame: DataFrame, res:
         parts = parts.withColumn(f"{out}{c}", F.coalesce(F.col(f"_s_{c}"), F.lit(0.0)) + F.col(f"_gap_{c}") * mean if rest == "mean" else F.when(F.col(f"_gap_{c}") == 0, F.col(f"_s_{c}")))
     got = parts.select(*by, "pid", *[f"{out}{c}" for c in cols])
     if rest == "median":
-        med = got.groupBy(*by).agg(*[F.percentile(f"{out}{c}", F.lit(0.5)).alias(f"_m_{c}") for c in cols])
-        got = got.join(med, list(by)).select(*by, "pid", *[F.coalesce(F.col(f"{out}{c}"), F.col(f"_m_{c}")).alias(f"{out}{c}") for c in cols])
+        got = written(got, "sampled")
+        for c in cols:
+            med = quantiles(got, f"{out}{c}", [0.5], by, stored=True).select(*by, F.get("q", F.lit(0)).alias(f"_m_{c}"))
+            got = got.join(med, list(by), "left")
+        got = got.select(*by, "pid", *[F.coalesce(F.col(f"{out}{c}"), F.col(f"_m_{c}")).alias(f"{out}{c}") for c in cols])
     return points.join(got, [*by, "pid"])
 
 
@@ -131,8 +135,8 @@ def height_above(points: DataFrame, cells: DataFrame, frame: DataFrame, res: flo
     return points.join(known, [*by, "pid"], "left").withColumn("height_above", F.coalesce("height_above", F.lit(0.0)))
 
 
-def crop_downsample(cells: DataFrame, box: tuple[float, float, float, float], x_min: float, y_min: float, src: float, res: float, cols: list[str] = ("value",), by=BY) -> DataFrame:
-    """The cells of box (x0, y0, x1, y1) as block means by the factor max(round(res / src), 1).
+def crop_downsample(cells: DataFrame, frame: DataFrame, box: tuple[float, float, float, float], src: float, res: float, cols: list[str] = ("value",), by=BY) -> DataFrame:
+    """The cells of box (x0, y0, x1, y1) of each raster (frame: by, x_min, y_min, h, w) as block means by the factor max(round(res / src), 1).
 
     Blocks that would hang over the crop's end are dropped, but a crop smaller than one block keeps its cells. A single
     band ignores unknown cells; five bands take plain means, so one unknown makes a block unknown. A cloud whose raster
@@ -141,8 +145,9 @@ def crop_downsample(cells: DataFrame, box: tuple[float, float, float, float], x_
     factor = max(int(round(res / src)), 1)
     x0, y0, x1, y1 = box
     lo, hi = (lambda v, o: F.greatest(F.floor((F.lit(float(v)) - o) / src), F.lit(0).cast("long"))), (lambda v, o: F.ceil((F.lit(float(v)) - o) / src) + 1)
-    sized = cells.join(cells.groupBy(*by).agg((F.max("row") + 1).alias("_h"), (F.max("col") + 1).alias("_w")), list(by))
-    sized = sized.withColumns({"_r0": lo(y0, y_min), "_r1": F.least(hi(y1, y_min), F.col("_h")), "_c0": lo(x0, x_min), "_c1": F.least(hi(x1, x_min), F.col("_w"))})
+    ends = {"_r0": lo(y0, F.col("y_min")), "_r1": F.least(hi(y1, F.col("y_min")), F.col("h")), "_c0": lo(x0, F.col("x_min")), "_c1": F.least(hi(x1, F.col("x_min")), F.col("w"))}
+    crops = frame.select(*by, *[v.alias(k) for k, v in ends.items()])
+    sized = cells.join(crops, list(by))
     height, width = F.col("_r1") - F.col("_r0"), F.col("_c1") - F.col("_c0")
     sized = sized.withColumn("_f", F.when((height < factor) | (width < factor), 1).otherwise(factor))
     r, c = F.col("row") - F.col("_r0"), F.col("col") - F.col("_c0")
@@ -151,7 +156,7 @@ def crop_downsample(cells: DataFrame, box: tuple[float, float, float, float], x_
     mean = (lambda k: F.avg(k)) if len(cols) == 1 else (lambda k: F.when(F.count(k) == F.first("_f") * F.first("_f"), F.avg(k)))
     blocks = sized.filter(whole).groupBy(*by, br.alias("row"), bc.alias("col")).agg(*[mean(k).alias(k) for k in cols])
     empty = F.lit(None).cast("double") if len(cols) == 1 else F.lit(0.0)
-    outside = sized.filter((height <= 0) | (width <= 0)).select(*by).distinct()
+    outside = crops.filter((height <= 0) | (width <= 0)).select(*by)
     return blocks.unionByName(outside.select(*by, F.lit(0).cast("long").alias("row"), F.lit(0).cast("long").alias("col"), *[empty.alias(k) for k in cols]))
 
 

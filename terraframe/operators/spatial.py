@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terraframe.functions.tables import written
+from terraframe.functions.quantiles import quantiles
+from terraframe.functions.tables import running, written
 from terraframe.operators.project import BY
 
 
@@ -234,15 +235,22 @@ def plane_fit(df: DataFrame, by=BY, rows: Column | None = None) -> DataFrame:
 
 
 def cliff_tiles(df: DataFrame, n: int, min_ground: int = 64, candidates: int = 96, by=BY) -> DataFrame:
-    """The n tiles whose ground leaves its plane most (95th percentile of the residuals), among evenly spaced candidates."""
-    ground = df.filter("label = 1")
+    """The n tiles whose ground leaves its plane most (p95: 95th percentile of the residuals), among evenly spaced candidates.
+
+    With more than `candidates` tiles, those at the rounded places from the first to the last are candidates, however much
+    ground they have; of these, tiles with fewer than min_ground ground points are passed over. Of equal scores the later tile comes first.
+    """
+    tiles = running(df.select(*by).distinct(), (), [*by], "tiles", _p=F.lit(1).cast("long")).withColumnRenamed("_p_all", "_t")
+    step = (F.col("_t") - 1) / F.lit(float(max(candidates - 1, 1)))
+    k = F.floor(F.col("_p") / step + F.lit(0.5))
+    picked = F.exists(F.array(k - 1, k, k + 1), lambda i: (i >= 0) & (i < candidates) & (F.bround(i * step, 0) == F.col("_p")))
+    even = tiles.filter((F.col("_t") <= candidates) | picked).select(*by, "_p")
+    ground = df.filter("label = 1").join(even, list(by))
     many = ground.groupBy(*by).agg(F.count("*").alias("_n")).filter(F.col("_n") >= min_ground).select(*by)
-    total = F.count("*").over(Window.partitionBy())
-    place = F.row_number().over(Window.orderBy(*by)) - 1
-    even = many.withColumns({"_p": place, "_t": total}).filter((F.col("_t") <= candidates) | (F.floor(F.col("_p") * candidates / F.col("_t")) != F.floor((F.col("_p") - 1) * candidates / F.col("_t")))).select(*by)
-    rows = ground.join(even, list(by), "left_semi")
-    rest = rows.join(plane_fit(rows, by), list(by)).withColumn("_r", F.abs(F.col("z") - F.col("a") * F.col("x") - F.col("b") * F.col("y") - F.col("c")))
-    return rest.groupBy(*by).agg(F.percentile("_r", F.lit(0.95)).alias("p95")).orderBy(F.desc("p95"), *by).limit(n)
+    rows = ground.join(many, list(by), "left_semi")
+    rest = written(rows.join(plane_fit(rows, by), list(by)).select(*by, "_p", F.abs(F.col("z") - F.col("a") * F.col("x") - F.col("b") * F.col("y") - F.col("c")).alias("_r")), "plane-residuals")
+    scores = quantiles(rest, "_r", [0.95], (*by, "_p"), stored=True).select(*by, "_p", F.get("q", F.lit(0)).alias("p95"))
+    return scores.orderBy(F.desc("p95"), F.desc("_p")).limit(n).select(*by, "p95")
 
 
 def nominal_spacing(df: DataFrame, max_pts: int | None = 120_000, floor: float = 0.1, by=BY) -> DataFrame:
@@ -251,9 +259,11 @@ def nominal_spacing(df: DataFrame, max_pts: int | None = 120_000, floor: float =
     Without any such distance, the root of the 1-99 % extent of these points over their count. At least floor.
     """
     core = df if max_pts is None else nearest_crop(df, max_pts, df.groupBy(*by).agg(F.avg("x").alias("cx"), F.avg("y").alias("cy")), by)
-    mid = core.groupBy(*by).agg(F.count("*").alias("_n"), F.percentile("x", F.array(F.lit(0.01), F.lit(0.99))).alias("_px"), F.percentile("y", F.array(F.lit(0.01), F.lit(0.99))).alias("_py"))
+    core = written(core.select(*by, "pid", "x", "y"), "spacing-core")
+    ends = [quantiles(core, c, [0.01, 0.99], by, stored=True).withColumnRenamed("q", f"_p{c}") for c in "xy"]
+    mid = core.groupBy(*by).agg(F.count("*").alias("_n")).join(ends[0], list(by)).join(ends[1], list(by))
     near = knn_join(core, core, 1, 2, by=by, exclude_self=True).withColumn("_d", F.sqrt("d2")).filter("_d > 0.001")
-    med = near.groupBy(*by).agg(F.percentile("_d", F.lit(0.5)).alias("_med"))
+    med = quantiles(near, "_d", [0.5], by).select(*by, F.get("q", F.lit(0)).alias("_med"))
     wide = lambda c: F.get(c, F.lit(1)) - F.get(c, F.lit(0))
     return mid.join(med, list(by), "left").select(*by, F.greatest(F.coalesce("_med", F.sqrt(F.greatest(wide("_px") * wide("_py"), F.lit(1e-6)) / F.col("_n"))), F.lit(floor)).alias("spacing"))
 
@@ -280,10 +290,11 @@ def candidate_centres(df: DataFrame, radius: float = 6.0, step: float = 5.0, min
     return discs.unionByName(fallback)
 
 
-def neighbour_profile(df: DataFrame, dl: float, r: float, levels: int = 3, growth: float = 2.0, pct: float = 0.9, cap: int = 1024, by=BY) -> DataFrame:
-    """Per level of a voxel pyramid the median, pct and largest number of neighbours, on the level within its radius, and of its points among those of the finer level within the finer radius; cap_n clamps the largest pct.
+def neighbour_profile(df: DataFrame, dl: float, r: float, levels: int = 3, growth: float = 2.0, pct: float = 0.95, cap: int = 1024, by=BY) -> DataFrame:
+    """Per level of a voxel pyramid the median, pct and largest number of neighbours, on the level within its radius, and of its points among those of the finer level within the finer radius.
 
-    A level is made from the points of the one before; `level` of coarse_to_fine is the coarser one.
+    Percentiles are cut to whole numbers. cap_n is the largest pct_n, one at least, and `cap` at most where that is over 0. A level is
+    made from the points of the one before; `level` of coarse_to_fine is the coarser one.
     """
     from terraframe.operators.voxel import voxel_downsample
 
@@ -296,10 +307,14 @@ def neighbour_profile(df: DataFrame, dl: float, r: float, levels: int = 3, growt
             if other is None:
                 continue
             n = radius_join(pts, other, reach, 3, by).groupBy(*by, "q_pid").agg(F.count("*").alias("n"))
-            row = n.agg(F.percentile("n", F.lit(0.5)).alias("median_n"), F.percentile("n", F.lit(pct)).alias("pct_n"), F.max("n").alias("max_n")).withColumns({"level": F.lit(level), "kind": F.lit(kind)})
-            out = row if out is None else out.unionByName(row)
+            one = n.select("n", F.lit(level).alias("level"), F.lit(kind).alias("kind"))
+            out = one if out is None else out.unionByName(one)
         fine = base = pts
-    return out.withColumn("cap_n", F.least(F.ceil(F.max("pct_n").over(Window.partitionBy())), F.lit(cap).cast("long")))
+    counts = written(out, "neighbour-counts")
+    q = quantiles(counts, "n", [0.5, pct], ("level", "kind"), stored=True).join(counts.groupBy("level", "kind").agg(F.max("n").alias("max_n")), ["level", "kind"])
+    rows = q.select("level", "kind", F.floor(F.get("q", F.lit(0))).alias("median_n"), F.floor(F.get("q", F.lit(1))).alias("pct_n"), "max_n")
+    most = F.greatest(F.max("pct_n").over(Window.partitionBy()), F.lit(1).cast("long"))
+    return rows.withColumn("cap_n", F.least(most, F.lit(cap).cast("long")) if cap > 0 else most)
 
 
 def hole_mask(nodes: DataFrame, points: DataFrame, limit: float, qid: str = "node", by=BY) -> DataFrame:

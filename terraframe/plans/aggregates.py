@@ -82,7 +82,6 @@ NORMS = f"SELECT round(avg(x), 6) AS mean_x, round(avg(z), 6) AS mean_z, round(s
 
 
 @query("a9_norm_stats", NORMS)
-@query("a9_norm_stats_all", NORMS)
 def a9(spark, sf):
     out = v.norm_stats(points_o(spark, sf), ["x", "z"], None)
     g = lambda c, i: F.round(F.get(c, F.lit(i)), 6)
@@ -173,13 +172,16 @@ def m3(spark, sf):
     return m.binary_metrics(scored(spark, sf)).select(*r(["precision", "recall", "f1", "iou_nonground", "iou_ground", "oa", "mcc", "kappa"]))
 
 
+#: Cells of 2 m from the corner of all points of a cloud; the last row and column take what lies on the far edges.
 ERR = f"""ok AS (SELECT cloud FROM {SC} GROUP BY cloud HAVING count(*) FILTER (label = 1) >= 3 AND count(*) FILTER (pred = 1 AND label < 2) >= 3),
- t AS (SELECT cloud, CAST(floor(y / 2) AS BIGINT) AS row, CAST(floor(x / 2) AS BIGINT) AS col, avg(z) AS z_true FROM {SC} WHERE label = 1 GROUP BY ALL),
- g AS (SELECT cloud, CAST(floor(y / 2) AS BIGINT) AS row, CAST(floor(x / 2) AS BIGINT) AS col, avg(z) AS z_pred FROM {SC} WHERE pred = 1 AND label < 2 GROUP BY ALL),
+ fr AS (SELECT cloud, min(x) AS x0, min(y) AS y0, greatest(ceil((max(x) - min(x)) / 2), 1) AS w, greatest(ceil((max(y) - min(y)) / 2), 1) AS h FROM {SC} GROUP BY cloud),
+ pl AS (SELECT sc.*, CAST(least(floor((y - y0) / 2), h - 1) AS BIGINT) AS row, CAST(least(floor((x - x0) / 2), w - 1) AS BIGINT) AS col FROM {SC} JOIN fr USING (cloud)),
+ t AS (SELECT cloud, row, col, avg(z) AS z_true FROM pl WHERE label = 1 GROUP BY ALL),
+ g AS (SELECT cloud, row, col, avg(z) AS z_pred FROM pl WHERE pred = 1 AND label < 2 GROUP BY ALL),
  e AS (SELECT cloud, row, col, z_pred - z_true AS error FROM t JOIN g USING (cloud, row, col) WHERE cloud IN (SELECT cloud FROM ok))"""
 
 
-@query("m4_dtm_rmse", f"WITH {ERR}, s AS (SELECT cloud, sum(error * error) AS sse, count(*) AS n FROM e GROUP BY cloud) SELECT cloud, round(sse, 6) AS sse, n, round(sqrt(sum(sse) OVER () / sum(n) OVER ()), 6) AS total_rmse FROM s")
+@query("m4_dtm_rmse", f"WITH {ERR}, s AS (SELECT cloud, sum(error * error) AS sse, count(*) AS n FROM e GROUP BY cloud), a AS (SELECT fr.cloud, coalesce(sse, 0) AS sse, coalesce(n, 0) AS n FROM fr LEFT JOIN s USING (cloud)) SELECT cloud, round(sse, 6) AS sse, n, round(sqrt(sum(sse) OVER () / nullif(sum(n) OVER (), 0)), 6) AS total_rmse FROM a")
 def m4(spark, sf):
     return m.dtm_rmse(scored(spark, sf), 2.0).select("cloud", *r(["sse"]), "n", *r(["total_rmse"]))
 
@@ -189,9 +191,10 @@ def m4b(spark, sf):
     return m.dtm_rmse(scored(spark, sf), 2.0, surface="tin").select("cloud", *r(["sse"]), "n", *r(["total_rmse"]))
 
 
-@query("m5_aggregate_error", f"WITH {ERR} SELECT cloud, round(sqrt(avg(error * error)), 6) AS rmse, round(quantile_cont(abs(error), 0.95), 6) AS p95, round(quantile_cont(abs(error), 0.99), 6) AS p99, round(max(abs(error)), 6) AS max_error FROM e GROUP BY cloud")
+@query("m5_aggregate_error", f"WITH {ERR} SELECT cloud, round(sqrt(avg(error * error)), 6) AS rmse, round(quantile_cont(abs(error), 0.95), 6) AS p95, round(quantile_cont(abs(error), 0.99), 6) AS p99, round(max(abs(error)), 6) AS max_error FROM e GROUP BY cloud UNION ALL SELECT cloud, CAST('inf' AS DOUBLE), CAST('inf' AS DOUBLE), CAST('inf' AS DOUBLE), CAST('inf' AS DOUBLE) FROM fr WHERE cloud NOT IN (SELECT cloud FROM e)")
 def m5(spark, sf):
-    return m.aggregate_error(m.dtm_errors(scored(spark, sf), 2.0)).select("cloud", *r(["rmse", "p95", "p99", "max_error"]))
+    rows = scored(spark, sf)
+    return m.aggregate_error(m.dtm_errors(rows, 2.0), clouds=rows).select("cloud", *r(["rmse", "p95", "p99", "max_error"]))
 
 
 @query("m6_lovasz", f"""WITH c AS (SELECT cloud, pid, 0 AS cls, CAST(label = 0 AS INTEGER) AS fg, abs(CAST(label = 0 AS INTEGER) - (1 - p_ground)) AS err FROM {SC} WHERE label < 2 UNION ALL SELECT cloud, pid, 1, CAST(label = 1 AS INTEGER), abs(CAST(label = 1 AS INTEGER) - p_ground) FROM {SC} WHERE label < 2),
@@ -242,15 +245,17 @@ def m10b(spark, sf):
     return m.ema_best(history(spark, sf), "miou").withColumn("ema", F.round("ema", 9))
 
 
-@query("t1_profile", f"""WITH f AS (SELECT cloud, quantile_cont(y, 0.5) AS my, max(y) - min(y) AS ey, min(x) AS x0, max(x) AS x1 FROM {PO} GROUP BY cloud),
- d AS (SELECT *, count_if(abs(y - my) <= greatest(ey * 0.06, 1) / 2) OVER (PARTITION BY cloud) AS nb FROM {PO} JOIN f USING (cloud)),
- i AS (SELECT cloud, least(CAST(floor((x - x0) / (greatest(x1 - x0, 1e-9) / 80)) AS BIGINT), 79) AS bin, z FROM d WHERE abs(y - my) <= greatest(ey * CASE WHEN nb < 60 THEN 0.15 ELSE 0.06 END, 1) / 2),
- l AS (SELECT cloud, bin, quantile_cont(z, 0.3) AS z, count(*) AS n FROM i GROUP BY cloud, bin),
- a AS (SELECT c.cloud, b.bin, l.z, coalesce(l.n, 0) AS n, CASE WHEN l.z IS NOT NULL THEN b.bin END AS seen FROM (SELECT DISTINCT cloud FROM f) c CROSS JOIN (SELECT unnest(range(80)) AS bin) b LEFT JOIN l ON l.cloud = c.cloud AND l.bin = b.bin),
+@query("t1_profile", f"""WITH f AS (SELECT cloud, quantile_cont(y, 0.5) AS my, max(y) - min(y) AS ey, min(x) AS x0 FROM {SC} GROUP BY cloud),
+ d AS (SELECT sc.*, my, ey, x - x0 AS dx, count_if(abs(y - my) <= greatest(ey * 0.06, 1)) OVER (PARTITION BY cloud) AS n1, count_if(abs(y - my) <= ey * 0.15) OVER (PARTITION BY cloud) AS n2 FROM {SC} JOIN f USING (cloud)),
+ g AS (SELECT cloud, dx, z, min(dx) OVER w AS lo, max(dx) OVER w AS hi, count(*) OVER w AS k FROM d WHERE label = 1 AND CASE WHEN n1 >= 60 THEN abs(y - my) <= greatest(ey * 0.06, 1) WHEN n2 > 0 THEN abs(y - my) <= ey * 0.15 ELSE TRUE END WINDOW w AS (PARTITION BY cloud)),
+ i AS (SELECT cloud, lo, hi, z, CASE WHEN hi > lo THEN least(CAST(floor((dx - lo) / ((hi - lo) / 80)) AS BIGINT), 79) ELSE 79 END AS bin FROM g WHERE k >= 4),
+ l AS (SELECT cloud, bin, any_value(lo) AS lo, any_value(hi) AS hi, quantile_cont(z, 0.3) AS z, count(*) AS n FROM i GROUP BY cloud, bin),
+ c AS (SELECT cloud, any_value(lo) AS lo, any_value(hi) AS hi FROM l GROUP BY cloud HAVING count(*) >= 2),
+ a AS (SELECT c.cloud, b.bin, lo, hi, l.z, coalesce(l.n, 0) AS n, CASE WHEN l.z IS NOT NULL THEN b.bin END AS seen FROM c CROSS JOIN (SELECT unnest(range(80)) AS bin) b LEFT JOIN (SELECT cloud, bin, z, n FROM l) AS l ON l.cloud = c.cloud AND l.bin = b.bin),
  w AS (SELECT *, last_value(seen IGNORE NULLS) OVER p AS b0, first_value(seen IGNORE NULLS) OVER q AS b1, last_value(z IGNORE NULLS) OVER p AS z0, first_value(z IGNORE NULLS) OVER q AS z1 FROM a WINDOW p AS (PARTITION BY cloud ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), q AS (PARTITION BY cloud ORDER BY bin ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
- SELECT cloud, bin, round(CASE WHEN b0 IS NULL THEN z1 WHEN b1 IS NULL OR b0 = b1 THEN z0 ELSE z0 + (z1 - z0) * (bin - b0) / (b1 - b0) END, 6) AS z, n FROM w""")
+ SELECT cloud, bin, round(lo + (bin + 0.5) * ((hi - lo) / 80), 6) AS x, round(CASE WHEN b0 IS NULL THEN z1 WHEN b1 IS NULL OR b0 = b1 THEN z0 ELSE z0 + (z1 - z0) * (bin - b0) / (b1 - b0) END, 6) AS z, n FROM w""")
 def t1(spark, sf):
-    return m.profile(points_o(spark, sf)).select("cloud", "bin", *r("z"), "n")
+    return m.profile(scored(spark, sf)).select("cloud", "bin", *r("xz"), "n")
 
 
 @query("t2_error_points", f"WITH k AS (SELECT cloud, CASE WHEN pred = label THEN 'correct' WHEN label = 1 THEN 'ground_to_other' ELSE 'other_to_ground' END AS outcome, count(*) AS n FROM {SC} WHERE label < 2 GROUP BY ALL) SELECT *, round(n / sum(n) OVER (PARTITION BY cloud), 9) AS share FROM k")
@@ -258,7 +263,7 @@ def t2(spark, sf):
     return m.error_points(scored(spark, sf)).withColumn("share", F.round("share", 9))
 
 
-CELL = f"(SELECT *, CAST(floor(y / 3) AS BIGINT) AS row, CAST(floor(x / 3) AS BIGINT) AS col FROM {PO}) AS cell"
+CELL = f"(SELECT *, CAST(floor((y - min(y) OVER c) / 3) AS BIGINT) AS row, CAST(floor((x - min(x) OVER c) / 3) AS BIGINT) AS col FROM {PO} WINDOW c AS (PARTITION BY cloud)) AS cell"
 
 
 @query("t3_surface_max", f"SELECT cloud, row, col, x, y, z FROM (SELECT *, row_number() OVER (PARTITION BY cloud, row, col ORDER BY z DESC, pid) AS k FROM {CELL}) AS s WHERE k = 1")

@@ -31,7 +31,6 @@ PAIRS = f"SELECT a.pid AS q_pid, a.cloud, b.pid, round({D2}, 9) AS d2 FROM (SELE
 
 
 @query("n2_radius_join", PAIRS)
-@query("n2_radius_join_all", PAIRS)
 def n2(spark, sf):
     rows = points_o(spark, sf)
     return s.radius_join(rows, rows, 1.5).select("q_pid", "cloud", "pid", F.round("d2", 9).alias("d2"))
@@ -42,7 +41,6 @@ DISCS = f"""WITH k AS ({knn_sql(3, D2)}), disc AS (SELECT a.cloud, a.pid AS q_pi
 
 
 @query("n2_radius_or_nearest", DISCS)
-@query("n2_radius_or_nearest_all", DISCS)
 def n2b(spark, sf):
     rows = points_o(spark, sf)
     return s.radius_or_nearest(rows, rows, 1.0, 3).select("q_pid", "cloud", "pid")
@@ -75,7 +73,6 @@ ELEVATIONS = f"WITH {NEAR}, {ELEVATION} SELECT cloud, q_pid, {MEAN_ELEV} FROM w
 
 
 @query("n4_mean_elevation", ELEVATIONS)
-@query("n4_mean_elevation_all", ELEVATIONS)
 def n4(spark, sf):
     return s.mean_elevation(near16(spark, sf)).select("cloud", "q_pid", *r(["mean_elev"]))
 
@@ -90,7 +87,6 @@ CURVATURES = f"WITH {NEAR}, {CURVATURE} SELECT cloud, q_pid, round(share, 6) AS
 
 
 @query("n5_curvature", CURVATURES)
-@query("n5_curvature_all", CURVATURES)
 def n5(spark, sf):
     return s.curvature(near16(spark, sf)).select("cloud", "q_pid", *r(["curvature"]), "n_near")
 
@@ -140,12 +136,31 @@ def n9b(spark, sf):
     return s.diverse_gallery(centres(spark, sf), 40)
 
 
-@query("n10_cliff_tiles", f"""WITH g AS (SELECT cloud, x, y, z + CAST(pid % 13 AS DOUBLE) / 7 AS z FROM {SC} WHERE label = 1), f AS (SELECT cloud, regr_slope(z, x) AS s, covar_pop(x, x) AS xx, covar_pop(y, y) AS yy, covar_pop(x, y) AS xy, covar_pop(x, z) AS xz, covar_pop(y, z) AS yz, avg(x) AS mx, avg(y) AS my, avg(z) AS mz FROM g GROUP BY cloud HAVING count(*) >= 64),
+def cliffs_sql(tile: str, by: str, candidates: int, n: int) -> str:
+    """Plane residuals of each candidate tile; the candidates lie at the rounded places of an even division from the first tile to the last."""
+    same = " AND ".join(f"g.{b} = f.{b}" for b in by.split(", "))
+    return f"""WITH src AS (SELECT {tile}, x, y, z + CAST(pid % 13 AS DOUBLE) / 7 AS z, label FROM {SC}), tl AS (SELECT DISTINCT {by} FROM src), nm AS (SELECT *, row_number() OVER (ORDER BY {by}) - 1 AS i, count(*) OVER () AS total FROM tl),
+ pk AS (SELECT DISTINCT CAST(round_even(k * (total - 1) / CAST({candidates - 1} AS DOUBLE), 0) AS BIGINT) AS i FROM range({candidates}) AS r(k), (SELECT any_value(total) AS total FROM nm) AS t),
+ ev AS (SELECT * FROM nm WHERE total <= {candidates} OR i IN (SELECT i FROM pk)), g AS (SELECT src.*, i FROM src JOIN ev USING ({by}) WHERE label = 1),
+ f AS (SELECT {by}, covar_pop(x, x) AS xx, covar_pop(y, y) AS yy, covar_pop(x, y) AS xy, covar_pop(x, z) AS xz, covar_pop(y, z) AS yz, avg(x) AS mx, avg(y) AS my, avg(z) AS mz FROM g GROUP BY {by} HAVING count(*) >= 64),
  ab AS (SELECT *, (xz * yy - yz * xy) / (xx * yy - xy * xy) AS a, (yz * xx - xz * xy) / (xx * yy - xy * xy) AS b FROM f)
- SELECT cloud, round(quantile_cont(abs(z - mz - a * (x - mx) - b * (y - my)), 0.95), 6) AS p95 FROM g JOIN ab USING (cloud) GROUP BY cloud ORDER BY p95 DESC, cloud LIMIT 5""")
+ SELECT {", ".join("f." + b for b in by.split(", "))}, round(quantile_cont(abs(z - mz - a * (x - mx) - b * (y - my)), 0.95), 6) AS p95 FROM g JOIN ab AS f ON {same} GROUP BY {", ".join("f." + b for b in by.split(", "))} ORDER BY p95 DESC, max(i) DESC LIMIT {n}"""
+
+
+def bumpy(spark, sf):
+    return scored(spark, sf).withColumn("z", F.col("z") + (F.col("pid") % 13).cast("double") / 7)
+
+
+@query("n10_cliff_tiles", cliffs_sql("cloud", "cloud", 96, 5))
 def n10(spark, sf):
-    rows = scored(spark, sf).withColumn("z", F.col("z") + (F.col("pid") % 13).cast("double") / 7)
-    return s.cliff_tiles(rows, 5).select("cloud", *r(["p95"]))
+    return s.cliff_tiles(bumpy(spark, sf), 5).select("cloud", *r(["p95"]))
+
+
+@query("n10_cliff_blocks", cliffs_sql("cloud, CAST(floor(y / 15) AS BIGINT) AS tr, CAST(floor(x / 15) AS BIGINT) AS tc", "cloud, tr, tc", 96, 5))
+def n10b(spark, sf):
+    """Tiles of 15 m, which are more than there are candidates."""
+    rows = bumpy(spark, sf).withColumns({"tr": F.floor(F.col("y") / 15), "tc": F.floor(F.col("x") / 15)})
+    return s.cliff_tiles(rows, 5, by=("cloud", "tr", "tc")).select("cloud", "tr", "tc", *r(["p95"]))
 
 
 @query("a8_nominal_spacing", f"""WITH m AS (SELECT cloud, avg(x) AS cx, avg(y) AS cy FROM {PO} GROUP BY cloud), c AS (SELECT *, row_number() OVER (PARTITION BY cloud ORDER BY (x - cx) * (x - cx) + (y - cy) * (y - cy), pid) AS k FROM {PO} JOIN m USING (cloud)),
@@ -194,8 +209,8 @@ def counts_sql(level: int, kind: str, asking: str, other: str, radius: float) ->
 PROFILE = f"""WITH l0 AS {level_sql(PO, 1)}, l1 AS {level_sql('l0', 2)}, l2 AS {level_sql('l1', 4)},
  n AS ({counts_sql(0, 'same', 'l0', 'l0', 2.5)} UNION ALL {counts_sql(1, 'same', 'l1', 'l1', 5.0)} UNION ALL {counts_sql(2, 'same', 'l2', 'l2', 10.0)}
   UNION ALL {counts_sql(1, 'coarse_to_fine', 'l1', 'l0', 2.5)} UNION ALL {counts_sql(2, 'coarse_to_fine', 'l2', 'l1', 5.0)}),
- p AS (SELECT level, kind, quantile_cont(n, 0.5) AS median_n, quantile_cont(n, 0.9) AS pct_n, max(n) AS max_n FROM n GROUP BY level, kind)
- SELECT *, CAST(least(ceil(max(pct_n) OVER ()), 1024) AS BIGINT) AS cap_n FROM p"""
+ p AS (SELECT level, kind, CAST(floor(quantile_cont(n, 0.5)) AS BIGINT) AS median_n, CAST(floor(quantile_cont(n, 0.95)) AS BIGINT) AS pct_n, max(n) AS max_n FROM n GROUP BY level, kind)
+ SELECT *, CAST(least(greatest(max(pct_n) OVER (), 1), 1024) AS BIGINT) AS cap_n FROM p"""
 
 
 @query("a18_neighbour_profile", PROFILE)

@@ -111,12 +111,20 @@ def r7(spark, sf):
     return ra.height_above(rows, ra.promote_prior(cells), frame, 2.0).select("pid", F.round(F.col("height_above") + OFF, 6).alias("height_above"))
 
 
-@query("r9_crop_downsample", f"""WITH {BASE}, {GROUND}, s AS (SELECT cloud, max(row) + 1 AS h, max(col) + 1 AS w FROM g GROUP BY cloud),
- b AS (SELECT g.cloud, (g.row - 4) // 3 AS row, (g.col - 5) // 3 AS col, value, least(21 + 1, s.h) - 4 AS hh, least(23 + 1, s.w) - 5 AS ww FROM g JOIN s USING (cloud) WHERE g.row >= 4 AND g.col >= 5)
- SELECT cloud, row, col, round(avg(value), 6) AS value FROM b WHERE (row + 1) * 3 <= hh AND (col + 1) * 3 <= ww GROUP BY cloud, row, col""")
+#: Lowest heights are exact decimals, so a mean of nine has no tie at the last digit, whatever the order of the sum.
+LOWEST = "g AS (SELECT cloud, row, col, min(z) AS value FROM p WHERE label = 1 GROUP BY cloud, row, col)"
+
+
+@query("r9_crop_downsample", f"""WITH {BASE}, {LOWEST},
+ s AS (SELECT cloud, greatest(floor((8.5 - y_min) / 2), 0) AS r0, least(ceil((41.5 - y_min) / 2) + 1, h) AS r1, greatest(floor((10.5 - x_min) / 2), 0) AS c0, least(ceil((45.5 - x_min) / 2) + 1, w) AS c1 FROM f),
+ k AS (SELECT *, CASE WHEN r1 - r0 < 3 OR c1 - c0 < 3 THEN 1 ELSE 3 END AS k FROM s),
+ b AS (SELECT g.cloud, CAST(floor((g.row - r0) / k) AS BIGINT) AS row, CAST(floor((g.col - c0) / k) AS BIGINT) AS col, value, k, r1 - r0 AS hh, c1 - c0 AS ww FROM g JOIN k USING (cloud) WHERE g.row >= r0 AND g.col >= c0)
+ SELECT cloud, row, col, round(avg(value), 6) AS value FROM b WHERE (row + 1) * k <= hh AND (col + 1) * k <= ww GROUP BY cloud, row, col
+ UNION ALL SELECT cloud, 0, 0, NULL FROM s WHERE r1 <= r0 OR c1 <= c0""")
 def r9(spark, sf):
-    _, _, cells = sparse(spark, sf)
-    return ra.crop_downsample(cells, (10.5, 8.5, 45.5, 41.5), 0.0, 0.0, 2.0, 6.0).select("cloud", "row", "col", *r(["value"]))
+    rows = scored(spark, sf)
+    lowest = ra.build_dtm(rows, 2.0, "min", ground_only=True)
+    return ra.crop_downsample(lowest, ra.frames(rows, 2.0), (10.5, 8.5, 45.5, 41.5), 2.0, 6.0).select("cloud", "row", "col", *r(["value"]))
 
 
 PATCH = "pt AS (SELECT cloud, row_number() OVER (ORDER BY cloud) - 1 AS patch_id FROM f), nd AS (SELECT cloud, patch_id, py, px, (patch_id * 6 + py) * 6 + px AS pid, 10 + CAST(20 AS DOUBLE) * px / 5 AS x, 12 + CAST(20 AS DOUBLE) * py / 5 AS y FROM pt, range(6) AS a(py), range(6) AS b(px))"
@@ -139,10 +147,11 @@ def r11(spark, sf):
     return ra.mosaic(named, origins, 2.0).select("row", "col", *r(["value"]))
 
 
-@query("r12_merge_tiles", f"WITH o AS (SELECT *, CAST(right(cloud, 1) AS INTEGER) * 50 AS ox FROM {PO}) SELECT pid, round(x + ox - min(x + ox) OVER (), 6) AS x, round(y - min(y) OVER (), 6) AS y, z, CASE WHEN cloud = 'CL_1995' THEN intensity END AS intensity FROM o WHERE cloud IN ('CL_1995', 'CL_1996')")
+@query("r12_merge_tiles", f"WITH o AS (SELECT *, CAST(right(cloud, 1) AS INTEGER) * 50 AS ox FROM {PO}) SELECT pid, round(x + ox - min(x + ox) OVER (), 6) AS x, round(y - min(y) OVER (), 6) AS y, z, CASE WHEN cloud < 'CL_1996' THEN intensity END AS intensity FROM o")
 def r12(spark, sf):
+    """All clouds in one scene, the later ones from tiles without an intensity."""
     rows = points_o(spark, sf).withColumns({"origin_x": F.substring("cloud", -1, 1).cast("int") * 50, "origin_y": F.lit(0), "origin_z": F.lit(0)})
-    return ra.merge_tiles([rows.filter("cloud = 'CL_1995'"), rows.filter("cloud = 'CL_1996'").drop("intensity")]).select("pid", *r("xy"), "z", "intensity")
+    return ra.merge_tiles([rows.filter("cloud < 'CL_1996'"), rows.filter("cloud >= 'CL_1996'").drop("intensity")]).select("pid", *r("xy"), "z", "intensity")
 
 
 @query("r13_ndsm_target", f"WITH {BASE}, {DENSE}, gr AS (SELECT cloud, row, col, avg(z) AS value FROM p WHERE label = 1 GROUP BY cloud, row, col), fl AS (SELECT * FROM {fill_sql('gr', 'value')} AS q), s AS (SELECT pid, v FROM {sample_sql('fl', 'value')} AS q) SELECT pid, round(CASE WHEN label < 2 THEN z - v END + {OFF}, 6) AS ndsm FROM {SC} JOIN s USING (pid)")

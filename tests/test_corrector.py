@@ -173,13 +173,24 @@ def test_elastic_moves_far_points_apart(spark):
 
 def test_crops_that_hold_less_than_a_block(spark):
     cells = spark.createDataFrame([("in", r, c, float(r * 4 + c)) for r in range(4) for c in range(4)] + [("out", 0, 0, 1.0)], "cloud string, row long, col long, value double")
-    whole = {(r["cloud"], r["row"], r["col"]): r["value"] for r in raster.crop_downsample(cells, (0.0, 0.0, 3.0, 3.0), 0.0, 0.0, 1.0, 2.0).filter("cloud = 'in'").collect()}
+    frame = spark.createDataFrame([("in", 0.0, 0.0, 4, 4), ("out", 0.0, 0.0, 1, 1)], "cloud string, x_min double, y_min double, h long, w long")
+    whole = {(r["cloud"], r["row"], r["col"]): r["value"] for r in raster.crop_downsample(cells, frame, (0.0, 0.0, 3.0, 3.0), 1.0, 2.0).filter("cloud = 'in'").collect()}
     assert whole == {("in", 0, 0): 2.5, ("in", 0, 1): 4.5, ("in", 1, 0): 10.5, ("in", 1, 1): 12.5}
-    small = raster.crop_downsample(cells, (3.0, 3.0, 3.5, 3.5), 0.0, 0.0, 1.0, 2.0).collect()
+    small = raster.crop_downsample(cells, frame, (3.0, 3.0, 3.5, 3.5), 1.0, 2.0).collect()
     assert sorted((r["cloud"], r["row"], r["col"], r["value"]) for r in small if r["cloud"] == "in") == [("in", 0, 0, 15.0)]
     assert [(r["row"], r["col"], r["value"]) for r in small if r["cloud"] == "out"] == [(0, 0, None)]
 
 
+def test_crop_of_a_raster_with_an_unknown_border(spark):
+    """9 x 9 cells of which the last row and column are unknown: nine blocks, the outer ones of what they know."""
+    cells = spark.createDataFrame([("a", r, c, float(10 * r + c)) for r in range(8) for c in range(8)], "cloud string, row long, col long, value double")
+    frame = spark.createDataFrame([("a", 100.0, 50.0, 9, 9)], "cloud string, x_min double, y_min double, h long, w long")
+    got = {(r["row"], r["col"]): r["value"] for r in raster.crop_downsample(cells, frame, (100.0, 50.0, 109.0, 59.0), 1.0, 3.0).collect()}
+    assert got == {(i, j): 10 * (1 + 3 * i - (i == 2) * 0.5) + 1 + 3 * j - (j == 2) * 0.5 for i in range(3) for j in range(3)}
+    five = raster.crop_downsample(cells.withColumn("b", F.col("value")), frame, (100.0, 50.0, 109.0, 59.0), 1.0, 3.0, ["value", "b"])
+    assert {(r["row"], r["col"]): r["b"] for r in five.collect()}[2, 2] is None
+
+
 def test_centres_of_a_thin_cloud(spark):
     df = table_of(spark, [(0, 0, 0), (100, 0, 0), (51, 0, 0), (52, 0, 0)])
     got = spatial.candidate_centres(df, 3.0, 20.0, 3).collect()

@@ -6,7 +6,7 @@ from terraframe.plans import QUERIES
 from terraframe.sources.views import points_o
 
 
-@pytest.mark.parametrize("name", ["n2_radius_join_all", "n2_radius_or_nearest_all", "n4_mean_elevation_all", "n5_curvature_all", "n5_normals"])
+@pytest.mark.parametrize("name", ["n2_radius_join", "n2_radius_or_nearest", "n4_mean_elevation", "n5_curvature", "n5_normals"])
 def test_every_point_is_asked(spark, sf, name):
     assert QUERIES[name](spark, sf).select("q_pid").distinct().count() == points_o(spark, sf).count()
 
@@ -26,7 +26,7 @@ def test_normals_by_brute_force(spark, sf):
 
 def test_statistics_take_all_rows(spark):
     rows = points_o(spark, "/root/testdata/sf0.01")
-    assert QUERIES["a9_norm_stats_all"](spark, "/root/testdata/sf0.01").first()["n_points"] == rows.count() > 7000
+    assert QUERIES["a9_norm_stats"](spark, "/root/testdata/sf0.01").first()["n_points"] == rows.count() > 7000
 
 
 def test_spacing_takes_all_points(spark):
