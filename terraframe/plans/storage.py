@@ -6,10 +6,10 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from terraframe.plans.projection import PL
+from terraframe.plans.projection import PL, PO
 from terraframe.plans.registry import query
 from terraframe.sources import files as f
-from terraframe.sources.views import SCORED, points_l, scored
+from terraframe.sources.views import SCORED, points_l, points_o, scored
 
 SC = f"({SCORED}) AS sc"
 
@@ -66,3 +66,39 @@ def s6(spark, sf):
     head = spark.range(1).select(F.lit(0).cast("long").alias("at"), F.lit("ncols 10\nnrows 10\nxllcorner 0\nyllcorner 0\ncellsize 6\nNODATA_value -9999").alias("line"))
     head.unionByName(lines).coalesce(1).sortWithinPartitions("at").select("line").write.text(path)
     return f.read_ascii_grid(spark, path)[0].select("row", "col", "value")
+
+
+#: Each cloud in two files, by odd and even points, with noise and withheld points among them.
+LAS = f"(SELECT concat(cloud, '_', CAST(pid % 2 AS INTEGER)) AS cloud, pid, x, y, z, CASE WHEN pid % 13 = 0 THEN 7 ELSE cls END AS cls, CAST(1 + pid % 5 AS INTEGER) AS nret, CAST(1 + pid % 3 AS INTEGER) AS rnum, CAST(pid % 60000 AS DOUBLE) AS intensity, pid % 17 = 0 AS withheld FROM {PO}) AS las"
+
+
+def las_folder(spark, sf) -> str:
+    path = place(spark, "las")
+    made = {"cloud": F.concat_ws("_", "cloud", (F.col("pid") % 2).cast("int").cast("string")), "cls": F.when(F.col("pid") % 13 == 0, 7).otherwise(F.col("cls")), "nret": (1 + F.col("pid") % 5).cast("int"), "rnum": (1 + F.col("pid") % 3).cast("int"), "intensity": (F.col("pid") % 60000).cast("double"), "withheld": F.col("pid") % 17 == 0}
+    f.write_las(points_o(spark, sf).withColumns(made), path)
+    return path
+
+
+@query("s1_read_las", f"SELECT cloud, nret, count(*) AS n, round(sum(x), 4) AS x, round(sum(y), 4) AS y, round(sum(z), 4) AS z, round(sum(intensity), 1) AS intensity, CAST(sum(rnum) AS BIGINT) AS rnum, count(*) FILTER (cls = 2) AS ground FROM {LAS} WHERE cls <> 7 AND NOT withheld GROUP BY cloud, nret")
+def s1_las(spark, sf):
+    """Points of LAS files in ranges of 64 kB, which cut every file."""
+    rows = f.read_points(spark, las_folder(spark, sf), las=True, split=1 << 16)
+    return rows.groupBy("cloud", "nret").agg(F.count("*").alias("n"), *[F.round(F.sum(c), 4).alias(c) for c in "xyz"], F.round(F.sum("intensity"), 1).alias("intensity"), F.sum("rnum").alias("rnum"), F.count_if(F.col("cls") == 2).alias("ground"))
+
+
+@query("s1_read_las_window", f"SELECT cloud, count(*) AS n, round(sum(z), 4) AS z FROM {LAS} WHERE cls <> 7 AND NOT withheld AND x >= 20 AND x < 40 AND y < 30 GROUP BY cloud")
+def s1_window(spark, sf):
+    """Points in a window, whose bounds are also held against the box of each file."""
+    rows = f.read_points(spark, las_folder(spark, sf), las=True).filter("x >= 20 AND x < 40 AND y < 30")
+    return rows.groupBy("cloud").agg(F.count("*").alias("n"), F.round(F.sum("z"), 4).alias("z"))
+
+
+@query("s2_las_headers", f"SELECT concat(cloud, '.las') AS file, 4 AS minor, n_points, round(min_x, 6) AS min_x, round(max_x, 6) AS max_x, round(min_y, 6) AS min_y, round(max_y, 6) AS max_y, CASE WHEN max_x > min_x AND max_y > min_y THEN round(n_points / ((max_x - min_x) * (max_y - min_y)), 6) END AS density FROM (SELECT cloud, count(*) AS n_points, min(x) AS min_x, max(x) AS max_x, min(y) AS min_y, max(y) AS max_y FROM {LAS} GROUP BY cloud) AS h")
+def s2(spark, sf):
+    out = f.las_headers(spark, las_folder(spark, sf))
+    return out.select(F.substring_index("path", "/", -1).alias("file"), "minor", "n_points", *[F.round(c, 6).alias(c) for c in ("min_x", "max_x", "min_y", "max_y", "density")])
+
+
+@query("s3_list_clouds", f"SELECT concat(cloud, '.las') AS file, 375 + 30 * count(*) AS size FROM {LAS} GROUP BY cloud")
+def s3(spark, sf):
+    return f.list_clouds(spark, las_folder(spark, sf)).select(F.substring_index("key", "/", -1).alias("file"), "size")

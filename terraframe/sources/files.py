@@ -2,20 +2,11 @@
 
 from __future__ import annotations
 
-import struct
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from terraframe.operators.project import BY, NOISE
-
-#: LAS public header: places of its fields, and the sizes of the point formats read here.
-LAS_FIELDS = {"minor": (25, "<B"), "offset": (96, "<I"), "format": (104, "<B"), "length": (105, "<H"), "count32": (107, "<I"), "scales": (131, "<3d"), "offsets": (155, "<3d"), "box": (179, "<6d"), "count64": (247, "<Q")}
-POINT_SCHEMA = "cloud string, pid long, x double, y double, z double, cls int, nret int, rnum int, intensity double, withheld boolean"
-
+from terraframe.sources.las import SPLIT, LasSource
 
 def clean_points(df: DataFrame, drop_noise: bool = True) -> DataFrame:
     """Points with their defaults: one return, no intensity, not withheld; noise and withheld points dropped."""
@@ -25,66 +16,31 @@ def clean_points(df: DataFrame, drop_noise: bool = True) -> DataFrame:
     return out.filter(~F.col("cls").isin(*NOISE) & ~F.col("withheld")) if drop_noise else out
 
 
-def las_field(head: bytes, name: str):
-    at, form = LAS_FIELDS[name]
-    return struct.unpack_from(form, head, at)
-
-
-def las_points(content: bytes) -> dict[str, np.ndarray]:
-    """The points of an uncompressed LAS file, formats 0 to 10."""
-    form, length, start = las_field(content, "format")[0], las_field(content, "length")[0], las_field(content, "offset")[0]
-    if form > 127 or content[:4] != b"LASF":
-        raise ValueError("not an uncompressed LAS file")
-    n = las_count(content)
-    raw = np.frombuffer(content, np.uint8, n * length, start).reshape(n, length)
-    take = lambda at, kind: np.ascontiguousarray(raw[:, at : at + np.dtype(kind).itemsize]).view(kind).ravel()
-    scale, shift = las_field(content, "scales"), las_field(content, "offsets")
-    out = {c: take(4 * i, "<i4") * scale[i] + shift[i] for i, c in enumerate("xyz")}
-    out["intensity"] = take(12, "<u2").astype(float)
-    flags = raw[:, 14]
-    if form >= 6:
-        out |= {"rnum": flags & 15, "nret": flags >> 4, "cls": raw[:, 16], "withheld": (raw[:, 15] & 4) > 0}
-    else:
-        out |= {"rnum": flags & 7, "nret": (flags >> 3) & 7, "cls": raw[:, 15] & 31, "withheld": (raw[:, 15] & 128) > 0}
-    return out
-
-
-def las_count(head: bytes) -> int:
-    n = las_field(head, "count64")[0] if las_field(head, "minor")[0] >= 4 and len(head) >= 255 else 0
-    return n or las_field(head, "count32")[0]
+def _las(spark: SparkSession):
+    """A reader of LAS files; see sources.las."""
+    spark.dataSource.register(LasSource)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    return spark.read.format("las")
 
 
-def read_points(spark: SparkSession, path: str, drop_noise: bool = True) -> DataFrame:
-    """Points of a Parquet table, or of a folder of .las files, one task a file."""
-    if not path.lower().rstrip("/").endswith((".las", "*.las")):
-        return clean_points(spark.read.parquet(path), drop_noise)
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+def read_points(spark: SparkSession, path: str, drop_noise: bool = True, las: bool | None = None, split: int = SPLIT) -> DataFrame:
+    """Points of a Parquet table, or of the .las files of a path or folder (las; told by the path's ending if None), in ranges of `split` bytes."""
+    las = path.lower().rstrip("/").endswith(".las") if las is None else las
+    rows = _las(spark).option("split", str(split)).load(path) if las else spark.read.parquet(path)
+    return clean_points(rows, drop_noise)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for g in frames:
-            for name, content in g.itertuples(index=False):
-                p = las_points(content)
-                yield pd.DataFrame({"cloud": name.rsplit("/", 1)[-1].rsplit(".", 1)[0], "pid": np.arange(len(p["x"])), **p}).astype({"cls": "int32", "nret": "int32", "rnum": "int32"})[[f.split()[0] for f in POINT_SCHEMA.split(", ")]]
 
-    return clean_points(files.mapInPandas(run, POINT_SCHEMA), drop_noise)
+def write_las(df: DataFrame, path: str, file: str = "cloud") -> None:
+    """Points as LAS files, one for each value of `file`, which one task writes; parts of a large cloud need names of their own."""
+    df.sparkSession.dataSource.register(LasSource)
+    rows = clean_points(df, drop_noise=False).withColumn("file", F.col(file).cast("string"))
+    cols = ["file", "pid", "x", "y", "z", "cls", "nret", "rnum", "intensity", "withheld"]
+    rows.select(*cols).repartition("file").sortWithinPartitions("file", "pid").write.format("las").mode("append").save(path)
 
 
 def las_headers(spark: SparkSession, path: str, bounds_only: bool = False) -> DataFrame:
-    """path, version, count, bounds and density of LAS files, from their first 512 bytes; files of another kind are left out."""
-    heads = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", F.substring("content", 1, 512).alias("head"))
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for g in frames:
-            rows = []
-            for name, head in g.itertuples(index=False):
-                if bytes(head[:4]) != b"LASF" or len(head) < 227:
-                    continue
-                hi_x, lo_x, hi_y, lo_y, _, _ = las_field(head, "box")
-                n, area = las_count(head), (hi_x - lo_x) * (hi_y - lo_y)
-                rows.append((name, las_field(head, "minor")[0], n, lo_x, hi_x, lo_y, hi_y, n / area if area > 0 else None))
-            yield pd.DataFrame(rows, columns=["path", "minor", "n_points", "min_x", "max_x", "min_y", "max_y", "density"])
-
-    out = heads.mapInPandas(run, "path string, minor int, n_points long, min_x double, max_x double, min_y double, max_y double, density double")
+    """path, version, count, bounds and density of LAS files; only the first bytes of each are read, and files of another kind are left out."""
+    out = _las(spark).option("headers", "true").load(path)
     return out.select("path", "min_x", "max_x", "min_y", "max_y") if bounds_only else out
 
 
