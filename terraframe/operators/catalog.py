@@ -112,17 +112,30 @@ def match_stem(clouds: DataFrame, other: DataFrame, path: str = "path") -> DataF
 def match_extent(a: DataFrame, b: DataFrame, cell: float, key_a: str = "path", key_b: str = "raster") -> DataFrame:
     """All (a, b) whose boxes (min_x, min_y, max_x, max_y) meet, borders included, with epsg_differs.
 
-    Boxes are dealt to the coarse cells they touch; pairs that share a cell are tested. A pair that shares
-    several is kept in one, the cell of the lower left corner of what they share, so nothing is compared twice in the end.
+    A box belongs to the level whose cells, cell times a power of two, are the first not smaller than itself, so it touches four
+    of them at most, and as many on every level above. Two boxes meet on the larger level of both, so each goes to its own level
+    and to those above where the other side has boxes. A pair that shares several cells is kept in the one of the lower left corner
+    of what they share, so nothing is compared twice in the end.
     """
-    def cells(df: DataFrame, p: str) -> DataFrame:
+    def levelled(df: DataFrame, p: str) -> DataFrame:
         d = df.select(*[F.col(c).alias(f"{p}_{c}") for c in df.columns])
-        span = lambda lo, hi: F.sequence(F.floor(F.col(f"{p}_{lo}") / cell), F.floor(F.col(f"{p}_{hi}") / cell))
-        return d.withColumn("_cx", F.explode(span("min_x", "max_x"))).withColumn("_cy", F.explode(span("min_y", "max_y")))
-
-    pairs = cells(a, "a").join(cells(b, "b").hint("shuffle_merge"), ["_cx", "_cy"])
+        side = F.greatest(F.col(f"{p}_max_x") - F.col(f"{p}_min_x"), F.col(f"{p}_max_y") - F.col(f"{p}_min_y"))
+        level = F.when(side > cell, F.ceil(F.log2(side / cell))).otherwise(F.lit(0)).cast("int")
+        # rounding of the logarithm must not leave a cell smaller than its box
+        return d.withColumn(f"{p}_level", level + (side > cell * F.pow(F.lit(2.0), level)).cast("int"))
+
+    def cells(d: DataFrame, p: str, met: DataFrame) -> DataFrame:
+        span = lambda lo, hi: F.sequence(F.floor(F.col(f"{p}_{lo}") / F.col("_side")), F.floor(F.col(f"{p}_{hi}") / F.col("_side")))
+        levels = d.crossJoin(F.broadcast(met)).withColumn("_level", F.explode(F.array_distinct(F.concat(F.array(F.col(f"{p}_level")), F.filter("_levels", lambda v: v > F.col(f"{p}_level"))))))
+        levels = levels.drop("_levels").withColumn("_side", cell * F.pow(F.lit(2.0), F.col("_level")))
+        return levels.withColumn("_cx", F.explode(span("min_x", "max_x"))).withColumn("_cy", F.explode(span("min_y", "max_y")))
+
+    left, right = levelled(a, "a"), levelled(b, "b")
+    # one row: the levels of a side, some dozens at most
+    seen = lambda d, p: d.select(F.col(f"{p}_level").alias("v")).distinct().agg(F.collect_list("v").alias("_levels"))
+    pairs = cells(left, "a", seen(right, "b")).join(cells(right, "b", seen(left, "a")).drop("_side").hint("shuffle_merge"), ["_level", "_cx", "_cy"]).filter(F.col("_level") == F.greatest("a_level", "b_level"))
     meet = (F.col("a_min_x") <= F.col("b_max_x")) & (F.col("b_min_x") <= F.col("a_max_x")) & (F.col("a_min_y") <= F.col("b_max_y")) & (F.col("b_min_y") <= F.col("a_max_y"))
-    once = (F.col("_cx") == F.floor(F.greatest("a_min_x", "b_min_x") / cell)) & (F.col("_cy") == F.floor(F.greatest("a_min_y", "b_min_y") / cell))
+    once = (F.col("_cx") == F.floor(F.greatest("a_min_x", "b_min_x") / F.col("_side"))) & (F.col("_cy") == F.floor(F.greatest("a_min_y", "b_min_y") / F.col("_side")))
     differs = F.coalesce(F.col("a_epsg") != F.col("b_epsg"), F.lit(False)) if "epsg" in a.columns and "epsg" in b.columns else F.lit(False)
     return pairs.filter(meet & once).select(F.col(f"a_{key_a}").alias(key_a), F.col(f"b_{key_b}").alias(key_b), differs.alias("epsg_differs"))
 

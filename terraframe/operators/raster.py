@@ -5,15 +5,19 @@ A raster's frame is x_min, y_min, res, h, w; here every cloud has one frame row
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from terraframe.functions.grids import FAR, nearest_columns
 from terraframe.functions.quantiles import quantiles
 from terraframe.functions.tables import written
 from terraframe.operators.project import BY
-from terraframe.operators.spatial import knn_join
 
 BANDS = ("dtm", "dsm", "ndsm", "gprob", "cover")
+#: Rows of a raster that a task fills together.
+STRIP = 64
 
 
 def frames(df: DataFrame, res: float, by=BY) -> DataFrame:
@@ -42,21 +46,42 @@ def dense(frame: DataFrame, by=BY) -> DataFrame:
     return frame.select(*by, F.explode(span("h")).alias("row"), "w").select(*by, "row", F.explode(span("w")).alias("col"))
 
 
-def fill_nearest(cells: DataFrame, frame: DataFrame, col: str = "value", by=BY) -> DataFrame:
+def fill_nearest(cells: DataFrame, frame: DataFrame, col: str | list[str] = "value", by=BY) -> DataFrame:
     """All cells of the frame; an empty one takes the value of the nearest valued cell, ties to the smaller (row, col).
 
-    A raster without any value stays empty.
+    An exact distance transform in two passes: along each column, by windows, every cell learns the nearest source of its column;
+    then, along each row, the column whose source is nearest wins. Several bands take both passes together, each with its own
+    empty cells. A raster without any value stays empty.
     """
-    full = dense(frame, by).join(cells.select(*by, "row", "col", col).hint("shuffle_merge"), [*by, "row", "col"], "left")
-    width = F.max("w").over(Window.partitionBy())
-    ident = frame.withColumn("_w", width).select(*by, "_w")
-    keyed = full.join(ident.hint("shuffle_merge"), list(by)).withColumns({"pid": F.col("row") * F.col("_w") + F.col("col"), "x": F.col("col").cast("double"), "y": F.col("row").cast("double")})
-    known = keyed.filter(F.col(col).isNotNull()).select(*by, "pid", "x", "y", col)
-    empty = keyed.filter(F.col(col).isNull())
-    some = known.select(*by).distinct()
-    hit = knn_join(empty.join(some, list(by), "left_semi").select(*by, "pid", "x", "y"), known, 1, 2, cell=4.0, by=by).select(*by, F.col("q_pid").alias("pid"), F.col(col).alias("_near"))
-    filled = empty.select(*by, "row", "col", "pid").join(hit.hint("shuffle_merge"), [*by, "pid"], "left").select(*by, "row", "col", F.col("_near").alias(col))
-    return keyed.filter(F.col(col).isNotNull()).select(*by, "row", "col", col).unionByName(filled)
+    cols = [col] if isinstance(col, str) else list(col)
+    full = dense(frame, by).join(cells.select(*by, "row", "col", *cols).hint("shuffle_merge"), [*by, "row", "col"], "left")
+    up = Window.partitionBy(*by, "col").orderBy("row").rowsBetween(Window.unboundedPreceding, 0)
+    down = Window.partitionBy(*by, "col").orderBy("row").rowsBetween(0, Window.unboundedFollowing)
+    picks = {}
+    for c in cols:
+        source = F.when(F.col(c).isNotNull(), F.struct("row", F.col(c).cast("double").alias("v")))
+        above, below = F.last(source, True).over(up), F.first(source, True).over(down)
+        nearer = below.isNull() | (F.col("row") - above["row"] <= below["row"] - F.col("row"))
+        picks[f"_s_{c}"] = F.when(above.isNotNull() & nearer, above).otherwise(below)
+    strips = full.withColumns(picks).select(*by, F.floor(F.col("row") / STRIP).alias("_strip"), "row", "col", *[F.col(f"_s_{c}.{k}").alias(f"_{k}_{c}") for c in cols for k in ("row", "v")])
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values(["row", "col"], ignore_index=True)
+        w = int(g["col"].max()) + 1
+        out = {**{b: g[b] for b in by}, "row": g["row"], "col": g["col"]}
+        rows = g["row"].to_numpy().reshape(-1, w)
+        for c in cols:
+            at = g[f"_row_{c}"].to_numpy(float).reshape(-1, w)
+            known = ~np.isnan(at)
+            source = np.where(known, at, 0).astype(np.int64)
+            best = nearest_columns(np.where(known, (rows - source) ** 2, FAR), source)
+            here = np.arange(len(best))[:, None]
+            out[c] = np.where(known[here, best], g[f"_v_{c}"].to_numpy(float).reshape(-1, w)[here, best], np.nan).ravel()
+        return pd.DataFrame(out)
+
+    kinds = dict(frame.dtypes)
+    schema = ", ".join(f"{b} {kinds[b]}" for b in by) + ", row long, col long, " + ", ".join(f"{c} double" for c in cols)
+    return strips.groupBy(*by, "_strip").applyInPandas(run, schema)
 
 
 def build_prior(df: DataFrame, res: float = 1.0, ground: Column | None = None, by=BY) -> DataFrame:
@@ -66,7 +91,8 @@ def build_prior(df: DataFrame, res: float = 1.0, ground: Column | None = None, b
     cells = placed(df.withColumn("_g", ground), frame, res, by).groupBy(*by, "row", "col").agg(
         F.avg(F.when(F.col("_g"), F.col("z"))).alias("dtm"), F.max("z").alias("dsm"), (F.count_if(F.col("_g")) / F.count("*")).alias("gprob"),
     )
-    both = fill_nearest(cells, frame, "dtm", by).join(fill_nearest(cells, frame, "dsm", by).hint("shuffle_merge"), [*by, "row", "col"]).join(cells.select(*by, "row", "col", "gprob").hint("shuffle_merge"), [*by, "row", "col"], "left")
+    cells = written(cells, "prior-cells")
+    both = fill_nearest(cells, frame, ["dtm", "dsm"], by).join(cells.select(*by, "row", "col", "gprob").hint("shuffle_merge"), [*by, "row", "col"], "left")
     return both.select(*by, "row", "col", "dtm", "dsm", F.greatest(F.col("dsm") - F.col("dtm"), F.lit(0.0)).alias("ndsm"), F.coalesce("gprob", F.lit(0.0)).alias("gprob"), F.when(F.col("gprob").isNotNull(), 1.0).otherwise(0.0).alias("cover"))
 
 

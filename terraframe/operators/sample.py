@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terraframe.functions.tables import running, written
+from terraframe.functions.tables import last_seen, running, written
 from terraframe.operators.project import BY
 
 
@@ -15,27 +15,25 @@ def uniform(seed: str, *cols: str) -> Column:
     return F.conv(F.substring(F.md5(key), 1, 12), 16, 10).cast("long") / F.lit(float(2**48))
 
 
-def weighted_draws(df: DataFrame, weight: str, draws: DataFrame, item: str = "item", buckets: int = 1024) -> DataFrame:
-    """draw and item for each draw (draw, u): the item whose share of the running weight holds u, borders to the right.
+def weighted_draws(df: DataFrame, weight: str, draws: DataFrame, item: str = "item") -> DataFrame:
+    """draw and item for each draw (draw, u in [0, 1)): the item whose share of the running weight holds u, borders to the right.
 
-    Weights that are null, negative, infinite or all zero count as even. The running sum is two-level: sums of
-    hash-free ranges of the item, then inside them; the draws meet the intervals by bucketed equality, not by comparison with all.
+    Weights that are null, negative, infinite or all zero count as even. Items stand at the lower end of their share, from a
+    two-level running sum; items and draws are cut by one range sort and merged in that order, so what is looked at follows their
+    number, and each draw has exactly one item, however the sums are rounded.
     """
     w = F.col(weight).cast("double")
     fine = w.isNotNull() & ~F.isnan(w) & (w >= 0) & (w < float("inf"))
     ends = df.agg(F.count_if(~fine).alias("_bad"), F.sum(F.when(fine, w)).alias("_sum"))
     rows = df.crossJoin(F.broadcast(ends)).withColumn("_w", F.when((F.col("_bad") > 0) | (F.coalesce("_sum", F.lit(0.0)) <= 0), 1.0).otherwise(w))
-    parts = written(rows.select(item, "_w").repartitionByRange(item).withColumn("_part", F.spark_partition_id()), "weights")
-    totals = parts.groupBy("_part").agg(F.sum("_w").alias("_t"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("_part", F.coalesce(F.sum("_t").over(before), F.lit(0.0)).alias("_off"), F.sum("_t").over(Window.partitionBy()).alias("_all"))
-    local = Window.partitionBy("_part").orderBy(item)
-    run = parts.join(F.broadcast(offsets), "_part")  # one row a partition
-    lo = (F.col("_off") + F.coalesce(F.sum("_w").over(local.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))) / F.col("_all")
-    hi = (F.col("_off") + F.sum("_w").over(local.rowsBetween(Window.unboundedPreceding, 0))) / F.col("_all")
-    spans = run.select(item, lo.alias("_lo"), hi.alias("_hi")).filter("_hi > _lo")
-    cells = spans.withColumn("_b", F.explode(F.sequence(F.floor(F.col("_lo") * buckets), F.least(F.floor(F.col("_hi") * buckets), F.lit(buckets - 1).cast("long")))))
-    return draws.withColumn("_b", F.floor(F.col("u") * buckets)).join(cells.hint("shuffle_merge"), "_b").filter((F.col("u") >= F.col("_lo")) & (F.col("u") < F.col("_hi"))).select("draw", item)
+    spans = running(rows.select(item, "_w").filter("_w > 0"), (), [item], "weights", _lo=F.col("_w"))
+    kind = dict(df.dtypes)[item]
+    here = spans.select((F.col("_lo") / F.col("_lo_all")).alias("_at"), F.lit(0).alias("_kind"), F.col(item).alias("_item"), F.lit(None).cast(dict(draws.dtypes)["draw"]).alias("draw"))
+    asked = draws.select(F.col("u").cast("double").alias("_at"), F.lit(1).alias("_kind"), F.lit(None).cast(kind).alias("_item"), "draw")
+    # struct, as an item may itself be null
+    one = F.when(F.col("_kind") == 0, F.struct("_item"))
+    met = last_seen(here.unionByName(asked), ["_at", "_kind", "_item", "draw"], one, "_found", "draws")
+    return met.filter("_kind = 1 AND _found IS NOT NULL").select("draw", F.col("_found._item").alias(item))
 
 
 def region_weights(df: DataFrame, by=BY) -> DataFrame:
@@ -66,17 +64,35 @@ def even_subset(df: DataFrame, n: int, item: str = "pid", by=BY) -> DataFrame:
 
 
 def pack_batches(df: DataFrame, limit: int, shard: str = "shard", item: str = "item", size: str = "n") -> DataFrame:
-    """df with batch: greedy in item order within a shard; an item over the limit stands alone. One fold a shard, shards side by side."""
-    listed = df.groupBy(shard).agg(F.array_sort(F.collect_list(F.struct(F.col(item), F.col(size).cast("long").alias("s")))).alias("_l"))
-    start = F.struct(F.lit(-1).cast("long").alias("b"), F.lit(0).cast("long").alias("used"), F.array().cast("array<bigint>").alias("out"))
+    """df with batch: greedy in item order within a shard; an item over the limit stands alone.
 
-    def step(a: Column, x: Column) -> Column:
-        new = (a["b"] < 0) | (a["used"] + x["s"] > limit)
-        b = F.when(new, a["b"] + 1).otherwise(a["b"])
-        return F.struct(b.alias("b"), F.when(new, x["s"]).otherwise(a["used"] + x["s"]).alias("used"), F.concat(a["out"], F.array(b)).alias("out"))
-
-    packed = listed.withColumn("_b", F.aggregate("_l", start, step)["out"])
-    return packed.select(shard, F.explode(F.arrays_zip(F.col("_l"), F.col("_b"))).alias("z")).select(shard, F.col(f"z._l.{item}").alias(item), F.col("z._l.s").alias(size), F.col("z._b").alias("batch"))
+    With running sums, the batch that an item would open ends before the first item whose sum is over its own by more than the
+    limit; all items find that item at once, by a merge of the sorted sums. These steps are then doubled, two, four, eight batches at a
+    time, from the first item of each shard, so the starts of all batches are known after as many rounds as the number of
+    batches has binary digits, and no task holds a shard.
+    """
+    rows = running(df.select(shard, item, F.col(size).cast("long").alias(size)), (shard,), [item], "batch-sums", _before=F.col(size), _rank=F.lit(1).cast("long"))
+    rows = written(rows.select(shard, item, size, "_before", "_rank", F.col("_rank_all").alias("_n")), "batch-ranks")
+    zero = F.lit(0).cast("long")
+    ends = rows.select(shard, (F.col("_before") + F.col(size)).alias("_at"), zero.alias("_kind"), "_rank", "_n")
+    asked = rows.select(shard, (F.col("_before") + limit).alias("_at"), F.lit(1).cast("long").alias("_kind"), "_rank", "_n")
+    # the last item of the shard whose sum, itself included, is within the limit
+    fits = last_seen(ends.unionByName(asked), [shard, "_at", "_kind", "_rank"], F.when(F.col("_kind") == 0, F.struct(F.col(shard).alias("s"), F.col("_rank").alias("r"))), "_last", "batch-ends").filter("_kind = 1")
+    after = F.when(F.col("_last.s").eqNullSafe(F.col(shard)), F.col("_last.r") + 1).otherwise(zero)
+    jump = written(fits.select(shard, F.col("_rank").alias("_from"), F.greatest(after, F.col("_rank") + 1).alias("_to"), "_n"), "batch-jumps")
+    jumps = [jump]
+    while not jump.filter("_from = 0 AND _to < _n").isEmpty():
+        step = jump.select(F.col(shard).alias("_s"), F.col("_from").alias("_via"), F.col("_to").alias("_next"))
+        far = jump.join(step.hint("merge"), F.col(shard).eqNullSafe(F.col("_s")) & (F.col("_to") == F.col("_via")), "left")
+        jump = written(far.select(shard, "_from", F.coalesce("_next", "_to").alias("_to"), "_n"), "batch-jumps")
+        jumps.append(jump)
+    starts = rows.filter("_rank = 0").select(F.col(shard).alias("_s"), zero.alias("_start"))
+    for jump in reversed(jumps[:-1] or jumps):
+        reached = starts.join(jump.hint("merge"), F.col("_s").eqNullSafe(F.col(shard)) & (F.col("_start") == F.col("_from"))).filter("_to < _n").select("_s", F.col("_to").alias("_start"))
+        starts = written(starts.unionByName(reached).distinct(), "batch-starts")
+    first = rows.join(starts.hint("merge"), F.col(shard).eqNullSafe(F.col("_s")) & (F.col("_rank") == F.col("_start")), "left").select(shard, item, size, F.col("_start").isNotNull().cast("long").alias("_new"))
+    numbered = running(first, (shard,), [item], "batches", batch=F.col("_new"))
+    return numbered.select(shard, item, size, (F.col("batch") + F.col("_new") - 1).alias("batch"))
 
 
 def mix_pairs(clouds: DataFrame, by=BY) -> DataFrame:
