@@ -116,6 +116,26 @@ def test_corrector_step_by_step(spark, params):
         assert {r["pid"] for r in got if r["cloud"] == name} == plain_correct(xyz, params)
 
 
+@pytest.mark.parametrize(("theta0", "alpha"), [(10.0, 0.5), (40.0, 1.6)])
+def test_regions_cross_blocks(spark, theta0, alpha):
+    """Blocks of some dozens of points give what one queue over the cloud gives, for regions that wind through all of them."""
+    xyz = rough(3, 26, 24.0)
+    df = table_of(spark, xyz, "A").unionByName(table_of(spark, rough(4, 8, 6.0), "B"))
+    shape, near = correct.growth_thresholds(df, 8, theta0, alpha, 0.7)
+    rows = {}
+    for cap in (10**6, 40):
+        got = correct.region_grow(shape, near, df, cap).filter("cloud = 'A'").collect()
+        rows[cap] = {r["pid"]: r["region"] for r in got}
+        assert all(r["core"] == (r["region"] is not None) for r in got)
+    assert rows[40] == rows[10**6]
+    d2 = ((xyz[:, None] - xyz[None]) ** 2).sum(-1)
+    np.fill_diagonal(d2, np.inf)
+    core = plain_core(xyz, np.argsort(d2, axis=1, kind="stable")[:, :8], theta0, alpha, 0.7)
+    assert [rows[40][i] is not None for i in range(len(xyz))] == core.tolist()
+    sizes = np.unique([v for v in rows[40].values() if v is not None], return_counts=True)[1]
+    assert sizes.max() > (200 if alpha > 1 else 5)
+
+
 def test_spikes_go_pits_and_clean_ground_stay(spark):
     base, rng = slope(), np.random.default_rng(2)
     some = rng.choice(len(base), 34, replace=False)

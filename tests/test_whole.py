@@ -85,14 +85,14 @@ def test_tuner_runs_the_core(spark):
     grid = [correct.Params(k=8), correct.Params(k=8, theta0=2.0, alpha=0.8)]
     want = []
     for p in grid:
-        kept = {r["pid"] for r in correct.correct_ground(df, p, block=12.0).filter("refined = 1").collect()}
+        kept = {r["pid"] for r in correct.correct_ground(df, p, cap=60).filter("refined = 1").collect()}
         cells = {}
         for i in range(324):
-            cell = cells.setdefault((int(x[i] - x.min()) // 2, int(y[i] - y.min()) // 2), ([], []))
+            cell = cells.setdefault((min(int(x[i] - x.min()) // 2, 9), min(int(y[i] - y.min()) // 2, 9)), ([], []))
             cell[0].extend([z[i]] if label[i] == 1 else [])
             cell[1].extend([z[i]] if i in kept else [])
         want.append(np.sqrt(np.mean([(np.mean(b) - np.mean(a)) ** 2 for a, b in cells.values() if a and b])))
     assert want[0] != want[1]
-    got = correct.tune_corrector(df, grid, res=2.0, block=12.0).first()
+    got = correct.tune_corrector(df, grid, res=2.0, cap=60).first()
     assert got["candidate"] == int(np.argmin(want))
     assert abs(got["error"] - min(want)) < 1e-6 and abs(got["default_error"] - want[0]) < 1e-6
