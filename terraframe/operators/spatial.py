@@ -6,12 +6,15 @@ asking side is copied to the neighbouring cells, and an equi-join with a residua
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terraframe.functions.quantiles import quantiles
 from terraframe.functions.tables import running, written
 from terraframe.operators.project import BY
+from terraframe.operators.quadtree import DEPTH, finest, leaves, squares, up
 
 
 def _cells(df: DataFrame, cell: float | Column, dims: int) -> DataFrame:
@@ -41,53 +44,142 @@ def radius_join(q: DataFrame, p: DataFrame, r: float, dims: int = 2, by=BY) -> D
     return pairs.drop(*keys[len(by) :]).withColumn("d2", distance2(dims)).filter(F.col("d2") <= r * r)
 
 
-def knn_join(q: DataFrame, p: DataFrame, k: int, dims: int = 3, cell: float | None = None, qid: str = "pid", by=BY, exclude_self: bool = False) -> DataFrame:
+#: Points of a leaf of the quadtree that neighbours are looked for in, and distances taken in one step.
+LEAF, STEP_PAIRS = 1_024, 1 << 20
+
+
+def _nearest(asked: np.ndarray, points: np.ndarray, pid: np.ndarray, k: int, skip: np.ndarray | None, most: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row of asked, row of points and squared distance of the k nearest each, nearest first, ties to the smaller pid; none over `most`."""
+    rows, cols, dist = [], [], []
+    for lo in range(0, len(asked), step := max(1, STEP_PAIRS // max(1, len(points)))):
+        part = asked[lo : lo + step]
+        d2 = np.zeros((len(part), len(points)))
+        for i in range(points.shape[1]):
+            gap = points[None, :, i] - part[:, None, i]
+            d2 += gap * gap
+        if skip is not None:
+            d2[pid[None, :] == skip[lo : lo + step, None]] = np.inf
+        bound = np.partition(d2, k - 1, axis=1)[:, k - 1] if d2.shape[1] > k else np.full(len(part), np.finfo(float).max)
+        bound = np.minimum(bound, np.finfo(float).max if most is None else most[lo : lo + step])
+        r, c = np.nonzero(d2 <= bound[:, None])
+        order = np.lexsort((pid[c], d2[r, c], r))
+        r, c = r[order], c[order]
+        place = np.arange(len(r)) - np.searchsorted(r, r)
+        r, c = r[place < k], c[place < k]
+        rows.append(r + lo)
+        cols.append(c)
+        dist.append(d2[r, c])
+    none = np.empty(0, np.int64)
+    return (np.concatenate(rows), np.concatenate(cols), np.concatenate(dist)) if rows else (none, none, np.empty(0))
+
+
+def knn_join(q: DataFrame, p: DataFrame, k: int, dims: int = 3, qid: str = "pid", by=BY, exclude_self: bool = False, cap: int = LEAF) -> DataFrame:
     """The exact k nearest points of every query, in its cloud: q_<id>, by, rank (from 1), d2 and p's columns.
 
-    Queries look at their own cell and those around it. Those whose k-th distance (or lack of it) leaves room
-    for a nearer point outside are asked again, and only those, with cells three times as wide, so a query never
-    looks at more than 3**dims cells, however thin its surroundings; each cloud has cells of its own size. Ties go to the smaller pid. A query that cannot find k points,
-    because its cloud has fewer, gets all there are.
+    Points lie in the leaves of a quadtree of their cloud, each of some `cap` points however uneven the cloud is. A query first looks
+    into its own leaf. Where the ball of its k-th distance leaves that leaf, or the leaf holds fewer than k points, it asks those
+    leaves whose points the ball may hold, and no others; the ball of a thin leaf is bounded by the leaves around, nearest first, that hold k.
+    So two rounds settle all, and a task compares some leaves' worth of rows. Ties go to the smaller pid. A query that cannot
+    find k points, because its cloud has fewer, gets all there are.
     """
-    axes = "xyz"[:dims]
-    width = F.lit(float(cell)) if cell else _cell_for(k)
-    sizes = p.groupBy(*by).agg(*[F.min(a).alias(f"_lo{a}") for a in axes], *[F.max(a).alias(f"_hi{a}") for a in axes], width.alias("_cell"))
-    points = p.join(sizes.select(*by, "_cell"), list(by))
-    todo = written(q.select(F.col(qid), *by, *axes).join(sizes, list(by)), "knn-queries")
-    keys = [*by, *[f"_c{a}" for a in axes]]
-    found, factor = None, 1.0
-    while True:
-        cell = F.col("_cell") * factor
-        asked = _asking(todo, cell, 1, dims)
-        for b in by:
-            asked = asked.withColumnRenamed(f"q_{b}", b)
-        pairs = _cells(points, cell, dims).drop("_cell").hint("shuffle_merge").join(asked, keys).withColumn("d2", distance2(dims))
-        pairs = pairs.filter(F.col("pid") != F.col(f"q_{qid}")) if exclude_self else pairs
-        rank = F.row_number().over(Window.partitionBy(*by, f"q_{qid}").orderBy("d2", "pid"))
-        top = pairs.withColumn("rank", rank).filter(F.col("rank") <= k)
-        top = written(top.select(f"q_{qid}", "rank", "d2", *p.columns), "knn-hits")
-        done = top.groupBy(*by, f"q_{qid}").agg(F.count("*").alias("_n"), F.max("d2").alias("_far"))
-        at = {a: F.floor(F.col(a) / cell) for a in axes}
-        reach = F.least(*[F.least(F.col(a) - (at[a] - 1) * cell, (at[a] + 2) * cell - F.col(a)) for a in axes])
-        covered = F.lit(True)
-        for a in axes:
-            covered &= (at[a] - 1 <= F.floor(F.col(f"_lo{a}") / cell)) & (at[a] + 1 >= F.floor(F.col(f"_hi{a}") / cell))
-        state = todo.join(done.withColumnRenamed(f"q_{qid}", qid), [*by, qid], "left")
-        good = covered | ((F.coalesce("_n", F.lit(0)) >= k) & (F.col("_far") <= reach * reach))
-        left = written(state.filter(~good).drop("_n", "_far"), "knn-queries")
-        settled = top.join(left.select(*by, F.col(qid).alias(f"q_{qid}")), [*by, f"q_{qid}"], "left_anti")
-        found = settled if found is None else found.unionByName(settled)
-        if left.isEmpty():
-            break
-        todo, factor = left, factor * 3
-    return found
-
-
-def _cell_for(k: int) -> Column:
-    """A cell for a cloud, as an aggregate: one that holds about k points at its mean density in x and y, or along its longer side if it is thin."""
-    wide, high = (F.greatest(F.max(a) - F.min(a), F.lit(1e-6)) for a in "xy")
-    spacing = F.greatest(F.sqrt(wide * high / F.count("*")), F.greatest(wide, high) / F.count("*"))
-    return spacing * max(1.0, k**0.5) * 0.75
+    axes, key, name, by = list("xyz"[:dims]), [*by, "level", "cx", "cy"], f"q_{qid}", list(by)
+    kinds = dict(p.dtypes)
+    carry = [c for c in p.columns if c not in (*by, "pid", *axes) and kinds[c] == "double"]
+    rest = [c for c in p.columns if c not in (*by, "pid", *axes, *carry)]
+    ends = [f(c).alias(f"_{n}{c}") for n, f in (("lo", F.min), ("hi", F.max)) for c in axes]
+    p = written(p, "knn-from") if rest else p
+    frame = written(squares(p, by).join(p.groupBy(*by).agg(*ends), by), "knn-frames")
+    double = lambda c: F.col(c).cast("double").alias(c)
+    points = written(finest(p.select(*by, F.col("pid").cast("long").alias("pid"), *[double(c) for c in (*axes, *carry)]).join(frame.select(*by, "_qx", "_qy", "_side"), by)).drop("_qx", "_qy", "_side"), "knn-points")
+    tree = leaves(points, max(cap, 2 * k + 2), by)
+    levels = tree.groupBy(*by).agg(F.collect_set("level").alias("_levels"))
+    in_cell = [up(f, F.lit(DEPTH) - F.col("level")).alias(c) for c, f in (("cx", "_fx"), ("cy", "_fy"))]
+    leaf = lambda d, cols: d.join(levels, by).withColumn("level", F.explode("_levels")).select(*by, "level", *in_cell, *cols).join(tree.select(*key).hint("merge"), key, "left_semi")
+    homes = written(leaf(points, ["pid", *axes, *carry]), "knn-homes")
+    extra = ["_qx", "_qy", "_side", "_lox", "_hix", "_loy", "_hiy"]
+    own = q.select(*by, F.col(qid).cast("long").alias(name), *[double(c) for c in axes])
+    asking = leaf(finest(own.join(frame.select(*by, *extra), by)), [name, *axes, *extra])
+
+    names = ", ".join(f"{b} {kinds[b]}" for b in by)
+    more = "".join(f", {c} double" for c in (*axes, *carry))
+    hits = f"{names}, {name} long, rank int, d2 double, pid long{more}"
+    first = f"{hits}, done boolean, far double, level int, cx long, cy long" + "".join(f", q{c} double" for c in axes)
+
+    def found(g: pd.DataFrame, h: pd.DataFrame, most: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, dict]:
+        pid = h["pid"].to_numpy()
+        r, c, d2 = _nearest(g[axes].to_numpy(float), h[axes].to_numpy(float), pid, k, g[name].to_numpy() if exclude_self else None, most)
+        rank = np.arange(len(r)) - np.searchsorted(r, r) + 1
+        return r, d2, {**{b: np.full(len(r), g[b].iloc[0]) if len(r) else pd.Series(dtype=object) for b in by}, name: g[name].to_numpy()[r], "rank": rank, "d2": d2, "pid": pid[c], **{a: h[a].to_numpy(float)[c] for a in (*axes, *carry)}}
+
+    def look(_: tuple, g: pd.DataFrame, h: pd.DataFrame) -> pd.DataFrame:
+        if not len(g):
+            return pd.DataFrame({f.split()[0]: pd.Series(dtype=object) for f in first.split(", ")})
+        r, d2, out = found(g, h, None)
+        count = np.bincount(r, minlength=len(g))
+        far = np.full(len(g), np.inf)
+        last = np.cumsum(count) - 1
+        full = count >= k
+        far[full] = d2[last[full]]
+        w = g.iloc[0]
+        side = w["_side"] / 2.0 ** w["level"]
+        reach = np.full(len(g), np.inf)
+        for c, n in (("x", "cx"), ("y", "cy")):
+            low, at = w[f"_q{c}"] + w[n] * side, g[c].to_numpy(float)
+            for edge, open_ in ((at - low, low > w[f"_lo{c}"]), (low + side - at, low + side < w[f"_hi{c}"])):
+                reach = np.minimum(reach, edge - 1e-9 * w["_side"] if open_ else np.inf)
+        done = (reach == np.inf) | ((reach > 0) & (far < np.square(np.maximum(reach, 0))))
+        # a row for queries without any hit, so that they ask on
+        bare = np.flatnonzero((count == 0) & ~done)
+        out = pd.DataFrame(out)
+        if len(bare):
+            none = {**{b: np.full(len(bare), w[b]) for b in by}, name: g[name].to_numpy()[bare], "rank": 0, "d2": np.nan, "pid": -1, **{a: np.nan for a in (*axes, *carry)}}
+            out, r = pd.concat([out, pd.DataFrame(none)], ignore_index=True) if len(out) else pd.DataFrame(none), np.r_[r, bare]
+        out["done"], out["far"] = done[r], far[r]
+        for c in ("level", "cx", "cy"):
+            out[c] = w[c]
+        for c in axes:
+            out[f"q{c}"] = g[c].to_numpy(float)[r]
+        return out
+
+    near = written(asking.groupBy(*key).cogroup(homes.groupBy(*key)).applyInPandas(look, first), "knn-own-leaf")
+    flat = [*by, name, "rank", "d2", "pid", *axes, *carry]
+    settled = near.filter("done AND rank > 0").select(*flat)
+    left = near.filter("NOT done AND rank <= 1").select(*by, name, "far", *key[len(by) :], *[f"q{c}" for c in axes])
+    left = written(left.join(frame, by), "knn-open")
+
+    # leaves by the cells above them, with the box of their points
+    boxes = homes.groupBy(*key).agg(F.count("*").alias("_n"), *[f(c).alias(f"_{n}_{c}") for n, f in (("lo", F.min), ("hi", F.max)) for c in axes])
+    above = boxes.withColumn("_al", F.explode(F.sequence(F.lit(0), F.col("level"))))
+    above = above.select(*by, "_al", *[up(c, F.col("level") - F.col("_al")).alias(f"_a{c[1]}") for c in ("cx", "cy")], *[F.col(c).alias(f"_l{c}") for c in ("level", "cx", "cy")], "_n", *[f"_{n}_{c}" for n in ("lo", "hi") for c in axes])
+    above = written(above, "knn-leaves")
+    # the ball of a query meets four cells at most on the level whose cells are twice as wide as it, and on those above
+    ball = F.when(F.col("far") < float("inf"), F.sqrt("far")).otherwise(F.col("_side"))
+    level = F.least(F.greatest(F.floor(F.log2(F.col("_side") / F.greatest(2 * ball, F.col("_side") * 2.0**-DEPTH))), F.lit(0)), F.lit(DEPTH)).cast("int")
+    wide = left.withColumns({"_r": ball, "_top": level}).join(levels, by).withColumn("_al", F.explode(F.array_distinct(F.concat(F.array("_top"), F.filter("_levels", lambda v: v < F.col("_top"))))))
+    most = F.pow(F.lit(2.0), F.col("_al"))
+    at = lambda c, d: F.least(F.greatest(F.floor((F.col(f"q{c}") + d * F.col("_r") * (1 + 1e-9) - F.col(f"_q{c}")) / F.col("_side") * most), F.lit(0).cast("long")), most.cast("long") - 1)
+    wide = wide.withColumn("_ax", F.explode(F.sequence(at("x", -1), at("x", 1)))).withColumn("_ay", F.explode(F.sequence(at("y", -1), at("y", 1))))
+    met = wide.join(above.hint("merge"), [*by, "_al", "_ax", "_ay"]).filter("_al = _llevel OR _al = _top")
+    gap = lambda c: F.greatest(F.col(f"_lo_{c}") - F.col(f"q{c}"), F.col(f"q{c}") - F.col(f"_hi_{c}"), F.lit(0.0))
+    reach = lambda c: F.greatest(F.abs(F.col(f"q{c}") - F.col(f"_lo_{c}")), F.abs(F.col(f"q{c}") - F.col(f"_hi_{c}")))
+    met = met.withColumns({"_gap": sum((gap(c) * gap(c) for c in axes[1:]), gap("x") * gap("x")), "_reach": sum((reach(c) * reach(c) for c in axes[1:]), reach("x") * reach("x"))}).filter("_gap <= far")
+    # the leaves that hold k points between them bound the ball
+    enough = F.sum("_n").over(Window.partitionBy(*by, name).orderBy("_reach", "_llevel", "_lcx", "_lcy")) >= k + int(exclude_self)
+    bound = F.min(F.when(F.col("_enough"), F.col("_reach"))).over(Window.partitionBy(*by, name))
+    met = met.withColumn("_enough", enough).withColumn("_most", F.least("far", F.coalesce(bound, F.lit(float("inf")))) * (1 + 1e-12))
+    met = met.filter("_gap <= _most AND NOT (_llevel = level AND _lcx = cx AND _lcy = cy)")
+    asked = met.select(*by, F.col("_llevel").alias("level"), F.col("_lcx").alias("cx"), F.col("_lcy").alias("cy"), name, *[F.col(f"q{c}").alias(c) for c in axes], "_most")
+
+    def again(_: tuple, g: pd.DataFrame, h: pd.DataFrame) -> pd.DataFrame:
+        if not len(g) or not len(h):
+            return pd.DataFrame({f.split()[0]: pd.Series(dtype=object) for f in hits.split(", ")})
+        return pd.DataFrame(found(g, h, g["_most"].to_numpy())[2])
+
+    other = asked.groupBy(*key).cogroup(homes.groupBy(*key)).applyInPandas(again, hits)
+    both = near.filter("NOT done AND rank > 0").select(*flat).unionByName(other.select(*flat))
+    rank = F.row_number().over(Window.partitionBy(*by, name).orderBy("d2", "pid"))
+    out = settled.unionByName(both.withColumn("rank", rank).filter(F.col("rank") <= k))
+    return out.join(p.select(*by, "pid", *rest).hint("merge"), [*by, "pid"]).select(*by, name, "rank", "d2", *[c for c in p.columns if c not in by]) if rest else out.select(*by, name, "rank", "d2", *[c for c in p.columns if c not in by])
 
 
 def radius_or_nearest(q: DataFrame, p: DataFrame, r: float, min_pts: int, dims: int = 2, qid: str = "pid", by=BY) -> DataFrame:

@@ -47,7 +47,7 @@ def test_knn_is_exact_on_uneven_clouds(spark):
     xyz = np.r_[rng.normal(size=(300, 3)), 50 + 0.01 * rng.normal(size=(100, 3)), [[500, 500, 500]]]
     df = points(spark, xyz).unionByName(points(spark, xyz[:3], "tiny"))
     got = {}
-    for r in spatial.knn_join(df, df, 6, 3, cell=0.7).collect():
+    for r in spatial.knn_join(df, df, 6, 3, cap=30).collect():
         got.setdefault((r["cloud"], r["q_pid"]), []).append((r["rank"], r["pid"]))
     for cloud, pts in (("A", xyz), ("tiny", xyz[:3])):
         d = ((pts[:, None] - pts[None]) ** 2).sum(-1)
