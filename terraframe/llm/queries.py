@@ -108,7 +108,37 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+def manifest_sql(levels: int = 7, over: int = 3) -> str:
+    """op13 in SQL: every level of the trees in a step of its own, for up to 8 ** levels leaves a lang and 8 ** over langs."""
+    told = lambda c: f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')"
+    leaf = lambda text: "sha256(" + " || ".join(told(c if c != "text" else text) for c in merkle.FIELDS) + ")"
+    low = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    # the unsigned crc32 of the decimal id, a bit a step
+    bits = "list_concat([4294967295::UBIGINT], flatten([[ascii(c)::UBIGINT, 0, 0, 0, 0, 0, 0, 0] for c in string_split(CAST(doc_id AS VARCHAR), '')]))"
+    crc = f"xor(list_reduce({bits}, lambda a, x: xor(xor(a, x) >> 1, 3988292384::UBIGINT * (xor(a, x) & 1))), 4294967295::UBIGINT)"
+    steps = [f"f AS (SELECT doc_id, lang, {leaf('text')} AS leaf, CASE WHEN {crc} % 3 = 0 THEN {leaf(low)} ELSE {leaf('text')} END AS bad FROM documents)",
+             "l AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS k, count(*) OVER (PARTITION BY lang) AS n FROM f)",
+             "a0 AS (SELECT lang AS g, k, n, leaf AS h FROM l)"]
+
+    def tree(name: str, depth: int) -> None:
+        for i in range(depth):
+            side = lambda rows: f"coalesce(string_agg(h, '') OVER (PARTITION BY g, k // 8 ORDER BY k ROWS BETWEEN {rows}), '')"
+            steps.append(f"{name}s{i} AS (SELECT g, k, n, {side('UNBOUNDED PRECEDING AND 1 PRECEDING')} AS l, {side('1 FOLLOWING AND UNBOUNDED FOLLOWING')} AS r FROM {name}{i})")
+            steps.append(f"{name}{i + 1} AS (SELECT g, k // 8 AS k, CASE WHEN any_value(n) > 1 THEN (any_value(n) + 7) // 8 ELSE 1 END AS n, CASE WHEN any_value(n) > 1 THEN sha256(string_agg(h, '' ORDER BY k)) ELSE any_value(h) END AS h FROM {name}{i} GROUP BY g, k // 8)")
+
+    tree("a", levels)
+    steps.append(f"b0 AS (SELECT 0 AS g, row_number() OVER (ORDER BY g NULLS FIRST) - 1 AS k, count(*) OVER () AS n, h, g AS lang FROM a{levels})")
+    tree("b", over)
+    path = [(f"as{i}", f"as{i}.g IS NOT DISTINCT FROM l.lang AND as{i}.k = l.k // {8**i}") for i in range(levels)] + [("b0", "b0.lang IS NOT DISTINCT FROM l.lang")] + [(f"bs{i}", f"bs{i}.k = b0.k // {8**i}") for i in range(over)]
+    fold = ["bad AS h0"] + [f"CASE WHEN {t}.n > 1 THEN sha256({t}.l || h{i} || {t}.r) ELSE h{i} END AS h{i + 1}" for i, t in enumerate(t for t, _ in path if t != "b0")]
+    proof = " || ".join(f"{t}.l || {t}.r" for t, _ in path if t != "b0")
+    joins = " ".join(f"JOIN {t} ON {on}" for t, on in path)
+    return f"""WITH {", ".join(steps)}, w AS (SELECT doc_id, leaf, b0.h AS subroot, b{over}.h AS root, sha256({proof}) AS proof_sha256, {", ".join(fold)} FROM l {joins} CROSS JOIN b{over})
+        SELECT doc_id, leaf, subroot, root, proof_sha256, h{levels + over} AS folded_root, h{levels + over} = root AS verified FROM w"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op13_merkle": manifest_sql(),
     "op8_ann": """
         WITH v AS (
             SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings

@@ -243,3 +243,15 @@ def test_runs_query(spark, sf, tmp_path):
         assert got.columns == ["doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256"]
         assert sorted((tuple(r) for r in got.collect()), key=str) == sorted((brute_run_row(*d) for d in docs), key=str)
     assert runs.find(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+@pytest.mark.parametrize("name", ["op11_pigeonhole", "op13_merkle"])
+def test_queries_match_their_sql(spark, sf, name):
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    want = con.sql(queries.oracle_sql()[name])
+    got = queries.queries()[name](spark, sf)
+    assert sorted(got.columns) == sorted(want.columns)
+    assert sorted(map(str, (tuple(r) for r in got.select(*want.columns).collect()))) == sorted(map(str, want.fetchall()))
