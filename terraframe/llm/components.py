@@ -18,15 +18,13 @@ def components(edges: DataFrame) -> DataFrame:
     Spark may split the hub's part of the join. Nodes and links stay in tables; the driver sees whether a round
     changed anything. Self-links and repeats are dropped; nulls must not occur.
     """
-    links = written(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), "links")
-    while True:
-        first = written(links.groupBy("u").agg(F.min("v").alias("first")), "first-links")
-        others = links.join(first.hint("merge"), "u").filter("v <> first").select(F.col("v").alias("u"), F.col("first").alias("v"))
-        handed = written(others.distinct(), "handed-links")
-        if handed.isEmpty():
-            break
-        links = first.select("u", F.col("first").alias("v")).unionByName(handed)
-    tree = first.select(F.col("u").alias("node"), F.col("first").alias("comp"))
+    links = written(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"), F.lit(True).alias("handed")), "links")
+    while not links.filter("handed").isEmpty():
+        first = links.groupBy("u").agg(F.min("v").alias("first"))
+        on = F.col("v") > F.col("first")
+        met = links.join(first.hint("merge"), "u")
+        links = written(met.select(F.when(on, F.col("v")).otherwise(F.col("u")).alias("u"), F.col("first").alias("v"), on.alias("handed")).distinct(), "links")
+    tree = links.select(F.col("u").alias("node"), F.col("v").alias("comp"))
     while True:
         over = tree.select(F.col("node").alias("comp"), F.col("comp").alias("_next"))
         moved = written(tree.join(over, "comp", "left").select("node", F.coalesce("_next", "comp").alias("comp"), F.col("_next").isNotNull().alias("moved")), "forest")
