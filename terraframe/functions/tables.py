@@ -23,6 +23,11 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt by keys over the session's shuffle partitions, few bytes or not: for groups whose work is larger than their rows."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def running(rows: DataFrame, by: tuple[str, ...] | list[str], order: list[str | Column], label: str, **values: Column) -> DataFrame:
     """rows with, under each name of values, the sum of that value over the rows before it in its group, and under <name>_all over the whole group.
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from terraframe.functions.grids import FAR, nearest_columns
 from terraframe.functions.quantiles import quantiles
-from terraframe.functions.tables import written
+from terraframe.functions.tables import dealt, written
 from terraframe.operators.project import BY
 
 BANDS = ("dtm", "dsm", "ndsm", "gprob", "cover")
@@ -81,7 +81,7 @@ def fill_nearest(cells: DataFrame, frame: DataFrame, col: str | list[str] = "val
 
     kinds = dict(frame.dtypes)
     schema = ", ".join(f"{b} {kinds[b]}" for b in by) + ", row long, col long, " + ", ".join(f"{c} double" for c in cols)
-    return strips.groupBy(*by, "_strip").applyInPandas(run, schema)
+    return dealt(strips, *by, "_strip").groupBy(*by, "_strip").applyInPandas(run, schema)
 
 
 def build_prior(df: DataFrame, res: float = 1.0, ground: Column | None = None, by=BY) -> DataFrame:

@@ -12,9 +12,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terraframe.functions.quantiles import quantiles
-from terraframe.functions.tables import running, written
+from terraframe.functions.tables import dealt, running, written
 from terraframe.operators.project import BY
-from terraframe.operators.quadtree import DEPTH, finest, leaves, squares, up
+from terraframe.operators.quadtree import DEPTH, beside, finest, leaves, up
 
 
 def _cells(df: DataFrame, cell: float | Column, dims: int) -> DataFrame:
@@ -45,7 +45,7 @@ def radius_join(q: DataFrame, p: DataFrame, r: float, dims: int = 2, by=BY) -> D
 
 
 #: Points of a leaf of the quadtree that neighbours are looked for in, and distances taken in one step.
-LEAF, STEP_PAIRS = 1_024, 1 << 20
+LEAF, STEP_PAIRS = 4_096, 1 << 20
 
 
 def _nearest(asked: np.ndarray, points: np.ndarray, pid: np.ndarray, k: int, skip: np.ndarray | None, most: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -86,30 +86,31 @@ def knn_join(q: DataFrame, p: DataFrame, k: int, dims: int = 3, qid: str = "pid"
     kinds = dict(p.dtypes)
     carry = [c for c in p.columns if c not in (*by, "pid", *axes) and kinds[c] == "double"]
     rest = [c for c in p.columns if c not in (*by, "pid", *axes, *carry)]
-    ends = [f(c).alias(f"_{n}{c}") for n, f in (("lo", F.min), ("hi", F.max)) for c in axes]
-    p = written(p, "knn-from") if rest else p
-    frame = written(squares(p, by).join(p.groupBy(*by).agg(*ends), by), "knn-frames")
+    ends = p.groupBy(*by).agg(*[f(c).cast("double").alias(f"_{n}{c}") for n, f in (("lo", F.min), ("hi", F.max)) for c in axes])
+    side = F.greatest(F.col("_hix") - F.col("_lox"), F.col("_hiy") - F.col("_loy"), F.lit(1e-9)) * (1 + 1e-9)
+    frame = written(ends.select("*", F.col("_lox").alias("_qx"), F.col("_loy").alias("_qy"), side.alias("_side")), "knn-frames")
     double = lambda c: F.col(c).cast("double").alias(c)
     points = written(finest(p.select(*by, F.col("pid").cast("long").alias("pid"), *[double(c) for c in (*axes, *carry)]).join(frame.select(*by, "_qx", "_qy", "_side"), by)).drop("_qx", "_qy", "_side"), "knn-points")
     tree = leaves(points, max(cap, 2 * k + 2), by)
+    shape = beside(tree.select(*key))
     levels = tree.groupBy(*by).agg(F.collect_set("level").alias("_levels"))
     in_cell = [up(f, F.lit(DEPTH) - F.col("level")).alias(c) for c, f in (("cx", "_fx"), ("cy", "_fy"))]
-    leaf = lambda d, cols: d.join(levels, by).withColumn("level", F.explode("_levels")).select(*by, "level", *in_cell, *cols).join(tree.select(*key).hint("merge"), key, "left_semi")
+    leaf = lambda d, cols: d.join(levels, by).withColumn("level", F.explode("_levels")).select(*by, "level", *in_cell, *cols).join(shape, key, "left_semi")
     homes = written(leaf(points, ["pid", *axes, *carry]), "knn-homes")
     extra = ["_qx", "_qy", "_side", "_lox", "_hix", "_loy", "_hiy"]
     own = q.select(*by, F.col(qid).cast("long").alias(name), *[double(c) for c in axes])
-    asking = leaf(finest(own.join(frame.select(*by, *extra), by)), [name, *axes, *extra])
+    asking = written(leaf(finest(own.join(frame.select(*by, *extra), by)), [name, *axes, *extra]), "knn-asking")
 
     names = ", ".join(f"{b} {kinds[b]}" for b in by)
     more = "".join(f", {c} double" for c in (*axes, *carry))
     hits = f"{names}, {name} long, rank int, d2 double, pid long{more}"
-    first = f"{hits}, done boolean, far double, level int, cx long, cy long" + "".join(f", q{c} double" for c in axes)
+    first = f"{hits}, done boolean"
 
     def found(g: pd.DataFrame, h: pd.DataFrame, most: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, dict]:
         pid = h["pid"].to_numpy()
         r, c, d2 = _nearest(g[axes].to_numpy(float), h[axes].to_numpy(float), pid, k, g[name].to_numpy() if exclude_self else None, most)
         rank = np.arange(len(r)) - np.searchsorted(r, r) + 1
-        return r, d2, {**{b: np.full(len(r), g[b].iloc[0]) if len(r) else pd.Series(dtype=object) for b in by}, name: g[name].to_numpy()[r], "rank": rank, "d2": d2, "pid": pid[c], **{a: h[a].to_numpy(float)[c] for a in (*axes, *carry)}}
+        return r, d2, {**{b: np.full(len(r), g[b].iloc[0], object) for b in by}, name: g[name].to_numpy()[r], "rank": rank, "d2": d2, "pid": pid[c], **{a: h[a].to_numpy(float)[c] for a in (*axes, *carry)}}
 
     def look(_: tuple, g: pd.DataFrame, h: pd.DataFrame) -> pd.DataFrame:
         if not len(g):
@@ -128,24 +129,18 @@ def knn_join(q: DataFrame, p: DataFrame, k: int, dims: int = 3, qid: str = "pid"
             for edge, open_ in ((at - low, low > w[f"_lo{c}"]), (low + side - at, low + side < w[f"_hi{c}"])):
                 reach = np.minimum(reach, edge - 1e-9 * w["_side"] if open_ else np.inf)
         done = (reach == np.inf) | ((reach > 0) & (far < np.square(np.maximum(reach, 0))))
-        # a row for queries without any hit, so that they ask on
-        bare = np.flatnonzero((count == 0) & ~done)
-        out = pd.DataFrame(out)
-        if len(bare):
-            none = {**{b: np.full(len(bare), w[b]) for b in by}, name: g[name].to_numpy()[bare], "rank": 0, "d2": np.nan, "pid": -1, **{a: np.nan for a in (*axes, *carry)}}
-            out, r = pd.concat([out, pd.DataFrame(none)], ignore_index=True) if len(out) else pd.DataFrame(none), np.r_[r, bare]
-        out["done"], out["far"] = done[r], far[r]
-        for c in ("level", "cx", "cy"):
-            out[c] = w[c]
-        for c in axes:
-            out[f"q{c}"] = g[c].to_numpy(float)[r]
-        return out
-
-    near = written(asking.groupBy(*key).cogroup(homes.groupBy(*key)).applyInPandas(look, first), "knn-own-leaf")
+        # a query that asks on has a row of rank 0 with the bound of its ball
+        ask = np.flatnonzero(~done)
+        extra = {**{b: np.full(len(ask), w[b], object) for b in by}, name: g[name].to_numpy()[ask], "rank": np.zeros(len(ask), np.int64), "d2": far[ask], "pid": np.full(len(ask), -1), **{a: np.full(len(ask), np.nan) for a in (*axes, *carry)}}
+        both = {c: np.concatenate([out[c], extra[c]]) for c in out}
+        return pd.DataFrame({**both, "done": np.r_[done[r], np.zeros(len(ask), bool)]})
+
+    near = written(dealt(asking, *key).groupBy(*key).cogroup(dealt(homes, *key).groupBy(*key)).applyInPandas(look, first), "knn-own-leaf")
     flat = [*by, name, "rank", "d2", "pid", *axes, *carry]
     settled = near.filter("done AND rank > 0").select(*flat)
-    left = near.filter("NOT done AND rank <= 1").select(*by, name, "far", *key[len(by) :], *[f"q{c}" for c in axes])
-    left = written(left.join(frame, by), "knn-open")
+    left = near.filter("rank = 0").select(*by, name, F.col("d2").alias("far"))
+    place = asking.select(*key, name, *[F.col(c).alias(f"q{c}") for c in axes])
+    left = written(left.join(place, [*by, name]).join(frame, by), "knn-open")
 
     # leaves by the cells above them, with the box of their points
     boxes = homes.groupBy(*key).agg(F.count("*").alias("_n"), *[f(c).alias(f"_{n}_{c}") for n, f in (("lo", F.min), ("hi", F.max)) for c in axes])
@@ -175,7 +170,7 @@ def knn_join(q: DataFrame, p: DataFrame, k: int, dims: int = 3, qid: str = "pid"
             return pd.DataFrame({f.split()[0]: pd.Series(dtype=object) for f in hits.split(", ")})
         return pd.DataFrame(found(g, h, g["_most"].to_numpy())[2])
 
-    other = asked.groupBy(*key).cogroup(homes.groupBy(*key)).applyInPandas(again, hits)
+    other = dealt(asked, *key).groupBy(*key).cogroup(dealt(homes, *key).groupBy(*key)).applyInPandas(again, hits)
     both = near.filter("NOT done AND rank > 0").select(*flat).unionByName(other.select(*flat))
     rank = F.row_number().over(Window.partitionBy(*by, name).orderBy("d2", "pid"))
     out = settled.unionByName(both.withColumn("rank", rank).filter(F.col("rank") <= k))
