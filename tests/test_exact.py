@@ -32,7 +32,7 @@ def test_quantiles_of_any_size(spark, monkeypatch, held):
 def shaken(spark, pts):
     df = spark.createDataFrame([("A", *p) for p in pts.tolist()], "cloud string, x double, y double, z double")
     one = surface._shaken(df, ("cloud",)).toPandas()
-    return one[["px", "py"]].to_numpy(), one["z"].to_numpy()
+    return one[["px", "py"]].to_numpy(), one["z"].to_numpy(), one[["x", "y"]].to_numpy()
 
 
 def cloud(kind, seed=1, n=900):
@@ -57,11 +57,11 @@ def test_surface_is_that_of_one_triangulation(spark, kind):
     df = spark.createDataFrame([("A", i, *p, 1, 1) for i, p in enumerate(pts.tolist())], "cloud string, pid long, x double, y double, z double, label int, pred int")
     rows = df.join(metrics.corners(df, res), ["cloud"])
     got = {(r["row"], r["col"]): r["h"] for r in surface.tin_surface(rows, res, "h", cap=64).collect()}
-    xy, z = shaken(spark, pts)
+    xy, z, true = shaken(spark, pts)
     h, w = (max(math.ceil(np.ptp(pts[:, k]) / res), 1) for k in (1, 0))
     cells = [(r, c) for r in range(h) for c in range(w)]
     at = np.array([(pts[:, 0].min() + (c + 0.5) * res, pts[:, 1].min() + (r + 0.5) * res) for r, c in cells])
-    want, _ = locate(xy, z, at, delaunay(xy))
+    want, _ = locate(xy, z, at, delaunay(xy), true)
     assert {c for c, v in zip(cells, want) if not np.isnan(v)} == set(got)
     assert max(abs(got[c] - v) for c, v in zip(cells, want) if not np.isnan(v)) < 1e-7
 
