@@ -223,6 +223,17 @@ def test_thin_plate_plane():
     assert np.allclose(correct.thin_plate(xy, plane(xy), at), plane(at), atol=1e-6)
 
 
+def test_thin_plates_together():
+    """Splines solved together are those solved alone, one on a line of seeds included."""
+    rng = np.random.default_rng(18)
+    xy, z = rng.uniform(0, 10, (4, 12, 2)), rng.uniform(0, 3, (4, 12))
+    at, cell = rng.uniform(0, 10, (40, 2)), rng.integers(0, 4, 40)
+    xy[2] = np.c_[np.arange(12.0), np.arange(12.0)]
+    alone = np.array([correct.thin_plate(xy[c], z[c], q[None])[0] for c, q in zip(cell, at)])
+    assert np.isfinite(alone).all() and np.allclose(correct.thin_plates(xy, z, cell, at), alone, atol=1e-9)
+    assert len(correct.thin_plates(xy, z, cell[:0], at[:0])) == 0
+
+
 def test_triangulation():
     from terraframe.functions.tin import delaunay, interpolate
 
