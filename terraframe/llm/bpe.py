@@ -33,8 +33,8 @@ SPACE = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u20
 #: composition and lower-case one by one within the same range.
 NOT_PLAIN = re.compile("[^\\t-\\r\\x20-\\x7e\\xa0-\\u012f\\u0131-\\u0239]")
 #: A memo that reaches MEMO_WORDS or MEMO_IDS starts afresh with the half of its words that came up most, but for those over MEMO_CHARS.
-#: A slice ends at SLICE_BYTES of text; a longer text is a slice of its own.
-MEMO_WORDS, MEMO_IDS, MEMO_CHARS, SLICE_ROWS, SLICE_BYTES = 450_000, 1 << 22, 64, 500, 1 << 20
+#: A slice ends at SLICE_BYTES of text; a longer text is a slice of its own, and encoded in pieces of about as many characters.
+MEMO_WORDS, MEMO_IDS, MEMO_CHARS, SLICE_ROWS, SLICE_BYTES = 300_000, 1 << 22, 64, 500, 1 << 20
 #: The byte-level alphabet ends before; pairs of its characters stand in a table.
 ALPHABET = 512
 
@@ -67,8 +67,9 @@ class FragmentEncoder:
         for a, b in ((ord(p[0]), ord(p[1])) for p in self.inside):
             if a < ALPHABET and b < ALPHABET:
                 self.pairs[a, b] = True
-        self._start({})
+        self._start()
         self.words_re = self._words_re(spec)
+        self.parted = self.words_re is not None and not any(SPACE.search(t) for t in added)
         self.byte_chars = {c: self._shown(chr(c)) for c in range(0xA0, 0x250)}
         self.last, self.inner = self._by_spaces(last), self._by_spaces(inner)
 
@@ -174,11 +175,22 @@ class FragmentEncoder:
         ids, ends = ids.astype(np.int32), ends.tolist()
         return [ids[a:b] for a, b in zip([0, *ends], ends)]
 
-    def _start(self, kept: dict[str, np.ndarray]) -> None:
-        """A memo that knows the ids of kept: number of each word, and place and length of its ids in the table."""
+    def _start(self) -> None:
+        """An empty memo: number of each word, and place and length of its ids in the table."""
         self.memo, self.names = {}, []
         self.table, self.at, self.size, self.hits = np.empty(0, np.int32), *(np.empty(0, np.int64) for _ in range(3))
-        self._add(list(kept), list(kept.values()))
+
+    def _forget(self) -> None:
+        """Keeps the half of a full memo that came up most, and of it words that came up twice and aren't long."""
+        self.memo = {}  # goes before its successor is made
+        most = np.argsort(-self.hits, kind="stable")[: MEMO_WORDS // 2]
+        kept = np.array([i for i in most[self.hits[most] > 1].tolist() if len(self.names[i]) <= MEMO_CHARS], np.int64)
+        self.names = [self.names[i] for i in kept.tolist()]
+        self.memo = dict(zip(self.names, range(len(kept))))
+        size = self.size[kept]
+        at = np.cumsum(size) - size
+        self.table = self.table[np.repeat(self.at[kept] - at, size) + np.arange(size.sum())]
+        self.at, self.size, self.hits = at, size, np.zeros(len(kept), np.int64)
 
     def _add(self, words: list[str], ids: list[np.ndarray]) -> None:
         self.memo.update(zip(words, range(len(self.names), len(self.names) + len(words))))
@@ -189,10 +201,28 @@ class FragmentEncoder:
         self.hits = np.r_[self.hits, np.zeros(len(ids), np.int64)]
         self.table = np.concatenate([self.table, *ids])
 
+    def pieces(self, text: str) -> Iterator[str]:
+        """A text cut at white space into pieces of some SLICE_BYTES characters, which encode independently; one piece where white space may be in a token."""
+        lo = 0
+        while self.parted and len(text) - lo > SLICE_BYTES and (gap := SPACE.search(text, lo + SLICE_BYTES)):
+            yield text[lo : gap.start()]
+            lo = gap.end()
+        yield text[lo:]
+
     def encode_column(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of the whole texts of a column, end to end, and the bounds of each text's; none for a null text."""
+        """The ids of the whole texts of a column, end to end, and the bounds of each text's; none for a null text.
+
+        A long text is taken piece by piece, so that its words are never all in memory at once.
+        """
+        texts = column.to_pylist()
+        if not any(t is not None and len(t) > SLICE_BYTES for t in texts):
+            return self._encode(texts)
+        each = [np.concatenate([self._encode([piece])[0] for piece in self.pieces(t or "")]) for t in texts]
+        return np.concatenate(each), np.r_[0, np.cumsum(list(map(len, each)))]
+
+    def _encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         rows = []
-        for text in column.to_pylist():
+        for text in texts:
             if self.added_re is not None and text and any(t in text for t in self.added):
                 rows.append(list(chain.from_iterable([p] if p in self.added else self.words(p) for p in self.added_re.split(text))))
             else:
@@ -213,8 +243,7 @@ class FragmentEncoder:
         ids = self.table[np.repeat(self.at[number] - stop + size, size) + np.arange(stop[-1] if len(stop) else 0)]
         self.hits += np.bincount(number, minlength=len(self.hits))
         if len(self.names) > MEMO_WORDS or len(self.table) > MEMO_IDS:
-            most = np.argsort(-self.hits, kind="stable")[: MEMO_WORDS // 2]
-            self._start({self.names[i]: self.table[self.at[i] : self.at[i] + self.size[i]] for i in most[self.hits[most] > 1].tolist() if len(self.names[i]) <= MEMO_CHARS})
+            self._forget()
         return ids, np.r_[0, stop][np.r_[0, np.cumsum(np.fromiter(map(len, rows), np.int64, len(rows)))]]
 
     def encode(self, text: str | None) -> np.ndarray:

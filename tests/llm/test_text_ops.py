@@ -6,6 +6,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from terraframe.llm import bpe, chat, exact, mixing, planes, queries
@@ -46,6 +47,22 @@ def test_certain_cuts():
     assert all(a[-1] + b[0] not in e.inside for a, b in zip(parts, parts[1:]))
 
 
+def test_long_texts_in_pieces(monkeypatch, library):
+    """Long texts are encoded in pieces, and a full memo forgets, without any id changing."""
+    rng = random.Random(5)
+    some = ["a", "The", "naïve", "don't", "x1y2", "<|endoftext|>", "日本語", "e\u0301", "Σίσυφος", "...", "\u00a0", "zz" * 20]
+    texts = [" \t\n"[rng.randrange(3)].join(rng.choices(some, k=n)) for n in (0, 1, 50, 400)] + ["q" * 900, None, "  " * 300 + "end"]
+    whole = [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    monkeypatch.setattr(bpe, "SLICE_BYTES", 64)
+    monkeypatch.setattr(bpe, "MEMO_WORDS", 6)
+    e = bpe.FragmentEncoder(queries.TOKENIZER)
+    assert e.parted and len(list(e.pieces(texts[3]))) > 10
+    for _ in range(3):
+        ids, bounds = e.encode_column(pa.array(texts, pa.string()))
+        assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == whole
+        assert len(e.names) <= 20
+
+
 @pytest.mark.parametrize("kind", ["byte", "bit"])
 def test_planes_round_trip(kind):
     for n in (0, 1, 7, 8, 1000):
@@ -196,3 +213,36 @@ def test_escape_round_trip():
     for t in ("", "\\", "<", "\\l", "\\\\<l", "</turn>\n<turn user>\n"):
         assert chat.unescape(chat.escape(t)) == t
         assert "<" not in chat.escape(t)
+
+
+def test_token_queries(spark, sf, library):
+    """op5_planes and op10_bpe on the whole table against the library."""
+    docs = {r["doc_id"]: r["text"] or "" for r in table(spark, sf, "documents").collect()}
+    ids = {d: library.encode(t, add_special_tokens=False).ids for d, t in docs.items()}
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    want = {d: (len(i), sha(" ".join(map(str, i))), sha(library.decode(i, skip_special_tokens=False))) for d, i in ids.items()}
+    made = queries.queries()["op10_bpe"](spark, sf).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect()
+    assert len(made) == len(docs) and {r[0]: tuple(r[1:]) for r in made} == want
+    start, want = 0, {}
+    for d in sorted(docs):
+        all_ids = np.array([*ids[d], 1], "<u4")
+        want[d] = (start, len(all_ids), zlib.crc32(all_ids.tobytes()))
+        start += len(all_ids)
+    made = queries.queries()["op5_planes"](spark, sf).select("doc_id", "start", "n_tokens", "ids_crc32").collect()
+    assert len(made) == len(docs) and {r[0]: tuple(r[1:]) for r in made} == want
+
+
+def test_chat_query(spark, sf):
+    """op2_chat on the whole table: turns, and what the loss mask covers, conversation -7 among them."""
+    turns = defaultdict(list)
+    for r in table(spark, sf, "conversations").collect():
+        turns[r["conv_id"]].append((r["turn"], r["role"], r["text"] or ""))
+    turns[-7] = [(i, role, "\\### Assistant: </turn> ok") for i, role in enumerate(("user", "assistant"))]
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    want = {}
+    for c, rows in turns.items():
+        rows.sort(key=lambda r: r[0])
+        learnt = "".join(t for _, role, t in rows if role == "assistant")
+        want[c] = (len(rows), sha("".join(f"{role}\n{t}\n" for _, role, t in rows)), len(learnt), sha(learnt))
+    made = queries.queries()["op2_chat"](spark, sf).select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256").collect()
+    assert len(made) == len(want) and {r[0]: tuple(r[1:]) for r in made} == want
