@@ -2,10 +2,12 @@
 
 A page is read once into text blocks, each under its root-to-leaf path of tags and classes. Per path the text
 length, the punctuation and the number of nodes are added up; text per node and punctuation per node are
-smoothed along the page and fused by their product, and paths well below the typical content path go; how far below, the
-widest gap between the page's own ratios tells. Paths through elements that are never main text (menus, footers, forms, ...) are out from the start. A marked article narrows the page to
-its paths only where they score like the rest of the page; inside it the ratios decide as everywhere. Headings belong
-to the content that follows them.
+smoothed along the page and fused by their product. Paths through elements that are never main text (menus, footers,
+forms, ...) are out from the start. A marked article is the body of the page if its paths score like the rest; where
+none is marked, the body is the innermost element that holds nearly all of the page's score. Outside the body, paths
+well below the typical content path go; how far below, the widest gap between the page's own ratios tells. Inside it,
+a low ratio alone drops nothing that is marked up as text (paragraphs, list items, table cells, preformatted text):
+such paths go only if they are mostly links. Headings belong to the content that follows them.
 """
 
 from __future__ import annotations
@@ -33,6 +35,8 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 P_ENDS = frozenset("address article aside blockquote details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = frozenset("ul ol dl table body html article section div td th main".split())
+#: Elements that say themselves that they hold text, however short.
+TEXTUAL = frozenset("p li dt dd td th caption figcaption pre blockquote address summary details".split()) | HEADINGS
 #: Words in class, id or role that mark what is not main text.
 NOISE = frozenset(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navigation navbar menu menubar breadcrumb breadcrumbs "
@@ -43,6 +47,8 @@ NOISE = frozenset(
 PUNCTUATION = re.compile(r"[.,;:!?…。，、！？；：()\"'«»„“”‘’-]")
 #: A path stays if its fused ratio is at least a share of the typical one; the page's own ratios set that share within these bounds.
 SHARES, SMOOTH = (0.02, 0.25), (0.25, 0.5, 0.25)
+#: The body of an unmarked page is the innermost element with this share of the score of its text; what lies outside needs OUTSIDE times the least share, or ENOUGH.
+BODY_SHARE, OUTSIDE, ENOUGH = 0.8, 6.0, 0.5
 #: A marked article stands for the page if its typical fused ratio is at least this share of that of the rest.
 ARTICLE_SHARE = 0.25
 
@@ -69,12 +75,13 @@ def landmark(tag: str, attributes: str) -> bool:
     return not any(name.lower() in ("class", "id", "role") and not NOISE.isdisjoint(re.split(r"[^a-z0-9]+", value.lower())) for name, value in ATTRIBUTE.findall(attributes))
 
 
-def blocks(html: str) -> list[tuple[tuple[str, ...], str, int, bool]]:
-    """(path, text, characters in links, inside the marked article) of every text block, noise left out."""
-    out: list[tuple[tuple[str, ...], str, int, bool]] = []
-    stack: list[tuple[str, str, bool, bool]] = []  # tag, path step, noise, article
+def blocks(html: str) -> list[tuple[tuple[str, ...], str, int, bool, tuple[int, ...]]]:
+    """(path, text, characters in links, inside the marked article, numbers of the elements around) of every text block, noise left out."""
+    out: list[tuple[tuple[str, ...], str, int, bool, tuple[int, ...]]] = []
+    stack: list[tuple[str, str, bool, bool, int]] = []  # tag, path step, noise, article, number
     held: list[str] = []
     held_path: tuple[str, ...] = ()
+    held_around: tuple[int, ...] = ()
     held_in, links = False, 0
 
     def close() -> None:
@@ -82,7 +89,7 @@ def blocks(html: str) -> list[tuple[tuple[str, ...], str, int, bool]]:
         if held:
             text = " ".join(unescape("".join(held)).split())
             if text:
-                out.append((held_path, text, links, held_in))
+                out.append((held_path, text, links, held_in, held_around))
         held, links = [], 0
 
     def pop(to: int) -> None:
@@ -97,6 +104,7 @@ def blocks(html: str) -> list[tuple[tuple[str, ...], str, int, bool]]:
         if text and not (stack and stack[-1][2]):
             if not held and not text.isspace():
                 held_path = tuple(s[1] for s in stack if s[0] not in INLINE)
+                held_around = tuple(s[4] for s in stack if s[0] not in INLINE)
                 held_in = bool(stack) and stack[-1][3]
             if held or not text.isspace():
                 held.append(text)
@@ -153,15 +161,15 @@ def blocks(html: str) -> list[tuple[tuple[str, ...], str, int, bool]]:
             continue
         names = re.search(r"""\bclass\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", attributes, re.IGNORECASE) if attributes else None
         step = tag + ("." + names[1].strip("\"'").lower() if names else "")
-        stack.append((tag, step, is_noise, inside or landmark(tag, attributes)))
+        stack.append((tag, step, is_noise, inside or landmark(tag, attributes), m.start()))
     close()
     return out
 
 
-def fused_ratios(found: list[tuple[tuple[str, ...], str, int, bool]]) -> tuple[np.ndarray, float]:
+def fused_ratios(found: list[tuple[tuple[str, ...], str, int, bool, tuple[int, ...]]]) -> tuple[np.ndarray, float]:
     """The smoothed and fused ratio of every block's path, and its mean over the text of the blocks."""
     size, punct, count = defaultdict(int), defaultdict(int), defaultdict(int)
-    for path, text, _, _ in found:
+    for path, text, *_ in found:
         size[path] += len(text)
         punct[path] += len(PUNCTUATION.findall(text))
         count[path] += 1
@@ -183,26 +191,61 @@ def least_share(shares: np.ndarray) -> float:
     return float(np.exp(min((edges[widest] + edges[widest + 1]) / 2, high)))
 
 
+def tag_of(step: str) -> str:
+    return step.split(".")[0]
+
+
+def body_of(found: list[tuple[tuple[str, ...], str, int, bool, tuple[int, ...]]], fused: np.ndarray) -> list[bool]:
+    """Which blocks lie in the innermost element, no text element itself, that holds BODY_SHARE of the score: ratio times text, links left out."""
+    score = [f * max(len(b[1]) - b[2], 0) for b, f in zip(found, fused)]
+    enough, inside, depth = BODY_SHARE * sum(score), list(range(len(found))), 0
+    while True:
+        mass: dict[int, float] = defaultdict(float)
+        for i in inside:
+            path, around = found[i][0], found[i][4]
+            if depth < len(around) - 1 and tag_of(path[depth]) not in TEXTUAL:  # an element that only holds text is no body
+                mass[around[depth]] += score[i]
+        best = max(mass, key=mass.get, default=None)
+        if best is None or mass[best] < enough:
+            break
+        inside = [i for i in inside if depth < len(found[i][4]) and found[i][4][depth] == best]
+        depth += 1
+    chosen = set(inside)
+    return [i in chosen for i in range(len(found))]
+
+
 def main_text(html: str | None) -> str:
     """The main text of a page: its content blocks in page order, one a line; empty if it has none."""
     found = blocks(html or "")
     inner, outer = [b for b in found if b[3]], [b for b in found if not b[3]]
-    if inner and (not outer or fused_ratios(inner)[1] >= ARTICLE_SHARE * fused_ratios(outer)[1]):
+    marked = bool(inner) and (not outer or fused_ratios(inner)[1] >= ARTICLE_SHARE * fused_ratios(outer)[1])
+    if marked:
         found = inner
     if not found:
         return ""
     size, linked, score = defaultdict(int), defaultdict(int), defaultdict(list)
     fused, typical = fused_ratios(found)
-    for (path, text, links, _), f in zip(found, fused):
+    body = [True] * len(found) if marked else body_of(found, fused)
+    around = [i for i, inside in enumerate(body) if not inside]
+    if around:  # what lies outside takes nothing from the text it lies next to
+        fused[around] = fused_ratios([found[i] for i in around])[0]
+    for (path, text, links, *_), f, inside in zip(found, fused, body):
         size[path] += len(text)
         linked[path] += min(links, len(text))
-        score[path].append(f)
+        score[path, inside].append(f)
     shares = {p: float(np.mean(s)) / typical for p, s in score.items()}
     least = least_share(np.array(list(shares.values())))
-    content = {p for p, share in shares.items() if share >= least and linked[p] <= 0.5 * size[p]}
-    keep = [b[0] in content for b in found]
+
+    def stays(path: tuple[str, ...], inside: bool) -> bool:
+        if linked[path] > 0.5 * size[path]:
+            return False
+        if inside:
+            return shares[path, True] >= least or (bool(path) and tag_of(path[-1]) in TEXTUAL)
+        return shares[path, False] >= min(OUTSIDE * least, ENOUGH)
+
+    keep = [stays(b[0], inside) for b, inside in zip(found, body)]
     for i in range(len(found) - 2, -1, -1):  # a heading stays with what follows it
-        if found[i][0] and found[i][0][-1].split(".")[0] in HEADINGS and linked[found[i][0]] <= 0.5 * size[found[i][0]]:
+        if found[i][0] and tag_of(found[i][0][-1]) in HEADINGS and linked[found[i][0]] <= 0.5 * size[found[i][0]]:
             keep[i] = keep[i] or keep[i + 1]
     return "\n".join(b[1] for b, k in zip(found, keep) if k)
 

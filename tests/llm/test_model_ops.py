@@ -180,6 +180,34 @@ def test_page_ratios_decide_without_marks(monkeypatch):
     assert html_paths.main_text("<div><p>One line, only.</p></div>") == "One line, only."
 
 
+STORY = "This is a long paragraph, which tells the story at length; it goes on, and on, until the reader, tired, has enough. So it ends."
+
+
+def test_page_keeps_short_blocks_of_its_article():
+    short = "<ul><li>Yes<li>No</ul><table><tr><th>a<th>b<tr><td>1<td>2</table><pre>x = 1</pre>"
+    want = [STORY, STORY, "Yes", "No", "a", "b", "1", "2", "x = 1"]
+    assert html_paths.main_text(f"<article><p>{STORY}<p>{STORY}</p>{short}</article>").split("\n") == want
+    # no mark: the ratios find the element, and what lies around it goes
+    page = f"<div><div>An advert.</div><div><p>{STORY}<p>{STORY}</p>{short}</div><div>2020 me</div></div>"
+    assert html_paths.main_text(page).split("\n") == want
+    # a second section with text as dense as the body's stays, though the body is another element
+    page = f"<body><div>{f'<p>{STORY}' * 6}</div><div>advert</div><div><p>{STORY}</div></body>"
+    assert html_paths.main_text(page) == "\n".join([STORY] * 7)
+
+
+def test_pages_without_marks(monkeypatch):
+    """Pages of the table without article, class, id and role: at least 85 % come out exactly by the ratios, and no page loses text."""
+    import pyarrow.parquet as pq
+
+    pages = [h or "" for h in pq.read_table("/root/testdata/sf0.01/pages.parquet")["html"].to_pylist()]
+    bare = [re.sub(r"""\s(class|id|role)=("[^"]*"|'[^']*'|[^\s>]+)""", "", re.sub(r"<(/?)(article|main)\b", r"<\1div", h)) for h in pages]
+    want, got = [html_paths.main_text(h) for h in pages], [html_paths.main_text(h) for h in bare]
+    assert sum(a == b for a, b in zip(want, got)) >= 0.85 * len(pages)
+    assert all(set(a.split("\n")) <= set(b.split("\n")) for a, b in zip(want, got))
+    monkeypatch.setattr(html_paths, "least_share", lambda shares: 0.0)
+    assert sum(html_paths.main_text(h) == b for h, b in zip(bare, got)) <= 0.5 * len(pages)
+
+
 def test_pages_long_and_odd(spark):
     rows = [(1, None), (2, ""), (3, "<p>" * 30_000 + "deep, indeed." + "</p>" * 30_000), (4, "<p>" + "word, " * 60_000), (5, "<" * 20_000), (6, "&amp;" * 20_000), (7, "<div><p>a"), (7, "<div><p>a")]
     got = html_paths.extract(spark.createDataFrame(rows, "page_id long, html string")).collect()
