@@ -15,7 +15,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain, islice, repeat
+from itertools import chain, repeat
 from operator import add
 
 import numpy as np
@@ -53,7 +53,7 @@ class FragmentEncoder:
         model = spec["model"]
         vocab, merges = model["vocab"], [tuple(m) if not isinstance(m, str) else tuple(m.split(" ")) for m in model["merges"]]
         suffix = model.get("end_of_word_suffix") or ""
-        last, inner = BPE(vocab, merges, end_of_word_suffix=suffix or None), BPE(vocab, merges)
+        last, inner = BPE(vocab, merges, end_of_word_suffix=suffix or None, cache_capacity=0), BPE(vocab, merges, cache_capacity=0)
         added = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.added = added
         self.added_re = re.compile("(" + "|".join(re.escape(t) for t in sorted(added, key=len, reverse=True)) + ")") if added else None
@@ -134,8 +134,8 @@ class FragmentEncoder:
             return word
         return word[1:] if word[0] == "\0" else word.translate(self.byte_chars)
 
-    def learn(self, words: list[str]) -> list[np.ndarray]:
-        """The ids of some words: the words without certain cuts in one call, the fragments of the others in two."""
+    def learn(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of some words, end to end, and how many each has: the last fragments of all words in one call, those before certain cuts in another."""
         words = list(map(self.shown, words))
         line = "\n".join(words)
         codes = np.frombuffer(line.encode("utf-32-le"), np.uint32)
@@ -143,37 +143,43 @@ class FragmentEncoder:
         low = np.where(known, codes, 0)
         uncut = self.pairs[low[:-1], low[1:]] & known[:-1] & known[1:]
         starts = np.r_[0, np.flatnonzero(mark) + 1]
+        ends = np.r_[starts[1:] - 1, len(codes)]
         cut = np.r_[~uncut & ~mark[:-1] & ~mark[1:], False]
-        doubtful = np.logical_or.reduceat(cut, starts)
-        # the pieces of cut words, one after the other; a character beyond the table makes its word doubtful, and is looked at by itself
-        ends = np.r_[starts[1:] - 1, len(line)]
-        at, stop = np.flatnonzero(cut) + 1, np.searchsorted(np.flatnonzero(cut), starts)
-        odd = np.logical_or.reduceat(~known, starts)
-        parts = []
-        for k in np.flatnonzero(doubtful).tolist():
-            if odd[k]:
-                parts.append(self.fragments(words[k]))
-            else:
-                places = [int(starts[k]), *at[stop[k] : stop[k + 1] if k + 1 < len(words) else None].tolist(), int(ends[k])]
-                parts.append([line[a:b] for a, b in zip(places, places[1:])])
-        doubtful = doubtful.tolist()
-        whole = [w for w, d in zip(words, doubtful) if not d]
-        one, heads, tails = iter(self._ids(self.last, whole)), iter(self._ids(self.inner, [f for fs in parts for f in fs[:-1]])), iter(self._ids(self.last, [fs[-1] for fs in parts]))
-        size = iter([len(fs) - 1 for fs in parts])
-        return [np.concatenate([*islice(heads, next(size)), next(tails)]) if d else next(one) for d in doubtful]
-
-    def _ids(self, line, fragments: list[str]) -> list[np.ndarray]:
-        if not fragments:
-            return []
-        ends = None
+        for k in np.flatnonzero(np.logical_or.reduceat(~known, starts)).tolist():  # characters beyond the table: by the pairs themselves
+            cut[starts[k] : ends[k]] = False
+            cut[starts[k] - 1 + np.cumsum([len(f) for f in self.fragments(words[k])])[:-1]] = True
+        cuts = np.flatnonzero(cut)  # a head, a fragment before a cut, ends at each
+        of = np.searchsorted(starts, cuts, "right") - 1
+        tail_at = starts.copy()
+        tail_at[of] = cuts + 1  # the last cut of a word stays
+        step = np.zeros(len(codes), np.int8)
+        step[tail_at] += 1
+        step[starts[1:]] -= 1
+        tail = np.cumsum(step, dtype=np.int8) == 1
+        ids, size = self._ids(self.last, codes[tail], len(words))
+        if not len(cuts):
+            return ids, size
+        heads = np.insert(codes[~tail], np.cumsum(~tail)[cuts], 32)
+        more, sizes = self._ids(self.inner, heads, len(cuts))
+        # heads and tails fall into the order of their words
+        order = np.r_[of + np.arange(len(cuts)), np.arange(len(words)) + np.searchsorted(of, np.arange(len(words)), "right")]
+        each, place = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
+        held = np.r_[sizes, size]
+        each[order], place[order] = held, np.cumsum(held) - held
+        at = np.cumsum(each) - each
+        ids = np.concatenate([more, ids])[np.repeat(place - at, each) + np.arange(len(more) + len(ids))]
+        return ids, size + np.bincount(of, weights=sizes, minlength=len(words)).astype(np.int64)
+
+    def _ids(self, line, codes: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of count fragments, parted by white space and given as characters' codes, and how many each has."""
+        text = codes.tobytes().decode("utf-32-le")
         if line is self.last and self.closing is not None:  # tokens that end a word tell where it ends, so nothing else need be tracked
-            ids = np.array(line.encode_batch_fast([" ".join(fragments)], add_special_tokens=False)[0].ids, np.int64)
+            ids = np.array(line.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32)
             ends = np.flatnonzero(self.closing[ids]) + 1
-        if ends is None or len(ends) != len(fragments):
-            found = line.encode(" ".join(fragments), add_special_tokens=False)
-            ids, ends = np.array(found.ids), np.cumsum(np.bincount(np.array(found.word_ids, np.int64), minlength=len(fragments)))
-        ids, ends = ids.astype(np.int32), ends.tolist()
-        return [ids[a:b] for a, b in zip([0, *ends], ends)]
+            if len(ends) == count:
+                return ids, np.diff(ends, prepend=0)
+        found = line.encode(text, add_special_tokens=False)
+        return np.array(found.ids, np.int32), np.bincount(np.array(found.word_ids, np.int64), minlength=count)
 
     def _start(self) -> None:
         """An empty memo: number of each word, and place and length of its ids in the table."""
@@ -192,14 +198,13 @@ class FragmentEncoder:
         self.table = self.table[np.repeat(self.at[kept] - at, size) + np.arange(size.sum())]
         self.at, self.size, self.hits = at, size, np.zeros(len(kept), np.int64)
 
-    def _add(self, words: list[str], ids: list[np.ndarray]) -> None:
+    def _add(self, words: list[str], ids: np.ndarray, size: np.ndarray) -> None:
         self.memo.update(zip(words, range(len(self.names), len(self.names) + len(words))))
         self.names += words
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
         self.at = np.r_[self.at, len(self.table) + np.cumsum(size) - size]
         self.size = np.r_[self.size, size]
-        self.hits = np.r_[self.hits, np.zeros(len(ids), np.int64)]
-        self.table = np.concatenate([self.table, *ids])
+        self.hits = np.r_[self.hits, np.zeros(len(size), np.int64)]
+        self.table = np.r_[self.table, ids]
 
     def pieces(self, text: str) -> Iterator[str]:
         """A text cut at white space into pieces of some SLICE_BYTES characters, which encode independently; one piece where white space may be in a token."""
@@ -234,9 +239,9 @@ class FragmentEncoder:
             new = list(dict.fromkeys(map(flat.__getitem__, missing)))
             plain = [w for w in new if w not in self.added]
             if plain:
-                self._add(plain, self.learn(plain))
+                self._add(plain, *self.learn(plain))
             special = [w for w in new if w in self.added]
-            self._add(special, [np.array([self.added[w]], np.int32) for w in special])
+            self._add(special, np.array([self.added[w] for w in special], np.int32), np.ones(len(special), np.int64))
             number[missing] = [self.memo[flat[i]] for i in missing]
         size = self.size[number]
         stop = np.cumsum(size)
