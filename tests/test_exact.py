@@ -111,3 +111,14 @@ def test_profile_of_neighbours_cuts_percentiles(spark):
     (row,) = spatial.neighbour_profile(df, 0.5, 2.0, levels=1, pct=0.3).collect()
     # 3, 4, 5, 5, 5, 4, 3 neighbours within two metres, themselves included
     assert (row["median_n"], row["pct_n"], row["max_n"], row["cap_n"]) == (4, 3, 5, 3)
+
+
+@pytest.mark.parametrize("kind", ["clustered", "round", "patches"])
+def test_few_points_find_the_triangles_of_all(kind):
+    """Places few against the points: the same heights and circles as in the triangulation of all points, which isn't made."""
+    xyz = cloud(kind)
+    xy, z = xyz[:, :2], xyz[:, 2]
+    at = np.array([[3.1, 2.2], [20.3, 20.1], [35.2, 33.3], [90.0, 1.0]])
+    want, got = surface.locate(xy, z, at, surface.delaunay(xy), xy), surface.sparse_locate(xy, z, at, xy)
+    assert np.allclose(want[0], got[0], equal_nan=True) and np.allclose(want[1], got[1], equal_nan=True)
+    assert len(xy) > 2 * surface.FEW * len(at)
